@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veridelta.llm import lookalike, near
+from veridelta.llm import lookalike, near, sitelines
 from veridelta.session import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,3 +28,34 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of raw_demo values that look the same but differ as strings."""
     return lookalike.same_looking_pairs(read(spark, sf_dir, "raw_demo"))
+
+
+_LINES = r"""
+with l as (select ord, source, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) line_no from raw),
+f as (select ord, source, line_no, line, lower(regexp_replace(line, '[\s\p{Z}\p{Nd}]+', '', 'g')) form from l),
+c as (select source, form, count(distinct ord) n from f where form <> '' group by 1, 2),
+r as (select source, count(*) n from raw group by 1),
+rep as (select c.source, c.form from c join r on c.source is not distinct from r.source where c.n >= 5 and c.n >= 0.15 * r.n)
+"""
+
+
+@query
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of raw texts that are repeated across their source."""
+    return sitelines.found_lines(read(spark, sf_dir, "raw"))
+
+
+SQL["p6_found"] = _LINES + "select f.ord, cast(f.line_no as integer) line_no from f join rep on f.form = rep.form and f.source is not distinct from rep.source"
+
+
+@query
+def p6_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw texts without the lines repeated across their source."""
+    return sitelines.remove_lines(read(spark, sf_dir, "raw")).select("ord", "text")
+
+
+SQL["p6_cleaned"] = (
+    _LINES
+    + """, k as (select f.ord, string_agg(f.line, chr(10) order by f.line_no) filter (where rep.form is null) text from f left join rep on f.form = rep.form and f.source is not distinct from rep.source group by 1)
+select raw.ord, case when raw.text is null then null else coalesce(k.text, '') end as text from raw left join k on raw.ord = k.ord"""
+)
