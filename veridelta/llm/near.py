@@ -34,7 +34,7 @@ NEAR = 0.7
 #: The similarity that the number of tables is planned for, and the share of such pairs that may be missed at it.
 PLANNED_AT, MISSED = 0.85, 5e-4
 #: Fingerprints that one shard of a table should hold.
-SHARD_ROWS = 60_000
+SHARD_ROWS = 150_000
 
 
 @dataclass(frozen=True)
@@ -73,7 +73,7 @@ def _coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fingerprints(hashes: list[np.ndarray], p: Plan) -> np.ndarray:
-    """(values, n_words) uint64; table t is the t % per_word-th group of bits of word t // per_word."""
+    """From arrays of 32-bit word hashes: (values, n_words) uint64; table t is the t % per_word-th group of bits of word t // per_word."""
     n = p.bits * p.tables
     a, b = _coefficients(n)
     out = np.zeros((len(hashes), p.n_words), np.uint64)
@@ -92,8 +92,7 @@ def fingerprints(hashes: list[np.ndarray], p: Plan) -> np.ndarray:
             k += 1
         own = full[i:k]
         h = np.concatenate([hashes[j] for j in own])
-        low = ((h >> np.uint64(32)) ^ h).astype(np.uint32)
-        least = np.minimum.reduceat(low[:, None] * a + b, np.r_[0, np.cumsum(sizes[own])[:-1]], axis=0)
+        least = np.minimum.reduceat(h[:, None] * a + b, np.r_[0, np.cumsum(sizes[own])[:-1]], axis=0)
         least ^= least >> np.uint32(15)
         least *= np.uint32(0x2C1B3C6D)
         bit = (least >> np.uint32(31)).astype(np.uint64) << shift
@@ -104,7 +103,7 @@ def fingerprints(hashes: list[np.ndarray], p: Plan) -> np.ndarray:
 
 
 def _members(values: DataFrame) -> DataFrame:
-    """(field, ord, c1, c2, words): the class of each value (128 bits of its word set) and the words' 32-bit hashes."""
+    """(field, ord, c1, c2, words): the class of each value (128 bits of its word set) and its words, by 32 bits of their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -115,31 +114,32 @@ def _members(values: DataFrame) -> DataFrame:
             for v in b.column("value").to_pylist():
                 h = word_hashes(v)
                 keys.append(xxhash.xxh3_128_digest(h.tobytes() if len(h) else b"raw:" + fold(v).encode("utf-8", "surrogatepass")))
-                packed.append(h.tobytes())
+                packed.append((h >> np.uint64(32)).astype(np.uint32).tobytes())
             c = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([b.column("field"), b.column("ord"), pa.array(c[:, 0]), pa.array(c[:, 1]), pa.array(packed, pa.binary())], names=["field", "ord", "c1", "c2", "words"])
 
-    return values.mapInArrow(run, "field string, ord long, c1 long, c2 long, words binary")
+    return values.mapInArrow(run, "field int, ord long, c1 long, c2 long, words binary")
 
 
 def _emit(classes: DataFrame, p: Plan) -> DataFrame:
-    """(g, field, tab, shard, c1, c2, fp): each class's fingerprint, once for each table and shard it has a variant in."""
-    out = "field string, tab int, shard long, c1 long, c2 long, fp binary"
+    """(g, c1, c2, f0, f1, ...): each class's fingerprint, once for each table and shard it has a variant in. g is the shard's
+    number, which holds the field, the table and the leading bits."""
+    names = ["g", "c1", "c2", *(f"f{w}" for w in range(p.n_words))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = p.bits - p.shard_bits
         for b in batches:
-            fp = fingerprints([np.frombuffer(w, np.uint64) for w in b.column("words").to_pylist()], p)
-            c1, c2, field = (b.column(n) for n in ("c1", "c2", "field"))
-            raw = pa.array([r.tobytes() for r in fp], pa.binary())
+            fp = fingerprints([np.frombuffer(w, np.uint32) for w in b.column("words").to_pylist()], p)
+            same = [b.column("c1"), b.column("c2"), *(pa.array(fp[:, w].view(np.int64)) for w in range(p.n_words))]
+            field = b.column("field").to_numpy(zero_copy_only=False).astype(np.int64)
             for t in range(p.tables):
                 own = (fp[:, t // p.per_word] >> np.uint64((t % p.per_word) * p.bits)) & np.uint64((1 << p.bits) - 1)
                 home = (own >> np.uint64(rest)).astype(np.int64)
                 for k in range(p.shard_bits + 1):
                     shard = home if k == 0 else home ^ (1 << (k - 1))
-                    yield pa.RecordBatch.from_arrays([field, pa.array(np.full(len(home), t, np.int32)), pa.array(shard), c1, c2, raw], names=["field", "tab", "shard", "c1", "c2", "fp"])
+                    yield pa.RecordBatch.from_arrays([pa.array((field * p.tables + t << p.shard_bits) + shard), *same], names=names)
 
-    return classes.mapInArrow(run, out)
+    return classes.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def collisions(fp: np.ndarray, tab: int, shard: int, p: Plan, far: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -186,25 +186,28 @@ def collisions(fp: np.ndarray, tab: int, shard: int, p: Plan, far: int) -> Itera
 
 
 def _candidates(classes: DataFrame, p: Plan, near: float) -> DataFrame:
+    """(field, a1, a2, b1, b2): classes that collide and whose whole fingerprints are as near as similarity ``near`` makes them."""
     n = p.bits * p.tables
     chance = (1 - near) / 2
-    far = math.ceil(n * chance + 4 * math.sqrt(n * chance * (1 - chance)))
+    far = math.ceil(n * chance + 1.5 * math.sqrt(n * chance * (1 - chance)))
 
     def run(t: pa.Table) -> pa.Table:
-        fp = np.frombuffer(b"".join(t.column("fp").to_pylist()), np.uint64).reshape(-1, p.n_words)
+        fp = np.stack([t.column(f"f{w}").to_numpy().view(np.uint64) for w in range(p.n_words)], axis=1)
         c1, c2 = (t.column(n).to_numpy() for n in ("c1", "c2"))
-        got = list(collisions(fp, t.column("tab")[0].as_py(), t.column("shard")[0].as_py(), p, far))
+        g = t.column("g")[0].as_py()
+        field, tab, shard = (g >> p.shard_bits) // p.tables, (g >> p.shard_bits) % p.tables, g & ((1 << p.shard_bits) - 1)
+        got = list(collisions(fp, tab, shard, p, far))
         i, j = (np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.int64) for k in (0, 1))
-        field = pa.array([t.column("field")[0].as_py()] * len(i), pa.string())
-        return pa.table([field, pa.array(c1[i]), pa.array(c2[i]), pa.array(c1[j]), pa.array(c2[j])], names=["field", "a1", "a2", "b1", "b2"])
+        return pa.table([pa.array(np.full(len(i), field, np.int32)), pa.array(c1[i]), pa.array(c2[i]), pa.array(c1[j]), pa.array(c2[j])], names=["field", "a1", "a2", "b1", "b2"])
 
-    return _emit(classes, p).groupBy("field", "tab", "shard").applyInArrow(run, "field string, a1 long, a2 long, b1 long, b2 long")
+    return _emit(classes, p).groupBy("g").applyInArrow(run, "field int, a1 long, a2 long, b1 long, b2 long")
 
 
 def near_classes(df: DataFrame, key: str = "ord", fields: tuple[str, ...] = ("text", "claim"), near: float = NEAR) -> tuple[DataFrame, DataFrame]:
-    """(members, links). members: field, ord, c1, c2 with one row a non-null value. links: field, a1, a2, b1, b2 with one row
+    """(members, links). field is the place in ``fields``. members: field, ord, c1, c2 with one row a non-null value. links: field, a1, a2, b1, b2 with one row
     for each pair of different classes whose similarity is ``near`` or more."""
-    members = cut(_members(long_fields(df, key, fields)))
+    place = F.create_map(*(F.lit(x) for k, f in enumerate(fields) for x in (f, k)))
+    members = cut(_members(long_fields(df, key, fields).withColumn("field", place[F.col("field")])))
     classes = members.groupBy("field", "c1", "c2").agg(F.first("words").alias("words"))
     p = plan(members.count())
 
@@ -212,14 +215,14 @@ def near_classes(df: DataFrame, key: str = "ord", fields: tuple[str, ...] = ("te
         for b in batches:
             ok = np.zeros(b.num_rows, bool)
             for k, (x, y) in enumerate(zip(b.column("wa").to_pylist(), b.column("wb").to_pylist(), strict=True)):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(x) + len(y) - len(np.union1d(x, y))
+                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                both = len(np.intersect1d(x, y))
                 ok[k] = both >= near * (len(x) + len(y) - both) and both > 0
             yield b.select(["field", "a1", "a2", "b1", "b2"]).filter(pa.array(ok))
 
     side = lambda s: classes.select("field", F.col("c1").alias(f"{s}1"), F.col("c2").alias(f"{s}2"), F.col("words").alias(f"w{s}"))
     pairs = _candidates(classes.where("length(words) > 0"), p, near)
-    links = pairs.join(side("a"), ["field", "a1", "a2"]).join(side("b"), ["field", "b1", "b2"]).mapInArrow(verify, "field string, a1 long, a2 long, b1 long, b2 long")
+    links = pairs.join(side("a"), ["field", "a1", "a2"]).join(side("b"), ["field", "b1", "b2"]).mapInArrow(verify, "field int, a1 long, a2 long, b1 long, b2 long")
     return members.drop("words"), links
 
 
@@ -229,4 +232,4 @@ def near_pairs(df: DataFrame, key: str = "ord", fields: tuple[str, ...] = ("text
     side = lambda s: members.select("field", F.col("c1").alias(f"{s}1"), F.col("c2").alias(f"{s}2"), F.col("ord").alias(f"o{s}"))
     same = side("a").join(side("b").withColumnsRenamed({"b1": "a1", "b2": "a2"}), ["field", "a1", "a2"]).where("oa < ob")
     other = links.join(side("a"), ["field", "a1", "a2"]).join(side("b"), ["field", "b1", "b2"])
-    return same.select("field", "oa", "ob").unionByName(other.select("field", "oa", "ob")).select("field", F.least("oa", "ob").alias("ord_a"), F.greatest("oa", "ob").alias("ord_b"))
+    return same.select("field", "oa", "ob").unionByName(other.select("field", "oa", "ob")).select(F.element_at(F.array(*map(F.lit, fields)), F.col("field") + 1).alias("field"), F.least("oa", "ob").alias("ord_a"), F.greatest("oa", "ob").alias("ord_b"))
