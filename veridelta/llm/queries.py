@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from veridelta.llm import lookalike, near, sitelines
+from veridelta.llm import language, lookalike, near, sitelines
 from veridelta.session import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +25,24 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_pairs(read(spark, sf_dir, "raw_demo"))
 
 
+def _labelled_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = read(spark, sf_dir, "raw").select(F.lit("raw").alias("tab"), "ord", F.col("text").alias("value"), "language")
+    return raw.unionByName(read(spark, sf_dir, "raw_demo").select(F.lit("raw_demo").alias("tab"), "ord", F.col("claim").alias("value"), "language"))
+
+
+@query
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of the raw texts and raw_demo claims whose label is missing or wrong or that hold several."""
+    models = language.models_from(read(spark, sf_dir, "lang_samples"))
+    return language.label_cases(_labelled_values(spark, sf_dir), models, ["tab", "ord"], "value", "language").select("tab", "ord", "lang")
+
+
+@query
+def p2_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and confidence of every segment of the raw texts."""
+    return language.segment_languages(read(spark, sf_dir, "raw"), language.models_from(read(spark, sf_dir, "lang_samples")), "ord", "text")
+
+
 @query
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of raw_demo values that look the same but differ as strings."""

@@ -19,6 +19,11 @@ def is_han(ch: str) -> bool:
     return 0x4E00 <= o <= 0x9FFF or 0x3400 <= o <= 0x4DBF or 0x20000 <= o <= 0x323AF or o == 0x3007
 
 
+def one_case(ch: str) -> str:
+    """Small letters in which look-alikes of either case are one: a letter is folded by what its capital looks like."""
+    return fold_cluster(fold_cluster(ch).upper()).lower()
+
+
 class _Plain(dict):
     """Code point -> its folded, lower-case, accentless letters or digits; a space for the rest, nothing for the invisible."""
 
@@ -29,7 +34,7 @@ class _Plain(dict):
         elif is_han(ch):
             to = ch
         else:
-            low = fold_cluster(fold_cluster(ch).lower())
+            low = one_case(ch)
             to = "".join(x for x in ud.normalize("NFKD", low) if not ud.combining(x))
             to = "".join(x if x.isalnum() else " " for x in to) or " "
         self[o] = to
