@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridelta.llm import language, lookalike, near, sitelines
+from veridelta.llm import language, lookalike, near, repetition, sitelines
 from veridelta.session import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,16 @@ SQL["p6_cleaned"] = (
     + """, k as (select f.ord, string_agg(f.line, chr(10) order by f.line_no) filter (where rep.form is null) text from f left join rep on f.form = rep.form and f.source is not distinct from rep.source group by 1)
 select raw.ord, case when raw.text is null then null else coalesce(k.text, '') end as text from raw left join k on raw.ord = k.ord"""
 )
+
+
+@query
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of which 0.4 or more of the letters repeat earlier passages, flagged by the learned list and checked."""
+    got = repetition.classify(read(spark, sf_dir, "documents"))
+    return got.where((F.col("rule") > 0) & (F.col("repeated") >= repetition.SHARE)).select("doc_id")
+
+
+@query
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of repeated text and the deciding rule of every document."""
+    return repetition.classify(read(spark, sf_dir, "documents"))
