@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridelta.llm import language, lookalike, near, repetition, sitelines
+from veridelta.llm import language, lookalike, near, overlap, repetition, sitelines
 from veridelta.session import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +49,19 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.same_looking_pairs(read(spark, sf_dir, "raw_demo"))
 
 
+@query
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of gold rows, one in train, with equal id or near-same claim."""
+    got = overlap.overlaps(read(spark, sf_dir, "gold"))
+    return got.select(F.least("eval_ord", "train_ord").alias("ord_a"), F.greatest("eval_ord", "train_ord").alias("ord_b"))
+
+
+@query
+def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps of the evaluation splits with train, by split and source."""
+    return overlap.report(read(spark, sf_dir, "gold"))
+
+
 _LINES = r"""
 with l as (select ord, source, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) line_no from raw),
 f as (select ord, source, line_no, line, lower(regexp_replace(line, '[\s\p{Z}\p{Nd}]+', '', 'g')) form from l),
