@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridelta.llm import language, lookalike, near, overlap, repetition, sitelines
+from veridelta.llm import language, lookalike, mixing, near, overlap, packing, repetition, sitelines, sizes
 from veridelta.session import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,6 +93,38 @@ select raw.ord, case when raw.text is null then null else coalesce(k.text, '') e
 )
 
 
+def _packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), read(spark, sf_dir, "pack_capacity"), sizes.vocabulary_path(spark))
+
+
+@query
+def p7_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The window of every piece of every document, for each capacity."""
+    return _packs(spark, sf_dir)
+
+
+@query
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows, tokens and unused share of each capacity."""
+    return packing.report(_packs(spark, sf_dir), read(spark, sf_dir, "pack_capacity"))
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"), read(spark, sf_dir, "mix_targets"), sizes.vocabulary_path(spark))
+
+
+@query
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of every slot of every mix."""
+    return _mixed(spark, sf_dir)
+
+
+@query
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual shares of every mix."""
+    return mixing.report(_mixed(spark, sf_dir), read(spark, sf_dir, "mix_targets"))
+
+
 @query
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of which 0.4 or more of the letters repeat earlier passages, flagged by the learned list and checked."""
