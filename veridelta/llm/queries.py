@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridelta.llm import language, lookalike, mixing, near, overlap, packing, repetition, sitelines, sizes
+from veridelta.llm import boilerplate, language, lookalike, mixing, near, overlap, packing, repetition, sitelines, sizes
 from veridelta.session import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,6 +43,18 @@ def p2_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.segment_languages(read(spark, sf_dir, "raw"), language.models_from(read(spark, sf_dir, "lang_samples")), "ord", "text")
 
 
+@query
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the pages that are no part of the article."""
+    return boilerplate.furniture_lines(read(spark, sf_dir, "raw_with_extraction")).select("ord", "line_no")
+
+
+@query
+def p3_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article of every page."""
+    return boilerplate.main_content(read(spark, sf_dir, "raw_with_extraction"))
+
+
 @query
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of raw_demo values that look the same but differ as strings."""
