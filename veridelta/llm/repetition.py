@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from veridelta.llm.tokens import is_han
 
 WORDS, HAN_CHARS, SHARE = 10, 20, 0.4
-#: Most labelled rows that the decision list is learned on: those with the least hash.
+#: About so many labelled rows the decision list is learned on: those with the least hash, all where there are fewer.
 FIT_ROWS = 4000
 STATISTICS = ("repeated", "phrases", "lines", "distinct", "longest")
 #: Characters of a batch's texts that are measured at once.
@@ -243,9 +243,11 @@ def learn(x: np.ndarray, y: np.ndarray, least: int = 3, rules: int = 12) -> list
 
 
 def fit(df: DataFrame, key: str = "doc_id", text: str = "text", rows: int = FIT_ROWS) -> list[Rule]:
-    """Learn on the ``rows`` rows with the least hash of key and text; only their statistics and labels reach the driver."""
-    sample = df.where(F.col(text).isNotNull()).select(key, text).orderBy(F.xxhash64(F.col(key).cast("string"), F.lit(9)), key).limit(rows)
-    got = np.array([tuple(r)[1:] for r in statistics(sample, key, text, label=True).collect()], float).reshape(-1, len(STATISTICS) + 1)
+    """Learn on about ``rows`` rows, those with the least hash of the key; only their statistics and labels reach the driver."""
+    n = df.count()
+    part = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(9)), F.lit(2**31)) < int(2**31 * min(1.0, rows / max(1, n)))
+    sample = df.where(part & F.col(text).isNotNull()).select(key, text)
+    got = np.array([tuple(r)[1:] for r in statistics(sample, key, text, label=True).orderBy(key).collect()], float).reshape(-1, len(STATISTICS) + 1)
     return learn(got[:, :-1], got[:, -1] > 0) if len(got) else []
 
 
