@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from veridelta.plans import corpus, datasets, evaluation, facts, star, streams  # noqa: F401
+from veridelta.plans.registry import QUERIES, SQL
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
 FLAGSHIP = "tp_at_k_by_hop"
+
+__all__ = ["FLAGSHIP", "QUERIES", "SQL"]

@@ -140,16 +140,22 @@ def valid_claim(c: Column, parent: Column, least: int = 6, most: int = 90) -> Co
     return F.coalesce(F.length(c).between(least, most) & (squeeze(c) != squeeze(parent)) & ~c.rlike(r"[{}<>]|\.\.\.|……|\bN/A\b"), F.lit(False))
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once a row, also where lambdas read it again and again."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def capital_ngrams(c: Column, most: int = 5) -> Column:
     """Runs of one to ``most`` neighbouring capitalised words, as spaced strings, from each start."""
-    tokens = F.regexp_extract_all(c, F.lit(r"(?U)[\w'’-]+"), F.lit(0))
+    # a word that isn't capitalised becomes null; a run from a start ends before the first null
+    words = F.transform(F.regexp_extract_all(c, F.lit(r"(?U)[\w'’-]+"), F.lit(0)), lambda w: F.when(w.rlike(r"(?U)^\p{Lu}"), w))
 
-    def from_start(i: Column) -> Column:
-        grams = F.transform(F.sequence(F.lit(1), F.lit(most)), lambda n: F.slice(tokens, i, n))
-        whole = F.filter(grams, lambda g: F.forall(g, lambda w: w.rlike(r"(?U)^\p{Lu}")))
-        return F.array_distinct(F.transform(whole, lambda g: F.array_join(g, " ")))
+    def runs(w: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(w), F.lit(1))), lambda i: F.get(w, i - 1).isNotNull())
+        grams = F.transform(starts, lambda i: F.filter(F.transform(F.sequence(F.lit(1), F.lit(most)), lambda n: F.slice(w, i, n)), lambda g: F.forall(g, lambda x: x.isNotNull())))
+        return F.array_distinct(F.transform(F.flatten(grams), lambda g: F.array_join(g, " ")))
 
-    return F.when(F.size(tokens) > 0, F.flatten(F.transform(F.sequence(F.lit(1), F.size(tokens)), from_start))).otherwise(F.array().cast("array<string>"))
+    return let(words, runs)
 
 
 def replace_all(c: Column, pairs: list[tuple[str, str]]) -> Column:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veridelta.operators.rank import top_per_group
 from veridelta.session import cut
 
 #: Rounds after which label propagation gives up; the labels of a path of n nodes settle in about log2(n) rounds.
@@ -108,17 +109,16 @@ def depth_layers(edges: DataFrame, roots: DataFrame, most: int, head: str = "hea
     return seen
 
 
-def simple_paths(edges: DataFrame, seeds: DataFrame, hops: int, per_level: int | None = None, seed: int = 42) -> DataFrame:
-    """(nodes, edges): simple paths of ``hops`` edges from the seeds, walked either way, no node twice. ``per_level`` is the
-    sampler's width: so many extensions of each path, in the order of a hash of seed and edges."""
+def simple_paths(edges: DataFrame, seeds: DataFrame, hops: int, width: int | None = None, seed: int = 42) -> DataFrame:
+    """(nodes, edges): simple paths of ``hops`` edges from the seeds, walked either way, no node twice. ``width`` is that of a
+    sampler: each node offers so many of its edges, the first by a hash of seed and edge, so a hub is cut before the joins."""
     adj = adjacency(edges, keep=["id", "relation", "start", "end"])
+    if width is not None:
+        adj = top_per_group(adj.withColumn("_h", F.sha2(F.concat_ws(":", F.lit(str(seed)), "id"), 256)), ["node"], ["_h", "id"], width).drop("_h")
     edge = F.struct("id", "relation", "start", "end", "direction")
     paths = seeds.select(F.array("node").alias("nodes"), F.array().cast("array<struct<id:string,relation:string,start:date,end:date,direction:string>>").alias("edges"), F.col("node").alias("at"))
     for _ in range(hops):
         step = paths.join(adj, F.col("at") == F.col("node")).where(~F.array_contains("nodes", F.col("next")))
-        if per_level is not None:
-            w = Window.partitionBy("nodes", "edges").orderBy(F.xxhash64(F.lit(seed), "id"), "id")
-            step = step.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= per_level)
         paths = step.select(F.array_append("nodes", F.col("next")).alias("nodes"), F.array_append("edges", edge).alias("edges"), F.col("next").alias("at"))
     return paths.select("nodes", "edges")
 
