@@ -91,3 +91,90 @@ def confusion_cell(has_prediction: Column, predicted: Column, label: Column) ->
     return F.when(verdict_status(has_prediction, predicted) == "ok", right).otherwise("invalid_or_missing")
 
 
+
+
+# --- metrics with a judge's recorded answers: a table (id, stage, call_index, response) whose response is JSON text ---
+
+
+def _answer(judged: DataFrame, stage: str, call: int) -> DataFrame:
+    v = F.try_parse_json("response")
+    return judged.where((F.col("stage") == stage) & (F.col("call_index") == call)).select("id", v.alias(f"_{stage}{call}"))
+
+
+def _number(v: Column, path: str) -> Column:
+    """A JSON number in [0, 1]; null for other types, true and false included."""
+    kind = F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+    x = F.try_variant_get(v, path, "double")
+    return F.when((kind.isin("BIGINT", "DOUBLE") | F.startswith(kind, F.lit("DECIMAL"))) & x.between(0, 1), x)
+
+
+def _flag(v: Column, path: str) -> Column:
+    return F.when(F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "BOOLEAN", F.try_variant_get(v, path, "boolean"))
+
+
+def judged_queries(aligned: DataFrame, judged: DataFrame) -> DataFrame:
+    """(id, hop_count, status, score) of the query metric. ``aligned`` is ``align(gold, parse_queries(predictions))``. No or
+    invalid output scores 0; a judge that is missing, ill typed or doesn't rate each query once leaves the score null."""
+    from veridelta.operators.graph import topology_reason
+
+    df = aligned.join(_answer(judged, "queries", 0), "id", "left")
+    v, q = F.col("_queries0"), F.col("p_q")
+    ratings = F.try_variant_get(v, "$.temporal_ratings", "array<struct<query_id:string,kind:string,correct:boolean>>")
+    rated = (F.size(ratings) == F.size(q)) & (F.size(F.array_except(F.transform(q, lambda x: x["id"]), F.transform(ratings, lambda r: r["query_id"]))) == 0)
+    legal = F.forall(ratings, lambda r: F.coalesce(r["kind"].isin("absolute", "relative") | ((r["kind"] == "missing") & ~r["correct"]), F.lit(False)))
+    tp = F.aggregate(ratings, F.lit(0.0), lambda a, r: a + temporal_credit(r["kind"], r["correct"])) / F.size(ratings)
+    dc, sr = _number(v, "$.s_dc"), _number(v, "$.s_sr")
+    dc = F.when(dc.isin(0.0, 1.0), F.when(topology_reason(q).isNull(), dc).otherwise(0.0))
+    status = F.when(~F.coalesce("has_prediction", F.lit(False)), "missing_output").otherwise(F.col("p_q_status"))
+    good = F.coalesce(_flag(v, "$.gold_sufficient") & rated & legal, F.lit(False))
+    score = F.when(status != "ok", 0.0).when(good, query_score(dc, sr, tp))
+    return df.select("id", "hop_count", F.when((status == "ok") & score.isNull(), "evaluation_error").otherwise(status).alias("status"), score.alias("score"))
+
+
+def judged_retrieval(aligned: DataFrame, judged: DataFrame, k: int = K) -> DataFrame:
+    """(id, hop_count, status, score) of temporal precision at k. The judge's call for a query rates ranks as q<query>:r<rank>;
+    duplicates needn't be rated. A rank that had to be rated and wasn't leaves the score null."""
+    df = aligned.select("id", "hop_count", "time_window", "query_time_windows", "has_prediction", "p_q_status", "p_q")
+    each = df.where("p_q_status = 'ok'").select("id", "time_window", "query_time_windows", F.posexplode("p_q").alias("query", "x"))
+    w = F.coalesce(F.try_element_at("query_time_windows", F.col("x.id")), F.col("time_window"))
+    docs = each.select("id", "query", w.alias("w"), F.posexplode("x.retrieved_documents").alias("pos", "d")).where(F.col("pos") < k)
+    flat = docs.select("id", "query", (F.col("pos") + 1).alias("rank"), F.col("d.id").alias("doc_id"), F.col("d.url").alias("url"), F.col("d.timestamp").alias("timestamp"), F.col("w.start").alias("start"), F.col("w.end").alias("end"))
+    says = judged.where("stage = 'retrieval'").select("id", F.explode(F.try_variant_get(F.try_parse_json("response"), "$.relevance", "array<struct<rank_id:string,relevant:boolean>>")).alias("r"))
+    says = says.select("id", F.col("r.rank_id").alias("rank_id"), F.col("r.relevant").alias("relevant"))
+    rated = flat.withColumn("rank_id", F.concat(F.lit("q"), F.col("query"), F.lit(":r"), F.col("rank"))).join(says, ["id", "rank_id"], "left")
+    url = F.coalesce(scoring_url(F.col("url")), F.col("url"))
+    before = Window.partitionBy("id", "query").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    seen = lambda c: F.coalesce(F.array_contains(F.collect_set(c).over(before), F.col(c)), F.lit(False))
+    marked = rated.withColumn("_url", url).withColumn("_dup", seen("doc_id") | seen("_url"))
+    inside = F.coalesce(source_day(F.col("timestamp")).between(source_day(F.col("start")), source_day(F.col("end"))), F.lit(False))
+    per = marked.groupBy("id").agg(F.count_if(~F.col("_dup") & inside & F.coalesce("relevant", F.lit(False))).alias("hits"), F.count_if(~F.col("_dup") & F.col("relevant").isNull()).alias("unrated"))
+    status = F.when(~F.coalesce("has_prediction", F.lit(False)), "missing_output").otherwise(F.col("p_q_status"))
+    bad = (status == "ok") & (F.coalesce("unrated", F.lit(0)) > 0)
+    score = F.when(status != "ok", 0.0).when(~bad, F.coalesce("hits", F.lit(0)) / F.lit(float(k)) / F.size("p_q"))
+    return df.join(per, "id", "left").select("id", "hop_count", F.when(bad, "evaluation_error").otherwise(status).alias("status"), score.alias("score"))
+
+
+def judged_explanation(aligned: DataFrame, judged: DataFrame) -> DataFrame:
+    """(id, hop_count, status, score) of logic consistency: call 0 gates by alignment (the number 0 or 1), call 1 rates quality."""
+    df = aligned.join(_answer(judged, "explanation", 0), "id", "left").join(_answer(judged, "explanation", 1), "id", "left")
+    a, b, e = F.col("_explanation0"), F.col("_explanation1"), F.col("p_explanation")
+    gate = _number(a, "$.i_align")
+    quality = [_number(b, f"$.{n}") for n in ("sufficiency", "factual_correctness", "temporal_plausibility")]
+    status = F.when(~F.coalesce("has_prediction", F.lit(False)) | e.isNull() | (F.trim(e) == ""), "missing").otherwise("ok")
+    enough = F.coalesce(_flag(b, "$.gold_sufficient"), F.lit(False))
+    score = F.when(status != "ok", 0.0).when(gate == 0, 0.0).when((gate == 1) & enough, sum(quality[1:], quality[0]) / 3)
+    return df.select("id", "hop_count", F.when((status == "ok") & score.isNull(), "evaluation_error").otherwise(status).alias("status"), score.alias("score"))
+
+
+def judged_verdict(aligned: DataFrame) -> DataFrame:
+    has, p = F.col("has_prediction"), F.col("p_predicted_label")
+    return aligned.select("id", "hop_count", verdict_status(has, p).alias("status"), verdict_score(has, p, F.col("label")).alias("score"))
+
+
+def all_stages(stages: dict[str, DataFrame]) -> DataFrame:
+    """(stage, scope, n, ...): the summaries of all stages; complete when every score is there. Metrics are never averaged together."""
+    out = None
+    for name, rows in stages.items():
+        s = summary(rows, "hop_count").withColumn("stage", F.lit(name)).withColumn("complete", F.col("errors") == 0)
+        out = s if out is None else out.unionByName(s)
+    return out
