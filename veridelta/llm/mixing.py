@@ -93,7 +93,8 @@ def mix(df: DataFrame, targets: DataFrame, vocabulary: str, key: str = "doc_id",
     if len(want) > TARGETS or any(w is None or w < 0 for _, _, w, _ in want):
         raise ValueError(f"at most {TARGETS} targets, and no share below 0")
     names = targets.select(F.col("source").alias("_wanted")).distinct()
-    sized = cut(token_sizes(df.join(F.broadcast(names), F.col(source) == F.col("_wanted"), "left_semi"), vocabulary, key, source, text))
+    own = df.select(key, F.col(source).alias("source"), F.col(text).alias("text"))
+    sized = cut(token_sizes(own.join(F.broadcast(names), F.col("source") == F.col("_wanted"), "left_semi"), vocabulary, key, "source", "text"))
     of = {r[0]: (r[1], r[2]) for r in sized.groupBy("source").agg(F.sum("tokens"), F.count(F.lit(1))).collect()}
     mixes = plan(want, {s: t for s, (t, _) in of.items()}, block)
     if not mixes:

@@ -113,16 +113,25 @@ def repeated_lines(df: DataFrame, key: str = "ord", source: str = "source", text
     return cut(n.join(F.broadcast(of.select("src", "rows", "least")), "src").where("n >= least").select("src", "line", "n", "rows"))
 
 
-def _with_sets(df: DataFrame, repeated: DataFrame, source: str) -> DataFrame:
-    """``df`` with the array _set of its source's repeated lines, null where there are none."""
-    sets = repeated.groupBy("src").agg(F.collect_set("line").alias("_set")).withColumnRenamed("src", "_src")
-    return df.join(_small(sets), F.coalesce(source, F.lit(NO_SOURCE)) == F.col("_src"), "left").drop("_src")
+def _free(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` hasn't."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def _with_sets(df: DataFrame, repeated: DataFrame, source: str, to: str) -> DataFrame:
+    """``df`` with the array ``to`` of its source's repeated lines, null where there are none."""
+    src = _free(df, "_src")
+    sets = repeated.groupBy(F.col("src").alias(src)).agg(F.collect_set("line").alias(to))
+    return df.join(_small(sets), F.coalesce(df[source], F.lit(NO_SOURCE)) == F.col(src), "left").drop(src)
 
 
 def found_lines(df: DataFrame, key: str = "ord", source: str = "source", text: str = "text", **options) -> DataFrame:
     """(ord, line_no) of each repeated line of each row."""
     rep = repeated_lines(df, key, source, text, **options)
-    rows = _with_sets(df.select(F.col(key).alias("ord"), source, F.split(text, "\n").alias("lines")), rep, source).where("_set is not null")
+    rows = _with_sets(df.select(F.col(key).alias("ord"), F.col(source).alias("source"), F.split(text, "\n").alias("lines")), rep, "source", "_set").where("_set is not null")
     hit = F.filter(F.transform("lines", lambda x, i: F.when(F.array_contains("_set", normal(x)), (i + 1).cast("int"))), lambda x: x.isNotNull())
     return rows.select("ord", F.explode(hit).alias("line_no"))
 
@@ -130,6 +139,7 @@ def found_lines(df: DataFrame, key: str = "ord", source: str = "source", text: s
 def remove_lines(df: DataFrame, key: str = "ord", source: str = "source", text: str = "text", **options) -> DataFrame:
     """``df`` with the repeated lines taken out of ``text``; other columns, of any names, are kept. Blank lines stay."""
     rep = repeated_lines(df, key, source, text, **options)
-    left = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("_set", normal(x))), "\n")
-    clean = _with_sets(df, rep, source)
-    return clean.withColumn(text, F.when(F.col("_set").isNull() | F.col(text).isNull(), F.col(text)).otherwise(left)).drop("_set")
+    own = _free(df, "_set")
+    left = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(own, normal(x))), "\n")
+    clean = _with_sets(df, rep, source, own)
+    return clean.withColumn(text, F.when(F.col(own).isNull() | F.col(text).isNull(), F.col(text)).otherwise(left)).drop(own)
