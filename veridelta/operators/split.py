@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veridelta.operators.graph import components
+from veridelta.session import cut
 
 #: Most kinds of component vectors that the choice looks at, and states it keeps.
 MOST_VECTORS, MOST_STATES = 5_000, 20_000
@@ -20,7 +21,7 @@ def record_components(records: DataFrame, key: str, tokens: str) -> DataFrame:
     links = records.select(r.alias("src"), F.explode_outer(tokens).alias("t")).select("src", F.coalesce(F.concat(F.lit("t:"), F.col("t")), F.col("src")).alias("dst"))
     comp = components(links).where(F.startswith("node", F.lit("r:")))
     kind = records.schema[key].dataType.simpleString()
-    return comp.select(F.substring("node", 3, 1_000_000).cast(kind).alias(key), "component")
+    return cut(comp.select(F.substring("node", 3, 1_000_000).cast(kind).alias(key), "component"))
 
 
 def component_vectors(records: DataFrame, of: DataFrame, key: str, hop: str, hops: list[int]) -> DataFrame:
