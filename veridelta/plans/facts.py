@@ -132,8 +132,7 @@ def gold_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def relation_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relations with their share of all edges."""
     c = read(spark, sf_dir, "gold").select(F.explode("reasoning_graph.edges").alias("e")).groupBy("e.relation").agg(F.count(F.lit(1)).alias("n"))
-    total = c.agg(F.sum("n").alias("t"))
-    return c.crossJoin(F.broadcast(total)).select("relation", "n", F.round(F.col("n") / F.col("t"), 6).alias("prior"))
+    return c.select("relation", "n", F.round(F.col("n") / c.agg(F.sum("n")).scalar(), 6).alias("prior"))
 
 
 @query("""with e as (select ord, hop_count, unnest(reasoning_graph.edges) e from gold), m as (select ord, hop_count, cast(substr(e.start, 1, 4) as integer) * 12 + cast(substr(e.start, 6, 2) as integer) v from e),
@@ -157,7 +156,7 @@ def hard_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = gold.select("ord", F.col("hop_count").alias("hops"), F.explode("reasoning_graph.edges").alias("e"))
     p = each.select("ord", "hops", F.col("e.relation").alias("relation"), D.month_number(F.col("e.start")).alias("v"))
     n = p.groupBy("relation").agg(F.count(F.lit(1)).alias("n"))
-    prior = n.crossJoin(F.broadcast(n.agg(F.sum("n").alias("t")))).select("relation", (F.col("n") / F.col("t")).alias("prior"))
+    prior = n.select("relation", (F.col("n") / n.agg(F.sum("n")).scalar()).alias("prior"))
     g = p.join(F.broadcast(prior), "relation").groupBy("ord").agg(F.first("hops").alias("hops"), F.array_sort(F.collect_list("v")).alias("v"), F.avg("prior").alias("prior"))
     g = g.select("ord", "hops", F.array_min(gaps(F.col("v"))).alias("gap"), (F.array_max("v") - F.array_min("v")).alias("span"), "prior")
     score = F.round(hard_path_score(F.col("gap").cast("double"), F.col("span").cast("double"), F.col("prior"), F.col("hops").cast("double"), F.lit(1.0), F.lit(0.0)), 6)

@@ -145,8 +145,7 @@ def late_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 def as_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each event of one type the user's last event of another type before it, by one window over both."""
     e = read(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
-    ends = F.broadcast(e.agg(F.min("event_type").alias("lo"), F.max("event_type").alias("hi")))
-    kept = e.crossJoin(ends).where("event_type = lo or event_type = hi")
+    kept = e.withColumn("lo", e.agg(F.min("event_type")).scalar()).withColumn("hi", e.agg(F.max("event_type")).scalar()).where("event_type = lo or event_type = hi")
     left = F.when(F.col("event_type") == F.col("lo"), F.struct("ts", "event_id"))
     # rows at the same instant aren't before: the running maximum is taken over earlier rows only
     strict = Window.partitionBy("user_id").orderBy(F.col("ts"), F.when(F.col("event_type") == F.col("hi"), 0).otherwise(1), "event_id").rowsBetween(Window.unboundedPreceding, -1)
