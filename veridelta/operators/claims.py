@@ -93,33 +93,64 @@ def mentions(texts: DataFrame, names: DataFrame, key: str, text: str, most: int
     return hit.groupBy(key).agg(ordered.alias("_o")).select(key, F.explode(walk["out"]).alias("m")).select(key, "m.name", "m.start", "m.tokens")
 
 
-# Span edits: each finds places in a text and says what to put there. Choices come from a generator seeded by key and strategy.
+# Span edits: each strategy finds places in a text and says what to put there. Choices come from a generator seeded by key and
+# strategy, so a claim's variants don't depend on what else is in the table.
+_MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+_ORDINALS = ("first", "second", "third", "fourth", "fifth", "sixth")
+_PAIRS = {
+    "order": (("before", "after"), ("earlier", "later"), ("以前", "以后"), ("之前", "之后")),
+    "degree": (("more", "less"), ("most", "least"), ("at least", "at most"), ("all", "some"), ("所有", "部分"), ("不到", "超过")),
+    "direction": (("north", "south"), ("east", "west"), ("upper", "lower"), ("Upper", "Lower"), ("上", "下")),
+    "polarity": (("always", "never"), ("supported", "opposed"), ("confirmed", "denied"), ("accepted", "rejected"), ("支持", "反对"), ("确认", "否认")),
+}
 _NUMBER = re.compile(r"(?<![\d,.-])\d{1,3}(?:,\d{3})+(?![\d,-])|(?<![\d,.-])\d{1,6}(?![\d,年月日-])")
 _YEAR = re.compile(r"(?<!\d)(?:19|20)\d{2}(?=-\d{2}-\d{2}|年|(?!\d))")
-_SWAPS = {"before": "after", "after": "before", "more": "less", "less": "more", "first": "last", "last": "first", "all": "some", "never": "always", "always": "never"}
-_WORD = re.compile(r"\b(?:" + "|".join(_SWAPS) + r")\b")
+_MONTH_NO = re.compile(r"(?<=\d{4}-)\d{2}(?=-\d{2})|(?<=\d年)\d{1,2}(?=月)")
+_DAY_NO = re.compile(r"(?<=\d{4}-\d{2}-)\d{2}(?!\d)|(?<=月)\d{1,2}(?=日)")
 _NAME = re.compile(r"\b(?:[A-Z][\w'’-]+ )+[A-Z][\w'’-]+\b")
-STRATEGIES = ("number", "year", "word", "name")
+_IS = re.compile(r"\b(?:is|was|were|are|has|had|can|will)\b(?! not)")
+STRATEGIES = ("number", "year", "month", "day", "ordinal", "name", "negation", *_PAIRS)
+
+
+def _table(pairs: tuple[tuple[str, str], ...]) -> tuple[re.Pattern, dict[str, str]]:
+    swap = {x: y for a, b in pairs for x, y in ((a, b), (b, a))}
+    word = lambda w: rf"\b{w}\b" if w.isascii() else w
+    return re.compile("|".join(word(w) for w in sorted(swap, key=len, reverse=True))), swap
+
+
+_SWAPS = {k: _table(v) for k, v in _PAIRS.items()}
+
+
+def _other(value: int, low: int, high: int, rng: random.Random) -> int:
+    return rng.choice([v for v in range(low, high + 1) if v != value])
 
 
 def spans(text: str, strategy: str, rng: random.Random, pool: list[str]) -> list[tuple[int, int, str]]:
-    """(start, end, replacement) of every place the strategy can edit."""
-    out = []
+    """(start, end, replacement) of every place the strategy can edit. A day is moved within 1..28, so the date stays a date."""
+    put = lambda m, new: (m.start(), m.end(), new)
     if strategy == "number":
+        out = []
         for m in _NUMBER.finditer(text):
             v = int(m.group().replace(",", ""))
-            step = 1 if v < 10 else 5 if v < 100 else 25 if v < 1000 else v // 10
-            out.append((m.start(), m.end(), f"{v + step * rng.choice((1, 2, 3)):,}" if "," in m.group() else str(v + step * rng.choice((1, 2, 3)))))
-    elif strategy == "year":
-        out = [(m.start(), m.end(), str(int(m.group()) + rng.choice((-3, -2, -1, 1, 2)))) for m in _YEAR.finditer(text)]
-    elif strategy == "word":
-        out = [(m.start(), m.end(), _SWAPS[m.group()]) for m in _WORD.finditer(text)]
-    elif strategy == "name" and pool:
-        for m in _NAME.finditer(text):
-            other = [p for p in pool if p != m.group()]
-            if other:
-                out.append((m.start(), m.end(), rng.choice(other)))
-    return out
+            v += (1 if v < 10 else 5 if v < 100 else 25 if v < 1000 else v // 10) * rng.choice((1, 2, 3))
+            out.append(put(m, f"{v:,}" if "," in m.group() else str(v)))
+        return out
+    if strategy == "year":
+        return [put(m, str(int(m.group()) + rng.choice((-3, -2, -1, 1, 2)))) for m in _YEAR.finditer(text)]
+    if strategy in ("month", "day"):
+        numbers = _MONTH_NO if strategy == "month" else _DAY_NO
+        out = [put(m, str(_other(int(m.group()), 1, 12 if strategy == "month" else 28, rng)).zfill(len(m.group()))) for m in numbers.finditer(text)]
+        if strategy == "month":
+            out += [put(m, rng.choice([x for x in _MONTHS if x != m.group()])) for m in re.finditer(r"\b(?:" + "|".join(_MONTHS) + r")\b(?= \d|,? \d{4})", text)]
+        return out
+    if strategy == "ordinal":
+        return [put(m, rng.choice([x for x in _ORDINALS if x != m.group()])) for m in re.finditer(r"\b(?:" + "|".join(_ORDINALS) + r")\b", text)]
+    if strategy == "name":
+        return [put(m, rng.choice(other)) for m in _NAME.finditer(text) if (other := [p for p in pool if p != m.group()])]
+    if strategy == "negation":
+        return [(m.start(), m.end(), f"{m.group()} not") for m in _IS.finditer(text)]
+    pattern, swap = _SWAPS[strategy]
+    return [put(m, swap[m.group()]) for m in pattern.finditer(text)]
 
 
 def edit(text: str, chosen: list[tuple[int, int, str]]) -> str:

@@ -73,7 +73,7 @@ def partition_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten longest documents of each source, with the full count of the source."""
     df = read(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
     n = df.groupBy("source").agg(F.count(F.lit(1)).alias("total"))
-    return R.top_per_group(df, ["source"], [F.desc_nulls_last("n_chars"), F.col("doc_id")], 10).join(F.broadcast(n), "source")
+    return R.top_per_group(df, ["source"], [F.desc_nulls_last("n_chars"), F.col("doc_id")], 10).join(n, "source")
 
 
 @query()

@@ -157,7 +157,7 @@ def hard_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = each.select("ord", "hops", F.col("e.relation").alias("relation"), D.month_number(F.col("e.start")).alias("v"))
     n = p.groupBy("relation").agg(F.count(F.lit(1)).alias("n"))
     prior = n.select("relation", (F.col("n") / n.agg(F.sum("n")).scalar()).alias("prior"))
-    g = p.join(F.broadcast(prior), "relation").groupBy("ord").agg(F.first("hops").alias("hops"), F.array_sort(F.collect_list("v")).alias("v"), F.avg("prior").alias("prior"))
+    g = p.join(prior, "relation").groupBy("ord").agg(F.first("hops").alias("hops"), F.array_sort(F.collect_list("v")).alias("v"), F.avg("prior").alias("prior"))
     g = g.select("ord", "hops", F.array_min(gaps(F.col("v"))).alias("gap"), (F.array_max("v") - F.array_min("v")).alias("span"), "prior")
     score = F.round(hard_path_score(F.col("gap").cast("double"), F.col("span").cast("double"), F.col("prior"), F.col("hops").cast("double"), F.lit(1.0), F.lit(0.0)), 6)
     return g.where("gap <= 48 and span <= 300").select("ord", "hops", score.alias("score")).orderBy(F.desc("score"), "ord").limit(300)
@@ -200,9 +200,9 @@ def replacement_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     pool = n.select(F.col("z.type").alias("t"), F.col("z.label").alias("l")).distinct()
     size = pool.groupBy("t").agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / 32)).alias("nb"))
     bucket = lambda c: F.conv(F.substring(F.sha2(c, 256), 1, 7), 16, 10).cast("long") % F.col("nb")
-    p = pool.join(F.broadcast(size), "t").select("t", "l", bucket(F.col("l")).alias("b"))
+    p = pool.join(size, "t").select("t", "l", bucket(F.col("l")).alias("b"))
     me = F.concat_ws(":", F.col("ord").cast("string"), "id")
-    q = n.select("ord", F.col("z.id").alias("id"), F.col("z.type").alias("t"), "own").distinct().join(F.broadcast(size), "t").withColumn("b", bucket(me))
+    q = n.select("ord", F.col("z.id").alias("id"), F.col("z.type").alias("t"), "own").distinct().join(size, "t").withColumn("b", bucket(me))
     c = q.join(p, ["t", "b"]).where(~F.array_contains("own", F.col("l"))).select("ord", "id", "l", F.sha2(F.concat_ws(":", me, "l"), 256).alias("h"))
     return R.top_per_group(c, ["ord", "id"], ["h"], 3).select("ord", "id", F.col("l").alias("replacement"))
 

@@ -129,7 +129,7 @@ def perturbation_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""select n.n_name nation, count(distinct o_custkey) customers, count(*) orders, round(sum(o_totalprice), 2) total from orders o join customer c on o_custkey = c_custkey join nation n on c_nationkey = n_nationkey where o_orderdate >= date '1995-01-01' and o_orderdate < date '1996-01-01' group by 1""")
 def nation_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read(spark, sf_dir, "orders").where((F.col("o_orderdate") >= F.lit("1995-01-01").cast("timestamp_ntz")) & (F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp_ntz")))
-    c = read(spark, sf_dir, "customer").join(F.broadcast(read(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("nation"))
+    c = read(spark, sf_dir, "customer").join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("nation"))
     return o.join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy("nation").agg(F.count_distinct("o_custkey").alias("customers"), F.count(F.lit(1)).alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
