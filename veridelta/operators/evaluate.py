@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veridelta.functions.dates import source_day
-from veridelta.functions.text import scoring_url
+from veridelta.functions.text import let, scoring_url
 
 K = 5
 QUERIES = "array<struct<id:string,text:string,depends_on:array<string>,retrieved_documents:array<struct<id:string,url:string,text:string,timestamp:string>>>>"
@@ -39,15 +39,21 @@ def align(gold: DataFrame, predictions: DataFrame) -> DataFrame:
     return first(gold).join(p.select("id", F.lit(True).alias("has_prediction"), *(F.col(c).alias(f"p_{c}") for c in p.columns if c != "id")), "id", "left")
 
 
-def precision_at_k(docs: DataFrame, keys: list[str], k: int = K) -> DataFrame:
-    """(keys, hits): ``docs`` has keys, query, rank, doc_id, url, timestamp, start, end, relevant. Within the first k ranks a
-    document whose id or URL came before is a duplicate and wastes its rank; a hit is relevant, dated and inside the window."""
-    top = docs.where(F.col("rank") <= k).withColumn("_url", F.coalesce(scoring_url(F.col("url")), F.col("url"), F.concat(F.lit("\x00"), F.col("rank"))))
-    before = Window.partitionBy(*keys, "query").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-    dup = lambda c: F.array_contains(F.coalesce(F.collect_set(c).over(before), F.array().cast("array<string>")), F.col(c))
-    day = source_day(F.col("timestamp"))
-    hit = F.col("relevant") & ~F.col("_dup") & F.coalesce(day.between(source_day(F.col("start")), source_day(F.col("end"))), F.lit(False))
-    return top.withColumn("_dup", F.coalesce(dup("doc_id"), F.lit(False)) | F.coalesce(dup("_url"), F.lit(False))).groupBy(*keys, "query").agg(F.count_if(hit).alias("hits"))
+def query_hits(documents: Column, window: Column, relevant, k: int = K) -> Column:
+    """Hits among the first k documents of one query. A document whose id or URL came before is a duplicate and wastes its rank; a
+    hit is relevant (``relevant(document)``), dated, and inside the closed window. A query's documents stay in its row, so nothing is
+    exploded or shuffled."""
+    lo, hi = source_day(window["start"]), source_day(window["end"])
+
+    def seen(d: Column) -> Column:
+        good = F.coalesce(relevant(d) & source_day(d["timestamp"]).between(lo, hi), F.lit(False))
+        return F.struct(d["id"].alias("id"), F.coalesce(scoring_url(d["url"]), d["url"]).alias("url"), good.alias("good"))
+
+    def count(top: Column) -> Column:
+        same = lambda x, d: F.coalesce(x["id"] == d["id"], F.lit(False)) | F.coalesce(x["url"] == d["url"], F.lit(False))
+        return F.size(F.filter(F.transform(top, lambda d, i: d["good"] & ~F.exists(F.slice(top, F.lit(1), i), lambda x: same(x, d))), lambda hit: hit))
+
+    return let(F.transform(F.slice(documents, 1, k), seen), count)
 
 
 def summary(rows: DataFrame, group: str | None = None) -> DataFrame:

@@ -64,17 +64,12 @@ def demo_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _precision_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, hop_count, score) of every gold id. A document is relevant when its URL is that of a gold evidence."""
     g = ev.align(read(spark, sf_dir, "gold"), _statuses(spark, sf_dir))
-    rows = g.select("id", "hop_count", "time_window", "query_time_windows", F.transform("evidence", lambda e: e["url"]).alias("urls"), F.when(F.col("p_q_status") == "ok", F.col("p_q")).alias("q"))
-    each = rows.select("id", "urls", "time_window", "query_time_windows", F.posexplode("q").alias("query", "x"))
-    window = F.coalesce(F.try_element_at("query_time_windows", F.col("x.id")), F.col("time_window"))
-    docs = each.select("id", "query", "urls", window.alias("w"), F.posexplode("x.retrieved_documents").alias("pos", "d"))
-    flat = docs.select(
-        "id", "query", (F.col("pos") + 1).alias("rank"), F.col("d.id").alias("doc_id"), F.col("d.url").alias("url"), F.col("d.timestamp").alias("timestamp"), F.col("w.start").alias("start"), F.col("w.end").alias("end"),
-        F.coalesce(F.array_contains("urls", F.col("d.url")), F.lit(False)).alias("relevant"),
-    )
-    hits = ev.precision_at_k(flat, ["id"]).groupBy("id").agg(F.sum("hits").alias("hits"))
-    n = F.size("q")
-    return rows.join(hits, "id", "left").select("id", "hop_count", F.when(n > 0, F.coalesce("hits", F.lit(0)) / F.lit(float(ev.K)) / n).otherwise(F.lit(0.0)).alias("score"))
+    q = F.when(F.col("p_q_status") == "ok", F.col("p_q"))
+    rows = g.select("id", "hop_count", "time_window", "query_time_windows", F.transform("evidence", lambda e: e["url"]).alias("urls"), q.alias("q"))
+    own = lambda x: F.coalesce(F.try_element_at("query_time_windows", x["id"]), F.col("time_window"))
+    hits = F.aggregate("q", F.lit(0), lambda a, x: a + ev.query_hits(x["retrieved_documents"], own(x), lambda d: F.array_contains("urls", d["url"])))
+    score = F.when(F.size("q") > 0, hits / F.lit(float(ev.K)) / F.size("q")).otherwise(F.lit(0.0))
+    return rows.select("id", "hop_count", score.alias("score"))
 
 
 _TP = (
