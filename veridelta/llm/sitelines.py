@@ -110,7 +110,7 @@ def repeated_lines(df: DataFrame, key: str = "ord", source: str = "source", text
     if unsure.limit(1).count():
         few = few.unionByName(lines.join(_small(unsure), "src", "left_semi"))
     n = few.groupBy("src", "line").agg(F.count(F.lit(1)).alias("n"))
-    return cut(n.join(F.broadcast(of.select("src", "rows", "least")), "src").where("n >= least").select("src", "line", "n", "rows"))
+    return cut(n.join(_small(of.select("src", "rows", "least")), "src").where("n >= least").select("src", "line", "n", "rows"))
 
 
 def _free(df: DataFrame, name: str) -> str:
