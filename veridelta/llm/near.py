@@ -32,7 +32,7 @@ from veridelta.session import cut
 #: Two values are near-same from this share of common distinct words.
 NEAR = 0.7
 #: The similarity that the number of tables is planned for, and the share of such pairs that may be missed at it.
-PLANNED_AT, MISSED = 0.85, 5e-4
+PLANNED_AT, MISSED = 0.8, 1e-3
 #: Fingerprints that one shard of a table should hold.
 SHARD_ROWS = 150_000
 
