@@ -10,6 +10,7 @@ from veridelta.functions import text as X
 from veridelta.functions.nums import same_set
 from veridelta.operators import evaluate as ev
 from veridelta.operators import rank as R
+from veridelta.operators import validate as V
 from veridelta.plans.evaluation import _PARSED
 from veridelta.plans.registry import query
 from veridelta.session import read
@@ -180,3 +181,49 @@ def grounded_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = D.iso_day(F.col("published_at"))
     df = read(spark, sf_dir, "raw").select("ord", "text", day.alias("d")).where("d is not null and text is not null")
     return df.select("ord", D.grounded(F.col("d"), F.col("text")).alias("grounded"))
+
+
+@query("""select coalesce(case when pre_audit is null then 'missing' when not coalesce(pre_audit.accepted, false) then 'accepted' when not coalesce(pre_audit.entity_accuracy, false) then 'entity_accuracy' when not coalesce(pre_audit.temporal_grounding, false) then 'temporal_grounding'
+ when not coalesce(pre_audit.verdict_consistent, false) then 'verdict_consistent' when not coalesce(pre_audit.evidence_support, false) then 'evidence_support' when not coalesce(pre_audit.confidence between 0.9 and 1, false) then 'confidence' end, 'ok') reason, count(*) n from raw_with_extraction group by 1""")
+def audit_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded audits by the first reason that they don't pass."""
+    df = read(spark, sf_dir, "raw_with_extraction").select(F.coalesce(V.audit_reason(F.col("pre_audit")), F.lit("ok")).alias("reason"))
+    return df.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+_LINES = r"""l as (select ord, u.i pos, regexp_replace(x[u.i], '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') line from (select ord, string_split_regex(text, '\r\n|[\n\x0b\x0c\r\x{85}\x{2028}\x{2029}]') x from raw_with_extraction where text is not null), unnest(generate_series(1, cast(len(x) as bigint))) u(i)),
+k as (select ord, pos, line, length(line) <= 40 and not regexp_matches(line, '[.。!?！？：:]$') and not regexp_matches(line, '^(?:[-•*›]|[0-9]+[).、])') h from l where line <> ''),
+s as (select *, cast(sum(cast(h as integer)) over (partition by ord order by pos rows unbounded preceding) as bigint) sec from k)"""
+
+
+@query("with " + _LINES + """ select ord, sec "section", case when sec > 0 then arg_min(line, pos) end heading, coalesce(string_agg(line, chr(10) order by pos) filter (where sec = 0 or not h), '') body from s group by ord, sec""")
+def article_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages cut at their short lines: the heading and the body of each section."""
+    return V.sections(read(spark, sf_dir, "raw_with_extraction"), "ord", "text")
+
+
+@query()
+def edit_subtlety(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the perturbed claims lie from their parents, by strategy."""
+    from veridelta.plans.mining import claim_edits
+
+    e = claim_edits(spark, sf_dir).join(read(spark, sf_dir, "gold").select("ord", "claim"), "ord")
+    s = e.select("strategy", V.subtlety(F.col("claim"), F.col("variant")).alias("s"))
+    return s.groupBy("strategy").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("s.years"), 6).alias("years"), F.round(F.avg("s.numbers"), 6).alias("numbers"))
+
+
+@query("""select coalesce(case when time_window.start is null or time_window."end" is null then 'missing' when try_cast(time_window.start as date) is null or try_cast(time_window."end" as date) is null then 'invalid' when time_window.start > time_window."end" then 'reversed'
+ when reference_date is not null and reference_date < time_window.start then 'after_reference' end, 'ok') reason, count(*) n from gold group by 1""")
+def window_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = read(spark, sf_dir, "gold").select(F.coalesce(V.window_reason(F.col("time_window.start"), F.col("time_window.end"), F.col("reference_date")), F.lit("ok")).alias("reason"))
+    return df.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""with e as (select z.label "label", e.relation relation, e.start d from (select reasoning_graph.nodes ns, unnest(reasoning_graph.edges) e from gold), lateral (select list_filter(ns, lambda q: q.id = e.tail)[1] z)), s as (select "label", relation, min(d) d, count(*) n from e where "label" is not null and d is not null group by 1, 2)
+select "label", relation, d as "date" from s where relation in ('founded', 'won') or n = 1""")
+def statement_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates of entities by relation: the least of those that hold once, the only one of the others."""
+    each = read(spark, sf_dir, "gold").select(F.col("reasoning_graph.nodes").alias("ns"), F.explode("reasoning_graph.edges").alias("e"))
+    label = F.get(F.filter("ns", lambda z: z["id"] == F.col("e.tail")), 0)["label"]
+    s = each.select(label.alias("label"), F.col("e.relation").alias("relation"), F.col("e.start").alias("date")).where("label is not null")
+    return V.statement_date(s, ["label"], "relation", ["founded", "won"])
