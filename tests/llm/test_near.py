@@ -60,6 +60,16 @@ def test_empty_and_clashing_columns(spark):
     assert [tuple(r) for r in near.near_pairs(df).collect()] == [("text", 1, 2)]
 
 
+def test_groups(spark):
+    a = "one two three four five six seven eight nine ten"
+    data = [(1, a, None), (2, a.upper(), "x"), (3, a.replace("ten", "eleven"), None), (4, "other words entirely here", "x"), (5, None, "")]
+    got = {(r.field, r.ord): r for r in near.near_groups(spark.createDataFrame(data, SCHEMA)).collect()}
+    t = lambda o: got[("text", o)]
+    assert t(1)["class"] == t(2)["class"] != t(3)["class"] and t(1).grp == t(2).grp == t(3).grp != t(4).grp
+    assert (t(1).links, t(3).links, t(4).links) == (1, 1, 0) and len(got) == 7 and got[("claim", 2)].grp == got[("claim", 4)].grp
+    assert near.near_groups(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
 def test_hot_class(spark):
     """A third of all rows are copies: a class of its own, linked once to its neighbour."""
     data = [(i, "one two three four five six seven eight nine ten", None) for i in range(60)] + [(100, "one two three four five six seven eight nine eleven", None)]

@@ -233,3 +233,18 @@ def near_pairs(df: DataFrame, key: str = "ord", fields: tuple[str, ...] = ("text
     same = side("a").join(side("b").withColumnsRenamed({"b1": "a1", "b2": "a2"}), ["field", "a1", "a2"]).where("oa < ob")
     other = links.join(side("a"), ["field", "a1", "a2"]).join(side("b"), ["field", "b1", "b2"])
     return same.select("field", "oa", "ob").unionByName(other.select("field", "oa", "ob")).select(F.element_at(F.array(*map(F.lit, fields)), F.col("field") + 1).alias("field"), F.least("oa", "ob").alias("ord_a"), F.greatest("oa", "ob").alias("ord_b"))
+
+
+def near_groups(df: DataFrame, key: str = "ord", fields: tuple[str, ...] = ("text", "claim"), near: float = NEAR) -> DataFrame:
+    """(field, ord, class, grp, links): one row a value. class names equal word sets, grp the least class of those connected by
+    links, links counts the classes that the value's class is linked to. Only linked classes go through the components."""
+    from veridelta.operators.graph import components
+
+    members, found = near_classes(df, key, fields, near)
+    name = lambda a, b: F.concat_ws(":", "field", F.hex(a), F.hex(b))
+    links = cut(found.select(name("a1", "a2").alias("src"), name("b1", "b2").alias("dst")))
+    n = links.select(F.explode(F.array("src", "dst")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("links"))
+    group = components(links).withColumnsRenamed({"node": "class", "component": "grp"})
+    out = members.select("field", "ord", name("c1", "c2").alias("class")).join(n.join(group, "class"), "class", "left")
+    of = F.element_at(F.array(*map(F.lit, fields)), F.col("field") + 1)
+    return out.select(of.alias("field"), "ord", "class", F.coalesce("grp", "class").alias("grp"), F.coalesce("links", F.lit(0)).alias("links"))

@@ -25,6 +25,12 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_pairs(read(spark, sf_dir, "raw_demo"))
 
 
+@query
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class, group and number of links of every raw_demo value."""
+    return near.near_groups(read(spark, sf_dir, "raw_demo"))
+
+
 def _labelled_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = read(spark, sf_dir, "raw").select(F.lit("raw").alias("tab"), "ord", F.col("text").alias("value"), "language")
     return raw.unionByName(read(spark, sf_dir, "raw_demo").select(F.lit("raw_demo").alias("tab"), "ord", F.col("claim").alias("value"), "language"))
@@ -61,6 +67,13 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.same_looking_pairs(read(spark, sf_dir, "raw_demo"))
 
 
+@query
+def p4_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one form of every raw_demo value."""
+    values = lookalike.long_fields(read(spark, sf_dir, "raw_demo"), "ord", ("text", "claim"))
+    return lookalike.canonicalize(values, "value").select("field", "ord", "canonical")
+
+
 @query
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of gold rows, one in train, with equal id or near-same claim."""
