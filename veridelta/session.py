@@ -41,3 +41,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path or glob has anything, on whatever file system it names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
+    return found is not None and len(found) > 0

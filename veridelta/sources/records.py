@@ -11,10 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p) is not None and len(p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p) or []) > 0
+from veridelta.session import path_exists
 
 
 def read_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -33,7 +30,7 @@ def strict_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
 
 def tolerant(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """An empty table where there is no file."""
-    return strict_lines(spark, path, schema) if _exists(spark, path) else spark.createDataFrame([], schema)
+    return strict_lines(spark, path, schema) if path_exists(spark, path) else spark.createDataFrame([], schema)
 
 
 def union_files(spark: SparkSession, paths: Sequence[str], schema: T.StructType) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridelta.session import ensure_checkpoint_dir
+from veridelta.session import ensure_checkpoint_dir, path_exists
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -54,4 +54,4 @@ def replay(spark: SparkSession, stream: DataFrame, mode: str = "append", each: C
 
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(write).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    return spark.read.schema(stream.schema).parquet(out) if path_exists(spark, out) else spark.createDataFrame([], stream.schema)
