@@ -44,9 +44,9 @@ def test_shares_and_caps(spark):
 @needs
 def test_chunks_change_nothing(spark, monkeypatch):
     df, targets = tables(spark)
-    one = M.schedule(spark, {"m": (5000, [("a", 0.0, 0.7), ("b", 0.7, 1.0)])}).collect()
+    one = M.schedule(spark, {"m": (5000, [("a", 0.0, 0.7), ("b", 0.7, 1.0)], 256)}).collect()
     monkeypatch.setattr(M, "CHUNK", 300)
-    two = M.schedule(spark, {"m": (5000, [("a", 0.0, 0.7), ("b", 0.7, 1.0)])}).collect()
+    two = M.schedule(spark, {"m": (5000, [("a", 0.0, 0.7), ("b", 0.7, 1.0)], 256)}).collect()
     assert sorted(map(tuple, one)) == sorted(map(tuple, two))
     k = sorted(r.k for r in two if r.source == "a")
     assert k == list(range(len(k))) and abs(len(k) - 3500) <= 3

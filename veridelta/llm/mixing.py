@@ -1,6 +1,6 @@
 """Problem 8: mixing sources to target weights.
 
-The mix is a row of slots of BLOCK tokens. Slot i takes the point frac((i + 1/2) / golden ratio); the cumulated weights map the
+The mix is a row of slots of at most BLOCK tokens, fewer in a mix of few tokens, so that it has SLOTS of them. Slot i takes the point frac((i + 1/2) / golden ratio); the cumulated weights map the
 point to a source, so every stretch of the mix has its shares nearly right. Slots are ranked within their source. A source's
 documents, shuffled anew for each repeat, form one stream that is cut into blocks of equal tokens; the k-th slot of a source
 takes its k-th block. The mix is as long as the scarcest source allows: no document is used more than max_repeats times.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from veridelta.llm.sizes import count_tokens
 from veridelta.session import cut
 
-BLOCK = 2048
+BLOCK, SLOTS, LEAST_BLOCK = 2048, 4000, 16
 GOLDEN = (math.sqrt(5) - 1) / 2
 #: Rows of a chunk in which ranks and sums are taken by one task.
 CHUNK = 65_536
@@ -44,8 +44,9 @@ def token_sizes(df: DataFrame, vocabulary: str, key: str, source: str, text: str
     return df.select(key, F.col(source).alias("source"), text).mapInArrow(run, f"`{key}` {kind}, source string, tokens long").where("tokens > 0")
 
 
-def plan(targets: list[tuple[str, str, float, int]], have: dict[str, int], block: int) -> dict[str, tuple[int, list[tuple[str, float, float]]]]:
-    """mix_id -> (slots, [(source, from, to)]): the weights of the sources that have tokens, cumulated over 0..1."""
+def plan(targets: list[tuple[str, str, float, int]], have: dict[str, int], most: int) -> dict[str, tuple[int, list[tuple[str, float, float]], int]]:
+    """mix_id -> (slots, [(source, from, to)], block): the weights of the sources that have tokens, cumulated over 0..1, and the
+    tokens of a slot."""
     out = {}
     for mix in sorted({t[0] for t in targets}):
         own = sorted((s, w, r) for m, s, w, r in targets if m == mix and have.get(s, 0) > 0 and w > 0 and r > 0)
@@ -58,18 +59,19 @@ def plan(targets: list[tuple[str, str, float, int]], have: dict[str, int], block
             to = 1.0 if k == len(own) - 1 else at + w / total
             cum.append((s, at, to))
             at = to
+        block = int(min(most, max(LEAST_BLOCK, size // SLOTS)))
         # the golden-ratio points give a source at most a few slots more than its share
         slots = int(size // block)
         while slots > 0 and any(math.ceil(slots * (b - a)) + 2 > have[s] * r // block for (s, a, b), (_, _, r) in zip(cum, own, strict=True)) and slots > 1:
             slots -= max(1, slots // 500)
-        out[mix] = (max(slots, 1), cum)
+        out[mix] = (max(slots, 1), cum, block)
     return out
 
 
-def schedule(spark: SparkSession, mixes: dict[str, tuple[int, list[tuple[str, float, float]]]]) -> DataFrame:
+def schedule(spark: SparkSession, mixes: dict[str, tuple[int, list[tuple[str, float, float]], int]]) -> DataFrame:
     """(mix_id, slot, source, k): the source of each slot and the slot's rank among those of the source, from 0."""
     parts = []
-    for mix, (slots, cum) in mixes.items():
+    for mix, (slots, cum, _) in mixes.items():
         u = F.pmod((F.col("id") + 0.5) * F.lit(GOLDEN), F.lit(1.0))
         source = F
         for s, _, to in cum:
@@ -101,15 +103,16 @@ def mix(df: DataFrame, targets: DataFrame, vocabulary: str, key: str = "doc_id",
         kind = df.schema[key].dataType.simpleString()
         return spark.createDataFrame([], f"mix_id string, slot long, place int, `{key}` {kind}, source string, use int, tokens long")
     slots = cut(schedule(spark, mixes))
-    need = slots.groupBy("mix_id", "source").agg(F.count(F.lit(1)).alias("blocks"))
+    size = F.create_map(*(F.lit(x) for m, (_, _, b) in mixes.items() for x in (m, b)))
+    need = slots.groupBy("mix_id", "source").agg(F.count(F.lit(1)).alias("blocks")).withColumn("block", F.element_at(size, F.col("mix_id")))
     have = spark.createDataFrame([(s, int(t), max(1, math.ceil(n / CHUNK))) for s, (t, n) in of.items()], "source string, total long, chunks int")
-    uses = need.join(F.broadcast(have), "source").withColumn("uses", F.ceil(F.col("blocks") * block / F.col("total")).cast("int"))
+    uses = need.join(F.broadcast(have), "source").withColumn("uses", F.ceil(F.col("blocks") * F.col("block") / F.col("total")).cast("int"))
     drawn = sized.join(F.broadcast(uses), "source").withColumn("use", F.explode(F.sequence(F.lit(0), F.col("uses") - 1)))
     drawn = drawn.withColumn("h", F.xxhash64(F.col(key).cast("string"), "use", "mix_id")).withColumn("chunk", F.pmod("h", "chunks"))
     totals = drawn.groupBy("mix_id", "source", "use", "chunk").agg(F.sum("tokens").alias("t"))
     before = totals.withColumn("base", F.sum("t").over(Window.partitionBy("mix_id", "source").orderBy("use", "chunk")) - F.col("t")).drop("t")
     own = F.sum("tokens").over(Window.partitionBy("mix_id", "source", "use", "chunk").orderBy("h", key)) - F.col("tokens")
-    placed = drawn.withColumn("own", own).join(before, ["mix_id", "source", "use", "chunk"]).withColumn("at", F.col("base") + F.col("own")).withColumn("k", F.floor(F.col("at") / block)).where("k < blocks")
+    placed = drawn.withColumn("own", own).join(before, ["mix_id", "source", "use", "chunk"]).withColumn("at", F.col("base") + F.col("own")).withColumn("k", F.floor(F.col("at") / F.col("block"))).where("k < blocks")
     got = placed.select("mix_id", "source", "k", "at", key, "use", "tokens").join(slots, ["mix_id", "source", "k"])
     place = F.row_number().over(Window.partitionBy("mix_id", "slot").orderBy("at", key))
     return got.select("mix_id", "slot", place.alias("place"), key, "source", "use", "tokens")
