@@ -88,3 +88,11 @@ def test_alignment_takes_first_rows(spark):
     pred = spark.createDataFrame([("a", 5, True), ("a", 4, None)], "id string, ord long, predicted_label boolean")
     r = E.align(gold, pred).select("label", "p_predicted_label", F.col("has_prediction")).collect()
     assert [tuple(x) for x in r] == [(False, None, True)]
+
+
+def test_hits_in_the_row(spark):
+    docs = [doc("a"), doc("a", url="https://example.invalid/z"), doc("b", url="HTTPS://example.invalid/a"), doc("c", "2024-05-31"), doc("d", None), doc("e")]
+    kind = "array<struct<id:string,url:string,text:string,timestamp:string>>"
+    df = spark.createDataFrame([([tuple(d.values()) for d in docs], WINDOW), ([], WINDOW), ([tuple(doc("x").values())], None)], f"d {kind}, w struct<start:string,end:string>")
+    hits = lambda k: [r[0] for r in df.select(E.query_hits(F.col("d"), F.col("w"), lambda d: d["id"] != "q", k)).collect()]
+    assert hits(5) == [1, 0, 0] and hits(6) == [2, 0, 0]
