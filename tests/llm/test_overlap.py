@@ -68,3 +68,17 @@ def test_report(spark):
     data = [(1, "a", "train", "s", "one two three four five six"), (2, "b", "dev", "t", "one two three four five six"), (3, "a", "test", "u", "other")]
     got = {(r.split, r.source): (r.pairs, r.records, r.by_id, r.by_claim) for r in O.report(spark.createDataFrame(data, SCHEMA)).collect()}
     assert got == {("dev", "t"): (1, 1, 0, 1), ("test", "u"): (1, 1, 1, 0)}
+
+
+def test_many_near_copies_of_one_claim(spark):
+    rng = random.Random(7)
+    base = [f"b{i}" for i in range(45)]
+    data = [(0, None, "train", "s", " ".join(base))]
+    for k in range(1, 101):
+        t = list(base)
+        for j, p in enumerate(rng.sample(range(45), 3)):
+            t[p] = f"new{k}x{j}"
+        data.append((k, None, "dev", "s", " ".join(t)))
+    got = O.overlaps(spark.createDataFrame(data, SCHEMA)).collect()
+    assert {(r.eval_ord, r.train_ord) for r in got} == brute(data) == {(k, 0) for k in range(1, 101)}
+    assert all(r.coverage >= 0.7 for r in got)

@@ -1,11 +1,12 @@
 """Problem 5: evaluation records that also stand in training data.
 
 Evaluation claims are normalised and cut into passages: windows of WINDOW words (HAN_WINDOW characters in Chinese text). A
-record keeps its rarest passages, so that phrases of a template don't tie all records together: a training text that shares
-more than 1 - KEEP of a record's passages holds a kept one, unless what they share are phrases of more than COMMON records. Aho-Corasick automata over shards of the passages scan all
-training texts: the texts are cut into blocks, and each block meets each shard in one task of bounded size. The matched
-intervals are merged into the share of each evaluation record that a training text covers, and pairs with enough coverage are
-verified on all their words. Equal claims are one class from the start; pairs of rows come back by joins.
+record keeps its rarest passages, however many records hold them, so that phrases of a template don't tie all records together
+and a training text that shares more than 1 - KEEP of a record's passages holds a kept one. Aho-Corasick automata over shards of
+the passages scan all training texts: the texts are cut into blocks, and each block meets each shard in one task of bounded size.
+Pairs whose sketches rule out enough common words are dropped, which loses none; the others are verified on all their words. Of
+those, the intervals of all passages of the record that stand in the training text are merged into the share of it that is
+covered. Equal claims are one class from the start; pairs of rows come back by joins.
 
 Defined results: null claims and claims without a word match nothing by claim; null ids match nothing by id; a null split is
 not train; an empty table gives no pair; repeated rows each give their pairs.
@@ -18,19 +19,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veridelta.llm.tokens import is_han, plain, words
 from veridelta.session import cut
 
 WINDOW, HAN_WINDOW = 3, 5
-#: Share of its passages that a record keeps, the rarest first; the fewest it keeps; beyond these, none that stands in more
-#: than COMMON evaluation records, which is a phrase of a template.
-KEEP, KEEP_LEAST, COMMON = 0.6, 8, 64
-#: Least share of a record's words that the matched passages must cover.
-COVERED = 0.1
+#: Share of its passages that a record keeps, the rarest first; the fewest it keeps.
+KEEP, KEEP_LEAST = 0.6, 8
 NEAR = 0.7
+#: A claim's words as bits of so many longs: a bit that only one of two claims has is a word that the other lacks.
+SKETCH = ("s0", "s1", "s2", "s3")
 #: Passages of an automaton and training texts of a block.
 SHARD_PASSAGES, BLOCK_TEXTS = 100_000, 50_000
 
@@ -48,26 +48,31 @@ def _window(u: list[str]) -> int:
 
 
 def _members(df: DataFrame, key: str, claim: str, split: str, train: str) -> DataFrame:
-    """(ord, train, c1, c2, norm) of each claim with a word."""
+    """(ord, train, c1, c2, norm, size, SKETCH...) of each claim with a word; size is the number of its distinct words."""
     rows = df.where(F.col(claim).isNotNull()).select(F.col(key).alias("ord"), F.coalesce(F.col(split) == train, F.lit(False)).alias("train"), F.col(claim).alias("claim"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             norm = [" ".join(units(v)) for v in b.column("claim").to_pylist()]
             c = np.frombuffer(b"".join(xxhash.xxh3_128_digest(n.encode("utf-8", "surrogatepass")) for n in norm), np.int64).reshape(-1, 2)
-            out = pa.RecordBatch.from_arrays([b.column("ord"), b.column("train"), pa.array(c[:, 0]), pa.array(c[:, 1]), pa.array(norm, pa.string())], names=["ord", "train", "c1", "c2", "norm"])
+            bags = [_bag(n) for n in norm]
+            bits = np.zeros((len(norm), 64 * len(SKETCH)), np.uint8)
+            for i, bag in enumerate(bags):
+                bits[i, [xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) % bits.shape[1] for w in bag]] = 1
+            sketch = np.packbits(bits, axis=1).view(np.int64)
+            out = pa.RecordBatch.from_arrays([b.column("ord"), b.column("train"), pa.array(c[:, 0]), pa.array(c[:, 1]), pa.array(norm, pa.string()), pa.array(map(len, bags), pa.int32()), *(pa.array(sketch[:, k]) for k in range(len(SKETCH)))], names=["ord", "train", "c1", "c2", "norm", "size", *SKETCH])
             yield out.filter(pa.array([bool(n) for n in norm], pa.bool_()))
 
-    return rows.mapInArrow(run, "ord long, train boolean, c1 long, c2 long, norm string")
+    return rows.mapInArrow(run, "ord long, train boolean, c1 long, c2 long, norm string, size int, " + ", ".join(f"{x} long" for x in SKETCH))
 
 
 def _passages(classes: DataFrame) -> DataFrame:
-    """(e1, e2, n, h, pos, width): every window of every evaluation class by its hash; n is the number of the class's words. The
-    text of a passage isn't shuffled: it is cut from a record again once the kept ones are known."""
+    """(e1, e2, h, pos, width): every window of every evaluation class by its hash. The text of a passage isn't
+    shuffled: it is cut from a record again once the kept ones are known."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row, h, pos, width, n = [], [], [], [], []
+            row, h, pos, width = [], [], [], []
             for i, norm in enumerate(b.column("norm").to_pylist()):
                 u = norm.split(" ")
                 w = min(_window(u), len(u))
@@ -76,25 +81,31 @@ def _passages(classes: DataFrame) -> DataFrame:
                 h += [xxhash.xxh3_64_intdigest(" ".join(u[j : j + w]).encode("utf-8", "surrogatepass")) for j in range(k)]
                 pos += range(k)
                 width += [w] * k
-                n += [len(u)] * k
             at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("c1").take(at), b.column("c2").take(at), pa.array(n, pa.int32()), pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(pos, pa.int32()), pa.array(width, pa.int32())], names=["e1", "e2", "n", "h", "pos", "width"])
+            yield pa.RecordBatch.from_arrays([b.column("c1").take(at), b.column("c2").take(at), pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(pos, pa.int32()), pa.array(width, pa.int32())], names=["e1", "e2", "h", "pos", "width"])
 
-    return classes.mapInArrow(run, "e1 long, e2 long, n int, h long, pos int, width int")
+    return classes.mapInArrow(run, "e1 long, e2 long, h long, pos int, width int")
 
 
 def _kept(passages: DataFrame) -> DataFrame:
     df = passages.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
     own = Window.partitionBy("e1", "e2")
     rank = F.row_number().over(own.orderBy("df", "h", "pos"))
-    some = F.ceil(F.count(F.lit(1)).over(own) * KEEP)
-    kept = (F.col("rank") <= KEEP_LEAST) | ((F.col("rank") <= F.col("some")) & (F.col("df") <= COMMON))
-    return passages.join(df, "h").withColumn("rank", rank).withColumn("some", some).where(kept).drop("rank", "some", "df")
+    some = F.greatest(F.ceil(F.count(F.lit(1)).over(own) * KEEP), F.lit(KEEP_LEAST))
+    return passages.join(df, "h").withColumn("rank", rank).withColumn("some", some).where("rank <= some").drop("rank", "some", "df")
+
+
+def _possible(near: float) -> Column:
+    """Whether the words of a pair can be near-same by their sizes and sketches."""
+    only = lambda a, b: sum(F.bit_count(F.col(a + x).bitwiseAND(F.bitwise_not(F.col(b + x)))) for x in SKETCH)
+    common = F.least(F.col("e_size") - only("e_", "t_"), F.col("t_size") - only("t_", "e_"))
+    return common >= (F.col("e_size") + F.col("t_size") - common) * (near - 1e-9)
 
 
 def _scan(passages: DataFrame, texts: DataFrame, n_passages: int, n_texts: int) -> DataFrame:
-    """(h, t1, t2): which passages stand in which training texts. The numbers, or bounds of them, size shards and blocks."""
+    """(h, t1, t2, t_size, t_SKETCH...): which passages stand in which training texts. The numbers, or bounds of them, size shards and blocks."""
     shards, blocks = max(1, -(-n_passages // SHARD_PASSAGES)), max(1, -(-n_texts // BLOCK_TEXTS))
+    of_text = ["t1", "t2", "t_size", *(f"t_{x}" for x in SKETCH)]
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(int(n) - 1)))
     a = passages.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int")).withColumn("block", each(blocks))
     b = texts.withColumn("block", F.pmod("t1", F.lit(blocks)).cast("int")).withColumn("shard", each(shards))
@@ -114,38 +125,46 @@ def _scan(passages: DataFrame, texts: DataFrame, n_passages: int, n_texts: int)
                 row += [i] * len(got)
                 hit += got
         at = pa.array(row, pa.int64())
-        return pa.table([pa.array(h[np.array(hit, np.int64)]), right.column("t1").take(at), right.column("t2").take(at)], names=["h", "t1", "t2"])
+        return pa.table([pa.array(h[np.array(hit, np.int64)]), *(right.column(c).take(at) for c in of_text)], names=["h", *of_text])
 
-    return a.groupBy("shard", "block").cogroup(b.groupBy("shard", "block")).applyInArrow(run, "h long, t1 long, t2 long")
+    return a.groupBy("shard", "block").cogroup(b.groupBy("shard", "block")).applyInArrow(run, "h long, t1 long, t2 long, t_size int, " + ", ".join(f"{c} long" for c in of_text[3:]))
 
 
 def covered_classes(df: DataFrame, key: str = "ord", claim: str = "claim", split: str = "split", train: str = "train", near: float = NEAR) -> tuple[DataFrame, DataFrame]:
     """(members, links). links: e1, e2, t1, t2, coverage, similarity of the verified pairs of classes."""
     members = cut(_members(df, key, claim, split, train))
-    classes = lambda of, a, b: members.where(of).groupBy(F.col("c1").alias(a), F.col("c2").alias(b)).agg(F.first("norm").alias("norm"))
-    held, texts = classes(~F.col("train"), "c1", "c2"), classes(F.col("train"), "t1", "t2")
-    post = cut(_kept(_passages(held)))
+    firsts = lambda side: [F.first("norm").alias("norm"), *(F.first(x).alias(side + x) for x in ("size", *SKETCH))]
+    classes = lambda of, side: members.where(of).groupBy(F.col("c1").alias(f"{side}1"), F.col("c2").alias(f"{side}2")).agg(*firsts(f"{side}_"))
+    held, texts = classes(~F.col("train"), "e"), classes(F.col("train"), "t")
+    post = cut(_kept(_passages(held.select(F.col("e1").alias("c1"), F.col("e2").alias("c2"), "norm"))).join(held.drop("norm"), ["e1", "e2"]))
     one = post.groupBy("h").agg(*(F.first(c).alias(c) for c in ("e1", "e2", "pos", "width")))
     cut_out = F.array_join(F.slice(F.split("norm", " "), F.col("pos") + 1, F.col("width")), " ")
-    passages = one.join(held.withColumnsRenamed({"c1": "e1", "c2": "e2"}), ["e1", "e2"]).select("h", cut_out.alias("passage"))
+    passages = one.join(held.select("e1", "e2", "norm"), ["e1", "e2"]).select("h", cut_out.alias("passage"))
     hits = _scan(passages, texts, post.count(), members.where("train").count())
-    found = hits.join(post.select("h", "e1", "e2", "n", "pos", "width"), "h")
-    merged = F.size(F.array_distinct(F.flatten(F.transform(F.collect_set(F.struct("pos", "width")), lambda x: F.sequence(x["pos"], x["pos"] + x["width"] - 1))))) / F.first("n")
-    cover = found.groupBy("e1", "e2", "t1", "t2").agg(merged.alias("coverage")).where(F.col("coverage") >= COVERED)
-    both = cover.join(held.withColumnsRenamed({"c1": "e1", "c2": "e2", "norm": "ne"}), ["e1", "e2"]).join(texts.withColumnRenamed("norm", "nt"), ["t1", "t2"])
+    pairs = hits.join(post.drop("pos", "width"), "h").where(_possible(near)).select("e1", "e2", "t1", "t2").distinct()
+    both = pairs.join(held.select("e1", "e2", F.col("norm").alias("ne")), ["e1", "e2"]).join(texts.select("t1", "t2", F.col("norm").alias("nt")), ["t1", "t2"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sim = []
+            sim, covered = [], []
             for x, y in zip(b.column("ne").to_pylist(), b.column("nt").to_pylist(), strict=True):
                 p, q = _bag(x), _bag(y)
                 sim.append(len(p & q) / len(p | q))
-            out = pa.RecordBatch.from_arrays([*(b.column(n) for n in ("e1", "e2", "t1", "t2", "coverage")), pa.array(sim, pa.float64())], names=["e1", "e2", "t1", "t2", "coverage", "similarity"])
+                covered.append(_coverage(x, y) if sim[-1] >= near else 0.0)
+            out = pa.RecordBatch.from_arrays([*(b.column(n) for n in ("e1", "e2", "t1", "t2")), pa.array(covered, pa.float64()), pa.array(sim, pa.float64())], names=["e1", "e2", "t1", "t2", "coverage", "similarity"])
             yield out.filter(pa.array([s >= near for s in sim], pa.bool_()))
 
     return members, both.mapInArrow(verify, "e1 long, e2 long, t1 long, t2 long, coverage double, similarity double")
 
 
+def _coverage(norm: str, text: str) -> float:
+    """The share of a record's words that lie in passages of it, kept or not, that stand in the text."""
+    u, t = norm.split(" "), text.split(" ")
+    w = min(_window(u), len(u))
+    there = {tuple(t[j : j + w]) for j in range(len(t) - w + 1)}
+    return len({k for j in range(len(u) - w + 1) if tuple(u[j : j + w]) in there for k in range(j, j + w)}) / len(u)
+
+
 def _bag(norm: str) -> set[str]:
     """The words of near-same comparison from a normalised claim: of neighbouring Han characters, their pairs."""
     out, run = set(), []
