@@ -176,6 +176,14 @@ def test_mentions_longest_first(spark, rows):
     assert set(rows(C.mentions(t, n, "k", "t"))) == {(1, "Port Vale", 6, 2), (1, "Port Vale City", 2, 3)}
 
 
+def test_mentions_of_any_case_script_and_length(spark, rows):
+    t = spark.createDataFrame([(1, "Then la Fondation Vramskind met the Old Mill Road Rowing Club of 1887."), (2, "昨天北京图书馆开放，北京下雨。"), (3, "la Fondation")], "k int, t string")
+    n = spark.createDataFrame([("la Fondation Vramskind",), ("the Old Mill Road Rowing Club",), ("Rowing Club of 1887",), ("北京图书馆",), ("北京",), ("x y",)], "name string")
+    assert set(rows(C.mentions(t, n, "k", "t"))) == {(1, "la Fondation Vramskind", 1, 3), (1, "the Old Mill Road Rowing Club", 5, 6), (2, "北京图书馆", 2, 5), (2, "北京", 9, 2)}
+    assert rows(C.mentions(t, n.limit(0), "k", "t")) == []
+    assert rows(C.mentions(t, n, "k", "t", small=0)) == rows(C.mentions(t, n, "k", "t"))
+
+
 def test_relation_rules(spark):
     r = spark.createDataFrame([("Ada resigned from the Old Club on Monday",), ("It rained",), ("x resigned from Ab",)], "s string").select(C.relation(F.col("s"))).collect()
     assert [x[0] and tuple(x[0]) for x in r] == [("resigned_from", "Old Club"), None, None]

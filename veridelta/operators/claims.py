@@ -74,16 +74,25 @@ def sentences(text: Column) -> Column:
     return F.filter(F.split(text, r"(?<=[a-z)»”\"][.!?])\s+|(?<=\d{3}[.!?])\s+|(?<=[。！？])|\n+"), lambda x: F.trim(x) != "")
 
 
-def mentions(texts: DataFrame, names: DataFrame, key: str, text: str, most: int = 4, small: int = 100_000) -> DataFrame:
+def _name_tokens(text: Column) -> Column:
+    """Words, numbers and what hyphens and apostrophes join; each Han character is one, as nothing parts Han words."""
+    return F.regexp_extract_all(text, F.lit(r"(?U)\p{IsHan}|[\w'’\-&&[^\p{IsHan}]]+"), F.lit(0))
+
+
+def mentions(texts: DataFrame, names: DataFrame, key: str, text: str, small: int = 100_000) -> DataFrame:
     """(key, name, start, tokens): names that stand in the texts as token runs, longest first from the left, none over another.
-    ``names``: name. The runs of a text are exploded and joined, so the texts are scanned once for all names; the dictionary is
-    broadcast when counted small."""
-    tokens = F.regexp_extract_all(F.col(text), F.lit(r"(?U)[\w'’-]+"), F.lit(0))
-    runs = texts.select(key, F.posexplode(tokens).alias("start", "_t"), tokens.alias("_ts"))
-    grams = runs.where(F.col("_t").rlike(r"(?U)^\p{Lu}")).select(key, "start", F.explode(F.sequence(F.lit(1), F.lit(most))).alias("tokens"), "_ts").where("start + tokens <= size(_ts)")
-    grams = grams.select(key, "start", "tokens", F.array_join(F.slice("_ts", F.col("start") + 1, F.col("tokens")), " ").alias("name"))
-    d = names.select("name").distinct()
-    hit = grams.join(F.broadcast(d) if d.limit(small + 1).count() <= small else d, "name")
+    ``names``: name. The texts are scanned once for all names: a run is joined only where a name begins with its first token, at
+    the lengths of such names. The dictionary is broadcast when counted small."""
+    d = names.select("name").distinct().withColumn("_n", _name_tokens(F.col("name"))).where("size(_n) > 0")
+    d = d.select("name", F.array_join("_n", " ").alias("_run"), F.col("_n")[0].alias("_t"), F.size("_n").alias("tokens"))
+    count, most = d.agg(F.count(F.lit(1)), F.coalesce(F.max("tokens"), F.lit(1))).first()
+    near = F.broadcast if count <= small else lambda x: x
+    words = texts.select(key, _name_tokens(F.col(text)).alias("_ts"))
+    runs = words.select(key, F.posexplode("_ts").alias("start", "_t"), "_ts").withColumn("_ts", F.slice("_ts", F.col("start") + 1, most))
+    begins = d.groupBy("_t").agg(F.collect_set("tokens").alias("_lengths"))
+    grams = runs.join(near(begins), "_t").select(key, "start", "_ts", F.explode("_lengths").alias("tokens")).where("tokens <= size(_ts)")
+    grams = grams.select(key, "start", "tokens", F.array_join(F.slice("_ts", F.lit(1), F.col("tokens")), " ").alias("_run"))
+    hit = grams.join(near(d.select("name", "_run")), "_run")
     ordered = F.array_sort(F.collect_list(F.struct("start", (-F.col("tokens")).alias("neg"), "name")))
     state = "struct<last:int,out:array<struct<start:int,tokens:int,name:string>>>"
     walk = F.aggregate(

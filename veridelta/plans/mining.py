@@ -37,7 +37,7 @@ def refuting_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def entity_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entity labels that stand in the short articles as capitalised token runs, longest first, by label."""
+    """Entity labels that stand in the short articles as token runs, longest first, by label."""
     df = read(spark, sf_dir, "raw_demo")
     names = df.select(F.explode("pre_extracted.entities").alias("z")).select(F.col("z.label").alias("name"))
     m = C.mentions(df.where("text is not null").select("ord", "text"), names, "ord", "text")
