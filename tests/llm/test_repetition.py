@@ -71,6 +71,16 @@ def test_list_in_spark_is_the_list_in_numpy(spark):
     assert got[999].rule == 0 and got[999].repeated == 0
 
 
+def test_one_repetitive_document_among_thousands(spark):
+    rng = random.Random(2)
+    data = [(i, " ".join(f"w{rng.choice('abcdefgh')}{rng.choice('ijklmnop')}{rng.choice('qrstuv')}" for _ in range(15))) for i in range(6000)]
+    data[4321] = (4321, " ".join("the old mill burned down and nobody knew why it did so".split() * 3))
+    got = R.classify(spark.createDataFrame(data, "doc_id long, text string"))
+    assert [r.doc_id for r in got.where((F.col("rule") > 0) & (F.col("repeated") >= R.SHARE)).collect()] == [4321]
+    alone = R.classify(spark.createDataFrame(data[4321:4322], "doc_id long, text string"))
+    assert alone.where("rule > 0").count() == 1
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert R.classify(df).count() == 0

@@ -7,7 +7,8 @@ text) that occurred earlier, without regard to case, spacing, punctuation and di
 A decision list is learned on the statistics of a bounded sample with exact labels: sequential covering grows a conjunction of
 thresholds on two thirds of the sample, prunes it on the rest, takes the rows it covers away and goes on. The list becomes an
 ordered CASE expression. Thresholds lie next to the nearest row of the other class, so that the list errs towards finding;
-an exact check of the share may follow.
+an exact check of the share may follow. A list learned on a sample can't know of what the sample doesn't hold, be it all
+repetition where this is rare, so its last rule is always the definition itself: the share reaches SHARE.
 
 Defined results: null and empty texts and texts without letters have share 0 and are never flagged; texts shorter than a
 passage have share 0; very long texts are measured whole; repeated rows are measured alike.
@@ -187,6 +188,10 @@ def statistics(df: DataFrame, key: str = "doc_id", text: str = "text", label: bo
 Rule = list[tuple[int, str, float]]
 
 
+#: What is looked for, as a rule: it takes what the learned ones leave.
+EXACT: Rule = [(STATISTICS.index("repeated"), ">=", SHARE)]
+
+
 def _holds(rule: Rule, x: np.ndarray) -> np.ndarray:
     ok = np.ones(len(x), bool)
     for j, op, v in rule:
@@ -243,12 +248,13 @@ def learn(x: np.ndarray, y: np.ndarray, least: int = 3, rules: int = 12) -> list
 
 
 def fit(df: DataFrame, key: str = "doc_id", text: str = "text", rows: int = FIT_ROWS) -> list[Rule]:
-    """Learn on about ``rows`` rows, those with the least hash of the key; only their statistics and labels reach the driver."""
+    """Learn on about ``rows`` rows, those with the least hash of the key; only their statistics and labels reach the driver. The
+    last rule is that of the exact share."""
     n = df.count()
     part = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(9)), F.lit(2**31)) < int(2**31 * min(1.0, rows / max(1, n)))
     sample = df.where(part & F.col(text).isNotNull()).select(key, text)
     got = np.array([tuple(r)[1:] for r in statistics(sample, key, text, label=True).orderBy(key).collect()], float).reshape(-1, len(STATISTICS) + 1)
-    return learn(got[:, :-1], got[:, -1] > 0) if len(got) else []
+    return [*(learn(got[:, :-1], got[:, -1] > 0) if len(got) else []), EXACT]
 
 
 def expression(rules: list[Rule]) -> Column:
