@@ -110,8 +110,9 @@ def depth_layers(edges: DataFrame, roots: DataFrame, most: int, head: str = "hea
 
 
 def simple_paths(edges: DataFrame, seeds: DataFrame, hops: int, width: int | None = None, seed: int = 42) -> DataFrame:
-    """(nodes, edges): simple paths of ``hops`` edges from the seeds, walked either way, no node twice. ``width`` is that of a
-    sampler: each node offers so many of its edges, the first by a hash of seed and edge, so a hub is cut before the joins."""
+    """(nodes, edges): simple paths of ``hops`` edges from the seeds, walked either way, no node twice. ``width`` cuts a
+    hub before the joins: each node offers so many of its edges, the first by a hash of seed and edge, the same ones to every
+    path through it. That is no weighted sample of paths."""
     adj = adjacency(edges, keep=["id", "relation", "start", "end"])
     if width is not None:
         adj = top_per_group(adj.withColumn("_h", F.sha2(F.concat_ws(":", F.lit(str(seed)), "id"), 256)), ["node"], ["_h", "id"], width).drop("_h")
