@@ -170,6 +170,15 @@ def test_span_edits_are_seeded_and_distinct(spark):
     assert any("after Bob" in r.variant for r in got) and any(r.edits == 2 for r in got)
 
 
+def test_span_edits_in_threes_fill_up_to_the_cap(spark):
+    df = spark.createDataFrame([(1, "It began on 2020-03-04.")], "k int, c string")
+    got = C.span_edits(df, "k", "c").collect()
+    assert [r.edits for r in got] == [1, 1, 1, 2, 2, 2, 3] and len({r.variant for r in got}) == 7
+    assert [r.edits for r in C.span_edits(df, "k", "c", most=5).collect()] == [1, 1, 1, 2, 2]
+    two = dict(C.plans({"a": [(0, 1, "x"), (4, 5, "y")], "b": [(2, 3, "z"), (6, 7, "w")]}))
+    assert two["a+b"] == [(0, 1, "x"), (6, 7, "w")] and two["b+a"] == [(2, 3, "z"), (4, 5, "y")]
+
+
 def test_mentions_longest_first(spark, rows):
     t = spark.createDataFrame([(1, "We saw Port Vale City and Port Vale, not port vale.")], "k int, t string")
     n = spark.createDataFrame([("Port Vale",), ("Port Vale City",), ("Vale",)], "name string")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 import re
+from collections.abc import Iterator
+from itertools import islice, permutations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -169,9 +171,31 @@ def edit(text: str, chosen: list[tuple[int, int, str]]) -> str:
     return text
 
 
+def _apart(choices: list[list[tuple[int, int, str]]], chosen: tuple[tuple[int, int, str], ...] = ()) -> tuple[tuple[int, int, str], ...] | None:
+    """The first pick of a place from each list, none over another; null for none."""
+    if not choices:
+        return chosen
+    free = (x for x in choices[0] if all(x[1] <= y[0] or y[1] <= x[0] for y in chosen))
+    return next((got for x in free if (got := _apart(choices[1:], (*chosen, x)))), None)
+
+
+def plans(found: dict[str, list[tuple[int, int, str]]]) -> Iterator[tuple[str, list[tuple[int, int, str]]]]:
+    """(strategies, edits): all single edits, then one of each ordered pair and each ordered triple of strategies whose places
+    are apart; the first strategy takes its foremost place that fits, the others their last."""
+    for s, spots in found.items():
+        for x in spots:
+            yield s, [x]
+    some = [s for s in found if found[s]]
+    for k in (2, 3):
+        for combo in permutations(some, k):
+            got = _apart([found[combo[0]], *(found[s][::-1] for s in combo[1:])])
+            if got:
+                yield "+".join(combo), list(got)
+
+
 @udtf(returnType="strategy string, variant string, edits int")
 class SpanEdits:
-    """All single edits of a claim and one of each ordered pair of strategies whose places are apart; seeded by key."""
+    """The plans of a claim that give new texts, up to ``most``; seeded by key."""
 
     def eval(self, key: str, text: str, pool: list[str], seed: int, most: int):
         if text is None:
@@ -180,19 +204,8 @@ class SpanEdits:
         found = {}
         for s in STRATEGIES:
             found[s] = spans(text, s, random.Random(f"{seed}:{s}:{key}"), list(pool or []))
-        plans = [(s, [x]) for s in STRATEGIES for x in found[s]]
-        for i, s in enumerate(STRATEGIES):
-            for t in STRATEGIES[i + 1 :]:
-                pair = next(((x, y) for x in found[s] for y in found[t] if x[1] <= y[0] or y[1] <= x[0]), None)
-                if pair:
-                    plans.append((f"{s}+{t}", list(pair)))
-        n = 0
-        for name, chosen in plans:
-            v = edit(text, chosen)
-            if v not in seen and n < most:
-                seen.add(v)
-                n += 1
-                yield name, v, len(chosen)
+        made = ((name, edit(text, chosen), len(chosen)) for name, chosen in plans(found))
+        yield from islice((x for x in made if x[1] not in seen and not seen.add(x[1])), most)
 
 
 def span_edits(claims: DataFrame, key: str, text: str, pool: Column | None = None, seed: int = 42, most: int = 10) -> DataFrame:

@@ -14,7 +14,7 @@ from veridelta.sources import pages
 
 @query()
 def claim_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Perturbed variants of every gold claim: numbers, years, words and names, singly and in pairs."""
+    """Perturbed variants of every gold claim: numbers, years, words and names, singly, in pairs and in threes."""
     df = read(spark, sf_dir, "gold").where("claim is not null").select("ord", "claim", F.transform("reasoning_graph.nodes", lambda z: z["label"]).alias("pool"))
     return C.span_edits(df, "ord", "claim", F.col("pool"))
 
