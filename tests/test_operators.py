@@ -198,6 +198,14 @@ def test_relation_rules(spark):
     assert [x[0] and tuple(x[0]) for x in r] == [("resigned_from", "Old Club"), None, None]
 
 
+def test_relations_whatever_the_label(spark, rows, tmp_path):
+    from veridelta.plans.mining import relation_mentions
+
+    labels = ["en", "eng", "en_GB", "English", None, "fr"]
+    spark.createDataFrame([(i, x, f"Ada{i} resigned from the Old Club on Monday. Rien.") for i, x in enumerate(labels)], "ord long, language string, text string").write.parquet(f"{tmp_path}/raw.parquet")
+    assert rows(relation_mentions(spark, str(tmp_path))) == [("resigned_from", 6, 6, 1)]
+
+
 def test_apply_responses(spark, rows):
     df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k int, v string")
     resp = spark.createDataFrame([(1, 1, "x"), (1, 2, "y"), (2, 1, " ")], "k int, o int, v string")

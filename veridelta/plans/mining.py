@@ -21,8 +21,9 @@ def claim_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def relation_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Relations found by rule in the sentences of the English articles, with counts."""
-    s = read(spark, sf_dir, "raw").where("language = 'en' and text is not null").select("ord", F.explode(C.sentences(F.col("text"))).alias("s"))
+    """Relations found by rule in the sentences of the articles, with counts. The rules are English phrases, so the text itself
+    says whether it is English; labels are missing, misspelt or wrong too often."""
+    s = read(spark, sf_dir, "raw").where("text is not null").select("ord", F.explode(C.sentences(F.col("text"))).alias("s"))
     got = s.select("ord", C.relation(F.col("s")).alias("r")).where("r is not null")
     return got.groupBy("r.relation").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("ord").alias("articles"), F.count_distinct("r.object").alias("objects"))
 
