@@ -138,6 +138,18 @@ def test_split_has_no_leak(spark):
     assert {k: n.get(k, 0) for k in (2, 3)} == report["test"] == {2: 5, 3: 4} and report["status"] == "exact_quotas_met"
 
 
+def test_split_says_when_its_search_was_cut(spark, monkeypatch):
+    data = [(i, 2 + i % 2, [f"t{i // 3}"]) for i in range(12)]
+    df = spark.createDataFrame(data, "ord long, hop int, tokens array<string>")
+    status = lambda quota: S.disjoint_split(df, "ord", "tokens", "hop", quota)[1]["status"]
+    assert status({2: 1, 3: 1}) == "quota_shortfall"
+    monkeypatch.setattr(S, "MOST_VECTORS", 1)
+    assert status({2: 1, 3: 1}) == "quota_shortfall_search_cut"
+    monkeypatch.setattr(S, "MOST_VECTORS", 5000)
+    monkeypatch.setattr(S, "MOST_STATES", 1)
+    assert status({2: 4, 3: 4}) == "quota_shortfall_search_cut"
+
+
 def test_choose_equals_brute_force():
     kinds, quota = [((1, 0), 2), ((2, 1), 2), ((0, 3), 1), ((9, 0), 1)], (4, 4)
     took, got = S.choose(kinds, quota)
