@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veridelta.operators.rank import top_per_group
-from veridelta.session import cut
+from veridelta.session import cut, drop
 
 #: Rounds after which label propagation gives up; the labels of a path of n nodes settle in about log2(n) rounds.
 MOST_ROUNDS = 60
@@ -84,7 +84,8 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         star = large.join(low, "v")
         small = star.select(F.col("m").alias("u"), "v").unionByName(star.select(F.col("m").alias("u"), F.col("u").alias("v"))).where("u <> v")
-        e = cut(small.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+        last, e = e, cut(small.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+        drop(last)
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break

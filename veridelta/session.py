@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Settings that the results rely on; everything about sizes is left to the cluster and to AQE.
 SEMANTICS = {
@@ -24,21 +25,45 @@ def build(app: str = "veridelta", master: str | None = None, **extra: str) -> Sp
     return b.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster names its shared folder in spark.checkpoint.dir; only where that is unset (tests) a local one is made."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors reach: that of spark.checkpoint.dir. Only a local master, as in tests, may do without; elsewhere
+    a folder of the driver's machine would lose what other machines write."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
+        return sc._jsc.sc().getCheckpointDir().get()
     shared = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="veridelta-ckpt-"))
+    if not shared:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="veridelta-ckpt-")
+    sc.setCheckpointDir(shared)
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder and cut its lineage there, so a lost executor costs no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def drop(df: DataFrame) -> None:
+    """Delete the files of a ``cut`` table that nothing reads any more, such as the last round of a loop."""
+    spark = df.sparkSession
+    plan = df._jdf.queryExecution().logical()
+    at = plan.rdd().getCheckpointFile() if plan.getClass().getSimpleName() == "LogicalRDD" else None
+    if at is not None and at.isDefined():
+        path = spark._jvm.org.apache.hadoop.fs.Path(at.get())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small(df: DataFrame, rows: int = 200_000, row_bytes: int = 256) -> DataFrame:
+    """``df`` with a broadcast hint if it is counted to have at most ``rows`` rows and its widest row at most ``row_bytes`` bytes as text; else
+    as it is, for the planner to shuffle."""
+    width = F.coalesce(F.max(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))
+    n, w = df.limit(rows + 1).agg(F.count(F.lit(1)), width).first()
+    return F.broadcast(df) if n <= rows and w <= row_bytes else df
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

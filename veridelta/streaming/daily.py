@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridelta.session import ensure_checkpoint_dir, path_exists
+from veridelta.session import path_exists, shared_dir
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -43,8 +43,7 @@ def sessions(events: DataFrame, gap: str = "6 hours", late: str = "2 days") -> D
 
 def replay(spark: SparkSession, stream: DataFrame, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
     """Run to the end of what is there; the sink's rows. ``complete`` keeps the last batch only."""
-    ensure_checkpoint_dir(spark)
-    base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     out = f"{base}/out"
 
     def write(df: DataFrame, batch: int) -> None:
