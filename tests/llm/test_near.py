@@ -99,6 +99,44 @@ def test_collisions_are_complete_and_once(shard_bits):
     assert sorted(got) == sorted(want)
 
 
+def test_blocks_of_a_hot_shard_change_nothing(spark):
+    """Hundreds of different variants of one template: all fall in a few shards, which are cut into many cells."""
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(60)]
+    data = []
+    for k in range(250):
+        t = list(base)
+        for p in rng.sample(range(60), 4):
+            t[p] = f"c{k}x{p}"
+        data.append((k, " ".join(t), None))
+    df = spark.createDataFrame(data, SCHEMA)
+    names = ["a1", "a2", "b1", "b2"]
+    whole = sorted(tuple(sorted((tuple(r[:2]), tuple(r[2:])))) for r in near.near_classes(df)[1].select(*names).collect())
+    cut = sorted(tuple(sorted((tuple(r[:2]), tuple(r[2:])))) for r in near.near_classes(df, hot_rows=60, block_rows=40)[1].select(*names).collect())
+    assert whole == cut and len(whole) == len(set(whole))
+    want = len(brute(data, "text"))
+    assert want > 20_000 and len(whole) >= 0.999 * want
+
+
+@pytest.mark.parametrize("values", [12_000, 3_600_000, 36_000_000, 10**10])
+def test_recall_at_the_limit(values):
+    """Of pairs of a given similarity, the share that tables and bound both let through, whatever the number of values."""
+    rng = np.random.default_rng(values % 97)
+    p = near.plan(values)
+    far = near.furthest(p.bits * p.tables, near.NEAR)
+    mask = np.uint64((1 << p.bits) - 1)
+    for similarity, least in ((0.7, 0.95), (0.75, 0.99), (0.8, 0.998)):
+        n, words = 600, 140
+        own = round(words * (1 - similarity) / (1 + similarity))
+        h = rng.integers(0, 2**32, (n, words + own), dtype=np.uint32)
+        a, b = near.fingerprints([x[:words] for x in h], p), near.fingerprints([x[own:] for x in h], p)
+        some = np.zeros(n, bool)
+        for t in range(p.tables):
+            some |= np.bitwise_count(((a ^ b)[:, t // p.per_word] >> np.uint64((t % p.per_word) * p.bits)) & mask) <= 2
+        found = some & (np.bitwise_count(a ^ b).sum(axis=1) <= far)
+        assert found.mean() >= least - 2 * np.sqrt(least * (1 - least) / n), (similarity, found.mean())
+
+
 def test_plan_grows_with_the_values():
     small, large = near.plan(1000), near.plan(10**9)
     assert large.bits > small.bits and large.tables >= small.tables and large.shard_bits > small.shard_bits

@@ -7,8 +7,15 @@ are shuffled by their leading bits (a fingerprint is sent once to each shard tha
 inside the shard, are deduplicated by a rule that keeps one meeting place a pair, and are verified by exact Jaccard over
 all words.
 
+Tables and the bound on whole fingerprints are planned so that of the pairs at the limit itself no more than MISSED get lost, at any number of
+values; of nearer pairs far fewer are.
+
 Copies (equal word sets) are one class from the start: a class emits once, and its members come back by a join. A pair is
-never dropped: no cap on a variant's or a class's size exists.
+never dropped: no cap on a variant's or a class's size exists. A shard that many different values of one template fall in is cut into
+blocks, each two of which meet in a task of their own, and a task hands its pairs on as it finds them.
+
+``near_groups`` is the form for large collections: one row a value with its class, group and number of links. ``near_pairs`` gives
+every pair of rows, which is as much as a group's rows squared.
 
 Defined results: null never matches; values without a word (empty, punctuation only) match when they look the same;
 repeated rows are members of one class; an empty table gives no pair.
@@ -27,14 +34,18 @@ from pyspark.sql import functions as F
 
 from veridelta.llm.lookalike import long_fields, transducer
 from veridelta.llm.tokens import word_hashes
-from veridelta.session import cut
+from veridelta.session import cut, small
 
 #: Two values are near-same from this share of common distinct words.
 NEAR = 0.7
-#: The similarity that the number of tables is planned for, and the share of such pairs that may be missed at it.
-PLANNED_AT, MISSED = 0.8, 1e-3
-#: Fingerprints that one shard of a table should hold.
-SHARD_ROWS = 150_000
+#: Shares of the pairs of a similarity that the tables may miss.
+MISSED = {0.7: 0.02, 0.8: 1e-3}
+#: Standard deviations by which the whole fingerprints of a pair may differ more than those at the limit do on average.
+DEVIATIONS = 3.0
+#: Fingerprints that one shard of a table should hold, and from how many on it is cut into blocks of how many.
+SHARD_ROWS, HOT_ROWS, BLOCK_ROWS = 150_000, 225_000, 100_000
+#: Pairs that a task hands on at once.
+BATCH_PAIRS = 100_000
 
 
 @dataclass(frozen=True)
@@ -54,13 +65,17 @@ class Plan:
         return -(-self.tables // self.per_word)
 
 
+def _missed(bits: int, similarity: float) -> float:
+    """The share of the pairs of a similarity that differ in more than two of ``bits`` bits."""
+    p = (1 - similarity) / 2
+    return 1 - sum(math.comb(bits, d) * p**d * (1 - p) ** (bits - d) for d in range(3))
+
+
 def plan(values: int) -> Plan:
     """Longer fingerprints for more values, so that chance collisions stay in proportion to the values, and as many tables
-    as that needs to miss no more than MISSED of the pairs at PLANNED_AT."""
-    bits = min(32, max(20, math.ceil(math.log2(max(2, values))) + 4))
-    p = (1 - PLANNED_AT) / 2
-    miss = 1 - sum(math.comb(bits, d) * p**d * (1 - p) ** (bits - d) for d in range(3))
-    tables = max(1, math.ceil(math.log(MISSED) / math.log(miss)))
+    as it takes to miss no more than MISSED."""
+    bits = min(60, max(20, math.ceil(math.log2(max(2, values))) + 4))
+    tables = max(1, *(math.ceil(math.log(share) / math.log(_missed(bits, at))) for at, share in MISSED.items()))
     shard_bits = 0
     while shard_bits < bits - 6 and values * (shard_bits + 1) / 2**shard_bits > SHARD_ROWS:
         shard_bits += 1
@@ -121,25 +136,32 @@ def _members(values: DataFrame) -> DataFrame:
     return values.mapInArrow(run, "field int, ord long, c1 long, c2 long, words binary")
 
 
-def _emit(classes: DataFrame, p: Plan) -> DataFrame:
-    """(g, c1, c2, f0, f1, ...): each class's fingerprint, once for each table and shard it has a variant in. g is the shard's
-    number, which holds the field, the table and the leading bits."""
-    names = ["g", "c1", "c2", *(f"f{w}" for w in range(p.n_words))]
+def _prints(classes: DataFrame, p: Plan) -> DataFrame:
+    """(field, c1, c2, f0, f1, ...): each class's fingerprint."""
+    names = [f"f{w}" for w in range(p.n_words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = p.bits - p.shard_bits
         for b in batches:
             fp = fingerprints([np.frombuffer(w, np.uint32) for w in b.column("words").to_pylist()], p)
-            same = [b.column("c1"), b.column("c2"), *(pa.array(fp[:, w].view(np.int64)) for w in range(p.n_words))]
-            field = b.column("field").to_numpy(zero_copy_only=False).astype(np.int64)
-            for t in range(p.tables):
-                own = (fp[:, t // p.per_word] >> np.uint64((t % p.per_word) * p.bits)) & np.uint64((1 << p.bits) - 1)
-                home = (own >> np.uint64(rest)).astype(np.int64)
-                for k in range(p.shard_bits + 1):
-                    shard = home if k == 0 else home ^ (1 << (k - 1))
-                    yield pa.RecordBatch.from_arrays([pa.array((field * p.tables + t << p.shard_bits) + shard), *same], names=names)
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in ("field", "c1", "c2")), *(pa.array(fp[:, w].view(np.int64)) for w in range(p.n_words))], names=["field", "c1", "c2", *names])
 
-    return classes.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return classes.mapInArrow(run, "field int, c1 long, c2 long, " + ", ".join(f"{n} long" for n in names))
+
+
+def _emit(prints: DataFrame, p: Plan, hot_rows: int, block_rows: int) -> DataFrame:
+    """(g, i, j, blk, c1, c2, f0, f1, ...): each fingerprint, once for each table and shard it has a variant in. g is the shard's number, which holds
+    the field, the table and the leading bits. A shard of more than ``hot_rows`` is cut into blocks: a fingerprint of block blk goes to every
+    cell (i, j) of two blocks that blk is one of."""
+    mask, rest = (1 << p.bits) - 1, p.bits - p.shard_bits
+    word = "array(" + ", ".join(f"f{w}" for w in range(p.n_words)) + ")"
+    own = f"shiftrightunsigned(element_at({word}, cast(t div {p.per_word} as int) + 1), cast(t % {p.per_word} * {p.bits} as int)) & {mask}L"
+    home = f"cast(field as bigint) * {p.tables} + t << {p.shard_bits}"
+    all_g = f"flatten(transform(sequence(0, {p.tables - 1}), t -> transform(sequence(-1, {p.shard_bits - 1}), k -> ({home}) + (shiftrightunsigned({own}, {rest}) ^ if(k < 0, 0L, shiftleft(1L, k))))))"
+    sent = prints.withColumn("g", F.explode(F.expr(all_g))).drop("field")
+    hot = sent.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows).select("g", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))
+    got = sent.join(small(cut(hot)), "g", "left").withColumn("blk", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("c1", "c2"), "blocks").cast("int")))
+    got = got.withColumn("x", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
+    return got.select("g", F.least("blk", "x").alias("i"), F.greatest("blk", "x").alias("j"), "blk", "c1", "c2", *(f"f{w}" for w in range(p.n_words)))
 
 
 def collisions(fp: np.ndarray, tab: int, shard: int, p: Plan, far: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -151,13 +173,13 @@ def collisions(fp: np.ndarray, tab: int, shard: int, p: Plan, far: int) -> Itera
         return (x[:, t // p.per_word] >> np.uint64((t % p.per_word) * p.bits)) & mask
 
     own = of(tab, fp)
-    keys, who = [own], [np.arange(len(own))]
-    for k in range(p.bits):
-        keys.append(own ^ np.uint64(1 << k))
-        who.append(who[0])
+    keys, who = [], []
+    for flip in (0, *(1 << k for k in range(p.bits))):
+        key = own ^ np.uint64(flip)
+        here = np.flatnonzero((key >> np.uint64(p.bits - p.shard_bits)).astype(np.int64) == shard) if p.shard_bits else np.arange(len(key))
+        keys.append(key[here])
+        who.append(here)
     key, idx = np.concatenate(keys), np.concatenate(who)
-    here = np.flatnonzero((key >> np.uint64(p.bits - p.shard_bits)).astype(np.int64) == shard) if p.shard_bits else np.arange(len(key))
-    key, idx = key[here], idx[here]
     order = np.lexsort((idx, key))
     key, idx = key[order], idx[order]
     one = np.uint64(1)
@@ -185,25 +207,44 @@ def collisions(fp: np.ndarray, tab: int, shard: int, p: Plan, far: int) -> Itera
         step += 1
 
 
-def _candidates(classes: DataFrame, p: Plan, near: float) -> DataFrame:
-    """(field, a1, a2, b1, b2): classes that collide and whose whole fingerprints are as near as similarity ``near`` makes them."""
-    n = p.bits * p.tables
+def furthest(n: int, near: float) -> int:
+    """Bits of ``n`` that the fingerprints of a pair at similarity ``near`` may differ in."""
     chance = (1 - near) / 2
-    far = math.ceil(n * chance + 1.5 * math.sqrt(n * chance * (1 - chance)))
+    return math.ceil(n * chance + DEVIATIONS * math.sqrt(n * chance * (1 - chance)))
+
+
+def _candidates(classes: DataFrame, p: Plan, near: float, hot_rows: int, block_rows: int) -> DataFrame:
+    """(field, a1, a2, b1, b2): classes that collide and whose whole fingerprints are as near as similarity ``near`` makes them."""
+    far = furthest(p.bits * p.tables, near)
+    names = ["field", "a1", "a2", "b1", "b2"]
 
-    def run(t: pa.Table) -> pa.Table:
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g, i, j = (k.as_py() for k in key)
+        t = pa.Table.from_batches(batches)
         fp = np.stack([t.column(f"f{w}").to_numpy().view(np.uint64) for w in range(p.n_words)], axis=1)
-        c1, c2 = (t.column(n).to_numpy() for n in ("c1", "c2"))
-        g = t.column("g")[0].as_py()
+        c1, c2, blk = (t.column(n).to_numpy() for n in ("c1", "c2", "blk"))
         field, tab, shard = (g >> p.shard_bits) // p.tables, (g >> p.shard_bits) % p.tables, g & ((1 << p.shard_bits) - 1)
-        got = list(collisions(fp, tab, shard, p, far))
-        i, j = (np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.int64) for k in (0, 1))
-        return pa.table([pa.array(np.full(len(i), field, np.int32)), pa.array(c1[i]), pa.array(c2[i]), pa.array(c1[j]), pa.array(c2[j])], names=["field", "a1", "a2", "b1", "b2"])
+        parts, n = [], 0
+        for a, b in collisions(fp, tab, shard, p, far):
+            if i != j:  # pairs inside a block meet in the block's own cell
+                cross = blk[a] != blk[b]
+                a, b = a[cross], b[cross]
+            parts.append((a, b))
+            n += len(a)
+            if n >= BATCH_PAIRS:
+                yield _pairs(field, c1, c2, parts, names)
+                parts, n = [], 0
+        yield _pairs(field, c1, c2, parts, names)
+
+    return _emit(cut(_prints(classes, p)), p, hot_rows, block_rows).groupBy("g", "i", "j").applyInArrow(run, "field int, a1 long, a2 long, b1 long, b2 long")
+
 
-    return _emit(classes, p).groupBy("g").applyInArrow(run, "field int, a1 long, a2 long, b1 long, b2 long")
+def _pairs(field: int, c1: np.ndarray, c2: np.ndarray, parts: list[tuple[np.ndarray, np.ndarray]], names: list[str]) -> pa.RecordBatch:
+    a, b = (np.concatenate([x[k] for x in parts]) if parts else np.zeros(0, np.int64) for k in (0, 1))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), field, np.int32)), *map(pa.array, (c1[a], c2[a], c1[b], c2[b]))], names=names)
 
 
-def near_classes(df: DataFrame, key: str = "ord", fields: tuple[str, ...] = ("text", "claim"), near: float = NEAR) -> tuple[DataFrame, DataFrame]:
+def near_classes(df: DataFrame, key: str = "ord", fields: tuple[str, ...] = ("text", "claim"), near: float = NEAR, hot_rows: int = HOT_ROWS, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
     """(members, links). field is the place in ``fields``. members: field, ord, c1, c2 with one row a non-null value. links: field, a1, a2, b1, b2 with one row
     for each pair of different classes whose similarity is ``near`` or more."""
     place = F.create_map(*(F.lit(x) for k, f in enumerate(fields) for x in (f, k)))
@@ -221,7 +262,7 @@ def near_classes(df: DataFrame, key: str = "ord", fields: tuple[str, ...] = ("te
             yield b.select(["field", "a1", "a2", "b1", "b2"]).filter(pa.array(ok))
 
     side = lambda s: classes.select("field", F.col("c1").alias(f"{s}1"), F.col("c2").alias(f"{s}2"), F.col("words").alias(f"w{s}"))
-    pairs = _candidates(classes.where("length(words) > 0"), p, near)
+    pairs = _candidates(classes.where("length(words) > 0"), p, near, hot_rows, block_rows)
     links = pairs.join(side("a"), ["field", "a1", "a2"]).join(side("b"), ["field", "b1", "b2"]).mapInArrow(verify, "field int, a1 long, a2 long, b1 long, b2 long")
     return members.drop("words"), links
 
