@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -26,9 +27,11 @@ def texts(seed=0, n=120):
 
 def test_equals_brute_force():
     ts = texts()
-    got = R.measure([*ts, None])
-    assert np.allclose(got[:-1, 0], [R.exact_share(t) for t in ts]) and (got[-1] == [0, 0, 0, 1, 0]).all()
-    assert (got[:, :4] >= 0).all() and (got[:, :4] <= 1).all() and (got[:, 1] >= got[:, 0] - 1e-12).all()
+    got, share = R.measure([*ts, None]), R.shares([*ts, None])
+    assert np.allclose(share[:-1], [R.exact_share(t) for t in ts]) and (got[-1] == [0, 0, 0, 1, 1]).all() and share[-1] == 0
+    assert (got >= 0).all() and (got <= 1).all()
+    phrases, short = got[:, 1], got[:, 0]
+    assert (phrases >= share - 1e-12).all() and (short >= phrases - 1e-12).all()  # the bound of the last rule
 
 
 def test_blocks_change_nothing(monkeypatch):
@@ -40,8 +43,8 @@ def test_blocks_change_nothing(monkeypatch):
 
 def test_case_digits_and_spacing_do_not_count():
     a = "the old mill burned down and nobody knew why it did so"
-    assert R.measure([a + ". 12 " + a.upper().replace(" ", "  ")])[0, 0] == pytest.approx(0.5)
-    assert R.measure(["one two three four five six seven eight nine " * 1])[0, 0] == 0
+    assert R.shares([a + ". 12 " + a.upper().replace(" ", "  ")])[0] == pytest.approx(0.5)
+    assert R.shares(["one two three four five six seven eight nine " * 1])[0] == 0
 
 
 def test_learned_list(monkeypatch):
@@ -63,11 +66,14 @@ def test_list_in_spark_is_the_list_in_numpy(spark):
     rules = R.fit(df)
     got = {r.doc_id: r for r in R.classify(df, rules=rules).collect()}
     x = R.measure(ts)
+    assert rules[-1] == R.BOUND and all(R.STATISTICS[j] != "repeated" for r in rules for j, _, _ in r)
     for i in range(len(ts)):
         first = next((k + 1 for k, r in enumerate(rules) if R._holds(r, x[i : i + 1])[0]), 0)
         assert got[i].rule == first
-    flagged = {i for i in range(len(ts)) if got[i].rule > 0 and got[i].repeated >= R.SHARE}
-    assert flagged == {i for i, t in enumerate(ts) if R.exact_share(t) >= R.SHARE}
+    found = {r.doc_id: r for r in R.repetitive(df, rules=rules).collect()}
+    assert set(found) == {i for i, t in enumerate(ts) if R.exact_share(t) >= R.SHARE}
+    assert all(r.rule == got[i].rule and np.isclose(r.repeated, R.exact_share(ts[i])) for i, r in found.items())
+    assert R.repetitive(df, rules=[[(1, ">=", 2.0)]]).count() == 0  # without a rule that flags it, a document isn't found
     assert got[999].rule == 0 and got[999].repeated == 0
 
 
@@ -75,12 +81,26 @@ def test_one_repetitive_document_among_thousands(spark):
     rng = random.Random(2)
     data = [(i, " ".join(f"w{rng.choice('abcdefgh')}{rng.choice('ijklmnop')}{rng.choice('qrstuv')}" for _ in range(15))) for i in range(6000)]
     data[4321] = (4321, " ".join("the old mill burned down and nobody knew why it did so".split() * 3))
-    got = R.classify(spark.createDataFrame(data, "doc_id long, text string"))
-    assert [r.doc_id for r in got.where((F.col("rule") > 0) & (F.col("repeated") >= R.SHARE)).collect()] == [4321]
+    got = R.repetitive(spark.createDataFrame(data, "doc_id long, text string"))
+    assert [r.doc_id for r in got.collect()] == [4321]
     alone = R.classify(spark.createDataFrame(data[4321:4322], "doc_id long, text string"))
     assert alone.where("rule > 0").count() == 1
 
 
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
-    assert R.classify(df).count() == 0
+    assert R.classify(df).count() == 0 and R.repetitive(df).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="documents aren't here")
+def test_learned_rules_on_documents_they_have_not_seen(spark):
+    """Precision and recall of the learned rules alone, without the bound and the exact check, on the documents outside the sample."""
+    df = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    x, y = R.sample(df, rows=3000)
+    rules = R.learn(x, y)
+    seen = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(9)), F.lit(2**31)) < int(2**31 * 3000 / df.count())
+    rest = R.classify(df.where(~seen & F.col("text").isNotNull()), rules=rules).select("rule", "repeated").collect()
+    flagged, true = np.array([r.rule > 0 for r in rest]), np.array([r.repeated >= R.SHARE for r in rest])
+    both = (flagged & true).sum()
+    print("rules", len(rules), "precision", both / flagged.sum(), "recall", both / true.sum(), "of", true.sum())
+    assert both / flagged.sum() > 0.9 and both / true.sum() > 0.97

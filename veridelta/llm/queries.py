@@ -153,8 +153,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of which 0.4 or more of the letters repeat earlier passages, flagged by the learned list and checked."""
-    got = repetition.classify(read(spark, sf_dir, "documents"))
-    return got.where((F.col("rule") > 0) & (F.col("repeated") >= repetition.SHARE)).select("doc_id")
+    return repetition.repetitive(read(spark, sf_dir, "documents")).select("doc_id")
 
 
 @query

@@ -1,14 +1,18 @@
 """Problem 9: repetition inside a document.
 
-``statistics`` measures, in one pass per batch over whole texts, how much of a text repeats what stood earlier in it. The share
-that counts (``repeated``) is that of the letters lying in passages of ten or more words (twenty or more characters in Chinese
+``repeated`` is the share of the letters that lie in passages of ten or more words (twenty or more characters in Chinese
 text) that occurred earlier, without regard to case, spacing, punctuation and digits.
 
-A decision list is learned on the statistics of a bounded sample with exact labels: sequential covering grows a conjunction of
+Which documents are worth that measure is decided by a learned list on cheaper statistics, none of which holds the answer: letters in short
+runs of words that stood before (three and five words), in whole lines that stood before, the share of different words, and how far a
+compressor packs the text. A decision list is learned on a bounded sample with exact labels: sequential covering grows a conjunction of
 thresholds on two thirds of the sample, prunes it on the rest, takes the rows it covers away and goes on. The list becomes an
-ordered CASE expression. Thresholds lie next to the nearest row of the other class, so that the list errs towards finding;
-an exact check of the share may follow. A list learned on a sample can't know of what the sample doesn't hold, be it all
-repetition where this is rare, so its last rule is always the definition itself: the share reaches SHARE.
+ordered CASE expression; ``repetitive`` measures only the documents that it flags. Thresholds lie next to the nearest row of the other class,
+so that the list errs towards finding.
+
+A list learned on a sample can't know of what the sample doesn't hold, be it all repetition where this is rare. So its last rule is a
+bound that needs no sample: letters in repeated passages of ten words lie in repeated runs of five too, so no document with a share of SHARE
+has fewer of these. What the rules before it don't take and the bound leaves is measured as well, and nothing is lost.
 
 Defined results: null and empty texts and texts without letters have share 0 and are never flagged; texts shorter than a
 passage have share 0; very long texts are measured whole; repeated rows are measured alike.
@@ -16,6 +20,7 @@ passage have share 0; very long texts are measured whole; repeated rows are meas
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +34,7 @@ from veridelta.llm.tokens import is_han
 WORDS, HAN_CHARS, SHARE = 10, 20, 0.4
 #: About so many labelled rows the decision list is learned on: those with the least hash, all where there are fewer.
 FIT_ROWS = 4000
-STATISTICS = ("repeated", "phrases", "lines", "distinct", "longest")
+STATISTICS = ("short", "phrases", "lines", "distinct", "packed")
 #: Characters of a batch's texts that are measured at once.
 BLOCK_CHARS = 2_000_000
 
@@ -85,75 +90,96 @@ def _covered(ids: np.ndarray, doc: np.ndarray, width: int) -> np.ndarray:
     return np.cumsum(hit)[:-1] > 0
 
 
-def _block(texts: list[str]) -> np.ndarray:
-    """(texts, statistics)."""
-    flat: list[str] = []
-    sizes, line_of, line_doc = [], [], []
-    for k, t in enumerate(texts):
-        before = len(flat)
-        for line in t.translate(_LETTERS).split("\n") if t else ():
-            w = line.split()
-            if w:
-                flat += w
-                line_of.append(len(w))
-                line_doc.append(k)
-        sizes.append(len(flat) - before)
-    out = np.zeros((len(texts), len(STATISTICS)))
-    out[:, 3] = 1
-    if not flat:
-        return out
-    ids = np.fromiter(map(_ids.__getitem__, flat), np.uint64, len(flat))
-    letters = np.fromiter(map(len, flat), np.int64, len(flat))
-    han = np.fromiter((len(w) == 1 and is_han(w) for w in flat), bool, len(flat))
-    doc = np.repeat(np.arange(len(texts)), sizes)
-    total = np.bincount(doc, letters, len(texts))
-    chinese = np.bincount(doc, han, len(texts)) * 2 > total
-    share = lambda mask: np.bincount(doc, letters * mask, len(texts)) / np.maximum(total, 1)
-    covered, short = np.zeros(len(flat), bool), np.zeros(len(flat), bool)
-    for is_zh in (False, True):
-        own = np.flatnonzero(chinese[doc] == is_zh)
-        if len(own):
-            covered[own] = _covered(ids[own], doc[own], HAN_CHARS if is_zh else WORDS)
-            short[own] = _covered(ids[own], doc[own], (HAN_CHARS if is_zh else WORDS) // 2)
-    out[:, 0], out[:, 1] = share(covered), share(short)
-    # whole lines that stood before
-    starts = np.r_[0, np.cumsum(line_of)[:-1]].astype(np.int64)
-    pos = np.arange(len(flat)) - np.repeat(starts, line_of)
-    mixed = (ids + pos.astype(np.uint64) * np.uint64(0x94D049BB133111EB)) * np.uint64(0x9E3779B97F4A7C15)
-    lh = np.add.reduceat(mixed ^ (mixed >> np.uint64(29)), starts)
-    lk = np.stack([np.array(line_doc, np.uint64), lh], axis=1)
-    order = np.lexsort((np.arange(len(lh)), lk[:, 1], lk[:, 0]))
-    again = np.zeros(len(lh), bool)
-    again[order[1:]] = (lk[order[1:]] == lk[order[:-1]]).all(axis=1)
-    out[:, 2] = share(np.repeat(again, line_of))
-    order = np.lexsort((ids, doc))
-    new = np.r_[True, (ids[order[1:]] != ids[order[:-1]]) | (doc[order[1:]] != doc[order[:-1]])]
-    out[:, 3] = np.bincount(doc[order], new, len(texts)) / np.maximum(sizes, 1)
-    out[np.array(sizes) == 0, 3] = 1
-    # longest covered run, in tokens, against the document
-    edge = np.flatnonzero(np.r_[True, (covered[1:] != covered[:-1]) | (doc[1:] != doc[:-1])])
-    run = np.diff(np.r_[edge, len(flat)])
-    on = covered[edge]
-    longest = np.zeros(len(texts))
-    np.maximum.at(longest, doc[edge[on]], run[on])
-    out[:, 4] = longest / np.maximum(sizes, 1)
-    return out
-
-
-def measure(texts: list[str | None]) -> np.ndarray:
-    """(texts, STATISTICS), in blocks of bounded size."""
-    parts, own, size = [], [], 0
+class _Block:
+    """The words of some texts in a row."""
+
+    def __init__(self, texts: list[str]):
+        flat: list[str] = []
+        sizes, line_of, line_doc = [], [], []
+        for k, t in enumerate(texts):
+            before = len(flat)
+            for line in t.translate(_LETTERS).split("\n") if t else ():
+                w = line.split()
+                if w:
+                    flat += w
+                    line_of.append(len(w))
+                    line_doc.append(k)
+            sizes.append(len(flat) - before)
+        self.texts, self.n, self.sizes = texts, len(texts), np.array(sizes, np.int64)
+        self.line_of, self.line_doc = np.array(line_of, np.int64), np.array(line_doc, np.uint64)
+        self.ids = np.fromiter(map(_ids.__getitem__, flat), np.uint64, len(flat))
+        self.letters = np.fromiter(map(len, flat), np.int64, len(flat))
+        self.doc = np.repeat(np.arange(self.n), sizes)
+        self.total = np.bincount(self.doc, self.letters, self.n)
+        han = np.fromiter((len(w) == 1 and is_han(w) for w in flat), bool, len(flat))
+        self.chinese = np.bincount(self.doc, han, self.n) * 2 > self.total
+
+    def share(self, mask: np.ndarray) -> np.ndarray:
+        return np.bincount(self.doc, self.letters * mask, self.n) / np.maximum(self.total, 1)
+
+    def again(self, words: int, han: int) -> np.ndarray:
+        """The share of letters in runs of so many words (Han characters) that stood earlier."""
+        covered = np.zeros(len(self.ids), bool)
+        for is_zh in (False, True):
+            own = np.flatnonzero(self.chinese[self.doc] == is_zh)
+            if len(own):
+                covered[own] = _covered(self.ids[own], self.doc[own], han if is_zh else words)
+        return self.share(covered)
+
+    def lines(self) -> np.ndarray:
+        """The share of letters in whole lines that stood earlier."""
+        if not len(self.ids):
+            return np.zeros(self.n)
+        starts = np.cumsum(self.line_of) - self.line_of
+        pos = np.arange(len(self.ids)) - np.repeat(starts, self.line_of)
+        mixed = (self.ids + pos.astype(np.uint64) * np.uint64(0x94D049BB133111EB)) * np.uint64(0x9E3779B97F4A7C15)
+        lk = np.stack([self.line_doc, np.add.reduceat(mixed ^ (mixed >> np.uint64(29)), starts)], axis=1)
+        order = np.lexsort((np.arange(len(lk)), lk[:, 1], lk[:, 0]))
+        again = np.zeros(len(lk), bool)
+        again[order[1:]] = (lk[order[1:]] == lk[order[:-1]]).all(axis=1)
+        return self.share(np.repeat(again, self.line_of))
+
+    def distinct(self) -> np.ndarray:
+        """Different words against all; 1 where there is none."""
+        order = np.lexsort((self.ids, self.doc))
+        i, d = self.ids[order], self.doc[order]
+        new = np.r_[True, (i[1:] != i[:-1]) | (d[1:] != d[:-1])] if len(i) else np.zeros(0, bool)
+        return np.where(self.sizes > 0, np.bincount(d, new, self.n) / np.maximum(self.sizes, 1), 1.0)
+
+    def packed(self) -> np.ndarray:
+        """Compressed bytes against all; 1 for an empty text."""
+        raw = [(t or "").encode("utf-8", "surrogatepass") for t in self.texts]
+        return np.array([min(1.0, len(zlib.compress(r, 1)) / len(r)) if r else 1.0 for r in raw])
+
+    def statistics(self) -> np.ndarray:
+        return np.stack([self.again(3, 6), self.again(WORDS // 2, HAN_CHARS // 2), self.lines(), self.distinct(), self.packed()], axis=1)
+
+
+def _blocks(texts: list[str | None]) -> Iterator[_Block]:
+    """``texts`` in blocks of bounded size."""
+    own, size = [], 0
     for t in texts:
         own.append(t or "")
         size += len(own[-1])
         if size >= BLOCK_CHARS:
-            parts.append(_block(own))
+            yield _Block(own)
             own, size = [], 0
     if own:
-        parts.append(_block(own))
+        yield _Block(own)
+
+
+def measure(texts: list[str | None]) -> np.ndarray:
+    """(texts, STATISTICS)."""
+    parts = [b.statistics() for b in _blocks(texts)]
     return np.concatenate(parts) if parts else np.zeros((0, len(STATISTICS)))
 
 
+def shares(texts: list[str | None]) -> np.ndarray:
+    """The share of repeated text of each."""
+    parts = [b.again(WORDS, HAN_CHARS) for b in _blocks(texts)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
 def exact_share(text: str | None) -> float:
     """Brute force over lists of words: the labels and the tests."""
     t = tokens((text or "").replace("\n", " "))
@@ -168,19 +194,20 @@ def exact_share(text: str | None) -> float:
     return sum(len(w) for w, h in zip(t, hit, strict=True) if h) / total if total else 0.0
 
 
-def statistics(df: DataFrame, key: str = "doc_id", text: str = "text", label: bool = False) -> DataFrame:
-    """(key, STATISTICS...) of every row; with ``label`` also the exact label as a double."""
-    names = [*STATISTICS, *(["label"] if label else [])]
-    schema = f"`{key}` {df.schema[key].dataType.simpleString()}, " + ", ".join(f"{n} double" for n in names)
+def statistics(df: DataFrame, key: str = "doc_id", text: str = "text", repeated: bool = False, with_text: bool = False) -> DataFrame:
+    """(key, STATISTICS...) of every row; also the share ``repeated`` and the text, if asked for."""
+    names = [*STATISTICS, *(["repeated"] if repeated else [])]
+    schema = f"`{key}` {df.schema[key].dataType.simpleString()}, " + ", ".join(f"{n} double" for n in names) + (", _text string" if with_text else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(text).to_pylist()
             got = measure(texts)
             cols = [pa.array(got[:, j]) for j in range(got.shape[1])]
-            if label:
-                cols.append(pa.array([float(exact_share(t) >= SHARE) for t in texts]))
-            yield pa.RecordBatch.from_arrays([b.column(key), *cols], names=[key, *names])
+            if repeated:
+                cols.append(pa.array(shares(texts)))
+            more = [b.column(text)] if with_text else []
+            yield pa.RecordBatch.from_arrays([b.column(key), *cols, *more], names=[key, *names, *(["_text"] if with_text else [])])
 
     return df.select(key, text).mapInArrow(run, schema)
 
@@ -188,8 +215,8 @@ def statistics(df: DataFrame, key: str = "doc_id", text: str = "text", label: bo
 Rule = list[tuple[int, str, float]]
 
 
-#: What is looked for, as a rule: it takes what the learned ones leave.
-EXACT: Rule = [(STATISTICS.index("repeated"), ">=", SHARE)]
+#: The bound that needs no sample: it takes what the learned rules leave.
+BOUND: Rule = [(STATISTICS.index("phrases"), ">=", SHARE)]
 
 
 def _holds(rule: Rule, x: np.ndarray) -> np.ndarray:
@@ -247,14 +274,19 @@ def learn(x: np.ndarray, y: np.ndarray, least: int = 3, rules: int = 12) -> list
     return out
 
 
-def fit(df: DataFrame, key: str = "doc_id", text: str = "text", rows: int = FIT_ROWS) -> list[Rule]:
-    """Learn on about ``rows`` rows, those with the least hash of the key; only their statistics and labels reach the driver. The
-    last rule is that of the exact share."""
+def sample(df: DataFrame, key: str = "doc_id", text: str = "text", rows: int = FIT_ROWS, seed: int = 9) -> tuple[np.ndarray, np.ndarray]:
+    """(STATISTICS, label) of about ``rows`` rows, those with the least hash of the key; only these figures reach the driver."""
     n = df.count()
-    part = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(9)), F.lit(2**31)) < int(2**31 * min(1.0, rows / max(1, n)))
-    sample = df.where(part & F.col(text).isNotNull()).select(key, text)
-    got = np.array([tuple(r)[1:] for r in statistics(sample, key, text, label=True).orderBy(key).collect()], float).reshape(-1, len(STATISTICS) + 1)
-    return [*(learn(got[:, :-1], got[:, -1] > 0) if len(got) else []), EXACT]
+    part = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), F.lit(2**31)) < int(2**31 * min(1.0, rows / max(1, n)))
+    some = df.where(part & F.col(text).isNotNull()).select(key, text)
+    got = np.array([tuple(r)[1:] for r in statistics(some, key, text, repeated=True).orderBy(key).collect()], float).reshape(-1, len(STATISTICS) + 1)
+    return got[:, :-1], got[:, -1] >= SHARE
+
+
+def fit(df: DataFrame, key: str = "doc_id", text: str = "text", rows: int = FIT_ROWS) -> list[Rule]:
+    """The rules learned on ``sample``, and the bound."""
+    x, y = sample(df, key, text, rows)
+    return [*(learn(x, y) if len(x) else []), BOUND]
 
 
 def expression(rules: list[Rule]) -> Column:
@@ -270,6 +302,19 @@ def expression(rules: list[Rule]) -> Column:
 
 
 def classify(df: DataFrame, key: str = "doc_id", text: str = "text", rules: list[Rule] | None = None) -> DataFrame:
-    """(key, STATISTICS..., rule): every row; rule is that of the list that flags it, 0 for none."""
+    """(key, STATISTICS..., repeated, rule): every row; rule is that of the list that flags it, 0 for none."""
     rules = fit(df, key, text) if rules is None else rules
-    return statistics(df, key, text).withColumn("rule", expression(rules))
+    return statistics(df, key, text, repeated=True).withColumn("rule", expression(rules))
+
+
+def repetitive(df: DataFrame, key: str = "doc_id", text: str = "text", rules: list[Rule] | None = None, share: float = SHARE) -> DataFrame:
+    """(key, rule, repeated) of the rows that the list flags and whose share, measured for them alone, is ``share`` or more."""
+    rules = fit(df, key, text) if rules is None else rules
+    flagged = statistics(df, key, text, with_text=True).select(key, expression(rules).alias("rule"), "_text").where("rule > 0")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = shares(b.column("_text").to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(key), b.column("rule"), pa.array(got)], names=[key, "rule", "repeated"]).filter(pa.array(got >= share))
+
+    return flagged.mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, rule int, repeated double")
