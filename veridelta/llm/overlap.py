@@ -6,7 +6,7 @@ their counts over all claims, the first n - ceil(NEAR n) + 1. A text of similari
 own first words, whatever the order of the words is. So no pair is lost, and common words are hardly ever asked for.
 
 Aho-Corasick automata over shards of the passages scan the training texts. A text is sent only to the shards that its own first
-words fall in, so the traffic is in proportion to the texts and doesn't grow with the number of shards. Shards are cells of a grid:
+words fall in, and only for words that some record asks for, so the traffic is in proportion to the texts and doesn't grow with the number of shards. Shards are cells of a grid:
 one whose passages or texts are many is split on both sides by its own counts, and a cell streams its texts past the automaton. Pairs whose
 sizes and word sketches rule out enough common words are dropped, which loses none; the others are verified on all their words. Of those, an
 automaton over the record's longer passages (WINDOW words, HAN_WINDOW characters) scans the text, and the matched intervals are merged into
@@ -124,12 +124,15 @@ def _classes(members: DataFrame, common: dict[str, int], near: float) -> DataFra
 
 def _cells(classes: DataFrame, shard_passages: int, block_texts: int) -> DataFrame:
     """(cell, side, c1, c2, size, SKETCH..., words, norm): side 0 is a passage of a record (``words`` holds it alone), side 1 a training text
-    with the words it may be found by. Passages and texts of a shard meet in one cell, or once in a grid of cells."""
+    with those of the words it may be found by that fall in the shard. Passages and texts of a shard meet in one cell, or once in a grid of cells."""
     shards = max(1, -(-(classes.where("held").agg(F.sum(F.size("words"))).first()[0] or 0) // shard_passages))
     of = lambda w: F.pmod(F.xxhash64(w), F.lit(shards))
     same = ["c1", "c2", "size", *SKETCH]
     asked = classes.where("held").select(*same, F.explode("words").alias("w")).select(*same, F.array("w").alias("words"), of("w").alias("shard"))
-    sent = classes.where("text").select(*same, "words", "norm", F.explode(F.array_distinct(F.transform("words", of))).alias("shard"))
+    some = classes.where("text").select("c1", "c2", F.explode("words").alias("w")).join(asked.select(F.col("words")[0].alias("w")).distinct(), "w", "left_semi")
+    found = some.groupBy("c1", "c2").agg(F.collect_set("w").alias("found"))
+    texts = classes.where("text").select(*same, "norm").join(found, ["c1", "c2"]).withColumnRenamed("found", "words")
+    sent = texts.select(*same, "words", "norm", F.explode(F.array_distinct(F.transform("words", of))).alias("shard"))
     grid = asked.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / shard_passages).alias("rows")).join(sent.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / block_texts).alias("cols")), "shard")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
     a = asked.join(grid, "shard").withColumn("i", F.pmod(F.xxhash64("c1", "words"), "rows").cast("int")).withColumn("j", all_of("cols"))
