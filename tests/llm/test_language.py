@@ -62,12 +62,50 @@ def test_segments_and_cases(spark, samples):
     df = spark.createDataFrame(data, "ord long, text string, language string").withColumn("langs", F.lit(0)).withColumn("_label", F.lit("x")).withColumn("lang", F.lit("x"))
     got = sorted((r.ord, r.lang) for r in LG.label_cases(df, m, ["ord"], "text", "language").collect())
     assert got == [(4, "en"), (5, "en"), (6, "en"), (7, "en"), (7, "ru"), (14, "en")]
-    seg = LG.segment_languages(df, m, "ord", "text")
+    seg = LG.segment_languages(df, m, ["ord"], "text")
+    docs = {}
+    for r in LG.document_languages(df, m, ["ord"], "text").collect():
+        docs.setdefault(r.ord, []).append(r)
+    assert set(docs) == set(range(1, 15)) and [r.lang for r in docs[8] + docs[9]] == [None, None]
+    assert sorted(r.lang for r in docs[7]) == ["en", "ru"] and sum(r.share for r in docs[7]) == pytest.approx(1)
+    assert docs[1][0].lang == "en" and docs[1][0].share == 1 and docs[1][0].confidence > 0.9 and docs[8][0].confidence is None
     assert {r.lang for r in seg.where("ord = 7 and lang is not null").collect()} == {"en", "ru"}
     assert all(0 < r.confidence <= 1 for r in seg.collect())
     assert LG.label_cases(df.limit(0), m, ["ord"], "text", "language").count() == 0
 
 
+def test_confidence_is_calibrated(samples):
+    """The temper is fitted on a held-out fifth; on another quarter that neither models nor temper have seen, confidence is near accuracy."""
+    seen, held, used = {}, [], []
+    for lang, text in samples:
+        seen[lang] = seen.get(lang, 0) + 1
+        (held if seen[lang] % 4 == 0 else used).append((lang, text))
+    m = LG.fit(used)
+    assert m.temper in LG.TEMPERS[1:-1] and m.error < 0.05
+    fresh = [(m.langs.index(x), t) for x, t in held]
+    pieces = [(j, " ".join(w[a : a + n])) for j, t in fresh for s in LG.segments(t) for w in [s.split()] for n in LG.PIECES for a in range(0, len(w) - n + 1, n)]
+    got = LG.Scorer(m).label([t for _, t in pieces])
+    right = got["ce"].argmin(axis=1) == [pieces[i][0] for i in got["of"]]
+    gap = 0.0
+    for lo in range(10):
+        own = (got["confidence"] >= lo / 10) & (got["confidence"] < (lo + 1) / 10 + (lo == 9))
+        if own.any():
+            gap += abs(got["confidence"][own].mean() - right[own].mean()) * own.mean()
+    print("temper", m.temper, "error", m.error, "fresh", gap)
+    assert gap < 0.06
+
+
+def test_samples_are_drawn_for_each_language(spark, samples, monkeypatch):
+    """A bound on the samples takes none of the languages away, wherever they stand in the alphabet."""
+    monkeypatch.setattr(LG, "FIT_ROWS", 15)
+    df = spark.createDataFrame(samples * 2, "lang string, text string")
+    m = LG.models_from(df)
+    assert m.langs == sorted({x for x, _ in samples})
+    monkeypatch.setattr(LG, "MOST_LANGUAGES", 3)
+    with pytest.raises(ValueError):
+        LG.models_from(df)
+
+
 def test_noise_is_rejected(samples):
     s = LG.Scorer(LG.fit(samples)).label(["zxq vvk qqj xkz wqx zzq kkx", "Terms | Privacy", "Ada Byron", "12 34 56"])
     assert (s["lang"] < 0).all()

@@ -8,7 +8,8 @@ worker and remembered.
 A value is cut into segments (lines, sentences, parts around a slash); bracketed and quoted passages are left out. A segment
 gets the language of the lowest length-normalised cross-entropy. It is rejected when it is too short for a sentence, when
 its cross-entropy is above the calibrated limit of that language, or when the runner-up is too near. Confidence is the
-posterior of the language for the segment, tempered by TEMPER.
+posterior of the language for the segment, tempered by the power that makes it truest on held-out pieces of one to eight words; ``Models.error``
+is what is left of its calibration error there.
 
 Defined results: null and empty texts have no segment and no language; texts of which no segment is accepted have none
 either; ties go to the first language in sorted order.
@@ -25,21 +26,23 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veridelta.llm.lookalike import _hidden
 from veridelta.llm.tokens import is_han, one_case
 
 ORDER, DISCOUNT = 5, 0.75
-#: Most labelled rows that the models are fitted on.
-FIT_ROWS = 20_000
+#: Most labelled rows that the models are fitted on, for each language, those with the least hash; most languages.
+FIT_ROWS, MOST_LANGUAGES = 2_000, 64
 #: Fewest words (Han characters count one each) and letters of a segment that is a sentence, nats between best and second.
 MIN_WORDS, MIN_LETTERS, MIN_HAN, MIN_NATS = 4, 16, 7, 6.0
 #: Most nats that one word may speak against a language: a word of the samples, and any other, a name perhaps.
 WORD_NATS, OTHER_NATS = 5.0, 1.6
 #: A segment is foreign to a language above this many times the largest cross-entropy of the held-out samples.
-SLACK, TEMPER = 1.6, 0.15
+SLACK = 1.6
+#: Words of the pieces that the temper is fitted on, and the powers that are tried.
+PIECES, TEMPERS = (1, 2, 3, 5, 8), tuple(round(0.02 * 1.25**k, 4) for k in range(24))
 
 #: Names of the languages by which labels call them: ISO 639-1, 639-2 and 639-3 codes and English names.
 NAMES = {
@@ -132,6 +135,8 @@ class Models:
     floor: float
     limit: np.ndarray
     vocabulary: np.ndarray
+    temper: float = 1.0
+    error: float = 0.0
 
     def costs(self, words: list[str]) -> np.ndarray:
         """(words, languages): nats of each word, end mark included."""
@@ -223,7 +228,7 @@ def _fit_all(words: dict[str, list[str]]) -> Models:
 
 
 def fit(samples: list[tuple[str, str]]) -> Models:
-    """Models from (language, text). A fifth of the samples is held out to calibrate the limits, then all are used. Each word
+    """Models from (language, text). A fifth of the samples is held out to calibrate the limits and the temper, then all are used. Each word
     also enters without its accents, since texts lose them."""
     by: dict[str, list[str]] = {}
     for lang, text in sorted(x for x in samples if x[0] and x[1]):
@@ -247,9 +252,33 @@ def fit(samples: list[tuple[str, str]]) -> Models:
         limit[j] = SLACK * (own["ce"][good, j].max() if good.any() else np.inf)
     out = _fit_all({x: words(ts) for x, ts in by.items()})
     out.limit = limit
+    out.temper, out.error = calibrate(part, [(j, t) for j, x in enumerate(part.langs) for i, t in enumerate(by[x]) if i % 5 == 0])
     return out
 
 
+def calibrate(m: Models, held: list[tuple[int, str]]) -> tuple[float, float]:
+    """(temper, error) from held-out (language, text): the power of the likelihoods that makes the posterior truest on short pieces, where
+    mistakes happen, and the mean gap between confidence and accuracy over tenths of confidence that remains."""
+    pieces = [(j, " ".join(w[a : a + n])) for j, t in held for s in segments(t) for w in [s.split()] for n in PIECES for a in range(0, len(w) - n + 1, n)]
+    if not pieces or len(m.langs) < 2:
+        return 1.0, 0.0
+    s = Scorer(m).score([t for _, t in pieces])
+    true = np.array([j for j, _ in pieces])[s["of"]]
+    nats = (s["ce"] - s["ce"].min(axis=1, keepdims=True)) * (s["letters"] + s["words"])[:, None]
+    rows = np.arange(len(true))
+
+    def posterior(temper: float) -> np.ndarray:
+        e = np.exp(-np.minimum(temper * nats, 60))
+        return e / e.sum(axis=1, keepdims=True)
+
+    temper = min(TEMPERS, key=lambda t: float(-np.log(posterior(t)[rows, true]).mean()))
+    p = posterior(temper)
+    conf, right = p.max(axis=1), p.argmax(axis=1) == true
+    bins = np.minimum((conf * 10).astype(int), 9)
+    gaps = [abs(conf[bins == k].mean() - right[bins == k].mean()) * (bins == k).mean() for k in range(10) if (bins == k).any()]
+    return temper, float(sum(gaps))
+
+
 class Scorer:
     """Scores texts; remembers the words it has met."""
 
@@ -310,13 +339,17 @@ class Scorer:
         second = np.partition(nats, 1, axis=1)[:, 1]
         whole = ((s["words"] >= MIN_WORDS) & (s["letters"] >= MIN_LETTERS) & (s["han"] * 2 < s["letters"])) | ((s["han"] >= MIN_HAN) & (s["han"] * 2 >= s["letters"]))
         ok = whole & (second >= MIN_NATS) & (least <= self.m.limit[best])
-        conf = 1 / np.exp(-np.minimum(TEMPER * nats, 60)).sum(axis=1)
+        conf = 1 / np.exp(-np.minimum(self.m.temper * nats, 60)).sum(axis=1)
         return s | {"lang": np.where(ok, best, -1), "confidence": conf}
 
 
 def models_from(samples: DataFrame, lang: str = "lang", text: str = "text") -> Models:
-    """Fit on at most FIT_ROWS labelled rows, the first by language and text."""
-    rows = samples.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(lang, text).orderBy(lang, text).limit(FIT_ROWS).collect()
+    """Fit on at most FIT_ROWS labelled rows of each language, those with the least hash of their text."""
+    known = samples.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("l"), F.col(text).alias("t"))
+    if known.select("l").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"at most {MOST_LANGUAGES} languages")
+    turn = F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("t"), "t"))
+    rows = known.withColumn("turn", turn).where(F.col("turn") <= FIT_ROWS).select("l", "t").collect()
     return fit([(r[0], r[1]) for r in rows])
 
 
@@ -341,8 +374,40 @@ def languages(values: DataFrame, models: Models, key: list[str], text: str) -> D
     return values.select(*key, text).mapInArrow(run, schema)
 
 
-def segment_languages(values: DataFrame, models: Models, key: str, text: str) -> DataFrame:
-    """(key, seg_no, segment, lang, confidence): every segment with a word; a null lang is a rejected one."""
+def _with_key(values: DataFrame, key: list[str], more: str) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in values.select(*key).schema.fields) + ", " + more
+
+
+def document_languages(values: DataFrame, models: Models, key: list[str], text: str) -> DataFrame:
+    """``key`` columns, lang, confidence, share: a row for each language of each value; confidence is the mean of its accepted segments', by letters, and share
+    its part of the accepted letters. A value without an accepted segment, null among them, has one row with nulls."""
+    names = models.langs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(models)
+        for b in batches:
+            for lo in range(0, b.num_rows, 2000):
+                part = b.slice(lo, 2000)
+                got = scorer.label([t or "" for t in part.column(text).to_pylist()])
+                ok = got["lang"] >= 0
+                letters, sure = np.zeros((part.num_rows, len(names))), np.zeros((part.num_rows, len(names)))
+                at = (got["of"][ok], got["lang"][ok])
+                np.add.at(letters, at, got["letters"][ok])
+                np.add.at(sure, at, got["letters"][ok] * got["confidence"][ok])
+                row, lang = np.nonzero(letters)
+                none = np.setdiff1d(np.arange(part.num_rows), row)
+                lone = [None] * len(none)
+                conf, share = sure[row, lang] / letters[row, lang], letters[row, lang] / letters[row].sum(axis=1)
+                take = pa.array(np.r_[row, none])
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(k).take(take) for k in key), pa.array([*(names[j] for j in lang), *lone], pa.string()), pa.array([*conf.tolist(), *lone], pa.float64()), pa.array([*share.tolist(), *lone], pa.float64())], names=[*key, "lang", "confidence", "share"]
+                )
+
+    return values.select(*key, text).mapInArrow(run, _with_key(values, key, "lang string, confidence double, share double"))
+
+
+def segment_languages(values: DataFrame, models: Models, key: list[str], text: str) -> DataFrame:
+    """``key`` columns, seg_no, segment, lang, confidence: every segment with a word; a null lang is a rejected one."""
     names = models.langs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,13 +418,12 @@ def segment_languages(values: DataFrame, models: Models, key: str, text: str) ->
                 texts = [t or "" for t in part.column(text).to_pylist()]
                 got = scorer.label(texts)
                 raw = [raw_segments(t) for t in texts]
-                ids = part.column(key).take(pa.array(got["of"]))
+                at = pa.array(got["of"])
                 seg = [raw[i][n].strip() for i, n in zip(got["of"], got["no"], strict=True)]
                 lang = [names[j] if j >= 0 else None for j in got["lang"]]
-                yield pa.RecordBatch.from_arrays([ids, pa.array(got["no"] + 1, pa.int32()), pa.array(seg, pa.string()), pa.array(lang, pa.string()), pa.array(got["confidence"], pa.float64())], names=[key, "seg_no", "segment", "lang", "confidence"])
+                yield pa.RecordBatch.from_arrays([*(part.column(k).take(at) for k in key), pa.array(got["no"] + 1, pa.int32()), pa.array(seg, pa.string()), pa.array(lang, pa.string()), pa.array(got["confidence"], pa.float64())], names=[*key, "seg_no", "segment", "lang", "confidence"])
 
-    kind = values.schema[key].dataType.simpleString()
-    return values.select(key, text).mapInArrow(run, f"`{key}` {kind}, seg_no int, segment string, lang string, confidence double")
+    return values.select(*key, text).mapInArrow(run, _with_key(values, key, "seg_no int, segment string, lang string, confidence double"))
 
 
 def label_language(label: Column) -> Column:

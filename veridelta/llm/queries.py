@@ -45,8 +45,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def p2_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Language and confidence of every segment of the raw texts."""
-    return language.segment_languages(read(spark, sf_dir, "raw"), language.models_from(read(spark, sf_dir, "lang_samples")), "ord", "text")
+    """Language and confidence of every segment of the raw texts and raw_demo claims."""
+    return language.segment_languages(_labelled_values(spark, sf_dir), language.models_from(read(spark, sf_dir, "lang_samples")), ["tab", "ord"], "value")
+
+
+@query
+def p2_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The languages of every raw text and raw_demo claim, with confidence and share."""
+    return language.document_languages(_labelled_values(spark, sf_dir), language.models_from(read(spark, sf_dir, "lang_samples")), ["tab", "ord"], "value")
 
 
 @query
