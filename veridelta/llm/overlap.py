@@ -41,7 +41,7 @@ COMMON = 100_000
 #: A claim's words as bits of so many longs: a bit that only one of two claims has is a word that the other lacks.
 SKETCH = ("s0", "s1", "s2", "s3")
 #: Passages of an automaton and training texts of a cell.
-SHARD_PASSAGES, BLOCK_TEXTS = 16_384, 32_768
+SHARD_PASSAGES, BLOCK_TEXTS = 32_768, 65_536
 #: Pairs that a task checks at once.
 PAIRS = 1_000_000
 
@@ -132,7 +132,7 @@ def _cells(classes: DataFrame, shard_passages: int, block_texts: int) -> DataFra
     some = classes.where("text").select("c1", "c2", F.explode("words").alias("w")).join(asked.select(F.col("words")[0].alias("w")).distinct(), "w", "left_semi")
     found = some.groupBy("c1", "c2").agg(F.collect_set("w").alias("found"))
     texts = classes.where("text").select(*same, "norm").join(found, ["c1", "c2"]).withColumnRenamed("found", "words")
-    sent = texts.select(*same, "words", "norm", F.explode(F.array_distinct(F.transform("words", of))).alias("shard"))
+    sent = texts.select(*same, "words", "norm", F.explode(F.array_distinct(F.transform("words", of))).alias("shard")).withColumn("words", F.filter("words", lambda w: of(w) == F.col("shard")))
     grid = asked.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / shard_passages).alias("rows")).join(sent.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / block_texts).alias("cols")), "shard")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
     a = asked.join(grid, "shard").withColumn("i", F.pmod(F.xxhash64("c1", "words"), "rows").cast("int")).withColumn("j", all_of("cols"))
