@@ -25,7 +25,7 @@ def test_shares_and_caps(spark):
     df, targets = tables(spark)
     for c in ("tokens", "use", "chunk", "k", "_wanted", "h", "slot"):
         df = df.withColumn(c, F.lit(1))
-    out = M.mix(df, targets, VOCABULARY, block=256).cache()
+    out = M.mix(df, targets, VOCABULARY).cache()
     uses = Counter((r.mix_id, r.doc_id) for r in out.collect())
     most = {(m, s): r for m, s, _, r in TARGETS}
     source = {r.doc_id: r.source for r in df.collect()}
@@ -35,6 +35,7 @@ def test_shares_and_caps(spark):
     assert rep[("m", "none")].actual_share == 0 and rep[("m", "none")].drawn == 0
     for (m, s), want in {("m", "a"): 0.625, ("m", "b"): 0.375, ("n", "a"): 0.1, ("n", "c"): 0.9}.items():
         assert rep[(m, s)].actual_share == pytest.approx(want, abs=0.02)
+    assert all(r.spans >= 1 for r in out.collect())
     # every stretch of the mix is mixed
     firsts = out.where("mix_id = 'm' and slot < 40").groupBy("source").agg(F.sum("tokens").alias("t")).collect()
     total = sum(r.t for r in firsts)
@@ -44,9 +45,9 @@ def test_shares_and_caps(spark):
 @needs
 def test_chunks_change_nothing(spark, monkeypatch):
     df, targets = tables(spark)
-    one = M.schedule(spark, {"m": (5000, [("a", 0.0, 0.7), ("b", 0.7, 1.0)], 256)}).collect()
+    one = M.schedule(spark, {"m": (5000, [("a", 0.0, 0.7), ("b", 0.7, 1.0)])}).collect()
     monkeypatch.setattr(M, "CHUNK", 300)
-    two = M.schedule(spark, {"m": (5000, [("a", 0.0, 0.7), ("b", 0.7, 1.0)], 256)}).collect()
+    two = M.schedule(spark, {"m": (5000, [("a", 0.0, 0.7), ("b", 0.7, 1.0)])}).collect()
     assert sorted(map(tuple, one)) == sorted(map(tuple, two))
     k = sorted(r.k for r in two if r.source == "a")
     assert k == list(range(len(k))) and abs(len(k) - 3500) <= 3
@@ -54,6 +55,33 @@ def test_chunks_change_nothing(spark, monkeypatch):
     assert out.groupBy("mix_id", "doc_id", "use").count().where("count > 1").count() == 0
 
 
+def test_schedule_finds_the_source_of_every_point(spark):
+    """Many sources, narrow ones among them: by the table of cells as by walking through the weights."""
+    rng = random.Random(4)
+    w = [rng.random() ** 4 + 1e-5 for _ in range(300)]
+    cum, at = [], 0.0
+    for i, x in enumerate(w):
+        to = 1.0 if i == len(w) - 1 else at + x / sum(w)
+        cum.append((f"s{i:03d}", at, to))
+        at = to
+    got = {r.slot: r.source for r in M.schedule(spark, {"m": (4000, cum), "n": (7, cum[:0] + [("only", 0.0, 1.0)])}).where("mix_id = 'm'").collect()}
+    assert len(got) == 4000
+    for i in range(0, 4000, 7):
+        u = (i + 0.5) * M.GOLDEN % 1.0
+        assert got[i] == next(s for s, _, to in cum if u < to)
+
+
+@needs
+def test_documents_longer_than_a_slot(spark):
+    df = spark.createDataFrame([(i, "a", "mill " * (900 if i % 3 == 0 else 20)) for i in range(60)], "doc_id long, source string, text string")
+    targets = spark.createDataFrame([("m", "a", 1.0, 1)], "mix_id string, source string, target_share double, max_repeats int")
+    rows = M.mix(df, targets, VOCABULARY).collect()
+    starts = {r.slot for r in rows}
+    filled = sum(r.spans - 1 for r in rows)
+    assert max(r.spans for r in rows) >= 4 and len(starts) < max(starts) + 1
+    assert M.report(spark.createDataFrame(rows), targets).first().spanned == filled
+
+
 @needs
 def test_empty_and_bad(spark):
     df, targets = tables(spark)

@@ -1,10 +1,13 @@
 """Problem 8: mixing sources to target weights.
 
-The mix is a row of slots of at most BLOCK tokens, fewer in a mix of few tokens, so that it has SLOTS of them. Slot i takes the point frac((i + 1/2) / golden ratio); the cumulated weights map the
+The mix is a row of slots of BLOCK tokens, at any size of the mix. Slot i takes the point frac((i + 1/2) / golden ratio); the cumulated weights map the
 point to a source, so every stretch of the mix has its shares nearly right. Slots are ranked within their source. A source's
 documents, shuffled anew for each repeat, form one stream that is cut into blocks of equal tokens; the k-th slot of a source
 takes its k-th block. The mix is as long as the scarcest source allows: no document is used more than max_repeats times.
 
+A document stands in the slot that it begins in; one that is longer fills the slots after it too, in which then no document begins. ``spans`` counts
+the slots that it reaches into.
+
 Ranks and running sums are taken in two levels, within chunks of bounded size and over the chunks' totals, so a source that
 holds a third of all rows is spread over many tasks.
 
@@ -25,12 +28,15 @@ from pyspark.sql import functions as F
 from veridelta.llm.sizes import count_tokens
 from veridelta.session import cut
 
-BLOCK, SLOTS, LEAST_BLOCK = 2048, 4000, 16
+#: Tokens of a slot.
+BLOCK = 256
 GOLDEN = (math.sqrt(5) - 1) / 2
 #: Rows of a chunk in which ranks and sums are taken by one task.
 CHUNK = 65_536
 #: Most rows of the table of targets, which is read to the driver.
 TARGETS = 10_000
+#: Parts of 0..1 by which a point finds its source.
+CELLS = 1024
 
 
 def token_sizes(df: DataFrame, vocabulary: str, key: str, source: str, text: str) -> DataFrame:
@@ -44,43 +50,39 @@ def token_sizes(df: DataFrame, vocabulary: str, key: str, source: str, text: str
     return df.select(key, F.col(source).alias("source"), text).mapInArrow(run, f"`{key}` {kind}, source string, tokens long").where("tokens > 0")
 
 
-def plan(targets: list[tuple[str, str, float, int]], have: dict[str, int], most: int) -> dict[str, tuple[int, list[tuple[str, float, float]], int]]:
-    """mix_id -> (slots, [(source, from, to)], block): the weights of the sources that have tokens, cumulated over 0..1, and the
-    tokens of a slot."""
+def plan(targets: list[tuple[str, str, float, int]], have: dict[str, int], block: int) -> dict[str, tuple[int, list[tuple[str, float, float]]]]:
+    """mix_id -> (slots, [(source, from, to)]): the weights of the sources that have tokens, cumulated over 0..1."""
+    of: dict[str, list[tuple[str, float, int]]] = {}
+    for m, s, w, r in targets:
+        if have.get(s, 0) > 0 and w > 0 and r > 0:
+            of.setdefault(m, []).append((s, w, r))
     out = {}
-    for mix in sorted({t[0] for t in targets}):
-        own = sorted((s, w, r) for m, s, w, r in targets if m == mix and have.get(s, 0) > 0 and w > 0 and r > 0)
+    for m in sorted(of):
+        own = sorted(of[m])
         total = sum(w for _, w, _ in own)
-        if not own:
-            continue
-        size = min(have[s] * r * total / w for s, w, r in own)
         cum, at = [], 0.0
         for k, (s, w, _) in enumerate(own):
             to = 1.0 if k == len(own) - 1 else at + w / total
             cum.append((s, at, to))
             at = to
-        block = int(min(most, max(LEAST_BLOCK, size // SLOTS)))
         # the golden-ratio points give a source at most a few slots more than its share
-        slots = int(size // block)
-        while slots > 0 and any(math.ceil(slots * (b - a)) + 2 > have[s] * r // block for (s, a, b), (_, _, r) in zip(cum, own, strict=True)) and slots > 1:
+        slots = int(min(have[s] * r * total / w for s, w, r in own) // block)
+        while slots > 1 and any(math.ceil(slots * (b - a)) + 2 > have[s] * r // block for (s, a, b), (_, _, r) in zip(cum, own, strict=True)):
             slots -= max(1, slots // 500)
-        out[mix] = (max(slots, 1), cum, block)
+        out[m] = (max(slots, 1), cum)
     return out
 
 
-def schedule(spark: SparkSession, mixes: dict[str, tuple[int, list[tuple[str, float, float]], int]]) -> DataFrame:
-    """(mix_id, slot, source, k): the source of each slot and the slot's rank among those of the source, from 0."""
-    parts = []
-    for mix, (slots, cum, _) in mixes.items():
-        u = F.pmod((F.col("id") + 0.5) * F.lit(GOLDEN), F.lit(1.0))
-        source = F
-        for s, _, to in cum:
-            source = source.when(u < to, F.lit(s))
-        parts.append(spark.range(slots).select(F.lit(mix).alias("mix_id"), F.col("id").alias("slot"), source.otherwise(F.lit(cum[-1][0])).alias("source")))
-    all_ = parts[0]
-    for p in parts[1:]:
-        all_ = all_.unionByName(p)
-    all_ = all_.withColumn("chunk", F.floor(F.col("slot") / CHUNK))
+def schedule(spark: SparkSession, mixes: dict[str, tuple[int, list[tuple[str, float, float]]]]) -> DataFrame:
+    """(mix_id, slot, source, k): the source of each slot and the slot's rank among those of the source, from 0. A point looks its source up among the few that
+    reach into its part of 0..1; that table has at most CELLS rows a mix and one a target more."""
+    rows = spark.createDataFrame([(m, n, -(-n // CHUNK)) for m, (n, _) in mixes.items()], "mix_id string, slots long, chunks long")
+    chunks = rows.select("mix_id", "slots", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")).repartition("mix_id", "chunk")
+    points = chunks.select("mix_id", "slots", "chunk", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least((F.col("chunk") + 1) * CHUNK, "slots") - 1)).alias("slot")).drop("slots")
+    points = points.withColumn("u", F.pmod((F.col("slot") + 0.5) * F.lit(GOLDEN), F.lit(1.0))).withColumn("cell", F.floor(F.col("u") * CELLS))
+    parts = [(m, c, s, a, b) for m, (_, cum) in mixes.items() for s, a, b in cum for c in range(int(a * CELLS), min(CELLS - 1, int(b * CELLS)) + 1)]
+    parts = spark.createDataFrame(parts, "mix_id string, cell long, source string, lo double, hi double")
+    all_ = points.join(F.broadcast(parts), ["mix_id", "cell"]).where("lo <= u and u < hi").select("mix_id", "chunk", "slot", "source")
     totals = all_.groupBy("mix_id", "source", "chunk").agg(F.count(F.lit(1)).alias("n"))
     before = totals.withColumn("base", F.sum("n").over(Window.partitionBy("mix_id", "source").orderBy("chunk")) - F.col("n")).drop("n")
     rank = F.row_number().over(Window.partitionBy("mix_id", "source", "chunk").orderBy("slot")) - 1
@@ -88,7 +90,7 @@ def schedule(spark: SparkSession, mixes: dict[str, tuple[int, list[tuple[str, fl
 
 
 def mix(df: DataFrame, targets: DataFrame, vocabulary: str, key: str = "doc_id", source: str = "source", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """(mix_id, slot, place, key, source, use, tokens): the documents of each slot in order; use counts a document's uses from 0.
+    """(mix_id, slot, place, key, source, use, tokens, spans): the documents of each slot in order; use counts a document's uses from 0.
     ``targets``: mix_id, source, target_share, max_repeats."""
     spark = df.sparkSession
     want = [tuple(r) for r in targets.select("mix_id", "source", "target_share", "max_repeats").limit(TARGETS + 1).collect()]
@@ -101,27 +103,38 @@ def mix(df: DataFrame, targets: DataFrame, vocabulary: str, key: str = "doc_id",
     mixes = plan(want, {s: t for s, (t, _) in of.items()}, block)
     if not mixes:
         kind = df.schema[key].dataType.simpleString()
-        return spark.createDataFrame([], f"mix_id string, slot long, place int, `{key}` {kind}, source string, use int, tokens long")
+        return spark.createDataFrame([], f"mix_id string, slot long, place int, `{key}` {kind}, source string, use int, tokens long, spans long")
     slots = cut(schedule(spark, mixes))
-    size = F.create_map(*(F.lit(x) for m, (_, _, b) in mixes.items() for x in (m, b)))
-    need = slots.groupBy("mix_id", "source").agg(F.count(F.lit(1)).alias("blocks")).withColumn("block", F.element_at(size, F.col("mix_id")))
+    need = slots.groupBy("mix_id", "source").agg(F.count(F.lit(1)).alias("blocks"))
     have = spark.createDataFrame([(s, int(t), max(1, math.ceil(n / CHUNK))) for s, (t, n) in of.items()], "source string, total long, chunks int")
-    uses = need.join(F.broadcast(have), "source").withColumn("uses", F.ceil(F.col("blocks") * F.col("block") / F.col("total")).cast("int"))
+    uses = need.join(F.broadcast(have), "source").withColumn("uses", F.ceil(F.col("blocks") * block / F.col("total")).cast("int"))
     drawn = sized.join(F.broadcast(uses), "source").withColumn("use", F.explode(F.sequence(F.lit(0), F.col("uses") - 1)))
     drawn = drawn.withColumn("h", F.xxhash64(F.col(key).cast("string"), "use", "mix_id")).withColumn("chunk", F.pmod("h", "chunks"))
     totals = drawn.groupBy("mix_id", "source", "use", "chunk").agg(F.sum("tokens").alias("t"))
     before = totals.withColumn("base", F.sum("t").over(Window.partitionBy("mix_id", "source").orderBy("use", "chunk")) - F.col("t")).drop("t")
     own = F.sum("tokens").over(Window.partitionBy("mix_id", "source", "use", "chunk").orderBy("h", key)) - F.col("tokens")
-    placed = drawn.withColumn("own", own).join(before, ["mix_id", "source", "use", "chunk"]).withColumn("at", F.col("base") + F.col("own")).withColumn("k", F.floor(F.col("at") / F.col("block"))).where("k < blocks")
-    got = placed.select("mix_id", "source", "k", "at", key, "use", "tokens").join(slots, ["mix_id", "source", "k"])
+    placed = drawn.withColumn("own", own).join(before, ["mix_id", "source", "use", "chunk"]).withColumn("at", F.col("base") + F.col("own")).withColumn("k", F.floor(F.col("at") / block)).where("k < blocks")
+    spans = F.floor((F.col("at") + F.col("tokens") - 1) / block) - F.col("k") + 1
+    got = placed.select("mix_id", "source", "k", "at", key, "use", "tokens", spans.alias("spans")).join(slots, ["mix_id", "source", "k"])
     place = F.row_number().over(Window.partitionBy("mix_id", "slot").orderBy("at", key))
-    return got.select("mix_id", "slot", place.alias("place"), key, "source", "use", "tokens")
+    return got.select("mix_id", "slot", place.alias("place"), key, "source", "use", "tokens", "spans")
 
 
 def report(mixed: DataFrame, targets: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(mix_id, source, target_share, actual_share, tokens, drawn, most_uses) of every target; 0 where nothing was drawn."""
-    uses = mixed.groupBy("mix_id", "source", key).agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n"))
-    of = uses.groupBy("mix_id", "source").agg(F.sum("t").alias("tokens"), F.sum("n").alias("drawn"), F.max("n").alias("most_uses"))
-    got = targets.select("mix_id", "source", "target_share").join(of, ["mix_id", "source"], "left").fillna(0, ["tokens", "drawn", "most_uses"])
+    """(mix_id, source, target_share, actual_share, tokens, drawn, most_uses, spanned) of every target; 0 where nothing was drawn. spanned counts the
+    slots in which no document begins since a longer one fills them."""
+    uses = mixed.groupBy("mix_id", "source", key).agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n"), F.sum(F.col("spans") - 1).alias("s"))
+    of = uses.groupBy("mix_id", "source").agg(F.sum("t").alias("tokens"), F.sum("n").alias("drawn"), F.max("n").alias("most_uses"), F.sum("s").alias("spanned"))
+    got = targets.select("mix_id", "source", "target_share").join(of, ["mix_id", "source"], "left").fillna(0, ["tokens", "drawn", "most_uses", "spanned"])
     total = F.sum("tokens").over(Window.partitionBy("mix_id"))
-    return got.select("mix_id", "source", "target_share", F.when(total > 0, F.col("tokens") / total).otherwise(F.lit(0.0)).alias("actual_share"), "tokens", "drawn", "most_uses")
+    return got.select("mix_id", "source", "target_share", F.when(total > 0, F.col("tokens") / total).otherwise(F.lit(0.0)).alias("actual_share"), "tokens", "drawn", "most_uses", "spanned")
+
+
+def invariants(mixed: DataFrame, df: DataFrame, targets: DataFrame, key: str = "doc_id", source: str = "source") -> DataFrame:
+    """(mix_id, targets, over_used, drawn_twice, strangers) of every mix; the last three are 0 where the mix is right: targets with a document used more than
+    max_repeats times, uses of a document that occur more than once, and rows whose document is of another source."""
+    own = targets.select("mix_id", "source", "max_repeats")
+    uses = mixed.groupBy("mix_id", "source", key).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("use").alias("kinds"))
+    of = uses.join(df.select(F.col(key), F.col(source).alias("_of")), key).groupBy("mix_id", "source").agg(F.max("n").alias("most"), F.sum(F.col("n") - F.col("kinds")).alias("twice"), F.count_if(~F.col("_of").eqNullSafe(F.col("source"))).alias("strange"))
+    got = own.join(of, ["mix_id", "source"], "left").fillna(0, ["most", "twice", "strange"])
+    return got.groupBy("mix_id").agg(F.count(F.lit(1)).alias("targets"), F.count_if(F.col("most") > F.col("max_repeats")).alias("over_used"), F.sum("twice").alias("drawn_twice"), F.sum("strange").alias("strangers"))

@@ -135,3 +135,14 @@ def report(packs: DataFrame, capacities: DataFrame) -> DataFrame:
     return n.join(F.broadcast(capacities.select("pack_id", "capacity_tokens")), "pack_id").select(
         "pack_id", "capacity_tokens", "windows", "tokens", (1 - F.col("tokens") / room).alias("unused_share"), F.ceil(F.col("tokens") / F.col("capacity_tokens")).alias("least_windows")
     )
+
+
+def invariants(packs: DataFrame, capacities: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(pack_id, documents, wrong_documents, over_capacity) of every capacity; the last two are 0 where the packing is right. A document is wrong if its pieces don't
+    follow one another without a gap, or if it is split though it fits."""
+    own = capacities.select("pack_id", "capacity_tokens")
+    one = packs.groupBy("pack_id", key).agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("t"), F.max(F.col("start") + F.col("tokens")).alias("end"), F.max("piece").alias("last"), F.count_distinct("start").alias("starts"))
+    wrong = (F.col("t") != F.col("end")) | (F.col("n") != F.col("last") + 1) | (F.col("starts") != F.col("n")) | ((F.col("n") > 1) & (F.col("t") <= F.col("capacity_tokens")))
+    docs = one.join(F.broadcast(own), "pack_id").groupBy("pack_id").agg(F.count(F.lit(1)).alias("documents"), F.count_if(wrong).alias("wrong_documents"))
+    full = packs.groupBy("pack_id", "window").agg(F.sum("tokens").alias("t")).join(F.broadcast(own), "pack_id").where("t > capacity_tokens").groupBy("pack_id").agg(F.count(F.lit(1)).alias("over_capacity"))
+    return own.select("pack_id").join(docs, "pack_id", "left").join(full, "pack_id", "left").fillna(0)

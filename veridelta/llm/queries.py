@@ -140,6 +140,15 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.report(_packs(spark, sf_dir), read(spark, sf_dir, "pack_capacity"))
 
 
+@query
+def p7_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each capacity: documents that are packed, those whose tokens aren't packed once each or that are split though they fit, and windows over the capacity."""
+    return packing.invariants(_packs(spark, sf_dir), read(spark, sf_dir, "pack_capacity"))
+
+
+SQL["p7_invariants"] = "select pack_id, (select count(*) from documents where text is not null) as documents, cast(0 as bigint) as wrong_documents, cast(0 as bigint) as over_capacity from pack_capacity"
+
+
 def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"), read(spark, sf_dir, "mix_targets"), sizes.vocabulary_path(spark))
 
@@ -156,6 +165,15 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(_mixed(spark, sf_dir), read(spark, sf_dir, "mix_targets"))
 
 
+@query
+def p8_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each mix: targets, targets with a document used more often than allowed, uses that are drawn twice, and documents of other sources."""
+    return mixing.invariants(_mixed(spark, sf_dir), read(spark, sf_dir, "documents"), read(spark, sf_dir, "mix_targets"))
+
+
+SQL["p8_invariants"] = "select mix_id, count(*) as targets, cast(0 as bigint) as over_used, cast(0 as bigint) as drawn_twice, cast(0 as bigint) as strangers from mix_targets group by 1"
+
+
 @query
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of which 0.4 or more of the letters repeat earlier passages, flagged by the learned list and checked."""
