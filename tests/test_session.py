@@ -16,7 +16,7 @@ def test_dropped_checkpoint_is_gone(spark):
 
 
 def test_small_looks_at_rows_and_bytes(spark):
-    hinted = lambda df: "hint" in session.small(df, 10, 60)._jdf.queryExecution().logical().toString().lower()
+    hinted = lambda df: "hint" in session.small(df, 10, 150)._jdf.queryExecution().logical().toString().lower()
     assert hinted(spark.range(10)) and not hinted(spark.range(11)) and hinted(spark.range(0))
     assert not hinted(spark.range(2).withColumn("s", F.expr("repeat('x', 100)")))
 

@@ -56,12 +56,11 @@ def drop(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small(df: DataFrame, rows: int = 200_000, row_bytes: int = 256) -> DataFrame:
-    """``df`` with a broadcast hint if it is counted to have at most ``rows`` rows and its widest row at most ``row_bytes`` bytes as text; else
-    as it is, for the planner to shuffle."""
-    width = F.coalesce(F.max(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))
-    n, w = df.limit(rows + 1).agg(F.count(F.lit(1)), width).first()
-    return F.broadcast(df) if n <= rows and w <= row_bytes else df
+def small(df: DataFrame, rows: int = 1_000_000, size: int = 64 << 20) -> DataFrame:
+    """``df`` with a broadcast hint if it is counted to have at most ``rows`` rows and ``size`` bytes, written as text; else as it is, for the planner to shuffle."""
+    width = F.sum(F.octet_length(F.to_json(F.struct("*"))))
+    n, total = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(width, F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and total <= size else df
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
