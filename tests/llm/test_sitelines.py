@@ -73,3 +73,12 @@ def test_edges(spark):
         df = df.withColumn(c, F.lit(5))
     out = {r.ord: r for r in L.remove_lines(df).collect()}
     assert out[10].text is None and out[0].text == "\n 7 \nbody x" and out[13].text == "" and out[0].src == 5 and out[0]._set == 5 and out[11].text == "Footer"
+
+
+def test_rounds_of_merging_change_nothing(spark):
+    rows = [(i, f"s{i % 7}", "\n".join(["share this", f"line {'abcdefghij'[j % 10] * (1 + i % 13)}"][j % 2] for j in range(6))) for i in range(400)]
+    df = spark.createDataFrame(rows, "ord long, source string, text string").repartition(30)
+    few = lambda **o: sorted(map(tuple, L.summaries(df, **o).where("h is not null").select("src", "h", "n").collect()))
+    assert few() == few(fan=2) == few(fan=5)
+    of = {r.src: r.n for r in L.summaries(df, fan=3).groupBy("src").agg(F.sum("rows").alias("n")).collect()}
+    assert of == {f"s{k}": sum(i % 7 == k for i in range(400)) for k in range(7)}

@@ -1,7 +1,8 @@
 """Problem 6: lines repeated across one source's documents.
 
 First pass: a heavy-hitter summary of line hashes for each source (the counters of Misra and Gries), built inside each
-partition and merged in two rounds, so that no task gets more than the counters of a part of the partitions. Second pass:
+partition, whose rows are sorted by source so that one source's counters are held at a time, and merged in rounds of FAN summaries, so that no task gets
+more than the counters of so many, however many partitions there are. Second pass:
 the lines a summary can't rule out are counted exactly, by their text. Last pass: the confirmed lines, a set of a few per
 source, are taken out of each text.
 
@@ -20,16 +21,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veridelta.session import cut
+from veridelta.session import cut, small
 
 #: A line is repeated from this many rows and this share of its source's rows.
 MIN_ROWS, MIN_SHARE = 5, 0.15
 #: Counters of a summary; its error is at most lines / (COUNTERS + 1).
 COUNTERS = 1024
-#: Parts that a source's summaries are first merged in.
-PARTS = 64
-#: Up to so many confirmed or candidate lines a join is broadcast.
-BROADCAST_ROWS = 200_000
+#: Summaries of a source that one task merges.
+FAN = 64
 NO_SOURCE = "\x00none"
 
 
@@ -53,31 +52,36 @@ def _rows(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
     return df.select(F.col(key).alias("ord"), F.coalesce(source, F.lit(NO_SOURCE)).alias("src"), F.split(text, "\n").alias("lines"))
 
 
-def summaries(df: DataFrame, key: str = "ord", source: str = "source", text: str = "text", counters: int = COUNTERS) -> DataFrame:
+def summaries(df: DataFrame, key: str = "ord", source: str = "source", text: str = "text", counters: int = COUNTERS, fan: int = FAN) -> DataFrame:
     """(src, h, n, err, rows): the merged counters of each source; rows and err are the source's, repeated on each row. The
     row with a null h is there for sources without a line."""
     hashed = _rows(df, key, source, text).select("src", F.array_distinct(F.transform(F.filter(F.transform("lines", normal), lambda x: x != ""), lambda x: F.xxhash64(x))).alias("hs"))
     schema = "src string, part int, h long, n long, err long, rows long"
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state: dict[str, list] = {}
-        for b in batches:
-            src, hs = b.column("src"), b.column("hs").fill_null([]) if b.column("hs").null_count == len(b) else b.column("hs")
-            d = src.dictionary_encode()
-            codes = d.indices.to_numpy()
-            flat = hs.flatten().to_numpy(zero_copy_only=False)
-            sizes = np.nan_to_num(hs.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
-            of = np.repeat(codes, sizes)
-            for c, name in enumerate(d.dictionary.to_pylist()):
-                s = state.setdefault(name, [np.zeros(0, np.int64), np.zeros(0, np.int64), 0, 0])
-                new = flat[of == c]
-                h, n, off = reduce_counters(np.r_[s[0], new], np.r_[s[1], np.ones(len(new), np.int64)], counters)
-                state[name] = [h, n, s[2] + off, s[3] + int((codes == c).sum())]
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId() % PARTS
-        for name, (h, n, err, rows) in state.items():
-            yield _batch(name, part, h, n, err, rows)
+        part = TaskContext.get().partitionId()
+        name, state = None, None
+        for b in batches:
+            hs = b.column("hs")
+            sizes = np.nan_to_num(hs.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+            flat, ends = hs.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes)
+            src = b.column("src").dictionary_encode()
+            codes, names = src.indices.to_numpy(), src.dictionary.to_pylist()
+            edges = [0, *(np.flatnonzero(np.diff(codes)) + 1), len(codes)]
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                if lo == hi:
+                    continue
+                if state is None or names[codes[lo]] != name:
+                    if state is not None:
+                        yield _batch(name, part, *state)
+                    name, state = names[codes[lo]], (np.zeros(0, np.int64), np.zeros(0, np.int64), 0, 0)
+                new = flat[ends[lo] - sizes[lo] : ends[hi - 1]].astype(np.int64)
+                h, n, off = reduce_counters(np.r_[state[0], new], np.r_[state[1], np.ones(len(new), np.int64)], counters)
+                state = (h, n, state[2] + off, state[3] + hi - lo)
+        if state is not None:
+            yield _batch(name, part, *state)
 
     def _batch(name: str, part: int, h: np.ndarray, n: np.ndarray, err: int, rows: int) -> pa.RecordBatch:
         m = len(h) + 1
@@ -87,16 +91,16 @@ def summaries(df: DataFrame, key: str = "ord", source: str = "source", text: str
         own = t.filter(t.column("h").is_valid())
         h, n, off = reduce_counters(own.column("h").to_numpy(), own.column("n").to_numpy(), counters)
         err, rows = (int(np.sum(t.column(c).to_numpy())) for c in ("err", "rows"))
-        return pa.Table.from_batches([_batch(t.column("src")[0].as_py(), 0, h, n, err + off, rows)])
-
-    once = hashed.mapInArrow(first, schema).groupBy("src", "part").applyInArrow(merge, schema)
-    all_ = once.groupBy("src").applyInArrow(merge, schema)
-    return cut(all_.select("src", "h", "n", "err", "rows"))
-
+        return pa.Table.from_batches([_batch(t.column("src")[0].as_py(), t.column("part")[0].as_py(), h, n, err + off, rows)])
 
-def _small(df: DataFrame) -> DataFrame:
-    """``df`` with a broadcast hint if it is counted small enough."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    own = hashed.sortWithinPartitions("src")
+    parts = own.rdd.getNumPartitions()
+    out = own.mapInArrow(first, schema)
+    while True:
+        parts = -(-parts // fan)
+        out = out.withColumn("part", F.floor(F.col("part") / fan).cast("int")).groupBy("src", "part").applyInArrow(merge, schema)
+        if parts <= 1:
+            return cut(out.select("src", "h", "n", "err", "rows"))
 
 
 def repeated_lines(df: DataFrame, key: str = "ord", source: str = "source", text: str = "text", min_rows: int = MIN_ROWS, min_share: float = MIN_SHARE, counters: int = COUNTERS) -> DataFrame:
@@ -106,11 +110,11 @@ def repeated_lines(df: DataFrame, key: str = "ord", source: str = "source", text
     cand = s.where("h is not null").select("src", "h", "n").join(of, "src").where("err < least and n + err >= least").select("src", "h")
     unsure = of.where("err >= least").select("src")
     lines = _rows(df, key, source, text).select("src", F.explode(F.array_distinct(F.filter(F.transform("lines", normal), lambda x: x != ""))).alias("line"))
-    few = lines.withColumn("h", F.xxhash64("line")).join(_small(cand), ["src", "h"], "left_semi").select("src", "line")
+    few = lines.withColumn("h", F.xxhash64("line")).join(small(cand), ["src", "h"], "left_semi").select("src", "line")
     if unsure.limit(1).count():
-        few = few.unionByName(lines.join(_small(unsure), "src", "left_semi"))
+        few = few.unionByName(lines.join(small(unsure), "src", "left_semi"))
     n = few.groupBy("src", "line").agg(F.count(F.lit(1)).alias("n"))
-    return cut(n.join(_small(of.select("src", "rows", "least")), "src").where("n >= least").select("src", "line", "n", "rows"))
+    return cut(n.join(small(of.select("src", "rows", "least")), "src").where("n >= least").select("src", "line", "n", "rows"))
 
 
 def _free(df: DataFrame, name: str) -> str:
@@ -125,7 +129,7 @@ def _with_sets(df: DataFrame, repeated: DataFrame, source: str, to: str) -> Data
     """``df`` with the array ``to`` of its source's repeated lines, null where there are none."""
     src = _free(df, "_src")
     sets = repeated.groupBy(F.col("src").alias(src)).agg(F.collect_set("line").alias(to))
-    return df.join(_small(sets), F.coalesce(df[source], F.lit(NO_SOURCE)) == F.col(src), "left").drop(src)
+    return df.join(small(sets), F.coalesce(df[source], F.lit(NO_SOURCE)) == F.col(src), "left").drop(src)
 
 
 def found_lines(df: DataFrame, key: str = "ord", source: str = "source", text: str = "text", **options) -> DataFrame:
