@@ -36,6 +36,22 @@ def test_equals_cluster_by_cluster(s):
     assert fold(s) == unicodedata.normalize("NFC", L.fold_cluster(s))
 
 
+def test_clusters_are_compiled():
+    """Every base that looks like one with a composed form stands in the table together with the mark."""
+    t = L.compile_table()
+    assert t["e\u0301"] == "é" and t["е\u0301"] == "é" and t["ｅ\u0301"] == "é" and t["𝐞\u0301"] == "é" and t["о\u0308"] == "ö" and t["и\u0306"] == "й"
+    assert sum(len(k) == 2 for k in t) > 5000
+    assert all(L.fold_cluster(k) == v for k, v in t.items() if len(k) == 2)
+
+
+def test_classes(spark):
+    df = spark.createDataFrame([(1, "paper", None), (2, "рарег", "x"), (3, "рaper", "x"), (4, "paper", "ｘ"), (5, None, "")], "ord long, text string, claim string").withColumn("look", F.lit(1)).withColumn("rows", F.lit(1))
+    got = {(r.field, r.ord): r for r in L.look_classes(df).collect()}
+    assert len(got) == 8 and (got[("text", 1)].spellings, got[("text", 1)].rows) == (2, 3) and got[("text", 1)].look == got[("text", 3)].look != got[("text", 2)].look
+    assert (got[("claim", 4)].spellings, got[("claim", 4)].rows) == (2, 3) and got[("claim", 5)].spellings == 1
+    assert L.look_classes(df.limit(0)).count() == 0
+
+
 def test_table_is_checked(monkeypatch):
     assert len(L.compile_table()) > 1000
     monkeypatch.setitem(L.LOOKALIKE, "щ", "Щ")

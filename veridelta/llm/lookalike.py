@@ -1,8 +1,9 @@
 """Problem 4: one form for text that looks the same.
 
-A transducer is compiled once from rules over the Unicode database plus one list of look-alike letters. Its input
-alphabet is grapheme clusters (a base and its combining marks); it matches the longest run of clusters that change,
-rewrites the run in one pass and leaves every other character alone. ``compile_table`` checks the mapping for conflicts.
+A transducer is compiled once from rules over the Unicode database (widths, spaces, joined letters, letters of another font, numerals made of letters) plus
+one list of look-alike letters of other blocks. Its input alphabet is grapheme clusters (a base and its combining marks): single code points, and every base that
+looks like one with a composed form together with the mark. It matches the longest run of clusters that change, rewrites the run in one pass and leaves every other
+character alone. ``compile_table`` checks the mapping for conflicts. Only clusters of several marks are put together when they are met.
 
 Defined results: null stays null, the empty text stays empty, unknown characters pass through; the fold is idempotent.
 """
@@ -20,18 +21,26 @@ from pyspark.sql import types as T
 
 from veridelta.session import cut
 
-# Letters of other blocks drawn like a Latin letter, by block.
+# Letters of other blocks drawn like a Latin letter, or like one another, by block.
 LOOKALIKE = {
     # Cyrillic small
-    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w",
+    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ѵ": "v", "ӏ": "l", "ԍ": "ɢ",
     # Cyrillic capital
-    "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ѕ": "S", "І": "I", "Ј": "J", "Һ": "H", "Ԛ": "Q", "Ԝ": "W",
+    "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ѕ": "S", "І": "I", "Ј": "J", "Һ": "H", "Ԛ": "Q", "Ԝ": "W", "Ѵ": "V", "Ӏ": "I", "Ԍ": "G",
     # Greek
-    "ο": "o", "ν": "v", "ι": "i", "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ϳ": "j",
+    "α": "a", "ο": "o", "ν": "v", "ι": "i", "ρ": "p", "ϱ": "p", "υ": "u", "ϲ": "c", "ϳ": "j", "κ": "к", "τ": "т", "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J",
     # Armenian
-    "օ": "o", "ս": "u", "հ": "h", "ո": "n", "Օ": "O", "Ս": "U",
+    "օ": "o", "ս": "u", "հ": "h", "ո": "n", "ց": "g", "զ": "q", "յ": "j", "Օ": "O", "Ս": "U", "Տ": "S",
+    # Coptic
+    "ⲟ": "o", "ⲣ": "p", "ⲥ": "c", "Ⲃ": "B", "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "Ⲣ": "P", "Ⲥ": "C", "Ⲧ": "T", "Ⲩ": "Y", "Ⲭ": "X", "Ⲍ": "Z",
+    # Lisu
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
+    # Cherokee
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z", "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B",
+    # Small capitals
+    "ᴄ": "c", "ᴏ": "o", "ꜱ": "s", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z", "ʙ": "в", "ʜ": "н", "ᴋ": "к", "ᴍ": "м", "ᴛ": "т", "ᴦ": "г", "ᴨ": "п",
     # Latin extensions without a decomposition
-    "ı": "i", "ɑ": "a", "ɡ": "g", "ℓ": "l",
+    "ı": "i", "ɑ": "a", "ɡ": "g", "ʋ": "u", "ɩ": "i", "ĸ": "к", "ƅ": "ь",
     # Hyphens drawn like the ASCII hyphen
     "‐": "-", "‑": "-", "−": "-",
 }
@@ -47,20 +56,22 @@ def _hidden(o: int) -> bool:
 
 
 def _decomposed(ch: str) -> str:
-    """The characters that ``ch`` is drawn as, by the rules on widths, spaces, joined letters and radicals; else itself."""
+    """The characters that ``ch`` is drawn as, by the rules on widths, fonts, spaces, joined letters, numerals and radicals; else itself."""
     if ud.category(ch) == "Zs":
         return " "
     tag, _, rest = ud.decomposition(ch).partition(" ")
     if not tag.startswith("<"):
         return ch
     to = "".join(chr(int(x, 16)) for x in rest.split())
-    if tag in ("<wide>", "<narrow>"):
+    if tag in ("<wide>", "<narrow>", "<font>"):
         return to
     if tag == "<compat>":
         if 0x2E80 <= ord(ch) <= 0x2FDF:
             return to
         if ud.category(ch)[0] == "L" and len(to) > 1 and all(ud.category(x)[0] == "L" for x in to):
             return to
+        if ud.category(ch) == "Nl" and all(x.isascii() and x.isalpha() for x in to):  # numerals written with letters
+            return to
     return ch
 
 
@@ -75,13 +86,17 @@ def fold_cluster(cluster: str) -> str:
 
 
 def compile_table() -> dict[str, str]:
-    """Single code points that change -> their form. Raises ValueError on a conflict: a form that changes again, an ASCII
-    source, or two cases of one letter that would become equal."""
-    table = {}
+    """Clusters that change -> their form: single code points, and pairs of a base and a mark. Raises ValueError on a conflict: a form that changes
+    again, an ASCII source, or two cases of one letter that would become equal."""
+    table, composed = {}, {}
     for o in range(0x80, LAST + 1):
         if 0x3400 <= o <= 0x9FFF or 0xAC00 <= o <= 0xD7A3 or 0xD800 <= o <= 0xF8FF or 0x20000 <= o <= 0x2F7FF:
             continue
         ch = chr(o)
+        parts = ud.decomposition(ch).split()
+        if len(parts) == 2 and not parts[0].startswith("<") and ud.combining(chr(int(parts[1], 16))):
+            base, mark = (chr(int(x, 16)) for x in parts)
+            composed[LOOKALIKE.get(base, base) + mark] = mark
         to = "" if _hidden(o) else fold_cluster(ch)
         if to != ch:
             table[ch] = to
@@ -93,6 +108,15 @@ def compile_table() -> dict[str, str]:
             raise ValueError(f"{ch!r} and {up!r} both become {to!r}")
     if any(ord(ch) < 0x80 for ch in table):
         raise ValueError("an ASCII character would change")
+    looks: dict[str, list[str]] = {}
+    for ch, to in table.items():
+        if len(to) == 1:
+            looks.setdefault(to, []).append(ch)
+    for pair, mark in composed.items():
+        to = fold_cluster(pair)
+        if fold_cluster(to) != to:
+            raise ValueError(f"{pair!r} -> {to!r} isn't a final form")
+        table.update({base + mark: to for base in (pair[:-1], *looks.get(pair[:-1], ())) if base + mark != to})
     return table
 
 
@@ -120,7 +144,7 @@ class Transducer:
     def __init__(self) -> None:
         self.table = compile_table()
         marks = "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0x300, 0x36F), (0x483, 0x487), (0x1AB0, 0x1AFF), (0x1DC0, 0x1DFF), (0x20D0, 0x20F0), (0x3099, 0x309A), (0xFE20, 0xFE2F)))
-        special = "".join(re.escape(f) if f == t else f"{re.escape(f)}-{re.escape(t)}" for f, t in self._ranges(c for c in self.table if not re.match(f"[{marks}]", c)))
+        special = "".join(re.escape(f) if f == t else f"{re.escape(f)}-{re.escape(t)}" for f, t in self._ranges(c for c in self.table if len(c) == 1 and not re.match(f"[{marks}]", c)))
         self.cluster = re.compile(f"(?s)[{marks}]*[^{marks}][{marks}]*|[{marks}]+")
         self.runs = re.compile(f"(?s)(?:[{special}][{marks}]*|[^{marks}][{marks}]+)+")
         self.known = _Runs(self.table, re.compile(f"(?s)[^{marks}][{marks}]*|[{marks}]+"))
@@ -176,11 +200,8 @@ def long_fields(df: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
     return df.select(F.col(key).alias("ord"), F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields))).alias("x")).select("x.field", "ord", "x.value").where("value is not null")
 
 
-def same_looking_pairs(df: DataFrame, key: str = "ord", fields: tuple[str, ...] = ("text", "claim")) -> DataFrame:
-    """(field, ord_a, ord_b), ord_a < ord_b: values of one field that look the same and aren't equal as strings.
-
-    Only two 128-bit digests a value are kept, in the shared folder, so that texts are folded once. Classes with one
-    spelling are dropped before the pairs are joined; the pairs themselves are the result, however large a class is."""
+def _digests(df: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
+    """(field, ord, form, raw): two 128-bit digests a value, of its form and of itself, in the shared folder, so that texts are folded once."""
     schema = "field string, ord long, form binary, raw binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +214,23 @@ def same_looking_pairs(df: DataFrame, key: str = "ord", fields: tuple[str, ...]
             form = [r if v.isascii() else digest(fold(v).encode("utf-8", "surrogatepass")) for v, r in zip(values, raw, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("field"), b.column("ord"), pa.array(form, pa.binary()), pa.array(raw, pa.binary())], names=["field", "ord", "form", "raw"])
 
-    rows = cut(long_fields(df, key, fields).mapInArrow(run, schema))
+    return cut(long_fields(df, key, fields).mapInArrow(run, schema))
+
+
+def look_classes(df: DataFrame, key: str = "ord", fields: tuple[str, ...] = ("text", "claim")) -> DataFrame:
+    """(field, ord, look, spellings, rows): one row a value. Values of one ``look`` look the same; spellings counts its different strings, rows its values. The
+    form for large collections: as long as the values, however large a class is."""
+    rows = _digests(df, key, fields)
+    of = rows.groupBy("field", "form", "raw").agg(F.count(F.lit(1)).alias("n")).groupBy("field", "form").agg(F.count(F.lit(1)).alias("spellings"), F.sum("n").alias("rows"))
+    return rows.drop("raw").join(of, ["field", "form"]).select("field", "ord", F.lower(F.hex("form")).alias("look"), "spellings", "rows")
+
+
+def same_looking_pairs(df: DataFrame, key: str = "ord", fields: tuple[str, ...] = ("text", "claim")) -> DataFrame:
+    """(field, ord_a, ord_b), ord_a < ord_b: values of one field that look the same and aren't equal as strings.
+
+    Classes with one spelling are dropped before the pairs are joined; the pairs themselves are the result, however large a class is. ``look_classes`` tells the
+    same without pairs."""
+    rows = _digests(df, key, fields)
     mixed = rows.groupBy("field", "form").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("field", "form")
     kept = rows.join(mixed, ["field", "form"], "left_semi")
     a, b = kept.alias("a"), kept.alias("b")

@@ -73,6 +73,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.same_looking_pairs(read(spark, sf_dir, "raw_demo"))
 
 
+@query
+def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every raw_demo value by its look, with the number of spellings and rows of the class."""
+    return lookalike.look_classes(read(spark, sf_dir, "raw_demo"))
+
+
 @query
 def p4_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The one form of every raw_demo value."""
