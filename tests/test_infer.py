@@ -2,17 +2,40 @@ import json
 
 from veridelta.operators import infer as I
 
-PLAN = {"queries": [{"id": "q1", "text": "who", "depends_on": []}, {"id": "q2", "text": "where", "depends_on": ["q1"]}]}
-GOOD = {
-    "queries": [PLAN],
-    "retrieval": [{"status": "answered", "answer": "Ada", "citations": [{"document_id": "d1", "quote": "led by Ada"}]}, {"resolved": True, "search_query": "where Ada"}, {"status": "answered", "answer": "Vale", "citations": [{"document_id": "d2", "quote": "in Vale"}]}],
-    "explanation": [{"explanation": "both", "stance": "supported", "citations": [{"document_id": "d1", "quote": "led by Ada"}, {"document_id": "d2", "quote": "in Vale"}], "evidence_gaps": []}],
-    "verdict": [{"predicted_label": True}],
+# Who built the mill (m) leads to when it burned (w) and who owned it then (o), and both to who was paid (p).
+DIAMOND = {"queries": [{"id": "m", "text": "who built the mill?", "depends_on": []}, {"id": "w", "text": "when did their mill burn?", "depends_on": ["m"]}, {"id": "o", "text": "who owned their mill?", "depends_on": ["m"]}, {"id": "p", "text": "who was paid?", "depends_on": ["w", "o"]}]}
+FOUND = {
+    "who built the mill?": ("page1", "The mill was built by Orla Finch in 1871."),
+    "mill of Orla Finch fire": ("page2", "Fire took the mill on 4 May 1902."),
+    "mill of Orla Finch owner": ("page3", "In 1902 the guild of bakers owned it."),
+    "payment to the guild of bakers 1902": ("page4", "The insurer paid the guild 900 crowns."),
 }
-SEARCH = [{"query": "who", "response": {"documents": [{"id": "d1", "text": "It was led by Ada."}]}}, {"query": "where Ada", "response": {"documents": [{"id": "d2", "text": "Ada lived in Vale."}]}}]
-EMPTY = {
-    "queries": [PLAN], "explanation": [{"explanation": "unknown", "stance": "insufficient_evidence", "citations": [], "evidence_gaps": ["no source"]}], "verdict": [{"predicted_label": None}],
-}
+QUOTES = ["Orla Finch", "4 May 1902", "guild of bakers", "paid the guild"]
+
+
+def answered(k):
+    return {"status": "answered", "answer": QUOTES[k], "citations": [{"document_id": f"page{k + 1}", "quote": QUOTES[k]}]}
+
+
+def resolved(query):
+    return {"resolved": True, "search_query": query}
+
+
+def searches(*queries):
+    return [{"query": q, "response": {"documents": [{"id": FOUND[q][0], "text": FOUND[q][1]}] if q in FOUND else []}} for q in queries]
+
+
+def closing(stance, label, quotes=(), gaps=()):
+    cited = [{"document_id": f"page{k + 1}", "quote": QUOTES[k]} for k in quotes]
+    return {"explanation": [{"explanation": "as found", "stance": stance, "citations": cited, "evidence_gaps": list(gaps)}], "verdict": [{"predicted_label": label}]}
+
+
+ALL = list(FOUND)
+WHOLE = {"queries": [DIAMOND], "retrieval": [answered(0), resolved(ALL[1]), answered(1), resolved(ALL[2]), answered(2), resolved(ALL[3]), answered(3)]} | closing("supported", True, range(4))
+# The owner can't be told from what is found, so nobody is asked who was paid; the fire alone refutes the claim.
+PARTLY = {"queries": [DIAMOND], "retrieval": [answered(0), resolved(ALL[1]), answered(1), resolved("owner in 1902")]} | closing("refuted", False, [1], ["owner"])
+# The step to the fire can't even be put into words.
+STUCK = {"queries": [DIAMOND], "retrieval": [answered(0), {"resolved": False}, resolved(ALL[2]), answered(2)]} | closing("insufficient_evidence", None, (), ["when"])
 
 
 def run(spark, records):
@@ -23,18 +46,27 @@ def run(spark, records):
     return {r.id: r for r in out.collect()}
 
 
-def test_traces(spark):
-    broken = json.loads(json.dumps(GOOD))
-    broken["retrieval"][0]["citations"][0]["quote"] = "led by Eve"
-    wrong = GOOD | {"verdict": [{"predicted_label": False}]}
-    got = run(spark, {"s": (GOOD, SEARCH), "e": (EMPTY, [{"query": "who", "response": {"documents": []}}]), "b": (broken, SEARCH), "w": (wrong, SEARCH), "n": ({}, [])})
-    assert got["s"].predicted_label is True and got["s"].evidence_status == "supported" and got["s"].document_counts == [1, 1] and got["s"].citations == 2
-    assert got["e"].predicted_label is None and got["e"].status == "ok" and got["e"].query_statuses == ["insufficient_evidence", "skipped_dependency"]
-    assert got["b"].status == "failed" and "not in the document" in got["b"].reason
-    assert got["w"].status == "failed" and got["w"].reason.startswith("verdict")
-    assert got["n"].status == "failed" and got["n"].reason.startswith("queries")
+def test_whole_and_partial_traces(spark):
+    got = run(spark, {"whole": (WHOLE, searches(*ALL)), "partly": (PARTLY, searches(ALL[0], ALL[1], "owner in 1902")), "stuck": (STUCK, searches(ALL[0], ALL[2]))})
+    w, p, s = got["whole"], got["partly"], got["stuck"]
+    assert (w.status, w.predicted_label, w.evidence_status, w.query_count, w.citations) == ("ok", True, "supported", 4, 4)
+    assert w.document_counts == [1, 1, 1, 1] and set(w.query_statuses) == {"answered"}
+    assert (p.status, p.predicted_label) == ("ok", False) and p.document_counts == [1, 1, 0, 0]
+    assert p.query_statuses == ["answered", "answered", "insufficient_evidence", "skipped_dependency"]
+    assert (s.status, s.predicted_label) == ("ok", None) and s.query_statuses == ["answered", "insufficient_evidence", "answered", "skipped_dependency"]
 
 
-def test_another_search_than_recorded(spark):
-    got = run(spark, {"s": (GOOD, [SEARCH[1]])})
-    assert got["s"].reason == "search: another query than recorded"
+def test_one_broken_record_leaves_the_others(spark):
+    misquoted = json.loads(json.dumps(WHOLE))
+    misquoted["retrieval"][4]["citations"][0]["quote"] = "guild of brewers"
+    bold = PARTLY | closing("supported", True, [1])
+    flipped = WHOLE | {"verdict": [{"predicted_label": None}]}
+    cyclic = WHOLE | {"queries": [{"queries": DIAMOND["queries"][::-1]}]}
+    short = WHOLE | {"retrieval": WHOLE["retrieval"][:-1]}
+    records = {"whole": (WHOLE, searches(*ALL)), "misquoted": (misquoted, searches(*ALL)), "bold": (bold, searches(ALL[0], ALL[1], "owner in 1902")), "flipped": (flipped, searches(*ALL)), "cyclic": (cyclic, searches(*ALL)), "short": (short, searches(*ALL)), "silent": ({}, [])}
+    got = run(spark, records | {"other": (WHOLE, searches(*ALL[::-1]))})
+    assert got.pop("whole").status == "ok"
+    assert {k: r.reason for k, r in got.items()} == {
+        "misquoted": "citations: not in the document", "bold": "explanation: support with gaps", "flipped": "verdict: another label than the stance", "cyclic": "plan: a dependency that doesn't come first",
+        "short": "retrieval: no answer left", "silent": "queries: no answer left", "other": "search: another query than recorded",
+    }
