@@ -63,13 +63,84 @@ def test_training_learns(monkeypatch):
     assert BT.evaluate(m, pages[50:], [None] * 10, labels[50:])[2] == 0
 
 
-@pytest.mark.skipif(not os.path.isdir("/root/testdata/check_s"), reason="pages aren't here")
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="pages aren't here")
 def test_held_out_accuracy():
-    """Pages of another seed than those of the fit: against the annotation of the whole sample."""
-    import pyarrow.dataset as ds
-
-    rows = ds.dataset("/root/testdata/check_s/raw_with_extraction.parquet").to_table(columns=["source", "text", "metadata"]).to_pylist()
-    rows = [r for r in rows if r["text"]]
-    labels = BT.annotate([(r["source"], r["text"]) for r in rows])
-    p, r, _ = BT.evaluate(B.Model.load(), [r["text"] for r in rows], [(r["metadata"] or {}).get("extraction_method") for r in rows], labels)
-    assert p > 0.998 and r > 0.998
+    """The tenth of the pages that the model wasn't fitted on, against the annotation of the whole sample."""
+    rows = BT.read_rows("/root/testdata/sf0.1/raw_with_extraction.parquet")
+    methods = [(r["metadata"] or {}).get("extraction_method") for r in rows]
+    labels = BT.annotate([(r["source"], r["text"], m) for r, m in zip(rows, methods)])
+    held = [k for k in range(len(rows)) if k % BT.HELD == 0]
+    p, r, _ = BT.evaluate(B.Model.load(), [rows[k]["text"] for k in held], [methods[k] for k in held], [labels[k] for k in held])
+    assert p > 0.995 and r > 0.995
+
+
+# Pages written for this test, in words that the tables don't have; + marks the article's lines.
+BY_HAND = [
+    ("en", """Start page | Weather | Puzzles | Sign in
++The ferry between the two islands was out of service for nine days in March, the harbour office said on Monday.
++
++Its rudder had been damaged by ice, and the only spare part had to come by road from the mainland.
++A reader's letter had claimed that the ship was sold; the register shows no change of owner.
+Read next
+Why the lighthouse keeps its old lamp
+Bakers ask for longer night hours
+Post · Save · Send to a friend
+© 2023 Island Courier. All rights reserved."""),
+    ("de", """Startseite > Region > Fähre fällt aus
+Diese Seite verwendet Cookies. Zustimmen | Ablehnen
++Die Fähre zwischen den beiden Inseln fuhr im März neun Tage lang nicht, teilte das Hafenamt am Montag mit.
++Das Ruder war vom Eis beschädigt worden, und das einzige Ersatzteil musste über die Straße kommen.
+Anzeige
++In einem Leserbrief hieß es, das Schiff sei verkauft; im Register steht davon nichts.
+Teilen: E-Mail · Drucken · Link kopieren
+© 2023 Inselbote. Alle Rechte vorbehalten."""),
+    ("fr", """Accueil · Météo · Jeux · Connexion
++Le bac entre les deux îles est resté à quai neuf jours en mars, a indiqué lundi la capitainerie.
++• le gouvernail
++• la pièce de rechange
++Une lettre de lecteur disait le navire vendu ; le registre ne porte aucun changement.
+À lire également
+Le phare garde sa vieille lampe
+Les boulangers veulent travailler plus tard
+Partager : courriel · imprimer · copier le lien"""),
+    ("zh", """首页 | 天气 | 游戏 | 登录
++港务局周一表示，两岛之间的渡轮三月份停航九天。
++船舵被冰损坏，唯一的备件只能从陆路运来。
++有读者来信称该船已被出售，登记簿上并无变更。
+推荐阅读
+灯塔保留旧灯的原因
+面包师要求延长夜间工作时间
+© 2023 海岛信使。版权所有。"""),
+]
+
+
+def test_pages_labelled_by_hand():
+    """Against labels that the annotator didn't make, on pages of no table: the words are mostly unknown to the model, so context and form must do."""
+    m = B.Model.load()
+    right = total = 0
+    for _, page in BY_HAND:
+        lines = page.split("\n")
+        want = [not x.startswith("+") for x in lines]
+        text = "\n".join(x.removeprefix("+") for x in lines)
+        p = B.read_pages([text], ["html.paragraph_fallback"], B._Places(m.hashes))
+        got = {int(n): bool(q >= 0.5) for n, q in zip(p.line, B.furniture(p, m))}
+        right += sum(got[n] == want[n - 1] for n in got)
+        total += len(got)
+    print("by hand", right, "of", total)
+    assert right / total >= 0.8
+
+
+def test_annotation_needs_no_phrases():
+    """Made-up furniture in made-up words, told from an equally frequent subhead by where it stands and under which extraction it comes."""
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("bdfgklmnprstvz")) + rng.choice(list("aeiou")) for _ in range(3))
+    sentence = lambda: " ".join(word() for _ in range(9)).capitalize() + "."
+    pages, want = [], []
+    for k in range(120):
+        method = B.METHODS[k % 3]
+        lines = [(sentence(), False), ("Zopaki lomu", False), (sentence(), False), ("- ruvo", False), (sentence(), False)]
+        if k % 3 == 2 or (k % 3 == 1 and k % 2):
+            lines = [("Miru · Teka · Sovo", True), *lines[:3], ("Vufa", True), *lines[3:], ("Dagu semo", True), *((" ".join(word() for _ in range(4)).capitalize(), True) for _ in range(2)), ("Nepo 3 kiro", True)]
+        pages.append((f"site_{k % 4}", "\n".join(x for x, _ in lines), method))
+        want.append({i + 1: y for i, (_, y) in enumerate(lines)})
+    assert BT.annotate(pages) == want

@@ -1,7 +1,7 @@
 """Problem 3: page furniture beside the main content.
 
 A recurrent block labeller reads the leaf blocks (non-blank lines) of a whole page. A block's input is the mean of its word
-vectors (found by hash in a sorted array; words outside it share one vector) and a tag-path vector. The tables hold extracted
+vectors (found by hash in a sorted array; a word outside it takes the vector of the bucket that its hash falls in) and a tag-path vector. The tables hold extracted
 text, not markup, so the path is that which extraction leaves to see: the extraction method, the kind of list mark, separators,
 closing punctuation, length, blank lines around, place in the page. A bidirectional LSTM in numpy carries context over the
 page, and a logistic unit labels each block with what stands before and after it.
@@ -37,6 +37,8 @@ CLOSERS = ".。!?！？…\"”»"
 #: Words in a batch that is run together.
 BLOCK_LINES = 60_000
 WIDTH = 33
+#: Vectors of the words that the model's table doesn't hold.
+BUCKETS = 512
 _DIGIT = re.compile(r"\d")
 
 
@@ -86,7 +88,7 @@ def path_vector(line: str, method: int, before: bool, after: bool, place: int, t
 
 @dataclass
 class Model:
-    """Sorted word hashes and their vectors (the last is that of other words), and the two LSTMs' weights."""
+    """Sorted word hashes and their vectors (the last BUCKETS are those of other words), and the two LSTMs' weights."""
 
     hashes: np.ndarray
     words: np.ndarray
@@ -119,7 +121,7 @@ class _Places(dict):
             self.clear()
         h = np.uint64(xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")))
         i = int(np.searchsorted(self.hashes, h))
-        self[w] = i = i if i < len(self.hashes) and self.hashes[i] == h else len(self.hashes)
+        self[w] = i = i if i < len(self.hashes) and self.hashes[i] == h else len(self.hashes) + int(h) % BUCKETS
         return i
 
 

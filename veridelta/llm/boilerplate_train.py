@@ -1,9 +1,13 @@
 """Fits the block labeller: python -m veridelta.llm.boilerplate_train PAGES.parquet [OUT.npz]
 
-The pages carry no labels, so at most FIT_PAGES of them are annotated by a guideline: lines that recur over pages once numbers
-and the site's name are taken out are furniture, save the subheads listed below and list items; after a heading of other
-stories, headlines are furniture as long as they follow; menus are lines of recurring menu words. The annotator looks at the
-whole sample, which a page at hand can't offer; the recurrent model learns to tell the same from one page.
+The pages carry no labels, and no list of phrases makes them: at most FIT_PAGES of them are annotated by what recurs over pages, once numbers, list marks and
+the site's name are taken out of a line. An article's own subheads and list items recur as well; two facts tell furniture from them. It stands outside the
+article, before its first or after its last sentence that occurs on no other page, in EDGE or more of its places; an article's own lines hardly ever do.
+And it is the more frequent the coarser the extraction was (METHODS, from the page's structured data to all its paragraphs), by DEVIATIONS or more, while an
+article's own lines are as frequent under all. A recurring line that is mostly followed by single lines without closing punctuation heads other stories, which go on as long
+as such lines follow. A line of several parts is furniture if half of them are parts that stand outside articles.
+
+The annotator looks at the whole sample, which a page at hand can't offer; the recurrent model learns to tell the same from one page.
 """
 
 from __future__ import annotations
@@ -14,87 +18,111 @@ from collections import Counter
 
 import numpy as np
 
-from veridelta.llm.boilerplate import WIDTH, Model, Pages, _Places, _sigmoid, furniture, padded, read_pages
+from veridelta.llm.boilerplate import BUCKETS, METHODS, WIDTH, Model, Pages, _Places, _sigmoid, furniture, padded, read_pages
 from veridelta.llm.language import LETTERS
 
 FIT_PAGES = 20_000
 DIM, HIDDEN = 20, 24
+#: One page in so many isn't fitted on.
+HELD = 10
+
+#: A line recurs from so many pages; a headline is no story of its own from so many.
+RECURS, HEADLINE = 3, 6
+EDGE, DEVIATIONS = 0.2, 3.0
+#: Characters of a sentence that is the article's.
+SENTENCE = 15
+CLOSED = ".。!?！？"
 
-# Subheads that articles of the seven languages use.
-SUBHEADS = (
-    # en
-    "The numbers", "Background", "How we checked", "Where it came from", "Our finding", "What was said", "Timeline of the claim", "What the record shows",
-    # zh
-    "数字说明", "核查过程", "来源追查", "记录显示", "传播经过", "结论", "网传内容", "背景",
-    # es
-    "Conclusión", "Las cifras", "De dónde salió", "Qué se dijo", "Cómo lo comprobamos", "Lo que consta",
-    # fr
-    "Les chiffres", "L'origine", "Conclusion", "Notre méthode", "Ce que disent les pièces", "Ce qui a été dit",
-    # de
-    "Was belegt ist", "Woher es kam", "Die Zahlen", "Was behauptet wurde", "Wie wir geprüft haben", "Ergebnis",
-    # pt
-    "Conclusão", "De onde veio", "Como apuramos", "O que consta", "Os números", "O que foi dito",
-    # ru
-    "Цифры", "Что говорили", "Как мы проверяли", "Что известно", "Вывод", "Откуда это",
-)
-# Headings of other stories; {site} stands for the site's name.
-HEADINGS = (
-    "Related stories", "You may also like", "Most read this week", "More from {site}", "相关阅读", "猜你喜欢", "本周热门", "{site}更多内容", "Te puede interesar", "Lo más leído",
-    "À lire aussi", "Les plus lus", "Lesen Sie auch", "Meistgelesen", "Leia também", "Mais lidas", "Читайте также", "Самое читаемое",
-)
-
-_ITEM = re.compile(r"^(?:[-•*–·]\s+|\d+[).、]\s*)")
-_LINK = re.compile(r"^(?:[-•›»*–·]\s+)?")
+_LINK = re.compile(r"^(?:[-•›»*–·]\s+|\d+[).、]\s*)?")
+_PARTS = re.compile(r"[·|>/\t｜›]|\s{2,}")
 
 
 def skeleton(line: str, site: str) -> str:
-    s = re.sub(r"\s+", " ", line.strip())
+    s = re.sub(r"\s+", " ", _LINK.sub("", line.strip()))
     if site:
         s = re.sub(re.escape(site), "{site}", s, flags=re.I)
     return re.sub(r"\d[\d,.]*", "#", s)
 
 
-def annotate(pages: list[tuple[str, str]]) -> list[dict[int, bool]]:
-    """Of (source, text): line number -> is furniture."""
-    site = lambda s: (s or "").replace("_", " ").title()
-    seen: Counter[str] = Counter()
-    first = {}
-    for source, text in pages:
-        first.setdefault((source, text.strip().split("\n")[-1], max(text.split("\n"), key=len)), text)  # a page crawled again counts once
-    for (source, _, _), text in first.items():
-        seen.update({skeleton(_LINK.sub("", x.strip()) if _ITEM.match(x.strip()) else x, site(source)) for x in text.split("\n") if x.strip()})
-    subheads, heads = set(SUBHEADS), set(HEADINGS)
-    menu = {k for k, n in seen.items() if n >= 3 and len(k) <= 25 and k not in subheads and k not in heads}
+class Recurrence:
+    """What recurs over pages of (source, text, extraction method), and where."""
+
+    def __init__(self, pages: list[tuple[str, str, str | None]]):
+        once = {(source, text.strip().split("\n")[-1], max(text.split("\n"), key=len)): (source, text, method) for source, text, method in reversed(pages)}  # a page crawled again counts once
+        self.on, self.coarse, self.known, self.outside, self.inside = Counter(), Counter(), Counter(), Counter(), Counter()
+        self.followed, self.headed, self.part_outside, self.part_inside = Counter(), Counter(), Counter(), Counter()
+        prepared = []
+        for source, text, method in once.values():
+            own = [x.strip() for x in text.split("\n") if x.strip()]
+            keys = [skeleton(x, site_name(source)) for x in own]
+            prepared.append((source, own, keys))
+            for k in set(keys):
+                self.on[k] += 1
+                if method in METHODS:
+                    self.known[k] += 1
+                    self.coarse[k] += METHODS.index(method)
+        grades = np.array([METHODS.index(m) for _, _, m in once.values() if m in METHODS] or [0])
+        self.mean, self.deviation = float(grades.mean()), float(grades.std())
+        for source, own, keys in prepared:
+            lone = [i for i, (x, k) in enumerate(zip(own, keys, strict=True)) if x[-1] in CLOSED and len(x) >= SENTENCE and self.pages(k) < RECURS]
+            lo, hi = (lone[0], lone[-1]) if lone else (len(own), -1)
+            for i, (x, k) in enumerate(zip(own, keys, strict=True)):
+                out = not lo <= i <= hi
+                if lone:
+                    (self.outside if out else self.inside)[k] += 1
+                if i + 1 < len(own):
+                    self.followed[k] += 1
+                    self.headed[k] += own[i + 1][-1] not in CLOSED and self.pages(keys[i + 1]) < RECURS
+                for p in parts(x, source):
+                    (self.part_outside if out else self.part_inside)[p] += 1
+
+    def pages(self, k: str) -> int:
+        return self.on[k]
+
+    def is_furniture(self, k: str) -> bool:
+        if self.pages(k) < RECURS:
+            return False
+        apart = self.outside[k] >= EDGE * max(1, self.outside[k] + self.inside[k])
+        n = self.known[k]
+        return apart or (n > 0 and self.coarse[k] - self.mean * n > DEVIATIONS * self.deviation * n**0.5)
+
+    def heads_stories(self, k: str) -> bool:
+        return self.headed[k] * 2 >= max(1, self.followed[k])
+
+    def is_menu(self, ps: list[str]) -> bool:
+        return len(ps) > 1 and sum(self.part_outside[p] + self.part_inside[p] >= RECURS and self.part_outside[p] >= EDGE * (self.part_outside[p] + self.part_inside[p]) for p in ps) * 2 >= len(ps)
+
+
+def site_name(source: str | None) -> str:
+    return (source or "").replace("_", " ").title()
+
+
+def parts(line: str, source: str | None) -> list[str]:
+    """The parts of a line that separators cut, none for an uncut one."""
+    got = [p for p in (skeleton(x, site_name(source)) for x in _PARTS.split(line.strip())) if p]
+    return got if len(got) > 1 else []
+
+
+def annotate(pages: list[tuple[str, str, str | None]]) -> list[dict[int, bool]]:
+    """Of (source, text, extraction method): line number -> is furniture."""
+    seen = Recurrence(pages)
     out = []
-    for source, text in pages:
+    for source, text, _ in pages:
         labels: dict[int, bool] = {}
-        related = False
+        stories = False
         for no, raw in enumerate(text.split("\n"), 1):
             s = raw.strip()
             if not s:
                 continue
-            k = skeleton(s, site(source))
-            item = _ITEM.match(s)
-            body = skeleton(_LINK.sub("", _ITEM.sub("", s)), site(source))
-            closed = s[-1] in ".。!?！？"
-            parts = [x.strip() for x in re.split(r"[·|>/\t]|\s{2,}", s) if x.strip()]
-            if k in heads:
-                labels[no] = related = True
-                continue
-            if k in subheads:
-                labels[no], related = False, False
-            elif item and not closed and (seen[body] >= 3 or body[:1].islower()):
-                labels[no], related = False, False
-            elif seen[k] >= 3 and not s.startswith("›"):
-                labels[no], related = True, False
-            elif len(parts) > 1 and sum(skeleton(x, "") in menu for x in parts) * 2 >= len(parts):
-                labels[no], related = True, False
-            elif s.startswith(("©", "›")):
-                labels[no] = True
-            elif related and not closed and len(s) < 120:
+            k, closed = skeleton(s, site_name(source)), s[-1] in CLOSED
+            if seen.is_furniture(k):
+                labels[no], stories = True, not closed and seen.heads_stories(k)
+            elif seen.is_menu(parts(s, source)):
+                labels[no], stories = True, False
+            elif stories and not closed and seen.pages(k) < HEADLINE:
                 labels[no] = True
             else:
-                labels[no], related = False, False
+                labels[no] = stories = False
         out.append(labels)
     return out
 
@@ -156,7 +184,7 @@ def _sub(p: Pages, which: np.ndarray) -> tuple[Pages, np.ndarray]:
 
 
 def fit(texts: list[str], methods: list[str | None], labels: list[dict[int, bool]], epochs: int = 24, seed: int = 7, batch: int = 96, rate: float = 4e-3) -> Model:
-    """Labels are by line number. Words of four pages or more get a vector; now and then a word is taken for another."""
+    """Labels are by line number. Words of four pages or more get a vector, others that of their bucket; now and then a word is taken for one of the others."""
     import xxhash
 
     rng = np.random.default_rng(seed)
@@ -168,12 +196,13 @@ def fit(texts: list[str], methods: list[str | None], labels: list[dict[int, bool
     p = read_pages(texts, methods, _Places(hashes))
     y = np.array([labels[a][int(b)] for a, b in zip(p.page, p.line, strict=True)], np.float32)
     d = DIM + WIDTH
-    vec = (rng.normal(size=(len(hashes) + 1, DIM)) * 0.3).astype(np.float32)
+    vec = (rng.normal(size=(len(hashes) + BUCKETS, DIM)) * 0.3).astype(np.float32)
     w = [(rng.normal(size=(d + HIDDEN + 1, 4 * HIDDEN)) / np.sqrt(d + HIDDEN)).astype(np.float32) for _ in (0, 1)]
     for x in w:
         x[-1, HIDDEN : 2 * HIDDEN] = 1
     out = (rng.normal(size=2 * HIDDEN + 1) * 0.1).astype(np.float32)
     params, state = [vec, *w, out], {}
+    bucket = np.r_[len(hashes) + (hashes % np.uint64(BUCKETS)).astype(np.int64), len(hashes) + np.arange(BUCKETS)]
     pages = np.unique(p.page)
     for epoch in range(epochs):
         loss = 0.0
@@ -181,7 +210,7 @@ def fit(texts: list[str], methods: list[str | None], labels: list[dict[int, bool
         order = order[np.argsort(rng.integers(0, 4, len(order)), kind="stable")]
         for lo in range(0, len(order), batch):
             q, rows = _sub(p, order[lo : lo + batch])
-            q.words = np.where(rng.random(len(q.words)) < 0.05, len(hashes), q.words)
+            q.words = np.where(rng.random(len(q.words)) < 0.1, bucket[q.words], q.words)
             starts = np.cumsum(q.sizes) - q.sizes
             some = np.flatnonzero(q.sizes)
             mean = np.zeros((len(rows), DIM), np.float32)
@@ -218,15 +247,21 @@ def evaluate(m: Model, texts: list[str], methods: list[str | None], labels: list
     return float((got & y).sum() / max(1, got.sum())), float((got & y).sum() / max(1, y.sum())), int((got != y).sum())
 
 
-def main(path: str, to: str | None = None) -> None:
-    import pyarrow.parquet as pq
+def read_rows(path: str) -> list[dict]:
+    """Pages with a text, at most FIT_PAGES: those with the least hash of their key."""
+    import pyarrow.dataset as ds
+    import xxhash
+
+    rows = ds.dataset(path).to_table(columns=["ord", "source", "text", "metadata"]).to_pylist()
+    return sorted((r for r in rows if r["text"]), key=lambda r: xxhash.xxh3_64_intdigest(str(r["ord"])))[:FIT_PAGES]
 
-    rows = pq.read_table(path, columns=["ord", "source", "text", "metadata"]).to_pylist()
-    rows = sorted((r for r in rows if r["text"]), key=lambda r: r["ord"])[:FIT_PAGES]
+
+def main(path: str, to: str | None = None) -> None:
+    rows = read_rows(path)
     texts, methods = [r["text"] for r in rows], [(r["metadata"] or {}).get("extraction_method") for r in rows]
-    labels = annotate([(r["source"], r["text"]) for r in rows])
-    held = [k for k in range(len(rows)) if k % 10 == 0]
-    used = [k for k in range(len(rows)) if k % 10]
+    labels = annotate([(r["source"], r["text"], m) for r, m in zip(rows, methods, strict=True)])
+    held = [k for k in range(len(rows)) if k % HELD == 0]
+    used = [k for k in range(len(rows)) if k % HELD]
     pick = lambda ks: ([texts[k] for k in ks], [methods[k] for k in ks], [labels[k] for k in ks])
     m = fit(*pick(used))
     print("held out: precision %.5f, recall %.5f, %d blocks differ" % evaluate(m, *pick(held)))
