@@ -77,6 +77,8 @@ def test_text_helpers(spark):
     assert one(spark, "Text. (source: Desk)", X.trailing_source).attribution == "Desk"
     assert one(spark, "Text (source: Desk) goes on", X.trailing_source).attribution is None
     assert one(spark, "Fact check | The title", X.clean_title) == "The title"
+    assert one(spark, "Fact check | The｜title", X.clean_title) == "The｜title"[4:]
+    assert one(spark, " Fact check: the title [x] ", X.clean_title) == "Fact check: the title [x]" and one(spark, "a" * 25 + "|b", X.clean_title) == "a" * 25 + "|b"
     assert one(spark, "{{a|{{b}}}}'''Bold''' [[X|y]] <ref>r</ref>\n== Head ==", X.wikitext) == "Bold y\nHead"
     assert one(spark, "Ada Lovelace (writer)", X.name_variants) == ["Ada Lovelace (writer)", "Ada Lovelace"]
     assert one(spark, "the Old Mill in Port Vale", lambda c: X.capital_ngrams(c, 2)) == ["Old", "Old Mill", "Mill", "Port", "Port Vale", "Vale"]

@@ -58,10 +58,15 @@ def url_host(url: Column) -> Column:
 
 # What verdict words mean.
 VERDICTS = {
-    "true": "true", "mostly true": "true", "correct": "true", "accurate": "true", "属实": "true", "真实": "true",
-    "false": "false", "mostly false": "false", "incorrect": "false", "fake": "false", "pants on fire": "false", "谣言": "false", "虚假": "false", "不实": "false",
-    "mixed": "mixed", "half true": "mixed", "misleading": "mixed", "partly true": "mixed", "误导": "mixed", "部分属实": "mixed",
+    "true": "true", "correct": "true", "real": "true", "mostly true": "true", "真实": "true", "真": "true", "属实": "true",
+    "false": "false", "fake": "false", "incorrect": "false", "mostly false": "false", "谣言": "false", "假": "false", "不实": "false", "虚假": "false",
+    "mixed": "mixed", "mixture": "mixed", "misleading": "mixed", "partly true": "mixed", "部分属实": "mixed", "误导": "mixed",
 }
+# Labels of either truth value, written as text.
+TRUE_LABELS = ("true", "supported", "supports", "real", "真实", "真", "支持")
+FALSE_LABELS = ("false", "refuted", "refutes", "fake", "虚假", "假", "反驳")
+#: Most characters of a banner before a title.
+BANNER = 24
 
 
 def lookup(c: Column, table: dict[str, str]) -> Column:
@@ -71,13 +76,13 @@ def lookup(c: Column, table: dict[str, str]) -> Column:
 
 def verdict(c: Column, table: dict[str, str] = VERDICTS) -> Column:
     """'true', 'false', 'mixed' or null."""
-    return lookup(strip(F.regexp_replace(F.lower(c), r"(?U)[\s_-]+", " ")), table)
+    return lookup(F.regexp_replace(F.lower(strip(c)), r"(?U)[\s_-]+", " "), table)
 
 
 def binary_label(c: Column) -> Column:
     """A label written as text: true, false, or null for anything else (an error to the caller)."""
     low = strip(F.lower(c))
-    return F.when(low.isin("true", "1", "yes", "y", "t", "supported", "real"), True).when(low.isin("false", "0", "no", "n", "f", "refuted", "fake"), False)
+    return F.when(low.isin(*TRUE_LABELS), True).when(low.isin(*FALSE_LABELS), False)
 
 
 def strip_tags(c: Column) -> Column:
@@ -95,10 +100,11 @@ def trailing_source(c: Column) -> Column:
     return F.struct(F.when(hit, F.regexp_extract(c, pattern, 1)).otherwise(c).alias("body"), F.when(hit, F.regexp_extract(c, pattern, 2)).alias("attribution"))
 
 
-def clean_title(c: Column, most: int = 24) -> Column:
-    """Without a banner of at most ``most`` characters before the first bar, colon or closing bracket."""
-    head = F.regexp_extract(c, r"^([^|｜:：】\]]*)[|｜:：】\]]", 1)
-    return F.when((head != "") & (F.length(head) <= most), strip(F.substring(c, F.length(head) + 2, 1_000_000))).otherwise(strip(c))
+def clean_title(c: Column, most: int = BANNER) -> Column:
+    """Without a banner of at most ``most`` characters before the first full-width bar or, where there is none, the first plain bar."""
+    t = strip(c)
+    bar = F.when(F.instr(t, "｜") > 0, F.instr(t, "｜")).otherwise(F.instr(t, "|"))
+    return F.when((bar > 0) & (bar - 1 <= most), strip(F.substr(t, bar + 1))).otherwise(t)
 
 
 def wikitext(c: Column, depth: int = 8) -> Column:

@@ -22,12 +22,12 @@ when try_cast(published_at as date) is null then 'bad_date' when try_cast(publis
 def accept_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles by the first reason to reject them."""
     w = Window.partitionBy("id").orderBy("ord")
-    df = read(spark, sf_dir, "raw").select("id", "ord", "title", "text", "published_at").withColumn("rn", F.row_number().over(w))
+    df = read(spark, sf_dir, "raw").select("id", "ord", "title", F.length("text").alias("n_chars"), "published_at").withColumn("rn", F.row_number().over(w))
     day = D.iso_day(F.col("published_at"))
     return R.reason_counts(
         df,
         [
-            ("no_title", F.col("title").isNull() | (F.trim("title") == "")), ("short_text", F.col("text").isNull() | (F.length("text") < 80)), ("no_date", F.col("published_at").isNull()),
+            ("no_title", F.col("title").isNull() | (F.trim("title") == "")), ("short_text", F.col("n_chars").isNull() | (F.col("n_chars") < 80)), ("no_date", F.col("published_at").isNull()),
             ("bad_date", day.isNull()), ("out_of_range", ~day.between(F.lit("2022-11-01").cast("date"), F.lit("2025-12-31").cast("date"))), ("seen", F.col("rn") > 1),
         ],
     )
@@ -56,14 +56,39 @@ def late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.where((days >= 2) & (seconds > 0)).select("ord", "retrieved_at")
 
 
-@query("""select source_verdict, case lower(trim(source_verdict)) when 'true' then 'true' when 'mostly true' then 'true' when '属实' then 'true' when 'false' then 'false' when 'mostly false' then 'false' when '谣言' then 'false'
-when 'misleading' then 'mixed' when '误导' then 'mixed' when '部分属实' then 'mixed' end verdict, count(*) n from raw group by 1, 2""")
+_VERDICTS = """(values ('true', 'true'), ('correct', 'true'), ('real', 'true'), ('mostly true', 'true'), ('真实', 'true'), ('真', 'true'), ('属实', 'true'),
+('false', 'false'), ('fake', 'false'), ('incorrect', 'false'), ('mostly false', 'false'), ('谣言', 'false'), ('假', 'false'), ('不实', 'false'), ('虚假', 'false'),
+('mixed', 'mixed'), ('mixture', 'mixed'), ('misleading', 'mixed'), ('partly true', 'mixed'), ('部分属实', 'mixed'), ('误导', 'mixed')) v(word, verdict)"""
+
+
+@query(rf"select source_verdict, v.verdict verdict, count(*) n from raw left join {_VERDICTS} on regexp_replace(lower(trim(source_verdict)), '[\s_-]+', ' ', 'g') = v.word group by 1, 2")
 def verdict_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict words and what they mean."""
     df = read(spark, sf_dir, "raw").select("source_verdict", X.verdict(F.col("source_verdict")).alias("verdict"))
     return df.groupBy("source_verdict", "verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
+_WORDS = "True|correct|REAL|mostly_true|Mostly-True|真实|真|属实|false|Fake|incorrect|mostly  false|谣言|假|不实|虚假|mixed|mixture|misleading|partly true|部分属实|误导|accurate|half true|pants on fire|supports|supported|支持|refuted|Refutes|反驳|1|yes|no|0|"
+
+
+@query(f"""with w as (select unnest(string_split('{_WORDS}', '|')) word) select w.word word, v.verdict verdict,
+case when lower(trim(w.word)) in ('true', 'supported', 'supports', 'real', '真实', '真', '支持') then true when lower(trim(w.word)) in ('false', 'refuted', 'refutes', 'fake', '虚假', '假', '反驳') then false end "label"
+from w left join {_VERDICTS} on regexp_replace(lower(trim(w.word)), '[\s_-]+', ' ', 'g') = v.word""")
+def verdict_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every verdict word, and some that are none, means as a verdict and as a binary label."""
+    words = spark.range(1).select(F.explode(F.split(F.lit(_WORDS), "[|]")).alias("word"))
+    return words.select("word", X.verdict(F.col("word")).alias("verdict"), X.binary_label(F.col("word")).alias("label"))
+
+
+@query(r"""with t as (select ord, trim(title) t, claim, source from raw where title is not null), u as (select ord, case ord % 4 when 0 then source || '｜' || t when 1 then source || ' | ' || t when 2 then t || '｜' || source when 3 then t || ': ' || source end t from t)
+select ord, case when strpos(t, '｜') > 0 then case when strpos(t, '｜') - 1 <= 24 then trim(substr(t, strpos(t, '｜') + 1)) else t end when strpos(t, '|') > 0 and strpos(t, '|') - 1 <= 24 then trim(substr(t, strpos(t, '|') + 1)) else t end title from u""")
+def clean_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles with the source set before or after them, without what counts as a banner."""
+    df = read(spark, sf_dir, "raw").where("title is not null").select("ord", X.strip(F.col("title")).alias("t"), "source")
+    bar = F.when(F.col("ord") % 4 == 0, F.concat("source", F.lit("｜"), "t")).when(F.col("ord") % 4 == 1, F.concat("source", F.lit(" | "), "t")).when(F.col("ord") % 4 == 2, F.concat("t", F.lit("｜"), "source")).otherwise(F.concat("t", F.lit(": "), "source"))
+    return df.select("ord", X.clean_title(bar).alias("title"))
+
+
 @query("select source, coalesce(metadata.extraction_method, 'none') \"method\", metadata.date_status date_status, count(*) n, sum(metadata.invalid_jsonld_blocks) bad_blocks from raw_with_extraction group by 1, 2, 3".replace("sum(", "cast(sum(").replace("blocks) bad", "blocks) as bigint) bad"))
 def extraction_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = read(spark, sf_dir, "raw_with_extraction")

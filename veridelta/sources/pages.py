@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-SKIP = frozenset("script style noscript template svg nav footer form button".split())
+# Elements whose text is no part of a page's.
+SKIP = frozenset("script style nav footer aside noscript form button svg".split())
 BLOCK = frozenset("p div section article main h1 h2 h3 h4 h5 h6 li ul ol tr table blockquote header br pre figure".split())
 _MARKED = re.compile(r"(?i)\b(?:article|post|entry|story)[-_]?(?:body|content|text)\b")
 
