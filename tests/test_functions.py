@@ -65,7 +65,7 @@ def test_scoring_url(spark, v, want):
     assert one(spark, v, X.scoring_url) == want
 
 
-@pytest.mark.parametrize("v, want", [("Mostly_False", "false"), (" 属实 ", "true"), ("half-true", "mixed"), ("?", None), (None, None)])
+@pytest.mark.parametrize("v, want", [("Mostly_False", "false"), (" 属实 ", "true"), ("partly-true", "mixed"), ("half-true", None), ("?", None), (None, None)])
 def test_verdict(spark, v, want):
     assert one(spark, v, X.verdict) == want
 

@@ -143,13 +143,34 @@ def test_split_says_when_its_search_was_cut(spark, monkeypatch):
     df = spark.createDataFrame(data, "ord long, hop int, tokens array<string>")
     status = lambda quota: S.disjoint_split(df, "ord", "tokens", "hop", quota)[1]["status"]
     assert status({2: 1, 3: 1}) == "quota_shortfall"
-    monkeypatch.setattr(S, "MOST_VECTORS", 1)
-    assert status({2: 1, 3: 1}) == "quota_shortfall_search_cut"
-    monkeypatch.setattr(S, "MOST_VECTORS", 5000)
     monkeypatch.setattr(S, "MOST_STATES", 1)
     assert status({2: 4, 3: 4}) == "quota_shortfall_search_cut"
 
 
+def test_split_uses_every_kind_of_component(spark):
+    """Thousands of kinds of components, each once: the one kind that meets the quota is found however rare it is."""
+    data, o = [], 0
+    for k in range(300):
+        for h, n in ((2, 40 + k % 17), (3, 50 + k // 17)):
+            for _ in range(n if k else 0):
+                data.append((o, h, [f"t{k}"]))
+                o += 1
+    data += [(o, 2, ["last"]), (o + 1, 3, ["last"]), (o + 2, 3, ["last"])]
+    out, report = S.disjoint_split(spark.createDataFrame(data, "ord long, hop int, tokens array<string>"), "ord", "tokens", "hop", {2: 1, 3: 2})
+    assert report["status"] == "exact_quotas_met" and {r.ord for r in out.where("split = 'test'").collect()} == {o, o + 1, o + 2}
+
+
+def test_numbers_in_two_levels(spark):
+    rng = random.Random(6)
+    data = [(("hot" if rng.random() < 0.7 else rng.choice(["a", "b", None])), x) for x in rng.sample(range(10_000), 800)]
+    got = R.numbered(spark.createDataFrame(data, "g string, v long").repartition(7), ["g"], "v").collect()
+    want = {}
+    for g, v in sorted(data, key=lambda x: x[1]):
+        want[v] = sum(a == g and b < v for a, b in data)
+    assert {r.v: r.number for r in got} == want and len(got) == 800
+    assert R.numbered(spark.createDataFrame([], "g string, v long"), ["g"], "v").count() == 0
+
+
 def test_choose_equals_brute_force():
     kinds, quota = [((1, 0), 2), ((2, 1), 2), ((0, 3), 1), ((9, 0), 1)], (4, 4)
     took, got = S.choose(kinds, quota)

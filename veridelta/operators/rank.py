@@ -1,7 +1,8 @@
 """Ranking, quotas, assembly, dedup and percentiles as DataFrame transforms.
 
 Every 'first' needs an order column, since Spark has no file order. Ranks are always taken within a key; over a whole table
-only ``orderBy().limit()`` is used, which keeps top rows per partition and never gathers the rest in one task."""
+only ``orderBy().limit()`` is used, which keeps top rows per partition and never gathers the rest in one task. Ranks that only matter up to some number are limited by
+it as a literal, so that the plan drops the rest of a group before the shuffle; ranks of all rows of a group are taken in two levels (``numbered``)."""
 
 from __future__ import annotations
 
@@ -10,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veridelta.session import cut
+
 
 def first_by(df: DataFrame, keys: Sequence[str | Column], order: Sequence[str | Column]) -> DataFrame:
     """The first row of each key. A null key is a key."""
@@ -28,7 +31,8 @@ def quota(df: DataFrame, key: str, category: str, order: Sequence[Column], quota
     best = first_by(df, [key], order)
     most = F.element_at(F.create_map(*(F.lit(x) for kv in quotas.items() for x in kv)), F.col(category))
     w = Window.partitionBy(category).orderBy(*order)
-    return best.where(F.col(category).isin(*quotas)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+    ranked = best.where(F.col(category).isin(*quotas)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max(quotas.values(), default=0))
+    return ranked.where(F.col("rank") <= most)
 
 
 def shortfalls(df: DataFrame, category: str, quotas: dict[str, int]) -> DataFrame:
@@ -40,9 +44,10 @@ def shortfalls(df: DataFrame, category: str, quotas: dict[str, int]) -> DataFram
 
 
 def floor_fill(df: DataFrame, category: str, order: Sequence[Column], floor: int, total: int) -> DataFrame:
-    """``floor`` rows of each category first, then the best of the rest up to ``total``; ``is_floor`` says which."""
+    """``floor`` rows of each category first, then the best of the rest up to ``total``; ``is_floor`` says which. A row after the first floor + total of its category
+    can't be among them."""
     w = Window.partitionBy(category).orderBy(*order)
-    ranked = df.withColumn("is_floor", F.row_number().over(w) <= floor)
+    ranked = df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= floor + total).withColumn("is_floor", F.col("_rn") <= floor).drop("_rn")
     return ranked.orderBy(F.col("is_floor").desc(), *order).limit(total)
 
 
@@ -57,26 +62,40 @@ def fill_to_target(parts: Sequence[DataFrame], key: Column, order: str, total: i
 
 def round_robin(df: DataFrame, parent: str, method: str, order: str, methods: Sequence[str]) -> DataFrame:
     """Columns tier, turn and place: first one row of each listed method and parent (methods in order, parents as first seen),
-    then what is left, parent by parent."""
-    rank = F.row_number().over(Window.partitionBy(parent, method).orderBy(order))
-    index = F.coalesce(F.array_position(F.array(*map(F.lit, methods)), F.col(method)), F.lit(0))
-    seen = F.min(order).over(Window.partitionBy(parent))
-    first_turn = (F.col("_k") == 1) & (F.col("_m") > 0)
-    out = df.withColumn("_k", rank).withColumn("_m", index).withColumn("_seen", seen)
-    return out.select(*df.columns, F.when(first_turn, 0).otherwise(1).alias("tier"), F.when(first_turn, F.col("_m")).otherwise(F.lit(0)).cast("int").alias("turn"), F.col("_seen").alias("place"))
+    then what is left, parent by parent. ``order`` is unique. The first rows come from an aggregate and a join, not from a window over a parent's rows."""
+    firsts = df.groupBy(F.col(parent).alias("_p"), F.col(method).alias("_q")).agg(F.min(order).alias("_first"))
+    seen = firsts.groupBy(F.col("_p").alias("_s")).agg(F.min("_first").alias("_seen"))
+    of = firsts.join(seen, F.col("_p").eqNullSafe(F.col("_s"))).drop("_s")
+    out = df.join(of, df[parent].eqNullSafe(F.col("_p")) & df[method].eqNullSafe(F.col("_q")))
+    index = F.coalesce(F.array_position(F.array(*map(F.lit, methods)), df[method]), F.lit(0))
+    first_turn = (df[order] == F.col("_first")) & (index > 0)
+    return out.select(*(df[c] for c in df.columns), F.when(first_turn, 0).otherwise(1).alias("tier"), F.when(first_turn, index).otherwise(F.lit(0)).cast("int").alias("turn"), F.col("_seen").alias("place"))
 
 
 def stratified_sample(df: DataFrame, strata: Sequence[str], key: str, seed: int, size: int) -> DataFrame:
     """Rows taken in turn from the strata, in the order of a hash of seed and key."""
     h = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")), 256)
     w = Window.partitionBy(*strata).orderBy("_h", key)
-    return df.withColumn("_h", h).withColumn("turn", F.row_number().over(w)).orderBy("turn", "_h", key).limit(size).drop("_h")
+    return df.withColumn("_h", h).withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= size).orderBy("turn", "_h", key).limit(size).drop("_h")
+
+
+def numbered(df: DataFrame, group: Sequence[str], order: str, to: str = "number") -> DataFrame:
+    """Column ``to``: the place of each row in its group, from 0. In two levels: rows are cut by ranges of group and order, numbered inside a range and moved by the counts
+    of the group's ranges before it. So a group of any size is numbered by many tasks; the ranges are fixed in the shared folder."""
+    ranges = cut(df.repartitionByRange(*group, order).withColumn("_range", F.spark_partition_id()))
+    counts = ranges.groupBy(*group, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.withColumn("_base", F.sum("_n").over(Window.partitionBy(*group).orderBy("_range")) - F.col("_n"))
+    before = before.select(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(group)), F.col("_range").alias("_r"), "_base")
+    own = ranges.withColumn("_own", F.row_number().over(Window.partitionBy(*group, "_range").orderBy(order)) - 1)
+    on = F.col("_range") == F.col("_r")
+    for i, g in enumerate(group):
+        on = on & own[g].eqNullSafe(F.col(f"_g{i}"))
+    return own.join(before, on).select(*(own[c] for c in df.columns), (F.col("_own") + F.col("_base")).alias(to))
 
 
 def chunked(df: DataFrame, group: Sequence[str], order: str, size: int) -> DataFrame:
     """Chunks of ``size`` rows of each group in order: column chunk, from 0."""
-    w = Window.partitionBy(*group).orderBy(order)
-    return df.withColumn("chunk", F.floor((F.row_number().over(w) - 1) / size))
+    return numbered(df, group, order, "_number").withColumn("chunk", F.floor(F.col("_number") / size)).drop("_number")
 
 
 def percentiles(df: DataFrame, group: Sequence[str], value: str, points: Sequence[int], method: str = "nearest") -> DataFrame:

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from veridelta.operators.graph import components
 from veridelta.session import cut
 
-#: Most kinds of component vectors that the choice looks at, and states it keeps.
-MOST_VECTORS, MOST_STATES = 5_000, 20_000
+#: Most sums that the search keeps.
+MOST_STATES = 20_000
 
 
 def record_components(records: DataFrame, key: str, tokens: str) -> DataFrame:
@@ -59,16 +59,18 @@ def search(kinds: list[tuple[tuple[int, ...], int]], quota: tuple[int, ...]) ->
 
 
 def disjoint_split(records: DataFrame, key: str, tokens: str, hop: str, quota: dict[int, int]) -> tuple[DataFrame, dict]:
-    """(key, component, split) and a report. Only the distinct vectors of components and their numbers reach the driver, at most
-    MOST_VECTORS of them, the most frequent; the rest stay in train. A quota that is missed is a ``quota_shortfall`` only where no
-    vector and no sum was left out, else ``quota_shortfall_search_cut``."""
+    """(key, component, split) and a report. The distinct vectors of components that fit into the quota, and how many there are of each, reach the driver: all of them, and no
+    more than the quota has vectors below it. A quota that is missed is a ``quota_shortfall`` only where no sum was left out of the search, else
+    ``quota_shortfall_search_cut``."""
     hops = sorted(quota)
     of = record_components(records, key, tokens)
     vec = component_vectors(records, of, key, hop, hops)
     cols = [f"h{h}" for h in hops]
     total = sum(F.col(c) for c in cols)
-    kinds = [(tuple(r[c] for c in cols), r["k"]) for r in vec.where(F.col("n") == total).groupBy(*cols).agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("k"), *cols).limit(MOST_VECTORS + 1).collect()]
-    cut_off, kinds = len(kinds) > MOST_VECTORS, kinds[:MOST_VECTORS]
+    fits = (F.col("n") == total) & (total > 0)
+    for h in hops:
+        fits = fits & (F.col(f"h{h}") <= quota[h])
+    kinds = [(tuple(r[c] for c in cols), r["k"]) for r in vec.where(fits).groupBy(*cols).agg(F.count(F.lit(1)).alias("k")).collect()]
     want = tuple(quota[h] for h in hops)
     # a kind never gives more components than its quota can hold
     took, got, pruned = search([(v, min(n, max([0, *(q // x for x, q in zip(v, want, strict=True) if x)]))) for v, n in kinds], want)
@@ -78,9 +80,9 @@ def disjoint_split(records: DataFrame, key: str, tokens: str, hop: str, quota: d
     from pyspark.sql import Window
 
     rank = F.row_number().over(Window.partitionBy(*cols).orderBy("component"))
-    test = vec.where(F.col("n") == total).join(F.broadcast(plan), cols).withColumn("rn", rank).where("rn <= take").select("component", F.lit("test").alias("split"))
+    test = vec.where(F.col("n") == total).join(F.broadcast(plan), cols).withColumn("rn", rank).where(F.col("rn") <= max(took.values(), default=0)).where("rn <= take").select("component", F.lit("test").alias("split"))
     out = of.join(test, "component", "left").select(key, "component", F.coalesce("split", F.lit("train")).alias("split"))
-    status = "exact_quotas_met" if got == want else "quota_shortfall_search_cut" if cut_off or pruned else "quota_shortfall"
+    status = "exact_quotas_met" if got == want else "quota_shortfall_search_cut" if pruned else "quota_shortfall"
     return out, {"quota": dict(zip(hops, want, strict=True)), "test": dict(zip(hops, got, strict=True)), "status": status, "kinds": len(kinds), "taken": sum(Counter(took).values())}
 
 

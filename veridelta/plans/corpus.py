@@ -71,7 +71,7 @@ def verdict_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WORDS = "True|correct|REAL|mostly_true|Mostly-True|真实|真|属实|false|Fake|incorrect|mostly  false|谣言|假|不实|虚假|mixed|mixture|misleading|partly true|部分属实|误导|accurate|half true|pants on fire|supports|supported|支持|refuted|Refutes|反驳|1|yes|no|0|"
 
 
-@query(f"""with w as (select unnest(string_split('{_WORDS}', '|')) word) select w.word word, v.verdict verdict,
+@query(rf"""with w as (select unnest(string_split('{_WORDS}', '|')) word) select w.word word, v.verdict verdict,
 case when lower(trim(w.word)) in ('true', 'supported', 'supports', 'real', '真实', '真', '支持') then true when lower(trim(w.word)) in ('false', 'refuted', 'refutes', 'fake', '虚假', '假', '反驳') then false end "label"
 from w left join {_VERDICTS} on regexp_replace(lower(trim(w.word)), '[\s_-]+', ' ', 'g') = v.word""")
 def verdict_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:

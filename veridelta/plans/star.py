@@ -60,14 +60,16 @@ def depth_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SEEDS = "seeds as (select 'customer:' || c_custkey node from customer)"
 
 
-@query("with " + _EDGES + ", " + _SEEDS + """, adj as (select id, s, t, head node, tail nxt from kg union all select id, s, t, tail, head from kg)
-select node n0, b.node n1, b.nxt n2, least(a.s, b.s) "start", greatest(a.t, b.t) "end" from seeds join adj a using (node) join adj b on b.node = a.nxt where b.nxt <> a.node""".replace("select node n0", "select a.node n0"))
+@query("with " + _EDGES.replace("kg as (", "kg as materialized (") + ", " + _SEEDS + """, adj as materialized (select id, s, t, head node, tail nxt from kg union all select id, s, t, tail, head from kg),
+a as (select seeds.node n0, adj.nxt, adj.s, adj.t from seeds join adj on seeds.node = adj.node)
+select n0, count(*) n, count(*) filter (where greatest(a.s, b.s) <= least(a.t, b.t)) meeting, min(least(a.s, b.s)) "start", max(greatest(a.t, b.t)) "end" from a join adj b on b.node = a.nxt where b.nxt <> a.n0 group by 1""")
 def paths_2hop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Simple paths of two edges from the customers, with their windows."""
+    """Of each customer the simple paths of two edges: their number, how many are of edges whose days meet, and the window over all."""
     seeds = read(spark, sf_dir, "customer").select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("node"))
     p = G.simple_paths(_kg(spark, sf_dir), seeds, 2)
     w = G.path_window(F.col("edges"))
-    return p.select(*(F.get("nodes", i).alias(f"n{i}") for i in range(3)), w["start"].alias("start"), w["end"].alias("end"))
+    one = p.select(F.get("nodes", 0).alias("n0"), G.in_parallel(F.col("edges")).alias("meets"), w["start"].alias("start"), w["end"].alias("end"))
+    return one.groupBy("n0").agg(F.count(F.lit(1)).alias("n"), F.count_if("meets").alias("meeting"), F.min("start").alias("start"), F.max("end").alias("end"))
 
 
 @query("with " + _EDGES + ", " + _SEEDS + """, adj as (select * from (select *, row_number() over (partition by node order by sha256('42:' || id), id) rn from (select id, s, t, head node, tail nxt from kg union all select id, s, t, tail, head from kg)) where rn <= 6),
