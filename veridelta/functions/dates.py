@@ -117,6 +117,36 @@ def grounded(day: Column, text: Column) -> Column:
     return F.regexp_like(text, pattern)
 
 
+def grounded_as(day: Column, precision: Column, text: Column) -> Column:
+    """A day stands in the text at its precision: the year as a number of its own; the month in ISO form, with its English name or in Chinese; the day in the same forms. English
+    names may be cut to three letters (September to four), with a dot. Numbers alone such as 03/04/24 never count."""
+    y, m, d = F.year(day).cast("string"), F.month(day).cast("string"), F.day(day).cast("string")
+    name = F.date_format(day, "MMMM")
+    short = F.when(F.month(day) == 9, "Sept?\\.?").otherwise(F.concat(F.substring(name, 1, 3), F.lit("\\.?")))
+    word = F.concat(F.lit("(?:"), name, F.lit("|"), short, F.lit(")"))
+    gap, nth, alone = F.lit("[\\s\\p{Z}]+"), F.concat(F.lit("0?"), d, F.lit("(?:st|nd|rd|th)?")), lambda c: F.concat(F.lit("(?:^|[^0-9])"), c, F.lit("(?:[^0-9]|$)"))
+    edge, some = F.lit("\\b"), F.lit("[\\s\\p{Z}]*0?")
+    year = alone(y)
+    month = F.concat_ws("|", alone(F.date_format(day, "yyyy-MM")), F.concat(edge, word, gap, y, edge), F.concat(y, F.lit("年"), some, m, F.lit("月")))
+    full = F.concat_ws("|", alone(F.date_format(day, "yyyy-MM-dd")), F.concat(edge, word, gap, nth, F.lit(",?"), gap, y, edge), F.concat(edge, nth, gap, word, F.lit(",?"), gap, y, edge), F.concat(y, F.lit("年"), some, m, F.lit("月"), some, d, F.lit("[日号]")))
+    return F.regexp_like(text, F.concat(F.lit("(?i)"), F.when(precision == "year", year).when(precision == "month", month).when(precision == "day", full)))
+
+
+# Numbers written as words.
+NUMBERS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten")
+
+
+def relative_grounded(day: Column, anchor: Column, offset: Column, anchor_quote: Column, quote: Column) -> Column:
+    """The day is ``offset`` days from an anchor that stands in its own quote, and the quote says so: 'two days after', '2天后'."""
+    n = F.abs(offset)
+    word = F.get(F.array(*map(F.lit, NUMBERS)), n)
+    number = F.when(n < len(NUMBERS), F.concat(F.lit("(?:"), n.cast("string"), F.lit("|"), word, F.lit(")"))).otherwise(n.cast("string"))
+    after = offset >= 0
+    said = F.concat(F.lit("(?i)\\b"), number, F.lit("\\s+days?\\s+"), F.when(after, "(?:after|later|following)").otherwise("(?:before|earlier|prior)"), F.lit("\\b"))
+    chinese = F.concat(n.cast("string"), F.when(after, "天(?:后|之后)").otherwise("天(?:前|之前)"))
+    return (day == F.date_add(anchor, offset.cast("int"))) & grounded_as(anchor, F.lit("day"), anchor_quote) & (F.regexp_like(quote, said) | F.regexp_like(quote, chinese))
+
+
 def wikidata_time(value: Column, grain: Column) -> Column:
     """The partial ISO date of a '+2020-05-00T00:00:00Z' value at precision 9 (year), 10 (month) or 11 (day), never finer than
     what is not zero."""
