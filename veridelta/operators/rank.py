@@ -2,7 +2,7 @@
 
 Every 'first' needs an order column, since Spark has no file order. Ranks are always taken within a key; over a whole table
 only ``orderBy().limit()`` is used, which keeps top rows per partition and never gathers the rest in one task. Ranks that only matter up to some number are limited by
-it as a literal, so that the plan drops the rest of a group before the shuffle; ranks of all rows of a group are taken in two levels (``numbered``)."""
+it as a literal, so that the plan drops the rest of a group before the shuffle; ranks and running sums of all rows of a group are taken in two levels (``before``)."""
 
 from __future__ import annotations
 
@@ -79,18 +79,24 @@ def stratified_sample(df: DataFrame, strata: Sequence[str], key: str, seed: int,
     return df.withColumn("_h", h).withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= size).orderBy("turn", "_h", key).limit(size).drop("_h")
 
 
-def numbered(df: DataFrame, group: Sequence[str], order: str, to: str = "number") -> DataFrame:
-    """Column ``to``: the place of each row in its group, from 0. In two levels: rows are cut by ranges of group and order, numbered inside a range and moved by the counts
-    of the group's ranges before it. So a group of any size is numbered by many tasks; the ranges are fixed in the shared folder."""
-    ranges = cut(df.repartitionByRange(*group, order).withColumn("_range", F.spark_partition_id()))
-    counts = ranges.groupBy(*group, "_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.withColumn("_base", F.sum("_n").over(Window.partitionBy(*group).orderBy("_range")) - F.col("_n"))
-    before = before.select(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(group)), F.col("_range").alias("_r"), "_base")
-    own = ranges.withColumn("_own", F.row_number().over(Window.partitionBy(*group, "_range").orderBy(order)) - 1)
+def before(df: DataFrame, group: Sequence[str], order: Sequence[str], value: Column, to: str = "before") -> DataFrame:
+    """Column ``to``: the sum of ``value`` over the rows before each row of its group (the whole table for no group) in a unique order. In two levels: rows are cut by ranges of
+    group and order, summed inside a range and moved by the sums of the group's ranges before it. So a group of any size is summed by many tasks; the ranges are fixed in the
+    shared folder."""
+    ranges = cut(df.repartitionByRange(*group, *order).withColumn("_range", F.spark_partition_id()).withColumn("_v", value))
+    sums = ranges.groupBy(*group, "_range").agg(F.sum("_v").alias("_s"))
+    base = sums.withColumn("_base", F.sum("_s").over(Window.partitionBy(*group).orderBy("_range")) - F.col("_s"))
+    base = base.select(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(group)), F.col("_range").alias("_r"), "_base")
+    own = ranges.withColumn("_own", F.sum("_v").over(Window.partitionBy(*group, "_range").orderBy(*order)) - F.col("_v"))
     on = F.col("_range") == F.col("_r")
     for i, g in enumerate(group):
         on = on & own[g].eqNullSafe(F.col(f"_g{i}"))
-    return own.join(before, on).select(*(own[c] for c in df.columns), (F.col("_own") + F.col("_base")).alias(to))
+    return own.join(base, on).select(*(own[c] for c in df.columns), (F.col("_own") + F.col("_base")).alias(to))
+
+
+def numbered(df: DataFrame, group: Sequence[str], order: str, to: str = "number") -> DataFrame:
+    """Column ``to``: the place of each row in its group, from 0."""
+    return before(df, group, [order], F.lit(1).cast("long"), to)
 
 
 def chunked(df: DataFrame, group: Sequence[str], order: str, size: int) -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veridelta.operators import build as B
+from veridelta.operators import paths as P
 from veridelta.plans.registry import query
+from veridelta.plans.star import _EDGES, _kg
 from veridelta.session import read
 
 _VERDICT = "case regexp_replace(lower(trim({c})), '[\\s_-]+', ' ', 'g') when 'true' then 'true' when 'correct' then 'true' when 'real' then 'true' when 'mostly true' then 'true' when '真实' then 'true' when '真' then 'true' when '属实' then 'true' when 'false' then 'false' when 'fake' then 'false' when 'incorrect' then 'false' when 'mostly false' then 'false' when '谣言' then 'false' when '假' then 'false' when '不实' then 'false' when '虚假' then 'false' when 'mixed' then 'mixed' when 'mixture' then 'mixed' when 'misleading' then 'mixed' when 'partly true' then 'mixed' when '部分属实' then 'mixed' when '误导' then 'mixed' end"
@@ -96,3 +98,108 @@ def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_GRAPH + "select a key_a, b key_b from bad")
 def graph_contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _graph(spark, sf_dir).contradictions
+
+
+@query("""with g as (select ord, list_transform(reasoning_graph.nodes, lambda z: lower(z.type)) ty, reasoning_graph.edges es from gold where len(reasoning_graph.edges) > 0),
+r as (select *, list_transform(es, lambda e: e.relation) rel from g)
+select ord, list_filter([case when len(list_distinct(list_concat(list_transform(es, lambda e: substr(e.start, 1, 4)), list_transform(es, lambda e: substr(e."end", 1, 4))))) = 1 then 'temporal_synchronization' end,
+case when list_has_any(ty, ['person', 'human']) then 'person_identity_fusion' end, case when list_has_any(ty, ['location', 'place', 'city', 'country']) then 'geospatial_coincidence' end,
+case when list_has_any(rel, ['member_of', 'headquartered_in', 'employed_by', 'founded']) then 'institutional_affiliation' end, case when list_has_any(rel, ['adapted_from']) then 'artifact_adaptation' end,
+case when list_has_any(rel, ['married_to', 'relative_of']) then 'genealogical_linkage' end, case when list_has_any(rel, ['caused_by', 'causes']) then 'event_causality' end, case when list_has_any(rel, ['parallel_to']) then 'role_parallelism' end], lambda x: x is not null) strategies from r""")
+def strategy_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strategies that each gold record's path may serve."""
+    g = F.col("reasoning_graph")
+    tags = P.strategies(F.transform(g["nodes"], lambda z: z["type"]), g["edges"])
+    return read(spark, sf_dir, "gold").where(F.size(g["edges"]) > 0).select("ord", tags.alias("strategies"))
+
+
+_SEED, _DRAWS = 42, 300
+_DRAW = "cast('0x' || substr(md5({}), 1, 12) as bigint)"
+_TYPES = "case split_part(node, ':', 1) when 'customer' then 'person' when 'supplier' then 'organization' when 'part' then 'artifact' else 'event' end"
+
+
+def _numbered_sql(typed: str = "true") -> str:
+    """CTEs, with the condition of a typed edge, up to adj (node, no, nxt, degree, typed, next_degree, next_typed, id, s, t) and places (node, degree, typed)."""
+    return "with " + _EDGES.replace("kg as (", "kg as materialized (") + """, both_ as (select id, s, t, """ + typed + """ ty, head node, tail nxt, 'forward' dir from kg union all select id, s, t, """ + typed + """, tail, head, 'reverse' from kg),
+n as materialized (select *, row_number() over (partition by node order by case when ty then '0' else '1' end || ':' || id || ':' || dir) - 1 as no from both_),
+places as materialized (select node, count(*) degree, count(*) filter (where ty) typed from n group by 1),
+adj as materialized (select n.*, p.degree next_degree, p.typed next_typed from n join places p on n.nxt = p.node)"""
+
+
+def _walk_sql(name: str, hops: int, bias: float | None) -> str:
+    """CTEs {name}0 .. {name}{hops} of walkers: w, nodes, ids, ends, node, degree, typed, from {name} (w, node, degree, typed)."""
+    out = f", {name}0 as materialized (select w, [node] nodes, cast([] as varchar[]) ids, cast([] as date[]) starts, cast([] as date[]) ends, 0 as typed_edges, node, degree, typed from {name})"
+    for k in range(hops):
+        among = "p.degree" if bias is None else f"case when {_DRAW.format(repr(f'{_SEED}:typed:{k}:') + ' || w')} < {int(bias * 2**48)} and p.typed > 0 then p.typed else p.degree end"
+        no = _DRAW.format(repr(f"{_SEED}:step:{k}:") + " || w || ':' || j")
+        out += f""", {name}{k + 1} as materialized (select w, arg_min(x, j).nodes nodes, arg_min(x, j).ids ids, arg_min(x, j).starts starts, arg_min(x, j).ends ends, arg_min(x, j).te typed_edges, arg_min(x, j).nxt node, arg_min(x, j).nd degree, arg_min(x, j).nt typed from (
+select q.w, q.j, {{'nodes': list_append(q.nodes, a.nxt), 'ids': list_append(q.ids, a.id), 'starts': list_append(q.starts, a.s), 'ends': list_append(q.ends, a.t), 'te': q.typed_edges + case when a.ty then 1 else 0 end, 'nxt': a.nxt, 'nd': a.next_degree, 'nt': a.next_typed}} x
+from (select p.*, j, {no} % ({among}) as no from {name}{k} p, (select unnest([0, 1, 2, 3]) j)) q join adj a on a.node = q.node and a.no = q.no where not list_contains(q.nodes, a.nxt)) group by w)"""
+    return out
+
+
+def _sample_sql(hops: int) -> str:
+    starts = f"""line{hops} as (select *, sum(degree) over (order by node) - degree lo, sum(degree) over () total from places),
+d{hops} as (select i, {_DRAW.format(repr(f'{_SEED}:start:') + ' || i')} % (select any_value(total) from line{hops}) u from (select unnest(generate_series(0, {_DRAWS - 1})) i)),
+s{hops} as (select d.i * {P.TRIES} + t.t w, node, degree, typed from d{hops} d join line{hops} on lo <= u and u < lo + degree, (select unnest(generate_series(0, {P.TRIES - 1})) t) t)"""
+    last = f"s{hops}{hops}"
+    return f""", {starts}{_walk_sql(f"s{hops}", hops, None)},
+g{hops} as (select *, list_filter([case when len(list_distinct(list_concat(list_transform(starts, lambda x: year(x)), list_transform(ends, lambda x: year(x))))) = 1 then 'temporal_synchronization' end, case when len(list_filter(nodes, lambda n: n like 'customer:%')) > 0 then 'person_identity_fusion' end], lambda x: x is not null) tags from {last}),
+a{hops} as (select w, nodes, ids, ends, tags[1 + {_DRAW.format(repr(f'{_SEED}:strategy:') + ' || w')} % len(tags)] strategy from g{hops} where len(tags) > 0),
+b{hops} as (select min(w) w from a{hops} group by w // {P.TRIES}),
+c{hops} as (select arg_min(w, w) w, arg_min(nodes, w) nodes, arg_min(strategy, w) strategy, arg_min(list_aggregate(ends, 'max'), w) reference_date, 'path_' || substr(sha256(array_to_string(list_sort(ids), '|')), 1, 20) path_id from a{hops} where w in (select w from b{hops}) group by array_to_string(list_sort(ids), '|'))"""
+
+
+_HOPS = (2, 3, 4, 5)
+
+
+@query(_numbered_sql() + "".join(map(_sample_sql, _HOPS)) + " " + " union all ".join(f"select {h} hops, path_id, w draw, array_to_string(nodes, ' ') nodes, strategy, 'independent' \"mode\", reference_date from c{h}" for h in _HOPS))
+def path_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accepted paths of two to five edges through orders, customers, parts and suppliers, starts drawn by degree."""
+    edges = _kg(spark, sf_dir)
+    types = edges.select(F.explode(F.array("head", "tail")).alias("node")).distinct().withColumn("type", F.expr(_TYPES))
+    adj = P.numbered_edges(edges)
+    parts = [P.sample_paths(edges, types, h, _DRAWS, seed=_SEED, adjacency=adj).select(F.lit(h).alias("hops"), "path_id", "draw", F.array_join("nodes", " ").alias("nodes"), "strategy", "mode", "reference_date") for h in _HOPS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+def _typed_sql(hops: int) -> str:
+    n = _DRAWS * P.TRIES
+    return f""", q{hops} as (select i w, {_DRAW.format(repr(f'{_SEED}:pool:') + ' || i')} < {int(0.8 * 2**48)} ft, {_DRAW.format(repr(f'{_SEED}:start:') + ' || i')} h from (select unnest(generate_series(0, {n - 1})) i)),
+t{hops} as (select w, node, degree, typed from q{hops} join pools on pools.ft = q{hops}.ft and pools.u = q{hops}.h % pools.n){_walk_sql(f"t{hops}", hops, 0.8)},
+u{hops} as (select * from t{hops}{hops} where w in (select min(w) from t{hops}{hops} group by w // {P.TRIES})),
+v{hops} as (select min(w) w from u{hops} group by array_to_string(list_sort(nodes), '|') || '|' || array_to_string(list_sort(ids), '|'))"""
+
+
+@query(
+    _numbered_sql("relation = 'placed_by'") + """, pools as materialized (select false ft, row_number() over (order by node) - 1 u, node, degree, typed, count(*) over () n from places union all select true, row_number() over (order by node) - 1, node, degree, typed, count(*) over () from places where typed > 0)"""
+    + "".join(map(_typed_sql, (2, 4))) + " " + " union all ".join(f"select {h} hops, w draw, array_to_string(nodes, ' ') nodes, cast(typed_edges as bigint) typed_edges from u{h} where w in (select w from v{h})" for h in (2, 4))
+)
+def typed_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Walks of two and four edges that prefer who placed an order to what it holds."""
+    edges = _kg(spark, sf_dir).withColumn("kind", F.when(F.col("relation") == "placed_by", "typed").otherwise("mention"))
+    adj = P.numbered_edges(edges)
+    parts = [P.typed_walks(edges, h, _DRAWS, seed=_SEED, adjacency=adj).select(F.lit(h).alias("hops"), "draw", F.array_join("nodes", " ").alias("nodes"), "typed_edges") for h in (2, 4)]
+    return parts[0].unionByName(parts[1])
+
+
+def _ranked_sql(hops: int, fan: int, gap: int, span: int, budget: int) -> str:
+    out = "with " + _EDGES.replace("kg as (", "kg as materialized (") + """, fr as (select relation, count(*) freq from kg group by 1),
+adj as materialized (select id, relation, freq, year(s) * 12 + month(s) m, head node, tail nxt, 'forward' dir from kg join fr using (relation) union all select id, relation, freq, year(s) * 12 + month(s), tail, head, 'reverse' from kg join fr using (relation)),
+p0 as (select 'customer:' || c_custkey seed, ['customer:' || c_custkey] nodes, cast([] as varchar[]) names, cast([] as varchar[]) rels, cast([] as bigint[]) ms, 'customer:' || c_custkey node, cast(null as bigint) last, '' k from customer)"""
+    for i in range(hops):
+        out += f""", p{i + 1} as materialized (select seed, list_append(nodes, nxt) nodes, list_append(names, id || ':' || dir) names, list_append(rels, relation) rels, list_append(ms, m) ms, nxt node, m last, k || '/' || id || ':' || dir k from (
+select p.*, a.nxt, a.id, a.dir, a.relation, a.m, row_number() over (partition by seed, k order by coalesce(abs(a.m - p.last), 1000000), freq, a.id, a.dir) rn from p{i} p join adj a using (node) where not list_contains(p.nodes, a.nxt)) where rn <= {fan})"""
+    return out + f""", x as (select *, list_sort(ms) z from p{hops}), y as (select *, list_min(list_transform(generate_series(1, len(z) - 1), lambda i: z[i + 1] - z[i])) gap, z[-1] - z[1] span from x),
+w as (select *, {{'g': gap, 's': span, 'n': array_to_string(nodes, '|'), 'e': array_to_string(names, '|')}} o from y where gap <= {gap} and span <= {span}),
+v as (select seed, min(o) o from w group by seed, array_to_string(list_sort(nodes), '|') || '|' || array_to_string(list_sort(rels), '|'))
+select seed, replace(o.n, '|', ' ') nodes, cast(o.g as integer) least_gap, cast(o.s as integer) span from (select *, row_number() over (partition by seed order by o) rn from v) where rn <= {budget}"""
+
+
+@query(_ranked_sql(3, 3, 12, 60, 2))
+def ranked_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two tightest paths of three edges from each customer, prolonged by the three best edges at each step."""
+    edges = _kg(spark, sf_dir).select("id", "head", "relation", "tail", F.col("start").cast("string").alias("date"))
+    seeds = read(spark, sf_dir, "customer").select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("node"))
+    got = P.ranked_paths(edges, seeds, 3, budget=2, fan=3, most_gap=12, most_span=60)
+    return got.select("seed", F.array_join("nodes", " ").alias("nodes"), "least_gap", "span")
