@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veridelta.plans import corpus, datasets, evaluation, facts, graphs, mining, records, star, streams  # noqa: F401
+from veridelta.plans import adapting, corpus, datasets, evaluation, facts, graphs, mining, records, star, streams  # noqa: F401
 from veridelta.plans.registry import QUERIES, SQL
 
 FLAGSHIP = "tp_at_k_by_hop"
