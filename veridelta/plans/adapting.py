@@ -29,7 +29,7 @@ def swap_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _M = "January|February|March|April|May|June|July|August|September|October|November|December"
 _L, _R = "(?:^|[^\\p{L}\\p{N}_])", "(?:[^\\p{L}\\p{N}_]|$)"  # word boundaries where letters of all scripts are word characters
-_RANK = f"""case when regexp_matches(q, '(?i){_L}(?:{_M})\\s+\\d{{1,2}},?\\s+\\d{{4}}{_R}|{_L}\\d{{1,2}}\\s+(?:{_M})\\s+\\d{{4}}{_R}|{_L}\\d{{4}}-\\d{{2}}-\\d{{2}}{_R}') then 3 when regexp_matches(q, '(?i){_L}(?:{_M})\\s+\\d{{4}}{_R}') then 2 when regexp_matches(q, '{_L}(?:1[89]\\d{{2}}|20\\d{{2}}){_R}') then 1 else 0 end"""
+_RANK = f"""case when regexp_matches(q, '(?i){_L}(?:{_M})[\\s\\p{{Z}}]+\\d{{1,2}},?[\\s\\p{{Z}}]+\\d{{4}}{_R}|{_L}\\d{{1,2}}[\\s\\p{{Z}}]+(?:{_M})[\\s\\p{{Z}}]+\\d{{4}}{_R}|{_L}\\d{{4}}-\\d{{2}}-\\d{{2}}{_R}') then 3 when regexp_matches(q, '(?i){_L}(?:{_M})[\\s\\p{{Z}}]+\\d{{4}}{_R}') then 2 when regexp_matches(q, '{_L}(?:1[89]\\d{{2}}|20\\d{{2}}){_R}') then 1 else 0 end"""
 _QUOTES = "f as (select ord, u.i i, pre_extracted.facts[u.i].evidence_quote q, pre_extracted.facts[u.i].time_precision prec, pre_extracted.facts[u.i].start d from raw_demo, unnest(generate_series(1, cast(len(pre_extracted.facts) as bigint))) u(i))"
 
 
