@@ -51,9 +51,9 @@ def swap_pools(claims: DataFrame, claim: str = "claim") -> DataFrame:
 
 def evidence_rank(text: Column) -> Column:
     """The finest date that a text holds: 3 a day, 2 a month, 1 a year, 0 none."""
-    m, gap = D.MONTHS, r"[\s\p{Z}]+"
-    day = rf"(?i)\b(?:{m}){gap}\d{{1,2}},?{gap}\d{{4}}\b|\b\d{{1,2}}{gap}(?:{m}){gap}\d{{4}}\b|\b\d{{4}}-\d{{2}}-\d{{2}}\b"
-    return F.when(text.rlike(day), 3).when(text.rlike(rf"(?i)\b(?:{m}){gap}\d{{4}}\b"), 2).when(text.rlike(r"\b(?:1[89]\d{2}|20\d{2})\b"), 1).otherwise(0)
+    m, gap, lo, hi = D.MONTHS, r"[\s\p{Z}]+", r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"  # letters and digits of all scripts make words
+    day = rf"(?i){lo}(?:{m}){gap}\d{{1,2}},?{gap}\d{{4}}{hi}|{lo}\d{{1,2}}{gap}(?:{m}){gap}\d{{4}}{hi}|{lo}\d{{4}}-\d{{2}}-\d{{2}}{hi}"
+    return F.when(text.rlike(day), 3).when(text.rlike(rf"(?i){lo}(?:{m}){gap}\d{{4}}{hi}"), 2).when(text.rlike(rf"{lo}(?:1[89]\d{{2}}|20\d{{2}}){hi}"), 1).otherwise(0)
 
 
 def upgradable(facts: DataFrame, text: Column, precision: str) -> DataFrame:
