@@ -226,17 +226,40 @@ def test_mentions_of_any_case_script_and_length(spark, rows):
     assert rows(C.mentions(t, n, "k", "t", small=0)) == rows(C.mentions(t, n, "k", "t"))
 
 
+RULES = [
+    ("Mia was born on May 4, 1911, in Oslo", ("born_on", "May 4, 1911", "date", None)), ("born in 1911", ("born_year", "1911", "value", None)), ("Mia died in 1999.", ("died_year", "1999", "value", None)), ("She was a careful printer and a poet", ("is_a", "careful printer", "value", None)),
+    ("Mia founded the Quay Press in 1950", ("founded", "Quay Press", "entity", None)), ("He joined the Old Club.", ("member_of", "Old Club", "entity", None)), ("Mia married Jon Ask and left", ("married_to", "Jon Ask", "entity", None)),
+    ("the son of Ada Oll", ("child_of", "Ada Oll", "entity", None)), ("sister of Eve Oll", ("sibling_of", "Eve Oll", "entity", None)), ("He played a young miller in The Mill, a film", ("acted_in", "The Mill", "entity", "a young miller")),
+    ("directed The Mill", ("directed", "The Mill", "entity", None)), ("won the Salt Prize of 1960", ("won", "Salt Prize", "entity", None)), ("the president of the Salt Board", ("leader_of", "Salt Board", "entity", None)),
+    ("It is headquartered in Port Vale.", ("located_in", "Port Vale", "entity", None)), ("It took place in Upper Vale", ("occurred_in", "Upper Vale", "entity", None)), ("She served as deputy clerk from 1950", ("served_as", "deputy clerk", "value", None)),
+    ("It rained all day", None), ("He married Al", None), (None, None),
+]
+
+
 def test_relation_rules(spark):
-    r = spark.createDataFrame([("Ada resigned from the Old Club on Monday",), ("It rained",), ("x resigned from Ab",)], "s string").select(C.relation(F.col("s"))).collect()
-    assert [x[0] and tuple(x[0]) for x in r] == [("resigned_from", "Old Club"), None, None]
+    got = spark.createDataFrame([(k, s) for k, (s, _) in enumerate(RULES)], "k int, s string").select("k", C.relation(F.col("s")).alias("r")).orderBy("k").collect()
+    assert [g.r and tuple(g.r) for g in got] == [w for _, w in RULES] and len(C.RELATION_RULES) == 23
+
+
+def test_distinctive_names(spark):
+    rows = [("a", "Port Vale (city)", "Vale Town", 5), ("b", "Port  Vale", None, 9), ("c", "Island", None, 1), ("d", "Vale", None, 1), ("e", "Orchard", None, None), ("f", "main page", None, 3), ("g", None, None, 3), ("h", "Abe", None, 2)]
+    names = C.distinctive_names(spark.createDataFrame(rows, "id string, label string, title string, views long"), title="title", views="views")
+    assert {tuple(r) for r in names.collect()} == {("Port Vale", "b", True), ("Vale Town", "a", False), ("Orchard", "e", False)}
+
+
+def test_relation_edges(spark):
+    names = spark.createDataFrame([("Quay Press", "q1", False), ("Salt Board of Vale", "s1", True)], "name string, id string, ambiguous boolean")
+    facts = spark.createDataFrame([("1", "m", "Mia founded the Quay Press in 1950", "1950-03", "month"), ("2", "m", "Mia was born on May 4, 1911", "1900", "year"), ("3", "m", "Mia directed The Mill", None, None), ("4", "m", "born in 1911", "1950", "year"), ("5", "m", "It rained", None, None), ("6", "m", "She was a careful printer.", None, None)], "id string, head string, text string, date string, precision string")
+    got = {r.id: tuple(r)[2:8] for r in C.relation_edges(facts, names).collect()}
+    assert got == {"1": ("founded", "q1", "Quay Press", "entity", "1950-03", "month"), "2": ("born_on", None, "May 4, 1911", "other", "1911-05-04", "day"), "3": ("directed", None, "The Mill", "other", None, None), "4": ("born_year", None, "1911", "value", "1911", "year"), "6": ("is_a", None, "careful printer", "value", None, None)}
 
 
 def test_relations_whatever_the_label(spark, rows, tmp_path):
     from veridelta.plans.mining import relation_mentions
 
     labels = ["en", "eng", "en_GB", "English", None, "fr"]
-    spark.createDataFrame([(i, x, f"Ada{i} resigned from the Old Club on Monday. Rien.") for i, x in enumerate(labels)], "ord long, language string, text string").write.parquet(f"{tmp_path}/raw.parquet")
-    assert rows(relation_mentions(spark, str(tmp_path))) == [("resigned_from", 6, 6, 1)]
+    spark.createDataFrame([(i, x, f"Ada{i} joined the Old Club on Monday. Rien.") for i, x in enumerate(labels)], "ord long, language string, text string").write.parquet(f"{tmp_path}/raw.parquet")
+    assert rows(relation_mentions(spark, str(tmp_path))) == [("member_of", 6, 6, 1)]
 
 
 def test_apply_responses(spark, rows):

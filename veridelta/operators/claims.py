@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
-from veridelta.functions.text import let, squeeze
+from veridelta.functions import text as X
+from veridelta.functions.dates import text_date
+from veridelta.functions.text import SPACE, let, squeeze
 
 #: Words before a quotation that say it is a rumour, looked for in so many characters before it.
 CUES, CUE_REACH, QUOTE_LEAST, QUOTES_KEPT = r"(?i)claim|rumou?r|post|said|alleg|网传|传言|称|声称|谣言", 18, 8, 3
@@ -48,27 +50,45 @@ def mining_reason(title: Column, text: Column) -> Column:
     return F.when(text.isNull() | (F.trim(text) == ""), "no_text").when(~both.rlike(REFUTES), "no_refutation").when(F.size(quote_candidates(text)) == 0, "no_quote")
 
 
-# Ordered: the first rule that finds an object of three or more characters gives the relation.
+_DAY = r"(?:January|February|March|April|May|June|July|August|September|October|November|December) \d{1,2},? \d{4}"
+_NAME = r"([A-Z][A-Za-z'’\-\. ]{2,55}?)(?=[,;()]|\s+(?:and|but|or|who|which|where|when|in|on|at|from|by|for|with|as|of|to)\s|[.!?]|$)"
+# Phrases that state a relation, what its object is, in the order in which they are tried. The object is the last group.
 RELATION_RULES = (
-    ("is_barred_from", r"\bbarred\b.*?\bfrom (?:the )?([A-Z][\w'’-]*(?: [A-Z][\w'’-]*)*)"),
-    ("resigned_from", r"\bresigned from (?:the )?([A-Z][\w'’-]*(?: [A-Z][\w'’-]*)*)"),
-    ("held_office", r"\bappointed head of (?:the )?([A-Z][\w'’-]*(?: [A-Z][\w'’-]*)*)"),
-    ("member_of", r"\bfull member of (?:the )?([A-Z][\w'’-]*(?: [A-Z][\w'’-]*)*)"),
-    ("headquartered_in", r"\bheadquartered in ([A-Z][\w'’-]*(?: [A-Z][\w'’-]*)*)"),
-    ("won", r"\bmain award of (?:the )?([A-Z][\w'’-]*(?: [A-Z][\w'’-]*)*)"),
-    ("founded", r"\bfounded (?:the )?([A-Z][\w'’-]*(?: [A-Z][\w'’-]*)*)"),
-    ("hosted", r"\bhosted (?:the )?([A-Z][\w'’-]*(?: [A-Z][\w'’-]*)*)"),
-    ("endorsed", r"\bendorsed (?:the )?([a-z]+(?: [a-z]+)?)"),
-    ("has_value", r"\bexact total of ([0-9][0-9,]*)"),
+    ("born_on", "date", rf"\bborn on ({_DAY})"),
+    ("born_year", "value", r"\bborn in (\d{4})"),
+    ("died_on", "date", rf"\bdied on ({_DAY})"),
+    ("died_year", "value", r"\bdied in (\d{4})"),
+    ("is_a", "value", r"\b(?:is|was) an? ([a-z][a-z \-]{2,50}?)(?:[.,;]| who| and )"),
+    ("founded", "entity", r"\b(?:founded|co-founded|established|created) (?:the )?" + _NAME),
+    ("member_of", "entity", r"\b(?:member of|joined|belonged to) (?:the )?" + _NAME),
+    ("married_to", "entity", r"\bmarried " + _NAME),
+    ("child_of", "entity", r"\b(?:son|daughter) of " + _NAME),
+    ("parent_of", "entity", r"\b(?:father|mother) of " + _NAME),
+    ("sibling_of", "entity", r"\b(?:brother|sister) of " + _NAME),
+    ("acted_in", "entity", r"\b(?:played|portrayed|starred as) ([^.,;()]{2,50}?) in " + _NAME),
+    ("directed", "entity", r"\bdirected (?:the )?" + _NAME),
+    ("wrote", "entity", r"\b(?:wrote|authored) (?:the )?" + _NAME),
+    ("released", "entity", r"\breleased (?:the )?" + _NAME),
+    ("won", "entity", r"\bwon (?:the )?" + _NAME),
+    ("nominated_for", "entity", r"\bnominated for (?:the )?" + _NAME),
+    ("leader_of", "entity", r"\b(?:CEO|chairman|chairwoman|president|leader|head|director) of (?:the )?" + _NAME),
+    ("worked_for", "entity", r"\b(?:worked for|employed by|worked at) " + _NAME),
+    ("educated_at", "entity", r"\bgraduated from " + _NAME),
+    ("located_in", "entity", r"\b(?:is |was |are |were )?(?:located|based|headquartered) in " + _NAME),
+    ("occurred_in", "entity", r"\b(?:took place|occurred) in " + _NAME),
+    ("served_as", "value", r"\bserved as (?:the )?([a-z][^.,;]{3,60}?)(?:[.,;]| and | from |$)"),
 )
+RELATION = "struct<relation:string,object:string,kind:string,role:string>"
 
 
-def relation(sentence: Column, rules: tuple[tuple[str, str], ...] = RELATION_RULES, least: int = 3) -> Column:
-    """Struct of relation and object by the first rule whose object is long enough; null for none."""
-    out = F.lit(None).cast("struct<relation:string,object:string>")
-    for name, pattern in reversed(rules):
-        got = F.regexp_extract(sentence, "(?U)" + pattern, 1)
-        out = F.when(F.length(got) >= least, F.struct(F.lit(name).alias("relation"), got.alias("object"))).otherwise(out)
+def relation(sentence: Column, rules: tuple[tuple[str, str, str], ...] = RELATION_RULES, least: int = 3) -> Column:
+    """Struct of relation, object, its kind (date, value or entity) and a role, by the first rule whose object is long enough; null for none."""
+    out = F.lit(None).cast(RELATION)
+    for name, kind, pattern in reversed(rules):
+        groups = re.compile(pattern).groups
+        got = F.trim(F.replace(F.regexp_extract(sentence, pattern, groups), F.lit('"'), F.lit("")))
+        role = F.trim(F.regexp_extract(sentence, pattern, 1)) if groups > 1 else F.lit(None).cast("string")
+        out = F.when(F.length(got) >= least, F.struct(F.lit(name).alias("relation"), got.alias("object"), F.lit(kind).alias("kind"), role.alias("role")).cast(RELATION)).otherwise(out)
     return out
 
 
@@ -104,6 +124,44 @@ def mentions(texts: DataFrame, names: DataFrame, key: str, text: str, small: int
     return hit.groupBy(key).agg(ordered.alias("_o")).select(key, F.explode(walk["out"]).alias("m")).select(key, "m.name", "m.start", "m.tokens")
 
 
+# Single words that name nothing by themselves, and labels that aren't names.
+STOP_SINGLE = (
+    "from", "this", "that", "when", "while", "after", "before", "during", "there", "here", "these", "those", "their", "they", "what", "which", "where", "indian", "american", "chinese", "english", "french", "german", "russian",
+    "japanese", "korean", "italian", "spanish", "mexican", "canadian", "australian", "european", "african", "asian", "national", "international", "college", "university", "city", "state", "world", "life", "war", "man", "woman",
+    "king", "queen", "love", "home", "work", "game", "film", "music", "art", "history", "time", "people", "party", "company", "general", "black", "white", "great", "little", "young", "long", "short", "high", "low", "first",
+    "united", "states", "county", "island", "river", "mountain", "house",
+)
+NO_NAMES = ("list", "main page")
+#: Fewest letters of a name, and of one of a single word.
+NAME_LEAST, SINGLE_LEAST = 4, 6
+
+
+def distinctive_names(entities: DataFrame, key: str = "id", label: str = "label", title: str | None = None, views: str | None = None) -> DataFrame:
+    """(name, id, ambiguous): what entities are looked for by. Label and title count without a closing parenthetical; a name needs four letters, a single word six and to be no common
+    one. Of several entities of a name the one of most views stands for it (then of least id), and ``ambiguous`` says so."""
+    names = F.array_distinct(F.array_compact(F.array(*(X.strip(F.regexp_replace(c, r"\s*\([^)]*\)\s*$", "")) for c in (label, title) if c))))
+    seen = F.col(views) if views else F.lit(0)
+    each = entities.select(F.col(key).alias("id"), F.coalesce(seen, F.lit(0)).alias("views"), F.explode(names).alias("n")).withColumn("name", F.regexp_replace("n", SPACE, " "))
+    single = ~F.contains("name", F.lit(" "))
+    good = (F.length("name") >= NAME_LEAST) & ~F.lower("name").isin(*NO_NAMES) & (~single | ((F.length("name") >= SINGLE_LEAST) & ~F.lower("name").isin(*STOP_SINGLE)))
+    return each.where(good).groupBy("name").agg(F.min_by("id", F.struct((-F.col("views")).alias("v"), "id")).alias("id"), (F.count_distinct("id") > 1).alias("ambiguous"))
+
+
+def relation_edges(facts: DataFrame, names: DataFrame, key: str = "id", head: str = "head", text: str = "text", date: str = "date", precision: str = "precision") -> DataFrame:
+    """(key, head, relation, tail, tail_label, tail_type, date, precision, role, ambiguous) of the facts that state a relation. An object that is an entity is looked for among ``names``
+    (name, id, ambiguous; see ``distinctive_names``): the first longest name in it; what isn't found keeps its words. Dates of birth and death are those that are told, others the fact's."""
+    r = facts.select(key, F.col(head).alias("head"), F.col(date).alias("_date"), F.col(precision).alias("_precision"), relation(F.col(text)).alias("r")).where("r is not null")
+    flat = r.select(key, "head", "_date", "_precision", "r.*")
+    found = mentions(flat.where("kind = 'entity'").select(key, "object"), names.select("name"), key, "object")
+    first = found.groupBy(key).agg(F.min_by("name", "start").alias("name")).join(names.select("name", F.col("id").alias("tail"), "ambiguous"), "name").select(key, "name", "tail", "ambiguous")
+    j = flat.join(first, key, "left")
+    told, year = F.col("kind") == "date", F.col("relation").isin("born_year", "died_year")
+    at = F.when(told, text_date(F.col("object"), F.col("_date"))).when(year, F.col("object")).otherwise(F.col("_date"))
+    how = F.when(told, F.when(F.length(at) == 10, "day").otherwise("year")).when(year, "year").otherwise(F.col("_precision"))
+    kind = F.when(F.col("tail").isNotNull(), "entity").when(F.col("kind") == "value", "value").otherwise("other")
+    return j.select(key, "head", "relation", "tail", F.coalesce("name", "object").alias("tail_label"), kind.alias("tail_type"), at.alias("date"), how.alias("precision"), "role", F.coalesce("ambiguous", F.lit(False)).alias("ambiguous"))
+
+
 # Span edits: each strategy finds places in a text and says what to put there. Choices come from a generator seeded by key and
 # strategy, so a claim's variants don't depend on what else is in the table.
 _MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")

@@ -161,12 +161,12 @@ def document_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.cube("kind", "lang").agg(F.count(F.lit(1)).alias("n"), F.count("text").alias("with_text"), F.count("title").alias("with_title"), F.sum("n_chars").alias("chars"))
 
 
-@query(r"""with g as (select doc_id, regexp_extract_all(text, '[\p{L}\p{N}_''’-]+') t from documents where text is not null and lang = 'en'),
+@query(r"""with g as (select doc_id, regexp_extract_all(text, '[\p{L}\p{N}_''’-]+') t from documents where text is not null),
 s as (select doc_id, u.i i, list_slice(t, u.i, u.i + n.n - 1) w, n.n n, len(t) m from g, unnest(generate_series(1, len(t))) u(i), (select unnest([1, 2, 3]) n) n)
 select array_to_string(w, ' ') phrase, count(distinct doc_id) docs from s where len(w) = n and len(list_filter(w, lambda x: not regexp_matches(x, '^\p{Lu}'))) = 0 group by 1 having count(distinct doc_id) >= 5""")
 def capital_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Capitalised phrases of up to three words that five or more English documents hold."""
-    df = read(spark, sf_dir, "documents").where("lang = 'en' and text is not null").select("doc_id", F.explode(F.array_distinct(X.capital_ngrams(F.col("text"), 3))).alias("phrase"))
+    """Capitalised phrases of up to three words that five or more documents hold."""
+    df = read(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.explode(F.array_distinct(X.capital_ngrams(F.col("text"), 3))).alias("phrase"))
     return df.groupBy("phrase").agg(F.count(F.lit(1)).alias("docs")).where("docs >= 5")
 
 
@@ -216,11 +216,12 @@ def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "raw").select("ord", plain.alias("article_id"), X.stable_id("claim_", s, u, compact=True).alias("compact_id"), X.stable_id("c_", s, u).alias("spaced_id"))
 
 
-@query(r"""select ord, len(list_distinct(regexp_extract_all(text, '[0-9]{4}年[0-9]{1,2}月[0-9]{1,2}日'))) han_days, len(list_distinct(regexp_extract_all(regexp_replace(text, '[0-9]{4}年[0-9]{1,2}月[0-9]{1,2}日', '#', 'g'), '\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b'))) iso_days from raw where language = 'zh' and text is not null and not regexp_matches(text, '[0-9]{4}-[0-9]{2}-[0-9]{2}[0-9-]|[0-9-][0-9]{4}-[0-9]{2}-')""")
+@query(r"""with a as (select ord, text, regexp_replace(text, '[0-9]{4}年[0-9]{1,2}月[0-9]{1,2}日', '#', 'g') rest from raw where text is not null),
+b as (select *, list_filter(regexp_extract_all(rest, '[0-9-]+'), lambda x: regexp_full_match(x, '[0-9]{4}-[0-9]{2}-[0-9]{2}')) iso, regexp_replace(rest, '月([0-9])', '月^\1', 'g') marked from a)
+select ord, len(list_distinct(regexp_extract_all(text, '[0-9]{4}年[0-9]{1,2}月[0-9]{1,2}日'))) han_days, len(list_distinct(iso)) iso_days, len(list_distinct(list_filter(regexp_extract_all(marked, '[0-9]{4}年[0-9]{1,2}月\^?'), lambda x: not suffix(x, '^')))) han_months from b""")
 def date_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct dates of Chinese articles by kind, each looked for in what the kinds before it left over."""
-    odd = "[0-9]{4}-[0-9]{2}-[0-9]{2}[0-9-]|[0-9-][0-9]{4}-[0-9]{2}-"
-    df = read(spark, sf_dir, "raw").where((F.col("language") == "zh") & F.col("text").isNotNull() & ~F.col("text").rlike(odd))
+    """Distinct dates of all articles by kind, each looked for in what the kinds before it left over."""
     found = D.date_mentions(F.col("text"))
     kind = lambda test: F.size(F.filter(found, test)).cast("long")
-    return df.select("ord", kind(lambda x: F.contains(x["raw"], F.lit("日"))).alias("han_days"), kind(lambda x: F.contains(x["raw"], F.lit("-"))).alias("iso_days"))
+    days, iso = lambda x: F.contains(x["raw"], F.lit("日")), lambda x: F.contains(x["raw"], F.lit("-"))
+    return read(spark, sf_dir, "raw").where("text is not null").select("ord", kind(days).alias("han_days"), kind(iso).alias("iso_days"), kind(lambda x: ~days(x) & ~iso(x)).alias("han_months"))

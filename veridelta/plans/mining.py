@@ -28,6 +28,17 @@ def relation_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.groupBy("r.relation").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("ord").alias("articles"), F.count_distinct("r.object").alias("objects"))
 
 
+@query()
+def relation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relations that claims of articles state, with their objects found among the entities of all articles, by relation."""
+    df = read(spark, sf_dir, "raw_demo").where("pre_extracted is not null")
+    z = df.select(F.explode("pre_extracted.entities").alias("z")).select("z.label").distinct()
+    names = C.distinctive_names(z, key="label", label="label")
+    facts = df.select("ord", F.explode(C.sentences(F.col("text"))).alias("text"), F.get("pre_extracted.entities", 0)["label"].alias("head")).withColumn("id", F.sha2(F.concat_ws(":", "ord", "text"), 256)).dropDuplicates(["id"])
+    e = C.relation_edges(facts.withColumn("date", F.lit(None).cast("string")).withColumn("precision", F.lit(None).cast("string")), names)
+    return e.groupBy("relation", "tail_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("tail_label").alias("tails"), F.count("date").alias("dated"), F.count_if("ambiguous").alias("ambiguous"))
+
+
 @query(r"""select coalesce(case when text is null or trim(text) = '' then 'no_text' when not regexp_matches(concat_ws(' ', title, text), '(?i)\b(?:false|fake|debunk|mislead|no evidence|not true)|谣言|不实|虚假|辟谣|误导') then 'no_refutation' else 'refuting' end, 'none') reason, count(*) n from raw group by 1""")
 def refuting_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles by whether they refute something at all."""
