@@ -70,30 +70,32 @@ def contradictions(edges: DataFrame, triple: Sequence[str], key: str, polarity:
 
 
 def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
-    """(node, component): connected components, named by their least node. Alternating large-star and small-star steps: each
-    round links nodes to smaller ones, and components shrink to stars. Rounds are cut in the shared folder; a hub's neighbours
-    are aggregated, never listed."""
-    both = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull())
-    nodes = both.select(F.explode(F.array(src, dst)).alias("node")).distinct()
-    e = cut(both.select(F.least(src, dst).alias("u"), F.greatest(src, dst).alias("v")).where("u <> v").distinct())
-    before = None
+    """(node, component): connected components, named by their least node. Nodes are numbered once, so that rounds shuffle numbers; alternating large-star and small-star steps then
+    link nodes to smaller ones, and components shrink to stars. Rounds are cut in the shared folder, the last one's files deleted; a hub's neighbours are aggregated, never listed."""
+    both = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(F.col(src).alias("s"), F.col(dst).alias("d"))
+    nodes = cut(both.select(F.explode(F.array("s", "d")).alias("node")).distinct().withColumn("n", F.monotonically_increasing_id()))  # the numbers are those of the files
+    of = lambda side, to: nodes.select(F.col("node").alias(side), F.col("n").alias(to))
+    pairs = both.where("s <> d").join(of("s", "a"), "s").join(of("d", "b"), "d")
+    e = cut(pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+    ends = nodes if both.where("s = d").limit(1).count() == 0 else e.select(F.explode(F.array("u", "v")).alias("n")).distinct()
+    linked = ends.count()
     for _ in range(MOST_ROUNDS):
-        sym = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = sym.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = sym.join(least, "u").where("v > u").select(F.col("m").alias("u"), "v").where("u <> v").distinct()
+        count, roots = e.agg(F.count(F.lit(1)), F.count_distinct("u")).first()
+        if count + roots == linked:  # every other node has one edge, which leads to a root
+            break
+        sym = e.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("x")).select("x.*")
+        least = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = sym.join(least, "u").where("v > u and m <> v").select(F.col("m").alias("u"), "v").distinct()
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         star = large.join(low, "v")
-        small = star.select(F.col("m").alias("u"), "v").unionByName(star.select(F.col("m").alias("u"), F.col("u").alias("v"))).where("u <> v")
-        last, e = e, cut(small.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+        small = star.select(F.explode(F.array(F.struct(F.col("m").alias("u"), "v"), F.struct(F.col("m").alias("u"), F.col("u").alias("v")))).alias("x")).select("x.*").where("u <> v")
+        last, e = e, cut(small.distinct())
         drop(last)
-        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
     else:
         raise RuntimeError(f"components didn't settle in {MOST_ROUNDS} rounds")
-    of = e.select(F.col("v").alias("node"), F.col("u").alias("component"))
-    return nodes.join(of, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    star = nodes.join(e.select(F.col("v").alias("n"), F.col("u").alias("c")), "n", "left").select("node", F.coalesce("c", "n").alias("c"))
+    name = star.groupBy("c").agg(F.min("node").alias("component"))
+    return star.join(name, "c").select("node", "component")
 
 
 def depth_layers(edges: DataFrame, roots: DataFrame, most: int, head: str = "head", tail: str = "tail") -> DataFrame:
