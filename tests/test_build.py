@@ -95,3 +95,11 @@ def test_grounded_as(spark, precision, text, want):
 def test_relative_grounded(spark, offset, quote, want):
     df = spark.createDataFrame([(dt.date(2011, 5, 6), dt.date(2011, 5, 4), offset, quote)], "d date, a date, o int, q string")
     assert df.select(D.relative_grounded(F.col("d"), F.col("a"), F.col("o"), F.lit("on 4 May 2011"), F.col("q"))).first()[0] is want
+
+
+def test_contexts_need_quotes_and_an_audit(spark):
+    nodes = spark.createDataFrame([(f"n{k}",) for k in range(5)], "node_id string")
+    good = (True, 0.95, True, True, True, True)
+    rows = [("n0", "A press in Port Vale.", "s", "a press", ["press in"], good), ("n1", "A press.", "s", "a press", ["mill"], good), ("n2", "A press.", "s", " ", ["press"], good), ("n3", "A press.", "s", "a press", ["press"], (True, 0.5, True, True, True, True)), ("n3", "A press.", "s", "a press", [], good)]
+    got = {r.node_id: r.context for r in B.contexts(nodes, spark.createDataFrame(rows, f"node_id string, extract string, source string, summary string, quotes array<string>, pre_audit {AUDIT}")).collect()}
+    assert got["n0"].summary == "a press" and [got[f"n{k}"] for k in range(1, 5)] == [None] * 4

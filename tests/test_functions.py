@@ -105,3 +105,29 @@ def test_squeeze_is_idempotent(spark, s):
     s = s.replace("\x00", "")
     r = spark.createDataFrame([(s,)], "v string").select(X.squeeze(F.col("v")).alias("a")).select("a", X.squeeze(F.col("a"))).first()
     assert r[0] == r[1]
+
+
+STAMP = "struct<time:string,grain:int>"
+
+
+@pytest.mark.parametrize("q, main, want", [
+    ({"P580": [("+2001-05-00T00:00:00Z", 10)], "P582": [("+2009-00-00T00:00:00Z", 9)]}, ("+1990-01-01T00:00:00Z", 11), "2001-05"), ({"P580": [("somevalue", 11)], "P582": [("+2009-00-00T00:00:00Z", 9)]}, None, "2009"),
+    ({}, ("+1990-01-02T00:00:00Z", 11), "1990-01-02"), ({"P999": [("+2001-05-00T00:00:00Z", 10)]}, None, None), (None, None, None),
+])
+def test_statement_date(spark, q, main, want):
+    df = spark.createDataFrame([(q, main)], f"q map<string,array<{STAMP}>>, m {STAMP}")
+    assert df.select(D.statement_date(F.col("q"), F.col("m"))).first()[0] == want
+
+
+def test_labels_and_categories(spark):
+    df = spark.createDataFrame([({"en": "", "zh": "图"}, ["Q2", "Q9"], "Cities in X"), ({"en": "A", "zh": "图"}, ["Q5"], "Cities in X by size"), (None, None, None)], "l map<string,string>, ids array<string>, t string")
+    got = df.select(X.best_label(F.col("l")), X.first_category(F.col("ids"), {"city": ("Q1",), "person": ("Q9", "Q5"), "other": ("Q2",)}), X.is_leaf_category(F.col("t"))).collect()
+    assert [tuple(r) for r in got] == [("图", "person", True), ("A", "person", False), (None, None, None)]
+
+
+@pytest.mark.parametrize("url, source, want", [
+    ("https://a.example/2020/01/x/", "a", "article"), ("https://a.example/2020/01/", "a", "discovery"), ("https://a.example/sitemap-1.xml", "b", "discovery"), ("https://a.example/feed/", "z", "discovery"), ("https://b.example/2020/01/x/", "b", None), ("https://a.example/about", "a", None), (None, "a", None),
+])
+def test_url_class(spark, url, source, want):
+    df = spark.createDataFrame([(url, source)], "u string, s string")
+    assert df.select(X.url_class(F.col("u"), F.col("s"), {"a": r"^/20\d{2}/\d{2}/[^/]+/?$"}, {"a": r"^/20\d{2}/\d{2}/$"})).first()[0] == want

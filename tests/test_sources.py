@@ -65,3 +65,35 @@ def test_sinks(spark, tmp_path):
 def test_edge_lists(spark, tmp_path):
     (tmp_path / "g.json").write_text(json.dumps({"nodes": [], "edges": [{"id": "e", "head": "a", "relation": "r", "tail": "b", "start": "2020-01-01", "end": "2020-01-01"}]}))
     assert records.edge_lists(spark, str(tmp_path / "g.json"), "typed").first().kind == "typed"
+
+
+def test_path_library(spark, tmp_path):
+    for h in (2, 3):
+        (tmp_path / f"paths_{h}hop.json").write_text(json.dumps({"hops": h, "paths": [{"id": f"p{h}", "nodes": [{"qid": f"Q{k}", "label": "x"} for k in range(h + 1)]}]}))
+    got = {r.id: (r.file, r.nodes, r.hops) for r in records.path_library(spark, str(tmp_path / "paths_*hop.json")).collect()}
+    assert got == {"p2": ("paths_2hop.json", ["Q0", "Q1", "Q2"], 2), "p3": ("paths_3hop.json", ["Q0", "Q1", "Q2", "Q3"], 3)}
+
+
+def test_small_files(spark, tmp_path):
+    report = str(tmp_path / "r.json")
+    records.write_report(spark.createDataFrame([("é", [1], None)], "name string, ns array<int>, none string"), report)
+    assert json.loads((tmp_path / "r.json").read_text()) == {"name": "é", "ns": [1], "none": None} and "\n  " in (tmp_path / "r.json").read_text()
+    with pytest.raises(FileExistsError):
+        records.write_report(spark.createDataFrame([(1,)], "n int"), report)
+    records.write_report(spark.createDataFrame([(1,)], "n int"), report, overwrite=True)
+    assert json.loads((tmp_path / "r.json").read_text()) == {"n": 1}
+    with pytest.raises(ValueError):
+        records.write_report(spark.range(2), report, overwrite=True)
+    records.write_summary(spark.createDataFrame([("é,x", None)], "a string, b int"), str(tmp_path / "s.csv"))
+    assert (tmp_path / "s.csv").read_bytes().startswith(b"\xef\xbb\xbf") and (tmp_path / "s.csv").read_text("utf-8-sig").split() == ["a,b", '"é,x",']
+    assert not list(tmp_path.glob("*.tmp"))
+    with pytest.raises(ValueError):
+        records.write_summary(spark.range(3), str(tmp_path / "t.csv"), most=2)
+
+
+def test_map_links(spark):
+    xml = "<urlset><url><loc> https://www.a.example/1?x=1&amp;y=2#f </loc></url><url><loc><![CDATA[https://b.example/2]]></loc></url><item><link>https://www.a.example/1?x=1&amp;y=2</link></item></urlset>"
+    links = pages.map_links(spark.createDataFrame([(1, xml), (2, ""), (3, None)], "k int, x string"), "k", "x")
+    assert [(r.target, r.place) for r in links.orderBy("place").collect()] == [("https://www.a.example/1?x=1&y=2", 0), ("https://b.example/2", 1)]
+    own = pages.of_source(links, spark.createDataFrame([("a", "a.example")], "source string, domain string")).collect()
+    assert [(r.source, r.target) for r in own] == [("a", "https://www.a.example/1?x=1&y=2")]

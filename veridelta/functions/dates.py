@@ -160,6 +160,14 @@ def wikidata_time(value: Column, grain: Column) -> Column:
     )
 
 
+def statement_date(qualifiers: Column, main: Column) -> Column:
+    """The date of a statement: of its start (P580), else its end (P582), else its own value. ``qualifiers``: MAP<property, ARRAY<STRUCT<time, grain>>>; ``main``: STRUCT<time, grain>. The first
+    usable value of a property counts."""
+    usable = lambda xs: F.get(F.array_compact(F.transform(xs, lambda x: wikidata_time(x["time"], x["grain"]))), 0)
+    of = lambda p: usable(F.coalesce(F.try_element_at(qualifiers, F.lit(p)), F.array().cast("array<struct<time:string,grain:int>>")))
+    return F.coalesce(of("P580"), of("P582"), wikidata_time(main["time"], main["grain"]))
+
+
 def text_date(c: Column, fallback: Column) -> Column:
     """The first day with an English month name in either order, else the first year, else the fallback."""
     a, b = rf"({MONTHS}) ([0-9]{{1,2}}), ([0-9]{{4}})", rf"([0-9]{{1,2}}) ({MONTHS}) ([0-9]{{4}})"

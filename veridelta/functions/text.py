@@ -185,3 +185,27 @@ def stable_id(prefix: str, *parts: Column, compact: bool = False) -> Column:
         quoted = [F.coalesce(F.concat(F.lit('"'), F.replace(F.replace(p, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"')), F.lit("null")) for p in parts]
         body = F.concat(F.lit("["), F.concat_ws(", ", *quoted), F.lit("]"))
     return F.concat(F.lit(prefix), F.substring(F.sha2(body, 256), 1, 20))
+
+
+def best_label(labels: Column, languages: tuple[str, ...] = ("en", "zh")) -> Column:
+    """The first label that isn't blank, by language: from a map of language to label."""
+    return F.coalesce(*(F.nullif(F.try_element_at(labels, F.lit(x)), F.lit("")) for x in languages))
+
+
+def first_category(ids: Column, categories: dict[str, tuple[str, ...]]) -> Column:
+    """The first category one of whose ids is among ``ids``; null for none."""
+    return F.coalesce(*(F.when(F.arrays_overlap(ids, F.array(*map(F.lit, wanted))), F.lit(name)) for name, wanted in categories.items()))
+
+
+def is_leaf_category(title: Column) -> Column:
+    """A category of things in or of a place, and no container of categories by something."""
+    return ~F.contains(title, F.lit(" by ")) & (F.contains(title, F.lit(" in ")) | F.contains(title, F.lit(" of ")))
+
+
+def url_class(url: Column, source: Column, articles: dict[str, str], discovery: dict[str, str]) -> Column:
+    """'article', 'discovery' or null for a URL of a source: by the source's pattern over the path. Site maps and feeds are for discovery whatever the source."""
+    path = F.regexp_extract(url, "^[A-Za-z]+://[^/?#]*([^?#]*)", 1)
+    low = F.lower(path)
+    by = lambda table, p: F.coalesce(F.regexp_like(p, lookup(source, table)), F.lit(False))
+    feed = F.contains(low, F.lit("sitemap")) | low.endswith(".xml") | F.contains(low, F.lit("feed"))
+    return F.when(url.isNull(), None).when(feed, "discovery").when(by(articles, path), "article").when(by(discovery, low), "discovery")

@@ -171,3 +171,11 @@ def _merged(e: DataFrame, fact: list[str]) -> DataFrame:
         F.array_sort(F.collect_set("source")).alias("sources"), F.map_from_entries(F.array_sort(F.collect_set(F.struct("source", "verdict")))).alias("verdicts"),
         F.transform(F.array_sort(F.collect_list(F.struct("at", "c"))), lambda x: x["c"]).alias("evidence"),
     )
+
+
+def contexts(nodes: DataFrame, answers: DataFrame, least: float = LEAST_CONFIDENCE) -> DataFrame:
+    """``nodes`` with ``context`` STRUCT<summary, quotes, source> from recorded answers (node_id, extract, source, summary, quotes, pre_audit) where the summary isn't blank, its quotes are
+    pieces of the extract and the audit passes. Nodes without one have null; a summary never becomes a fact."""
+    ok = ~_blank(F.col("summary")) & (F.coalesce(F.size("quotes"), F.lit(0)) > 0) & F.forall("quotes", lambda q: ~_blank(q) & F.contains("extract", q)) & audit_passes(F.col("pre_audit"), least)
+    good = answers.where(F.coalesce(ok, F.lit(False))).groupBy("node_id").agg(F.min(F.struct("summary", "quotes", "source")).alias("context"))
+    return nodes.join(good, "node_id", "left")

@@ -100,7 +100,7 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
 
 def depth_layers(edges: DataFrame, roots: DataFrame, most: int, head: str = "head", tail: str = "tail") -> DataFrame:
     """(node, depth) within ``most`` steps of the roots, either way along edges: a frontier join and an anti join a level."""
-    adj = cut(adjacency(edges, head, tail).select("node", "next").distinct())
+    adj = cut(adjacency(edges, head, tail).select("node", "next"))
     seen = roots.select("node").distinct().withColumn("depth", F.lit(0))
     front = seen.select("node")
     for d in range(1, most + 1):

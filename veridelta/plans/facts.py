@@ -146,10 +146,10 @@ def gap_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""with e as (select ord, hop_count, unnest(reasoning_graph.edges) e from gold), c as (select e.relation relation, count(*) n from e group by 1), t as (select sum(n) t from c),
 m as (select ord, hop_count, cast(substr(e.start, 1, 4) as integer) * 12 + cast(substr(e.start, 6, 2) as integer) v, n / cast(t as double) prior from e join c on c.relation = e.relation, t),
-g as (select *, v - lag(v) over (partition by ord order by v) gap from m), p as (select ord, any_value(hop_count) hops, min(gap) gap, max(v) - min(v) span, avg(prior) prior from g group by 1)
-select ord, hops, round(40 / (1e0 + gap) + 20 / (1 + span / 12e0) + 20 / (1 + 1000 * prior) + 10 * hops / 5e0 + 5 + 5, 6) score from p where gap <= 48 and span <= 300 order by score desc, ord limit 300""")
+g as (select *, v - lag(v) over (partition by ord order by v) gap from m), p as (select ord, any_value(hop_count) hops, min(gap) gap, max(v) - min(v) span, avg(prior) prior from g group by 1),
+sc as (select ord, hops, round(40 / (1e0 + gap) + 20 / (1 + span / 12e0) + 20 / (1 + 1000 * prior) + 10 * hops / 5e0 + 5 + 5, 6) score from p where gap <= 48 and span <= 300), f as (select *, row_number() over (partition by hops <= 3 order by score desc, ord) rn from sc) select ord, hops, score from f where hops > 3 or rn <= 100 order by score desc, ord limit 300""")
 def hard_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 300 hardest paths by gap, span, rarity of relations and hops."""
+    """The 300 hardest paths by gap, span, rarity of relations and hops, at most 100 of two or three hops."""
     from veridelta.functions.nums import hard_path_score
 
     gold = read(spark, sf_dir, "gold")
@@ -160,7 +160,9 @@ def hard_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = p.join(prior, "relation").groupBy("ord").agg(F.first("hops").alias("hops"), F.array_sort(F.collect_list("v")).alias("v"), F.avg("prior").alias("prior"))
     g = g.select("ord", "hops", F.array_min(gaps(F.col("v"))).alias("gap"), (F.array_max("v") - F.array_min("v")).alias("span"), "prior")
     score = F.round(hard_path_score(F.col("gap").cast("double"), F.col("span").cast("double"), F.col("prior"), F.col("hops").cast("double"), F.lit(1.0), F.lit(0.0)), 6)
-    return g.where("gap <= 48 and span <= 300").select("ord", "hops", score.alias("score")).orderBy(F.desc("score"), "ord").limit(300)
+    scored = g.where("gap <= 48 and span <= 300").select("ord", "hops", score.alias("score"))
+    best = lambda df, n: df.orderBy(F.desc("score"), "ord").limit(n)
+    return best(best(scored.where("hops <= 3"), 100).unionByName(best(scored.where("hops > 3"), 300)), 300)
 
 
 @query("""with c as (select ord, list_transform(reasoning_graph.edges, lambda e: case when e.relation = 'has_value' then substr(e.start, 1, 4) when e.relation = 'won' then substr(e.start, 1, 7) else e.start end) d from gold),
@@ -189,32 +191,39 @@ def gold_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "gold").select("ord", F.array_sort(F.array_distinct(F.transform("evidence", lambda e: e["url"]))).alias("urls"), inside.alias("inside"))
 
 
-@query("""with n as (select ord, unnest(reasoning_graph.nodes) z, list_transform(reasoning_graph.nodes, lambda x: x.label) own from gold), pool as (select distinct z.type t, z.label l from n),
-size as (select t, greatest(1, count(*) // 32) nb from pool group by 1), p as (select pool.t, l, ('0x' || substr(sha256(l), 1, 7))::bigint % nb b from pool join size using (t)),
-q as (select distinct ord, z.id id, z.type t, own, ('0x' || substr(sha256(ord || ':' || z.id), 1, 7))::bigint % nb b from n join size on size.t = z.type)
-select ord, id, l replacement from (select q.ord, q.id, p.l, row_number() over (partition by q.ord, q.id order by sha256(q.ord || ':' || q.id || ':' || p.l)) rn from q join p on p.t = q.t and p.b = q.b where not list_contains(own, p.l)) where rn <= 3""")
+@query("""with n as (select ord, list_distinct(list_transform(reasoning_graph.nodes, lambda x: x.type)) ts, list_transform(reasoning_graph.nodes, lambda x: x.label) own from gold), pool as (select distinct z.type t, z.label l from (select unnest(reasoning_graph.nodes) z from gold)),
+r as (select n.ord, t, l, row_number() over (partition by n.ord order by l, t) rn from n join pool on list_contains(n.ts, pool.t) where not list_contains(n.own, l)) select ord, rn place, l replacement from r where rn <= 5""")
 def replacement_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Up to three labels of the same type, and not of the record, for each node. Labels of a type lie in hash buckets of about 32,
-    and a node draws from one bucket, so the join grows with the nodes and not with nodes times labels."""
-    n = read(spark, sf_dir, "gold").select("ord", F.explode("reasoning_graph.nodes").alias("z"), F.transform("reasoning_graph.nodes", lambda x: x["label"]).alias("own"))
-    pool = n.select(F.col("z.type").alias("t"), F.col("z.label").alias("l")).distinct()
-    size = pool.groupBy("t").agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / 32)).alias("nb"))
-    bucket = lambda c: F.conv(F.substring(F.sha2(c, 256), 1, 7), 16, 10).cast("long") % F.col("nb")
-    p = pool.join(size, "t").select("t", "l", bucket(F.col("l")).alias("b"))
-    me = F.concat_ws(":", F.col("ord").cast("string"), "id")
-    q = n.select("ord", F.col("z.id").alias("id"), F.col("z.type").alias("t"), "own").distinct().join(size, "t").withColumn("b", bucket(me))
-    c = q.join(p, ["t", "b"]).where(~F.array_contains("own", F.col("l"))).select("ord", "id", "l", F.sha2(F.concat_ws(":", me, "l"), 256).alias("h"))
-    return R.top_per_group(c, ["ord", "id"], ["h"], 3).select("ord", "id", F.col("l").alias("replacement"))
-
-
-@query("""select g.ord, s.strategy, s.k from gold g, (select unnest(['entity', 'relation', 'time', 'order', 'polarity', 'value']) strategy, generate_subscripts([1, 2, 3, 4, 5, 6], 1) k) s where s.strategy <> 'value' or len(list_filter(g.reasoning_graph.edges, lambda e: e.relation = 'has_value')) > 0""")
+    """The first five labels of the types of each record that don't stand in it. Of a type only as many first labels can be drawn as five and the largest record's nodes, so that the pool
+    of a type is that small whatever the number of its labels."""
+    g = read(spark, sf_dir, "gold")
+    labels = lambda f: F.transform("reasoning_graph.nodes", lambda z: z[f])
+    most = g.agg(F.coalesce(F.max(F.size("reasoning_graph.nodes")), F.lit(0))).first()[0]
+    pool = g.select(F.explode("reasoning_graph.nodes").alias("z")).select(F.col("z.type").alias("t"), F.col("z.label").alias("l")).distinct()
+    small = R.top_per_group(pool, ["t"], ["l"], 5 + most).groupBy("t").agg(F.sort_array(F.collect_list("l")).alias("ls"))
+    each = g.select("ord", labels("label").alias("own"), F.explode(F.array_distinct(labels("type"))).alias("t")).join(small, "t")
+    own = each.groupBy("ord").agg(F.first("own").alias("own"), F.flatten(F.collect_list(F.transform("ls", lambda x: F.struct(x.alias("l"), F.col("t").alias("t"))))).alias("all"))
+    drawn = F.slice(F.array_sort(F.filter("all", lambda x: ~F.array_contains("own", x["l"]))), 1, 5)
+    return own.select("ord", F.posexplode(drawn).alias("p", "x")).select("ord", (F.col("p") + 1).cast("long").alias("place"), F.col("x.l").alias("replacement"))
+
+
+# Perturbations of a true claim, and the fields that each may change.
+PERTURBATIONS = {
+    "entity_hallucination": ("head", "tail"), "chronological_distortion": ("time",), "relational_corruption": ("relation",), "contextual_contradiction": ("premise",), "data_perturbation": ("value",),
+    "sentiment_inversion": ("polarity",),
+}
+
+
+@query("""with p as (select unnest(['entity_hallucination', 'chronological_distortion', 'relational_corruption', 'contextual_contradiction', 'data_perturbation', 'sentiment_inversion']) strategy, unnest(['head tail', 'time', 'relation', 'premise', 'value', 'polarity']) fields),
+c as (select g.ord, p.strategy, p.fields, case when p.strategy = 'data_perturbation' then list_filter(g.reasoning_graph.edges, lambda e: e.relation = 'has_value') else g.reasoning_graph.edges end es from gold g, p)
+select ord, 'negative_plan_' || substr(sha256('[' || ord || ', "' || strategy || '"]'), 1, 20) plan_id, strategy, fields, list_transform(es, lambda e: e.id) candidates from c where len(es) > 0""")
 def negative_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The perturbations planned for each record: value changes only where an edge has a value."""
-    names = ["entity", "relation", "time", "order", "polarity", "value"]
-    s = F.array(*(F.struct(F.lit(x).alias("strategy"), F.lit(k).cast("long").alias("k")) for k, x in enumerate(names, 1)))
-    has = F.exists("reasoning_graph.edges", lambda e: e["relation"] == "has_value")
-    df = read(spark, sf_dir, "gold").select("ord", has.alias("has"), F.explode(s).alias("s"))
-    return df.where("s.strategy <> 'value' or has").select("ord", "s.strategy", "s.k")
+    """The perturbations planned for each record, with the fields they may change and the edges they may start from: value changes only at edges with a value."""
+    s = F.array(*(F.struct(F.lit(k).alias("strategy"), F.lit(" ".join(v)).alias("fields")) for k, v in PERTURBATIONS.items()))
+    df = read(spark, sf_dir, "gold").select("ord", F.col("reasoning_graph.edges").alias("es"), F.explode(s).alias("s"))
+    es = F.when(F.col("s.strategy") == "data_perturbation", F.filter("es", lambda e: e["relation"] == "has_value")).otherwise(F.col("es"))
+    plan_id = F.concat(F.lit("negative_plan_"), F.substring(F.sha2(F.concat(F.lit("["), F.col("ord").cast("string"), F.lit(', "'), "s.strategy", F.lit('"]')), 256), 1, 20))
+    return df.select("ord", plan_id.alias("plan_id"), "s.strategy", "s.fields", F.transform(es, lambda e: e["id"]).alias("candidates")).where("size(candidates) > 0")
 
 
 @query("""select ord, array_to_string(list_transform(reasoning_graph.edges, lambda e: e.head || ' ' || e.relation || ' ' || e.tail || ' (' || e.start || '..' || e."end" || ')'), ' | ') chain from gold""")
@@ -252,3 +261,28 @@ def date_upgrades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select(F.length("old").cast("long").alias("old_length"), F.length(up).cast("long").alias("new_length")).groupBy("old_length", "new_length").agg(F.count(F.lit(1)).alias("n"))
 
 
+
+
+@query("""select min(ord) ord, count(*) n from (select ord, array_to_string(list_sort(list_transform(reasoning_graph.edges, lambda e: (list_filter(reasoning_graph.nodes, lambda z: z.id = e.head)[1].label) || '|' || e.relation || '|' || (list_filter(reasoning_graph.nodes, lambda z: z.id = e.tail)[1].label) || '|' || e.start)), '#') k from gold where len(reasoning_graph.edges) > 0) group by k""")
+def edge_set_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One record for each set of facts, whatever their order."""
+    name = lambda i: F.get(F.filter("reasoning_graph.nodes", lambda z: z["id"] == i), 0)["label"]
+    facts = F.transform("reasoning_graph.edges", lambda e: F.concat(name(e["head"]), F.lit("|"), e["relation"], F.lit("|"), name(e["tail"]), F.lit("|"), e["start"]))
+    df = read(spark, sf_dir, "gold").where("size(reasoning_graph.edges) > 0").select("ord", F.sha2(F.array_join(F.array_sort(facts), "#"), 256).alias("k"))
+    return df.groupBy("k").agg(F.min("ord").alias("ord"), F.count(F.lit(1)).alias("n")).select("ord", "n")
+
+
+@query("""with v as (select l, count(distinct ord) views from (select ord, unnest(reasoning_graph.nodes).label l from gold) group by 1), e as (select ord, unnest(reasoning_graph.edges).relation r from gold), c as (select r, count(*) / cast((select count(*) from e) as double) prior from e group by 1),
+p as (select ord, avg(prior) prior from e join c using (r) group by 1), n as (select ord, min(views) least, avg(views) mean from (select ord, unnest(reasoning_graph.nodes).label l from gold) join v using (l) group by 1)
+select g.ord, n.least least_views, round(n.mean, 6) mean_views, round(p.prior, 6) prior, case when claim is null then 0 else len(regexp_extract_all(claim, '[^\\s\\p{Z}]+')) end words from gold g left join n on g.ord = n.ord left join p on g.ord = p.ord""")
+def difficulty_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What makes a record hard: how rarely its entities (records that hold them stand for views) and its relations occur, and the words of its claim."""
+    g = read(spark, sf_dir, "gold")
+    node = g.select("ord", F.explode("reasoning_graph.nodes").alias("z")).select("ord", F.col("z.label").alias("l"))
+    views = node.distinct().groupBy("l").agg(F.count(F.lit(1)).alias("views"))
+    n = node.join(views, "l").groupBy("ord").agg(F.min("views").alias("least_views"), F.round(F.avg("views"), 6).alias("mean_views"))
+    e = g.select("ord", F.explode("reasoning_graph.edges").alias("e")).select("ord", F.col("e.relation").alias("r"))
+    c = e.groupBy("r").agg(F.count(F.lit(1)).alias("n"))
+    p = e.join(c.select("r", (F.col("n") / c.agg(F.sum("n")).scalar()).alias("prior")), "r").groupBy("ord").agg(F.round(F.avg("prior"), 6).alias("prior"))
+    words = F.coalesce(F.regexp_count("claim", F.lit(r"[^\s\p{Z}]+")), F.lit(0)).cast("long")
+    return g.select("ord", words.alias("words")).join(n, "ord", "left").join(p, "ord", "left").select("ord", "least_views", "mean_views", "prior", "words")

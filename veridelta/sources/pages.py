@@ -153,3 +153,17 @@ def read_folder(spark: SparkSession, folder: str) -> DataFrame:
 def link_targets(extracted: DataFrame, key: str) -> DataFrame:
     """(key, target, place): distinct links of each page in order."""
     return extracted.select(key, F.posexplode("links").alias("place", "target")).select(key, "target", "place")
+
+
+def map_links(maps: DataFrame, key: str, xml: str) -> DataFrame:
+    """(key, target, place): the distinct addresses of site maps and feeds (loc and link elements), without fragment, in order."""
+    raw = F.regexp_extract_all(xml, F.lit(r"(?s)<(?:loc|link)>\s*(?:<!\[CDATA\[)?\s*([^<\]\s]+)"), F.lit(1))
+    clean = F.transform(raw, lambda u: F.regexp_replace(F.replace(u, F.lit("&amp;"), F.lit("&")), "#.*$", ""))
+    return maps.select(key, F.posexplode(F.array_distinct(clean)).alias("place", "target")).select(key, "target", "place")
+
+
+def of_source(links: DataFrame, sources: DataFrame) -> DataFrame:
+    """Links (target, ...) whose host is that of a source (source, domain), with www. or without; column source."""
+    from veridelta.functions.text import url_host
+
+    return links.withColumn("_host", F.regexp_replace(url_host(F.col("target")), r"^www\.", "")).join(sources.select("source", F.col("domain").alias("_host")), "_host").drop("_host")
