@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veridelta.operators import articles as A
 from veridelta.operators import claims as C
 from veridelta.plans.registry import query
 from veridelta.session import read
@@ -77,3 +78,27 @@ def applied_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = r.where("ord % 2 = 0").select("ord", "claim", F.lit(1).alias("k"))
     second = r.where("source_verdict is not null").select("ord", F.concat(F.lit("changed: "), "claim").alias("claim"), F.lit(2).alias("k"))
     return C.apply_responses(r, first.unionByName(second).where("claim is not null"), ["ord"], "k", "claim").select("ord", "claim")
+
+
+_STRIP = "regexp_replace({c}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
+_Q = "[“『「]([^”』」]{6,400})[”』」]"
+_CUE = "(?:称|声称|发布|流传|传言|网传|写道|显示|提到|表示|配文|发帖|帖文|消息|援引|爆料|反映|说|询问|疑问|关于|出现|传出|曝出|曝|涉及|题为|名为|消息称)\\s*[:：，,]?\\s*$"
+_REFUTES = "辟谣|不实|谣言|虚假|假的|误读|不属实|纯属虚构|澄清|求证|真相|误区|捏造|不准确|并无|未发生|系伪"
+
+
+@query(f"""with a as (select 'raw' tab, ord, title, text from raw union all select 'raw_demo', ord, title, '网传：“' || claim || '”。' || coalesce(text, '') || ' 该说法不实。' from raw_demo), b as (select tab, ord, coalesce(title, '') head, {_STRIP.format(c='text')} body from a),
+h as (select *, list_filter(list_zip(regexp_extract_all(body, '([^“『「”』」]{{0,18}}){_Q}', 1), regexp_extract_all(body, '([^“『「”』」]{{0,18}}){_Q}', 2)), lambda z: length({_STRIP.format(c='z[2]')}) >= 8 and regexp_matches(z[1], '{_CUE}')) hits from b),
+q as (select *, list_transform(hits, lambda z: {_STRIP.format(c='z[2]')}) qs, {_STRIP.format(c=f"regexp_extract(head, '{_Q}', 1)")} first from h),
+o as (select *, list_filter(qs, lambda x: len(list_filter(qs, lambda y: y <> x and contains(y, x))) = 0) outer_ from q),
+r as (select *, list_transform(list_sort(list_transform(list_zip(outer_, generate_series(1, len(outer_))), lambda z: {{'n': -length(z[1]), 'i': z[2], 'q': z[1]}})), lambda z: z.q)[1:3] best from o),
+c as (select *, case when first <> '' and not list_contains(best, first) then list_concat([first], best) else best end cs, case when strpos({_STRIP.format(c='head')}, '｜') > 0 then case when strpos({_STRIP.format(c='head')}, '｜') <= 25 then {_STRIP.format(c="substr(" + _STRIP.format(c='head') + ", strpos(" + _STRIP.format(c='head') + ", '｜') + 1)")} else {_STRIP.format(c='head')} end
+ when strpos({_STRIP.format(c='head')}, '|') > 0 and strpos({_STRIP.format(c='head')}, '|') <= 25 then {_STRIP.format(c="substr(" + _STRIP.format(c='head') + ", strpos(" + _STRIP.format(c='head') + ", '|') + 1)")} else {_STRIP.format(c='head')} end question from r),
+d as (select *, case when len(cs) > 0 then cs when regexp_matches(question, '[？?]$') and length(question) between 8 and 90 then [question] else [] end claims from c)
+select tab, ord, case when coalesce(body, '') = '' then [] when not regexp_matches(head || ' ' || body, '{_REFUTES}') then [] else claims end claims,
+case when coalesce(body, '') = '' then 'no_text' when not regexp_matches(head || ' ' || body, '{_REFUTES}') then 'no_refutation_cue' when len(claims) = 0 then 'no_claim_pattern' end reason from d""")
+def mined_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rumours that articles quote and refute, or why there are none; the short articles are put as refutations of their claims."""
+    told = F.concat(F.lit("网传：“"), F.col("claim"), F.lit("”。"), F.coalesce("text", F.lit("")), F.lit(" 该说法不实。"))
+    part = lambda t, text: read(spark, sf_dir, t).select(F.lit(t).alias("tab"), "ord", "title", text.alias("text"))
+    m = part("raw", F.col("text")).unionByName(part("raw_demo", told)).select("tab", "ord", A.mine(F.col("title"), F.col("text")).alias("m"))
+    return m.select("tab", "ord", F.transform("m.claims", lambda c: c["claim"]).alias("claims"), "m.reason")
