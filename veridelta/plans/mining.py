@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veridelta.operators import articles as A
 from veridelta.operators import claims as C
+from veridelta.operators import edits as E
 from veridelta.plans.registry import query
 from veridelta.session import read
 from veridelta.sources import pages
@@ -20,6 +21,13 @@ def claim_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.span_edits(df, "ord", "claim", F.col("pool"))
 
 
+@query()
+def chinese_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edited variants of the claims of the short articles by eleven strategies for Chinese text, by strategy."""
+    e = E.chinese_edits(read(spark, sf_dir, "raw_demo").select("ord", "claim"), "ord", "claim")
+    return e.groupBy("strategy", "edits").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("ord").alias("claims"))
+
+
 @query()
 def relation_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relations found by rule in the sentences of the articles, with counts. The rules are English phrases, so the text itself
