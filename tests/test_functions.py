@@ -34,8 +34,10 @@ def test_source_day_keeps_its_own_offset(spark, v, want):
 
 
 def test_date_mentions_mask_earlier_kinds(spark):
-    got = one(spark, "2024年3月5日和2024-03-06，还有2024年4月，又是2024年3月5日", D.date_mentions)
-    assert [(r.iso, r.precision) for r in got] == [("2024-03-05", "day"), ("2024-03-06", "day"), ("2024-04", "month")]
+    text = "2024年3月5日和2024-03-06，还有2024年4月，又是2024年3月5日，2023 年 2 月 30 号，2023-02-30，3月5日，1999年3月7日"
+    got = [tuple(x) for x in one(spark, text, D.date_mentions)]
+    assert got == [("2024年3月5日", "2024-03-05", "day"), ("2024年4月", None, "month"), ("2023 年 2 月 30 号", None, "day"), ("2024-03-06", "2024-03-06", "day"), ("3月5日", None, "month_day"), ("3月7日", None, "month_day")]
+    assert one(spark, "", D.date_mentions) == [] and one(spark, None, D.date_mentions) is None
 
 
 @pytest.mark.parametrize("text, want", [("on June 5th, 2024", True), ("5 Jun 2024", True), ("2024年6月5日", True), ("2024-06-05", True), ("June 15, 2024", False), ("12024-06-05", False)])

@@ -89,17 +89,32 @@ def month_window(dates: Column) -> Column:
 MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
 
 
+# Explicit dates in Chinese text, in the order in which they are looked for.
+_GAP = r"[\s\p{Z}]*"
+CHINESE_DATE = rf"20[0-9]{{2}}{_GAP}年{_GAP}[0-9]{{1,2}}{_GAP}月(?:{_GAP}[0-9]{{1,2}}{_GAP}[日号])?"
+ISO_DATE = "20[0-9]{2}-[0-9]{2}-[0-9]{2}"
+MONTH_DAY = rf"[0-9]{{1,2}}{_GAP}月{_GAP}[0-9]{{1,2}}{_GAP}[日号]"
+
+
 def date_mentions(c: Column) -> Column:
-    """Distinct explicit dates in order of kind: Chinese full, ISO, Chinese month. Each kind is looked for in what the kinds
-    before it left over. Structs of raw, iso and precision."""
-    full, iso, month = r"[0-9]{4}年[0-9]{1,2}月[0-9]{1,2}日", r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])", r"[0-9]{4}年[0-9]{1,2}月(?![0-9])"
-    part = lambda x, i: F.lpad(F.regexp_extract(x, "([0-9]{4})年([0-9]{1,2})月(?:([0-9]{1,2})日)?", i), 4 if i == 1 else 2, "0")
-    a = F.transform(F.regexp_extract_all(c, F.lit(full), F.lit(0)), lambda x: F.struct(x.alias("raw"), F.concat_ws("-", part(x, 1), part(x, 2), part(x, 3)).alias("iso"), F.lit("day").alias("precision")))
-    left = F.regexp_replace(c, full, "#")
-    b = F.transform(F.regexp_extract_all(left, F.lit(iso), F.lit(0)), lambda x: F.struct(x.alias("raw"), x.alias("iso"), F.lit("day").alias("precision")))
-    left = F.regexp_replace(left, iso, "#")
-    m = F.transform(F.regexp_extract_all(left, F.lit(month), F.lit(0)), lambda x: F.struct(x.alias("raw"), F.concat_ws("-", part(x, 1), part(x, 2)).alias("iso"), F.lit("month").alias("precision")))
-    return F.array_distinct(F.concat(a, b, m))
+    """Explicit dates, each spelling once: Chinese days and months, then ISO days, then days without a year; each kind is looked for in what the kinds before it left over. Structs of raw, iso
+    (null for months, days without a year and days that don't exist) and precision (day, month, month_day). ISO days that don't exist are left out."""
+    of = lambda x, i: F.regexp_extract(x, rf"(20[0-9]{{2}}){_GAP}年{_GAP}([0-9]{{1,2}}){_GAP}月(?:{_GAP}([0-9]{{1,2}}))?", i)
+    kind = "struct<raw:string,iso:string,precision:string>"
+    none = F.lit(None).cast("string")
+
+    def chinese(x: Column) -> Column:
+        day = F.try_to_date(F.concat_ws("-", of(x, 1), F.lpad(of(x, 2), 2, "0"), F.lpad(of(x, 3), 2, "0")), "yyyy-MM-dd")
+        full = of(x, 3) != ""
+        return F.struct(x.alias("raw"), F.when(full, day.cast("string")).alias("iso"), F.when(full, "day").otherwise("month").alias("precision")).cast(kind)
+
+    all_ = lambda text, p: F.array_distinct(F.regexp_extract_all(text, F.lit(p), F.lit(0)))
+    left = F.regexp_replace(c, CHINESE_DATE, " ")
+    rest = F.regexp_replace(left, ISO_DATE, " ")
+    a = F.transform(all_(c, CHINESE_DATE), chinese)
+    b = F.transform(F.filter(all_(left, ISO_DATE), lambda x: iso_day(x).isNotNull()), lambda x: F.struct(x.alias("raw"), x.alias("iso"), F.lit("day").alias("precision")).cast(kind))
+    m = F.transform(all_(rest, MONTH_DAY), lambda x: F.struct(x.alias("raw"), none.alias("iso"), F.lit("month_day").alias("precision")).cast(kind))
+    return F.concat(a, b, m)
 
 
 def grounded(day: Column, text: Column) -> Column:

@@ -216,12 +216,19 @@ def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "raw").select("ord", plain.alias("article_id"), X.stable_id("claim_", s, u, compact=True).alias("compact_id"), X.stable_id("c_", s, u).alias("spaced_id"))
 
 
-@query(r"""with a as (select ord, text, regexp_replace(text, '[0-9]{4}年[0-9]{1,2}月[0-9]{1,2}日', '#', 'g') rest from raw where text is not null),
-b as (select *, list_filter(regexp_extract_all(rest, '[0-9-]+'), lambda x: regexp_full_match(x, '[0-9]{4}-[0-9]{2}-[0-9]{2}')) iso, regexp_replace(rest, '月([0-9])', '月^\1', 'g') marked from a)
-select ord, len(list_distinct(regexp_extract_all(text, '[0-9]{4}年[0-9]{1,2}月[0-9]{1,2}日'))) han_days, len(list_distinct(iso)) iso_days, len(list_distinct(list_filter(regexp_extract_all(marked, '[0-9]{4}年[0-9]{1,2}月\^?'), lambda x: not suffix(x, '^')))) han_months from b""")
+_SP = r"[\s\p{Z}]*"
+_HAN = f"20[0-9]{{2}}{_SP}年{_SP}[0-9]{{1,2}}{_SP}月(?:{_SP}[0-9]{{1,2}}{_SP}[日号])?"
+
+
+@query(f"""with a as (select ord, list_distinct(regexp_extract_all(text, '{_HAN}')) han, regexp_replace(text, '{_HAN}', ' ', 'g') left_ from raw where text is not null),
+b as (select *, list_filter(list_distinct(regexp_extract_all(left_, '20[0-9]{{2}}-[0-9]{{2}}-[0-9]{{2}}')), lambda x: try_cast(x as date) is not null) iso, regexp_replace(left_, '20[0-9]{{2}}-[0-9]{{2}}-[0-9]{{2}}', ' ', 'g') rest from a)
+select ord, len(list_filter(han, lambda x: regexp_matches(x, '[日号]$'))) han_days, len(list_filter(han, lambda x: not regexp_matches(x, '[日号]$'))) han_months, len(iso) iso_days, len(list_distinct(regexp_extract_all(rest, '[0-9]{{1,2}}{_SP}月{_SP}[0-9]{{1,2}}{_SP}[日号]'))) month_days, list_min(iso) first_iso from b""")
 def date_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct dates of all articles by kind, each looked for in what the kinds before it left over."""
-    found = D.date_mentions(F.col("text"))
-    kind = lambda test: F.size(F.filter(found, test)).cast("long")
-    days, iso = lambda x: F.contains(x["raw"], F.lit("日")), lambda x: F.contains(x["raw"], F.lit("-"))
-    return read(spark, sf_dir, "raw").where("text is not null").select("ord", kind(days).alias("han_days"), kind(iso).alias("iso_days"), kind(lambda x: ~days(x) & ~iso(x)).alias("han_months"))
+    df = read(spark, sf_dir, "raw").where("text is not null").select("ord", D.date_mentions(F.col("text")).alias("d"))
+    n = lambda test: F.size(F.filter("d", test)).cast("long")
+    iso = lambda x: x["raw"].eqNullSafe(x["iso"])
+    return df.select(
+        "ord", n(lambda x: (x["precision"] == "day") & ~iso(x)).alias("han_days"), n(lambda x: x["precision"] == "month").alias("han_months"), n(iso).alias("iso_days"), n(lambda x: x["precision"] == "month_day").alias("month_days"),
+        F.array_min(F.transform(F.filter("d", iso), lambda x: x["iso"])).alias("first_iso"),
+    )
