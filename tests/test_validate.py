@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from veridelta.operators import validate as V
@@ -63,3 +64,35 @@ def test_window_reason(spark):
     r = lambda a, b, c: spark.createDataFrame([(a, b, c)], "a string, b string, c string").select(V.window_reason(F.col("a"), F.col("b"), F.col("c"))).first()[0]
     assert r("2020-01-01", "2020-02-01", "2020-01-15") is None
     assert [r(None, "x", None), r("x", "2020-01-01", None), r("2020-02-01", "2020-01-01", None), r("2020-02-01", "2020-03-01", "2020-01-01"), r("1800-01-01", "2020-01-01", None)] == ["missing", "invalid", "reversed", "after_reference", "too_long"]
+
+
+@pytest.mark.parametrize("claim, years, want", [("in 1990 and 2005", [1992, 2005], 2), ("in 1990", [], None), ("in 2005", [2005], None), ("no year 20055", [2005], None), (None, [1], None)])
+def test_year_delta(spark, claim, years, want):
+    df = spark.createDataFrame([(claim, years)], "c string, y array<int>")
+    assert df.select(V.year_delta(F.col("c"), F.col("y"))).first()[0] == want
+
+
+@pytest.mark.parametrize("claim, facts, want", [("12 men of 30", ["10 men", "of 30"], 0.2), ("10 men", ["10 men"], None), ("5 men", ["no number"], None), ("2.5", ["2"], 0.25), ("7 men", [None, "8"], 0.125)])
+def test_number_delta(spark, claim, facts, want):
+    df = spark.createDataFrame([(claim, facts)], "c string, f array<string>")
+    assert df.select(V.number_delta(F.col("c"), F.col("f"))).first()[0] == (want if want is None else pytest.approx(want))
+
+
+def test_entity_change(spark):
+    claims = spark.createDataFrame([(1, "Ada Oll met Jon Ask", ["Ada Oll"]), (2, "Ada Oll met Port Vale", ["Ada Oll"]), (3, "Ada Oll", ["Ada Oll"]), (4, "Jon Ask", ["nobody"])], "k int, c string, n array<string>")
+    known = spark.createDataFrame([("Ada Oll", "person", 8), ("Jon Ask", "person", 2), ("Port Vale", "city", 16)], "name string, category string, views int")
+    got = {r.k: (r.same_category, r.views_ratio) for r in V.entity_change(claims, known, "k", "c", "n").collect()}
+    assert got == {1: (True, 0.25), 2: (False, 2.0), 4: (False, None)}
+
+
+def test_subtlety_of_edits(spark):
+    """The spread of edits against a loop over the same variants."""
+    import re
+
+    df = spark.createDataFrame([("In 2010, 40 of 50 came", "In 2013, 40 of 50 came"), ("40 of 50", "44 of 25"), ("1,000 men", "1,100 men"), ("none", "nothing")], "a string, b string")
+    for a, b, s in df.select("a", "b", V.subtlety(F.col("a"), F.col("b"))).collect():
+        year = r"(?<!\d)(?:19|20)\d{2}(?!\d)"
+        ys = [abs(int(x) - int(y)) for x, y in zip(re.findall(year, a), re.findall(year, b)) if x != y]
+        ns = lambda t: [float(x.replace(",", "")) for x in re.findall(r"\d+(?:,\d{3})*(?:\.\d+)?", re.sub(year, "#", t))]
+        rs = [abs(x - y) / max(abs(x), 1) for x, y in zip(ns(a), ns(b)) if x != y]
+        assert s.years == (min(ys) if ys else None) and s.numbers == (pytest.approx(max(rs)) if rs else None)

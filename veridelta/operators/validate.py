@@ -107,3 +107,36 @@ def window_reason(start: Column, end: Column, reference: Column, most_months: in
         F.when(start.isNull() | end.isNull(), "missing").when(s.isNull() | e.isNull(), "invalid").when(s > e, "reversed").when(month_gap(start, end) > most_months, "too_long")
         .when(reference.isNotNull() & (iso_day(reference) < s), "after_reference")
     )
+
+
+YEARS, NUMBERS = r"\b(?:1[0-9]{3}|20[0-9]{2})\b", r"\b[0-9]+(?:\.[0-9]+)?\b"
+
+
+def year_delta(claim: Column, evidence: Column) -> Column:
+    """The least distance of a year of the claim that the evidence (an array of years) doesn't hold to one that it holds; null for none."""
+    years = F.array_distinct(F.transform(F.regexp_extract_all(claim, F.lit(YEARS), F.lit(0)), lambda y: y.cast("int")))
+    odd = F.filter(years, lambda y: ~F.array_contains(evidence, y))
+    return F.array_min(F.transform(odd, lambda y: F.array_min(F.transform(evidence, lambda e: F.abs(y - e)))))
+
+
+def number_delta(claim: Column, facts: Column) -> Column:
+    """The least relative distance of a number of the claim that the facts (an array of texts) don't hold to one that they hold; null for none."""
+    found = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(NUMBERS), F.lit(0)))
+    held = F.array_distinct(F.flatten(F.transform(facts, lambda f: F.coalesce(found(f), F.array().cast("array<string>")))))
+    odd = F.array_except(found(claim), held)
+    near = lambda x: F.array_min(F.transform(held, lambda e: F.abs(x.cast("double") - e.cast("double")) / F.greatest(F.abs(e.cast("double")), F.lit(1e-9))))
+    return F.array_min(F.transform(odd, near))
+
+
+def entity_change(claims: DataFrame, entities: DataFrame, key: str, claim: str, nodes: str) -> DataFrame:
+    """(key, same_category, views_ratio) of the claims that name an entity (name, category, views) beside their own ``nodes``: whether one of these is of a category that the nodes have, and the
+    least views of such a name against the least of the nodes'. Names are the capitalised runs of a claim, looked up in the table."""
+    from veridelta.functions.text import capital_ngrams
+
+    known = entities.groupBy("name").agg(F.min_by(F.struct("category", "views"), F.struct("category", "views")).alias("e")).select("name", "e.*")
+    own = claims.select(key, F.explode(F.array_distinct(nodes)).alias("name")).join(known, "name").groupBy(key).agg(F.collect_set("category").alias("of"), F.min("views").alias("least"))
+    names = claims.select(key, F.col(nodes).alias("_n"), F.explode(F.array_distinct(capital_ngrams(F.col(claim)))).alias("name")).where(~F.array_contains("_n", F.col("name")))
+    new = names.join(known, "name").groupBy(key).agg(F.collect_set("category").alias("new"), F.min("views").alias("views"))
+    got = new.join(own, key, "left")
+    same = F.arrays_overlap("new", F.coalesce("of", F.array().cast("array<string>")))
+    return got.select(key, same.alias("same_category"), F.when(F.col("least") > 0, F.col("views") / F.greatest("least", F.lit(1))).alias("views_ratio"))

@@ -227,3 +227,34 @@ def statement_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.get(F.filter("ns", lambda z: z["id"] == F.col("e.tail")), 0)["label"]
     s = each.select(label.alias("label"), F.col("e.relation").alias("relation"), F.col("e.start").alias("date")).where("label is not null")
     return V.statement_date(s, ["label"], "relation", ["founded", "won"])
+
+
+_KNOWN = """kn as (select l name, min(t) category, count(distinct ord) views from (select ord, z.label l, z.type t from (select ord, unnest(reasoning_graph.nodes) z from gold)) group by 1)"""
+
+
+@query("with " + _KNOWN + r""", g as (select ord, claim || ' seen in 1987 with 4321 others' c, list_distinct(list_transform(reasoning_graph.edges, lambda e: cast(substr(e.start, 1, 4) as integer))) ys, list_transform(evidence, lambda v: v.text) fs from gold where claim is not null),
+y as (select *, list_filter(list_distinct(list_transform(regexp_extract_all(c, '(?:^|[^\p{L}\p{N}_])(1[0-9]{3}|20[0-9]{2})(?:[^\p{L}\p{N}_]|$)', 1), lambda x: cast(x as integer))), lambda x: not list_contains(ys, x)) odd from g)
+select ord, list_min(list_transform(odd, lambda x: list_min(list_transform(ys, lambda e: abs(x - e))))) "years" from y""")
+def year_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the years that a claim names, and its evidence doesn't, lie from those of the evidence; every claim here gets one such year."""
+    g = read(spark, sf_dir, "gold").where("claim is not null")
+    ys = F.array_distinct(F.transform("reasoning_graph.edges", lambda e: F.substring(e["start"], 1, 4).cast("int")))
+    return g.select("ord", V.year_delta(F.concat("claim", F.lit(" seen in 1987 with 4321 others")), ys).alias("years"))
+
+
+@query("with " + _KNOWN + """, g as (select ord, list_transform(reasoning_graph.nodes, lambda z: z.label) own from gold where claim is not null),
+o as (select ord, list(distinct category) of_, min(views) least from (select distinct ord, unnest(own) l from g) join kn on l = name group by 1),
+p as (select g.ord, h.own[1] l, h.own[2] m, g.own from g join g h on h.ord = (g.ord * 7 + 3) % (select max(ord) + 1 from g)),
+n as (select distinct ord, unnest([l, m]) l, own from p), w as (select n.ord, list(distinct category) new_, min(views) views from n join kn on n.l = name where regexp_full_match(n.l, '[A-Z][A-Za-z]+ [A-Z][A-Za-z]+') and not list_contains(own, n.l) group by 1)
+select w.ord, list_has_any(new_, coalesce(of_, [])) same_category, round(case when least > 0 then views / cast(greatest(least, 1) as double) end, 6) views_ratio from w left join o on w.ord = o.ord""")
+def entity_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims that name two entities of another record: whether their types are among those of their own record, and how much rarer they are."""
+    g = read(spark, sf_dir, "gold").where("claim is not null").select("ord", F.transform("reasoning_graph.nodes", lambda z: z["label"]).alias("own"))
+    z = read(spark, sf_dir, "gold").select("ord", F.explode("reasoning_graph.nodes").alias("z")).select("ord", F.col("z.label").alias("name"), F.col("z.type").alias("category"))
+    known = z.groupBy("name").agg(F.min("category").alias("category"), F.count_distinct("ord").alias("views"))
+    most = g.agg(F.max("ord")).first()[0] or 0
+    other = g.select(F.col("ord").alias("h"), F.slice("own", 1, 2).alias("two"))
+    named = F.filter("two", lambda n: n.rlike("^[A-Z][A-Za-z]+ [A-Z][A-Za-z]+$"))
+    p = g.withColumn("h", (F.col("ord") * 7 + 3) % (most + 1)).join(other, "h").select("ord", "own", F.array_join(named, " and then ").alias("claim"))
+    got = V.entity_change(p, known, "ord", "claim", "own")
+    return got.select("ord", "same_category", F.round("views_ratio", 6).alias("views_ratio"))
