@@ -71,6 +71,19 @@ def _bag(norm: str) -> set[str]:
     return out
 
 
+class _Bits(dict):
+    """Word -> its bit of a sketch, bounded."""
+
+    def __missing__(self, w: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        out = self[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) % (64 * len(SKETCH))
+        return out
+
+
+_bits = _Bits()
+
+
 def _passage(word: str) -> str:
     """A word as it stands in a normalised claim."""
     return f" {word[0]} {word[1]} " if len(word) == 2 and is_han(word[0]) and is_han(word[1]) else f" {word} "
@@ -106,15 +119,15 @@ def common_words(members: DataFrame, share: int = COMMON) -> dict[str, int]:
 def _classes(members: DataFrame, common: dict[str, int], near: float) -> DataFrame:
     """(c1, c2, held, text, norm, words, size, SKETCH...): every different claim, whether it stands in an evaluation split and in train, and
     the words it is looked for by."""
-    once = members.groupBy("c1", "c2").agg(F.bool_or(~F.col("train")).alias("held"), F.bool_or("train").alias("text"), F.first("norm").alias("norm"), F.first("bag").alias("bag"))
+    once = members.groupBy("c1", "c2").agg(F.bool_or(~F.col("train")).alias("held"), F.bool_or("train").alias("text"), F.first("norm").alias("norm"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bags = b.column("bag").to_pylist()
+            bags = [_bag(n) for n in b.column("norm").to_pylist()]
             words = [sorted(x, key=lambda w: (common.get(w, 0), w))[: prefix(len(x), near)] for x in bags]
             bits = np.zeros((len(bags), 64 * len(SKETCH)), np.uint8)
             for i, bag in enumerate(bags):
-                bits[i, [xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) % bits.shape[1] for w in bag]] = 1
+                bits[i, [_bits[w] for w in bag]] = 1
             sketch = np.packbits(bits, axis=1).view(np.int64)
             own = [b.column(n) for n in ("c1", "c2", "held", "text", "norm")]
             yield pa.RecordBatch.from_arrays([*own, pa.array(words, pa.list_(pa.string())), pa.array(map(len, bags), pa.int32()), *(pa.array(sketch[:, k]) for k in range(len(SKETCH)))], names=["c1", "c2", "held", "text", "norm", "words", "size", *SKETCH])
