@@ -2,6 +2,7 @@ import datetime as dt
 import itertools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from veridelta.operators import claims as C
@@ -127,6 +128,24 @@ def test_depth_hubs_dangling(spark, rows):
     assert rows(G.dangling(e, spark.createDataFrame([(x,) for x in "abcxy"], "id string"))) == [("d", 1)]
 
 
+@pytest.mark.parametrize("walked", [0, 7])
+def test_or_dedup_in_rounds(spark, monkeypatch, walked):
+    """Hot keys, chains and nulls against the sequence itself."""
+    monkeypatch.setattr(R, "WALKED", walked)
+    rng = random.Random(11)
+    data = [(i, rng.choice(["hot", None, *(f"a{rng.randrange(25)}" for _ in range(3))]), rng.choice(["warm", f"b{rng.randrange(40)}", f"b{rng.randrange(40)}", None])) for i in rng.sample(range(1000), 160)]
+    data += [(2000 + i, f"c{i // 2}", f"d{(i + 1) // 2}") for i in range(12)]  # a chain: each row shares a key with the one before
+    seen_a, seen_b, want = set(), set(), []
+    for o, a, b in sorted(data):
+        if a not in seen_a and b not in seen_b:
+            seen_a.add(a)
+            seen_b.add(b)
+            want.append(o)
+    df = spark.createDataFrame(data, "ord long, a string, b string")
+    assert sorted(r.ord for r in R.or_dedup(df, "a", "b", "ord").collect()) == want
+    assert R.or_dedup(df.limit(0), "a", "b", "ord").count() == 0
+
+
 def test_split_has_no_leak(spark):
     rng = random.Random(5)
     data = [(i, rng.choice([2, 3]), [f"t{rng.randrange(60)}" for _ in range(rng.randrange(0, 3))]) for i in range(80)]

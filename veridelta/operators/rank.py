@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veridelta.session import cut
+from veridelta.session import cut, drop
 
 
 def first_by(df: DataFrame, keys: Sequence[str | Column], order: Sequence[str | Column]) -> DataFrame:
@@ -128,32 +128,39 @@ def reason_counts(df: DataFrame, reasons: Sequence[tuple[str, Column]]) -> DataF
 
 
 def or_dedup(df: DataFrame, first: str, second: str, order: str) -> DataFrame:
-    """Sequential dedup on two keys: a row goes if its first or second key was *kept* before. Rows whose keys are unique, or that
-    open both their keys, are decided by ranks; components in which the two ranks disagree are walked in order, each in one
-    task, which is as large as a component of rows that share keys."""
-    from veridelta.operators.graph import components
-
-    a, b = (F.row_number().over(Window.partitionBy(k).orderBy(order)) for k in (first, second))
-    na, nb = (F.count(F.lit(1)).over(Window.partitionBy(k)) for k in (first, second))
-    r = df.select(order, first, second, a.alias("ra"), b.alias("rb"), na.alias("na"), nb.alias("nb"))
-    alone = r.where("na = 1 and nb = 1").select(order)
-    rest = r.where("na > 1 or nb > 1").select(order, first, second)
-    node = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
-    edges = rest.select(node("r", order).alias("src"), node("a", first).alias("dst")).unionByName(rest.select(node("r", order).alias("src"), node("b", second).alias("dst")))
-    comp = components(edges).withColumnRenamed("node", "_node")
-    walked = rest.withColumn("_node", node("r", order)).join(comp, "_node").drop("_node")
-
-    def walk(pdf):
-        seen_a, seen_b, keep = set(), set(), []
-        for o, x, y in pdf.sort_values(order)[[order, first, second]].itertuples(index=False):
-            if x not in seen_a and y not in seen_b:
-                seen_a.add(x)
-                seen_b.add(y)
-                keep.append(o)
-        import pandas as pd
-
-        return pd.DataFrame({order: keep})
-
-    kind = df.schema[order].dataType.simpleString()
-    kept = alone.unionByName(walked.groupBy("component").applyInPandas(walk, f"`{order}` {kind}"))
-    return df.join(kept, order, "left_semi")
+    """Sequential dedup on two keys in a unique order: a row goes if its first or second key was *kept* before; null keys are keys. All rows are looked at at once, in rounds: a row
+    that comes first among the undecided ones of both its keys is kept, and rows of a kept key go. That decides each row as the sequence would. Rows whose order is random settle
+    in a few rounds; what is left of long chains is walked once it is at most WALKED rows. No key's rows are gathered in one task."""
+    node = F.struct(F.col(first).alias("v"))
+    left = cut(df.select(F.col(order).alias("o"), node.alias("a"), F.struct(F.col(second).alias("v")).alias("b")))
+    kept = []
+    while True:
+        la, lb = (left.groupBy(k).agg(F.min("o").alias(f"m{k}")) for k in ("a", "b"))
+        win = cut(left.join(la, "a").join(lb, "b").where("o = ma and o = mb").select("o", "a", "b"))
+        kept.append(win.select("o"))
+        last, left = left, cut(left.join(win.select("a"), "a", "left_anti").join(win.select("b"), "b", "left_anti").select("o", "a", "b"))
+        drop(last)
+        n = left.count()
+        if n == 0:
+            break
+        if n <= WALKED:
+            kept.append(df.sparkSession.createDataFrame([(o,) for o in _walk(left)], df.select(F.col(order).alias("o")).schema))
+            break
+    out = kept[0]
+    for k in kept[1:]:
+        out = out.unionByName(k)
+    return df.join(out.withColumnRenamed("o", order), order, "left_semi")
+
+
+#: Rows of a two-key dedup that are walked on the driver once no more are undecided.
+WALKED = 10_000
+
+
+def _walk(left: DataFrame) -> list:
+    seen_a, seen_b, keep = set(), set(), []
+    for o, x, y in left.orderBy("o").collect():
+        if x not in seen_a and y not in seen_b:
+            seen_a.add(x)
+            seen_b.add(y)
+            keep.append(o)
+    return keep

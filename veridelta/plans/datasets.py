@@ -76,7 +76,10 @@ def partition_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.top_per_group(df, ["source"], [F.desc_nulls_last("n_chars"), F.col("doc_id")], 10).join(n, "source")
 
 
-@query()
+@query(r"""with recursive s as (select ord, id, regexp_replace(claim, '[\s\p{Z}]+', '', 'g') c, row_number() over (order by ord) rn from gold where claim is not null),
+w as (select cast(0 as bigint) rn, cast([] as varchar[]) ka, cast([] as varchar[]) kb, cast(null as bigint) ord, cast(null as varchar) id
+union all select s.rn, case when list_contains(w.ka, s.id) or list_contains(w.kb, s.c) then w.ka else list_append(w.ka, s.id) end, case when list_contains(w.ka, s.id) or list_contains(w.kb, s.c) then w.kb else list_append(w.kb, s.c) end,
+case when not (list_contains(w.ka, s.id) or list_contains(w.kb, s.c)) then s.ord end, s.id from w join s on s.rn = w.rn + 1) select ord, id from w where ord is not null""")
 def or_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gold rows kept by a sequential dedup on id or claim: a row goes if either was kept before."""
     df = read(spark, sf_dir, "gold").where("claim is not null").select("ord", "id", X.squeeze(F.col("claim")).alias("claim"))
@@ -107,12 +110,18 @@ def disjoint_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("ord", "split")
 
 
-@query("select 'none' as \"check\", cast(0 as bigint) n")
+@query("""with q as (select unnest([2, 3, 4, 5]) hop_count, unnest([20, 20, 10, 10]) quota) select q.hop_count, q.quota, count(g.ord) records, least(q.quota, count(g.ord)) test, cast(0 as bigint) leaked from q left join gold g on g.hop_count = q.hop_count group by 1, 2""")
 def split_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entities on both sides of the disjoint split: none."""
+    """By hop count: the quota, all records, the test records (as many as the quota where the components allow it) and the entities of the hop's test records that also stand in train (none)."""
+    quota = {2: 20, 3: 20, 4: 10, 5: 10}
     r = _records(spark, sf_dir)
-    out, _ = S.disjoint_split(r, "ord", "tokens", "hop_count", {2: 20, 3: 20, 4: 10, 5: 10})
-    return S.leakage(r, out, "ord", "tokens").agg(F.count(F.lit(1)).alias("n")).select(F.lit("none").alias("check"), "n")
+    out, _ = S.disjoint_split(r, "ord", "tokens", "hop_count", quota)
+    each = r.join(out, "ord").select("hop_count", "split", "tokens")
+    leaked = S.leakage(r, out, "ord", "tokens")
+    bad = each.where("split = 'test'").select("hop_count", F.explode("tokens").alias("token")).join(leaked, "token").groupBy("hop_count").agg(F.count_distinct("token").alias("leaked"))
+    n = each.groupBy("hop_count").agg(F.count(F.lit(1)).alias("records"), F.count_if(F.col("split") == "test").alias("test"))
+    want = spark.createDataFrame(list(quota.items()), "hop_count int, quota int")
+    return want.join(n, "hop_count", "left").join(bad, "hop_count", "left").fillna(0, ["records", "test", "leaked"])
 
 
 @query(r"""select ord, id, split, source, claim, '' annotator_label, '' annotator_notes, list_aggregate(list_transform(reasoning_graph.nodes, lambda z: z.label), 'string_agg', '; ') entities, hop_count, label from gold where claim is not null""")
