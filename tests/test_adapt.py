@@ -146,3 +146,11 @@ def test_generator_is_required():
     for bad in ({}, {"llm": {"generator": {"provider": "p", "model": " "}}}, {"llm": {"generator": None}}):
         with pytest.raises(ValueError):
             S.require_generator(bad)
+
+
+def test_recorded_dates(spark):
+    triples = spark.createDataFrame([("k1", "a", "born", "x", "1950", "year"), ("k2", "a", "won", "p", "1950", "year"), ("k3", "a", "won", "q", "1950", "year"), ("k4", "a", "made", "f", None, None), ("k5", "a", "born", "x", "1950-01-02", "day"), ("k6", "b", "won", "p", "1950", "year")], "key string, head string, relation string, tail string, date string, precision string")
+    statements = spark.createDataFrame([("a", "P1", None, "1950-03-04"), ("a", "P1", None, "1949-03"), ("a", "P2", "p", "1960-05"), ("a", "P2", "q", "1960"), ("a", "P2", "q", "1961-01-01"), ("f", "P577", None, "1970-02-03"), ("f", "P577", None, "soon"), ("p", "P577", None, "1955-06-07")], "entity string, property string, tail string, date string")
+    props = spark.createDataFrame([("born", "P1", True), ("won", "P2", False)], "relation string, property string, once boolean")
+    got = {r.key: (r.date, r.precision, r.origin) for r in A.recorded_dates(triples, statements, props).collect()}
+    assert got == {"k1": ("1949-03", "month", "once"), "k2": ("1960-05", "month", "statement"), "k3": ("1950", "year", None), "k4": ("1970-02-03", "day", "release"), "k5": ("1950-01-02", "day", None), "k6": ("1955-06-07", "day", "release")}

@@ -103,3 +103,11 @@ def test_contexts_need_quotes_and_an_audit(spark):
     rows = [("n0", "A press in Port Vale.", "s", "a press", ["press in"], good), ("n1", "A press.", "s", "a press", ["mill"], good), ("n2", "A press.", "s", " ", ["press"], good), ("n3", "A press.", "s", "a press", ["press"], (True, 0.5, True, True, True, True)), ("n3", "A press.", "s", "a press", [], good)]
     got = {r.node_id: r.context for r in B.contexts(nodes, spark.createDataFrame(rows, f"node_id string, extract string, source string, summary string, quotes array<string>, pre_audit {AUDIT}")).collect()}
     assert got["n0"].summary == "a press" and [got[f"n{k}"] for k in range(1, 5)] == [None] * 4
+
+
+def test_trusted_ids(spark):
+    """An id counts only where the article links the label or the local id to the same one."""
+    kind = "struct<id:string,label:string,type:string,canonical_id:string,disambiguation:string>"
+    rows = [(("m", "Mira Oll", "person", "Q12", None), {"Mira Oll": "Q12"}), (("m", "Mira Oll", "person", "Q12", None), {"m": "Q12"}), (("m", "Mira Oll", "person", "Q12", None), {"Mira Oll": "Q13"}), (("m", "Mira Oll", "person", "Q0", None), {"m": "Q0"}), (("m", "Mira Oll", "person", None, None), None), (("y", "2014", "time", "Q7", None), {"y": "Q7"})]
+    got = [r[0] for r in spark.createDataFrame(rows, f"e {kind}, l map<string,string>").select(B.node_id(F.col("e"), F.lit("en"), F.lit("a"), F.col("l"))).collect()]
+    assert got[0] == got[1] == "wikidata:Q12" and got[5] == "temporal:2014" and all(x.startswith("entity:") for x in got[2:5])

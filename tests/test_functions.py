@@ -133,3 +133,8 @@ def test_labels_and_categories(spark):
 def test_url_class(spark, url, source, want):
     df = spark.createDataFrame([(url, source)], "u string, s string")
     assert df.select(X.url_class(F.col("u"), F.col("s"), {"a": r"^/20\d{2}/\d{2}/[^/]+/?$"}, {"a": r"^/20\d{2}/\d{2}/$"})).first()[0] == want
+
+
+@pytest.mark.parametrize("v, want", [("Sat, 15 Jun 2024 23:30:00 -0500", dt.date(2024, 6, 15)), ("5 Jun 2024 23:30 GMT", dt.date(2024, 6, 5)), ("31 Jun 2024 23:30:00 GMT", None), ("15 Jun 2024 23:30:00", None), ("2024-06-15", dt.date(2024, 6, 15)), ("2024-06-15T01:00:00Z", dt.date(2024, 6, 15)), (None, None)])
+def test_provider_day(spark, v, want):
+    assert one(spark, v, D.provider_day) == want

@@ -166,6 +166,14 @@ def test_split_says_when_its_search_was_cut(spark, monkeypatch):
     assert status({2: 4, 3: 4}) == "quota_shortfall_search_cut"
 
 
+def test_families_stay_together(spark):
+    data = [(1, "a", None, 2, ["x"]), (2, "b", "a", 2, ["y"]), (3, "c", "gone", 2, None), (4, "d", None, 2, ["z"]), (5, "e", "b", 2, ["q"])]
+    own, missing = S.with_families(spark.createDataFrame(data, "ord long, id string, parent string, hop int, tokens array<string>"), "ord", "tokens", "id", "parent")
+    assert [tuple(r) for r in missing.collect()] == [(3, "gone")]
+    comp = {r.ord: r.component for r in S.record_components(own, "ord", "tokens").collect()}
+    assert comp[1] == comp[2] and len({comp[1], comp[3], comp[4]}) == 3 and len(comp) == 5
+
+
 def test_split_uses_every_kind_of_component(spark):
     """Thousands of kinds of components, each once: the one kind that meets the quota is found however rare it is."""
     data, o = [], 0

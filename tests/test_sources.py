@@ -15,10 +15,26 @@ PAGE = """<html><head><title>T</title><meta property="article:published_time" co
 def test_extract():
     r = pages.extract(PAGE, "https://s.example/x/")
     assert r["title"] == "Head line" and r["text"] == "One < two.\nThree\nfour" and r["method"] == "html.article_container"
-    assert r["published"] == "2024-06-15" and r["bad_blocks"] == 1 and r["reviews"] == [{"claim": "C &amp; D", "rating": "False"}]
+    assert [d["value"] for d in r["dates"]] == ["2024-06-15", "2024-06-16T10:00:00Z"] and r["bad_blocks"] == 1 and r["reviews"] == [{"claim": "C &amp; D", "rating": "False", "body": None}]
     assert r["links"] == ["https://s.example/a", "https://s.example/x/b"]
 
 
+def test_extract_tries_places_in_order(spark):
+    marked = '<main><p>all of it</p></main><div class="x article-body"><p>short</p></div><div id="zoom"><p>the longer text</p><aside>no</aside></div><article>much longer than the others, but unmarked</article>'
+    r = pages.extract(marked, "https://s.example/")
+    assert r["text"] == "the longer text" and r["method"] == "html.article_container"
+    assert pages.extract("<main><p>a</p></main><main><p>bbb</p></main><p>c</p>", None)["text"] == "bbb"
+    r = pages.extract("<p>a</p><div>x</div><p>b<p>c", None)
+    assert r["text"].split("\n")[0] == "a" and r["method"] == "html.paragraph_fallback"
+    ld = '<script type="application/ld+json">[{"@type": "Thing", "articleBody": "no", "datePublished": "2001-01-01"}, {"@type": ["https://schema.org/NewsArticle"], "articleBody": "yes", "headline": "H", "datePublished": "soon"}]</script>'
+    r = pages.extract(ld + '<meta name="pubdate" content="May 4, 2011"><title>T</title><time itemprop="dateModified" datetime="2012-01-01"></time><time>2013-01-01</time><span class="pubtime">2014年1月2日</span>', None)
+    assert (r["title"], r["text"], r["method"]) == ("H", "yes", "jsonld.articleBody")
+    assert [(d["value"], d["method"]) for d in r["dates"]] == [("soon", "jsonld.datePublished"), ("May 4, 2011", "meta.pubdate"), ("2013-01-01", "html.time"), ("2014年1月2日", "html.publication_element")]
+    df = spark.createDataFrame([(1, ld + '<meta name="pubdate" content="May 4, 2011">', "u"), (2, "", "u"), (3, None, None), (4, "<p>x</p><a href='http://[bad'>y</a>", "https://s.example")], "k int, html string, url string")
+    got = {x.k: x for x in pages.extract_pages(df, "k").collect()}
+    assert (got[1].published, got[1].date_method) == ("2011-05-04", "meta.pubdate") and got[2].published is None and got[3].text == "" and got[4].links == []
+
+
 @pytest.mark.parametrize("html", ["", None, "<p>", "<<<>>>", "</div></div>", "<article><p>x"])
 def test_broken_pages_do_not_raise(html):
     assert pages.extract(html, None)["links"] == []

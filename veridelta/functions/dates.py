@@ -67,6 +67,13 @@ def source_day(c: Column) -> Column:
     return F.when(c.rlike(DAY) | c.rlike(stamp), F.try_to_date(F.substring(c, 1, 10), "yyyy-MM-dd"))
 
 
+def provider_day(c: Column) -> Column:
+    """The calendar day of a time as search providers write it: an ISO day, an ISO time with an offset, or a mail date ('Tue, 15 Jun 2024 23:30:00 -0500'), each in its own offset. A time
+    without an offset, or a date that doesn't exist, is null."""
+    mail = r"^(?:[A-Za-z]{3},\s*)?([0-9]{1,2} [A-Za-z]{3} [0-9]{4}) [0-9]{2}:[0-9]{2}(?::[0-9]{2})? (?:[+-][0-9]{4}|GMT|UTC|UT|Z)$"
+    return F.coalesce(source_day(c), F.try_to_date(F.nullif(F.regexp_extract(strip(c), mail, 1), F.lit("")), "d MMM yyyy"))
+
+
 def month_number(c: Column) -> Column:
     """Months since year 0 of a partial date of a month or more."""
     y, m = F.regexp_extract(c, "^([0-9]{4})-([0-9]{2})", 1), F.regexp_extract(c, "^([0-9]{4})-([0-9]{2})", 2)

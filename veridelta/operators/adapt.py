@@ -71,6 +71,24 @@ def upgrade_dates(facts: DataFrame, answers: DataFrame, key: str, text: Column,
     return out.withColumn(date, F.when(F.col("upgraded"), a["new_date"]).otherwise(F.col(date))).withColumn(precision, F.when(F.col("upgraded"), a["new_precision"]).otherwise(F.col(precision))).drop("_a")
 
 
+def recorded_dates(triples: DataFrame, statements: DataFrame, properties: DataFrame, release: str = "P577") -> DataFrame:
+    """``triples`` (key, head, relation, tail, date, precision) with a finer date from recorded statements (entity, property, tail, date; partial ISO dates): of a property that holds once
+    (``properties``: relation, property, once) the head's least date; of another the one dated statement that names the tail, if there is exactly one; else the least date of the tail's
+    ``release`` property. Columns date, precision and origin (once, statement, release, null)."""
+    dated = statements.where(D.precision(F.col("date")).isNotNull())
+    least = dated.groupBy("entity", "property").agg(F.min("date").alias("d"))
+    t = triples.join(properties, "relation", "left")
+    once = t.where("once").select("key", F.col("head").alias("entity"), "property").join(least, ["entity", "property"]).groupBy("key").agg(F.min("d").alias("_once"))
+    named = t.where("not once").select("key", F.col("head").alias("entity"), "property", "tail").join(dated, ["entity", "property", "tail"]).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("_statement")).where("n = 1").drop("n")
+    told = triples.select("key", F.col("tail").alias("entity")).join(least.where(F.col("property") == release), "entity").groupBy("key").agg(F.min("d").alias("_release"))
+    j = triples.join(once, "key", "left").join(named, "key", "left").join(told, "key", "left")
+    new = F.coalesce("_once", "_statement", "_release")
+    finer = D.precision_rank(D.precision(new)) > D.precision_rank(F.col("precision"))
+    origin = F.when(F.col("_once").isNotNull(), "once").when(F.col("_statement").isNotNull(), "statement").otherwise("release")
+    better = lambda a, b: F.when(F.coalesce(finer, F.lit(False)), a).otherwise(b)
+    return j.select(*(c for c in triples.columns if c not in ("date", "precision")), better(new, F.col("date")).alias("date"), better(D.precision(new), F.col("precision")).alias("precision"), F.when(F.coalesce(finer, F.lit(False)), origin).alias("origin"))
+
+
 def checked_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """The inner join by ``key``; rows of ``left`` without a partner are an error that names some of them."""
     lost = [r[0] for r in left.join(right.select(key).distinct(), key, "left_anti").select(key).orderBy(key).limit(10).collect()]

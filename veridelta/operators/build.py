@@ -124,26 +124,35 @@ def check(articles: DataFrame, audit: str | None = None, relations: Sequence[str
     return out.withColumn("status", status)
 
 
-def node_id(entity: Column, language: Column, source: Column) -> Column:
-    """The label for a time node; else a hash of type, language, label and what tells the entity apart: its disambiguation, or the article that it stands in."""
+def node_id(entity: Column, language: Column, source: Column, links: Column | None = None) -> Column:
+    """The label for a time node; a Wikidata id that the article's own links (MAP<label or local id, id>) give for the entity too; else a hash of type, language, label and what tells the
+    entity apart: its disambiguation, or the article that it stands in."""
     scope = F.when(_blank(entity["disambiguation"]), source).otherwise(strip(entity["disambiguation"]))
     parts = F.concat_ws("|", entity["type"], F.coalesce(language, F.lit("und")), entity["label"], scope)
-    return F.when(entity["type"] == "time", F.concat(F.lit("temporal:"), entity["label"])).otherwise(F.concat(F.lit("entity:"), F.substring(F.sha2(parts, 256), 1, 20)))
+    out = F.when(entity["type"] == "time", F.concat(F.lit("temporal:"), entity["label"]))
+    if links is not None:
+        known = entity["canonical_id"]
+        linked = lambda k: F.coalesce(F.try_element_at(links, k) == known, F.lit(False))
+        trusted = F.coalesce(known.rlike("^Q[1-9][0-9]*$"), F.lit(False)) & (linked(entity["label"]) | linked(entity["id"]))
+        out = out.when(trusted, F.concat(F.lit("wikidata:"), known))
+    return out.otherwise(F.concat(F.lit("entity:"), F.substring(F.sha2(parts, 256), 1, 20)))
 
 
 def build(articles: DataFrame, audit: str | None = None, **options: object) -> Graph:
-    """The graph of ``articles``; see ``check`` for their columns and the options."""
+    """The graph of ``articles``; see ``check`` for their columns and the options. Entities with a ``canonical_id`` are known by it where the article's ``entity_links`` agree."""
     kind = articles.schema["pre_extracted"].dataType
     has = _fields(kind, "facts")
     checked = check(articles, audit, **options)
     records = checked.select("ord", "id", "status", "reason", "verdict")
     robust = checked.where("status = 'time_robust'").select("ord", "id", F.col("pre_extracted.claim").alias("claim"), "verdict")
-    good = cut(checked.where("status = 'accepted'").select("ord", "id", "language", "verdict", "pre_extracted.entities", "pre_extracted.facts"))
-    named = lambda e: node_id(e, F.col("language"), F.col("id"))
-    z = good.select("ord", "id", "language", F.explode("entities").alias("z"))
+    trusted = "entity_links" in articles.columns and "canonical_id" in _fields(kind, "entities")
+    links = F.col("entity_links") if trusted else F.lit(None).cast("map<string,string>")
+    good = cut(checked.where("status = 'accepted'").select("ord", "id", "language", "verdict", "pre_extracted.entities", "pre_extracted.facts", links.alias("links")))
+    named = lambda e: node_id(e, F.col("language"), F.col("id"), F.col("links") if trusted else None)
+    z = good.select("ord", "id", "language", "links", F.explode("entities").alias("z"))
     flat = z.select(named(F.col("z")).alias("node_id"), "ord", F.col("z.label").alias("label"), F.col("z.type").alias("type"), F.col("z.domain").alias("domain"), F.when(F.col("z.type") == "time", "und").otherwise(F.coalesce("language", F.lit("und"))).alias("language"), F.array("z.domain").alias("domains"), F.array("id").alias("source_ids"))
     nodes = G.merge_nodes(flat, "ord", "node_id", ["label", "type", "domain", "language"], ["domains", "source_ids"])
-    facts = good.select("ord", "id", "language", "verdict", "entities", F.posexplode("facts").alias("pos", "f"))
+    facts = good.select("ord", "id", "language", "verdict", "links", "entities", F.posexplode("facts").alias("pos", "f"))
     side = lambda s: let(F.get(F.filter("entities", lambda e: e["id"] == F.col(f"f.{s}")), 0), named)
     more = F.coalesce(F.col("f.time_evidence_quotes"), F.array().cast("array<string>")) if "time_evidence_quotes" in has else F.array().cast("array<string>")
     cited = F.concat(F.array(F.struct(F.col("id").alias("source_id"), F.col("f.evidence_quote").alias("quote"), F.lit("fact").alias("kind"))), F.transform(more, lambda q: F.struct(F.col("id").alias("source_id"), q.alias("quote"), F.lit("temporal").alias("kind"))))

@@ -24,6 +24,15 @@ def record_components(records: DataFrame, key: str, tokens: str) -> DataFrame:
     return cut(comp.select(F.substring("node", 3, 1_000_000).cast(kind).alias(key), "component"))
 
 
+def with_families(records: DataFrame, key: str, tokens: str, record_id: str, parent: str) -> tuple[DataFrame, DataFrame]:
+    """(records, missing). ``tokens`` gets the family of each record, its parent's id or its own, so that a record and what was made of it stay together. missing: key and parent of the
+    records whose parent isn't there."""
+    family = F.concat(F.lit("family:"), F.coalesce(parent, record_id))
+    own = records.withColumn(tokens, F.array_distinct(F.array_compact(F.concat(F.coalesce(tokens, F.array().cast("array<string>")), F.array(family)))))
+    ids = records.select(F.col(record_id).alias(parent)).distinct()
+    return own, records.where(F.col(parent).isNotNull()).select(key, parent).join(ids, parent, "left_anti").select(key, parent)
+
+
 def component_vectors(records: DataFrame, of: DataFrame, key: str, hop: str, hops: list[int]) -> DataFrame:
     """(component, n, h<hop>...): the size of each component and its records by hop."""
     return records.select(key, hop).join(of, key).groupBy("component").agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col(hop) == h).alias(f"h{h}") for h in hops))

@@ -227,3 +227,18 @@ def stage_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = S.gate(e, "verdict").withColumn("status", F.coalesce("status", F.lit("ok")))
     row = lambda df, s, stage: df.select(F.lit(stage).alias("stage"), s.alias("status"), (s != "skipped").cast("long").alias("model_calls"), F.lit(0).cast("long").alias("search_calls"), "predicted_label")
     return S.stage_report(row(h, first, "queries").unionByName(row(e, F.col("status"), "explanation")).unionByName(row(v, F.col("status"), "verdict")))
+
+
+@query("""with e as (select g.ord || ':' || u.i as key, list_filter(g.reasoning_graph.nodes, lambda z: z.id = g.reasoning_graph.edges[u.i].head)[1].label head, g.reasoning_graph.edges[u.i].relation relation, list_filter(g.reasoning_graph.nodes, lambda z: z.id = g.reasoning_graph.edges[u.i].tail)[1].label tail, g.reasoning_graph.edges[u.i].start d from gold g, unnest(generate_series(1, cast(len(g.reasoning_graph.edges) as bigint))) u(i)),
+o as (select head, relation, min(d) d from e where relation in ('founded', 'won') group by 1, 2), n as (select head, relation, tail, min(d) d from e where relation not in ('founded', 'won') group by 1, 2, 3 having count(*) = 1), r as (select head entity, min(d) d from e where relation = 'hosted' group by 1)
+select e.key, coalesce(o.d, n.d, r.d, substr(e.d, 1, 4)) "date", case when coalesce(o.d, n.d, r.d) is not null then 'day' else 'year' end "precision", case when o.d is not null then 'once' when n.d is not null then 'statement' when r.d is not null then 'release' end origin
+from e left join o on e.head = o.head and e.relation = o.relation left join n on e.head = n.head and e.relation = n.relation and e.tail = n.tail left join r on e.tail = r.entity""")
+def recorded_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges known by the year, with the day that recorded statements give: here the edges themselves are the statements, two relations hold once, and 'hosted' stands for a release."""
+    g = read(spark, sf_dir, "gold").select("ord", F.col("reasoning_graph.nodes").alias("ns"), F.posexplode("reasoning_graph.edges").alias("i", "e"))
+    label = lambda side: F.get(F.filter("ns", lambda z: z["id"] == F.col(f"e.{side}")), 0)["label"]
+    e = g.select(F.concat_ws(":", "ord", F.col("i") + 1).alias("key"), label("head").alias("head"), F.col("e.relation").alias("relation"), label("tail").alias("tail"), F.col("e.start").alias("d"))
+    triples = e.select("key", "head", "relation", "tail", F.substring("d", 1, 4).alias("date"), F.lit("year").alias("precision"))
+    statements = e.select(F.col("head").alias("entity"), F.col("relation").alias("property"), "tail", F.col("d").alias("date"))
+    props = e.select("relation").distinct().select("relation", F.col("relation").alias("property"), F.col("relation").isin("founded", "won").alias("once"))
+    return A.recorded_dates(triples, statements, props, release="hosted").select("key", "date", "precision", "origin")

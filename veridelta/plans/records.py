@@ -258,3 +258,27 @@ def entity_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = g.withColumn("h", (F.col("ord") * 7 + 3) % (most + 1)).join(other, "h").select("ord", "own", F.array_join(named, " and then ").alias("claim"))
     got = V.entity_change(p, known, "ord", "claim", "own")
     return got.select("ord", "same_category", F.round("views_ratio", 6).alias("views_ratio"))
+
+
+@query("""with e as (select ord, id, unnest(pre_extracted.entities) z from raw_demo where pre_extracted is not null), d as (select distinct ord, z.label l from e), p as (select a.l a, b.l b, count(*) n, min(a.ord) first_ord from d a join d b on a.ord = b.ord and a.l < b.l group by 1, 2)
+select a, b, n, first_ord from p order by n desc, first_ord, a, b limit 30000""")
+def co_mention_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 30,000 pairs of entities that most articles name together, ties by the first article."""
+    ls = F.array_sort(F.array_distinct(F.transform("pre_extracted.entities", lambda z: z["label"])))
+    df = read(spark, sf_dir, "raw_demo").where("pre_extracted is not null").select("ord", ls.alias("ls"))
+    pairs = F.flatten(F.transform("ls", lambda a: F.transform(F.filter("ls", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    n = df.select("ord", F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first_ord"))
+    return n.orderBy(F.desc("n"), "first_ord", "a", "b").limit(30_000)
+
+
+@query(r"""with u as (select 0 f, ord, claim from gold union all select 1, ord, claim from raw_demo union all select 2, ord, claim from raw), k as (select f, ord, lower(regexp_replace(claim, '[\s\p{Z}]+', '', 'g')) k from u where claim is not null),
+g as (select k, f, count(*) n from k where k <> '' group by 1, 2), m as (select k, min(f) f0, sum(n) n, count(*) files, max(n) most from g group by 1)
+select f0 first_file, count(*) claims, count(*) filter (where files > 1) shared, cast(sum(n - 1) as bigint) copies, max(most) most_in_a_file from m group by 1""".replace("\\\\", "\\"))
+def claims_across_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims by the first of three files that holds them: how many stand in another file too, and how many copies there are."""
+    u = None
+    for i, t in enumerate(("gold", "raw_demo", "raw")):
+        part = read(spark, sf_dir, t).select(F.lit(i).alias("f"), F.sha2(F.nullif(F.lower(X.squeeze(F.col("claim"))), F.lit("")), 256).alias("k")).where("k is not null")
+        u = part if u is None else u.unionByName(part)
+    m = u.groupBy("k", "f").agg(F.count(F.lit(1)).alias("n")).groupBy("k").agg(F.min("f").alias("first_file"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("files"), F.max("n").alias("most"))
+    return m.groupBy("first_file").agg(F.count(F.lit(1)).alias("claims"), F.count_if(F.col("files") > 1).alias("shared"), F.sum(F.col("n") - 1).alias("copies"), F.max("most").alias("most_in_a_file"))

@@ -14,73 +14,93 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veridelta.functions.dates import publication_date
+
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 # Elements whose text is no part of a page's.
 SKIP = frozenset("script style nav footer aside noscript form button svg".split())
 BLOCK = frozenset("p div section article main h1 h2 h3 h4 h5 h6 li ul ol tr table blockquote header br pre figure".split())
-_MARKED = re.compile(r"(?i)\b(?:article|post|entry|story)[-_]?(?:body|content|text)\b")
+# How pages mark the element of an article's text, and where they say when it was published, in the order in which places are tried.
+TEXT_CLASSES = frozenset("entry-content article-body article-content articleBody rich-text main-content main-article".split())
+TEXT_IDS = frozenset("detail detailContent content p-detail article article-content zoom".split())
+DATE_METAS = ("article:published_time", "article:publish_time", "datepublished", "publishdate", "pubdate", "date", "publish_date", "og:release_date")
+DATE_CLASSES, DATE_IDS = frozenset("pubtime publish-time pub-time".split()), frozenset("pubtime publish-time".split())
+ARTICLE_TYPES, REVIEW_TYPE = ("NewsArticle", "Article", "BlogPosting"), "ClaimReview"
 
 
 class _Page(HTMLParser):
-    """One pass: title, h1, meta, JSON-LD objects, links, and text of article, main, marked containers and paragraphs."""
+    """One pass. What is wanted of the text of an element is gathered in a buffer of its own while the element is open: elements marked as an article's text, article and main
+    elements, paragraphs, headings of the first rank, times and publication dates."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, str]] = []
+        self.stack: list[tuple[str, list[list[str]]]] = []
         self.skip = 0
-        self.title, self.h1, self.time = "", "", ""
         self.meta: dict[str, str] = {}
         self.links: list[str] = []
-        self.ld: list[str] = []
-        self.bad_ld = 0
-        self.texts: dict[str, list[str]] = {"article": [], "main": [], "marked": [], "p": []}
-
-    def _inside(self) -> set[str]:
-        return {k for _, k in self.stack if k}
+        self.found: dict[str, list[list[str]]] = {k: [] for k in ("marked", "article", "main", "p", "h1", "title", "time", "published", "ld")}
+        self.stamps: list[str] = []
+
+    def _wanted(self, tag: str, a: dict[str, str]) -> Iterator[str]:
+        if tag in ("article", "main", "p", "h1", "title"):
+            yield tag
+        classes = a.get("class", "")
+        if TEXT_CLASSES & set(classes.split()) or a.get("id") in TEXT_IDS or a.get("itemprop") == "articleBody":
+            yield "marked"
+        if tag == "time" and "modified" not in a.get("itemprop", "").lower() and "updated" not in classes.lower():
+            self.stamps.append(a.get("datetime", ""))
+            yield "time"
+        if DATE_CLASSES & set(classes.lower().split()) or a.get("id", "").lower() in DATE_IDS:
+            yield "published"
+        if tag == "script" and a.get("type", "").lower() == "application/ld+json":
+            yield "ld"
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         a = {k: v or "" for k, v in attrs}
         if tag == "meta":
-            self.meta.setdefault((a.get("property") or a.get("name") or "").lower(), a.get("content", ""))
+            self.meta[(a["property"] if "property" in a else a.get("name", "")).lower()] = a.get("content", "")
         if tag in ("a", "link") and a.get("href"):
             self.links.append(a["href"])
-        if tag == "time" and a.get("datetime") and not self.time:
-            self.time = a["datetime"]
         if tag in BLOCK:
             self._write("\n")
         if tag in VOID:
             return
-        kind = tag if tag in ("article", "main", "p") else "marked" if _MARKED.search(a.get("class", "") + " " + a.get("id", "")) else ""
-        if tag == "script" and a.get("type", "").lower() == "application/ld+json":
-            kind = "ld"
-            self.ld.append("")
-        self.stack.append((tag, kind))
+        own: list[list[str]] = []
+        for kind in self._wanted(tag, a):
+            own.append([])
+            self.found[kind].append(own[-1])
+        self.stack.append((tag, own))
         self.skip += tag in SKIP
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in BLOCK:
-            self._write("\n")
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
-                for t, _ in self.stack[i:]:
-                    self.skip -= t in SKIP
+                if tag in BLOCK:
+                    self._write("\n")
+                self.skip -= sum(t in SKIP for t, _ in self.stack[i:])
                 del self.stack[i:]
                 return
 
     def _write(self, data: str) -> None:
         if not self.skip:
-            for k in self._inside() & self.texts.keys():
-                self.texts[k].append(data)
+            for _, own in self.stack:
+                for buffer in own:
+                    buffer.append(data)
 
     def handle_data(self, data: str) -> None:
-        if self.stack and self.stack[-1][1] == "ld":
-            self.ld[-1] += data
-            return
-        if self.stack and self.stack[-1][0] == "title":
-            self.title += data
-        if any(t == "h1" for t, _ in self.stack) and not self.skip:
-            self.h1 += data
-        self._write(data)
+        if self.stack and self.stack[-1][0] == "script" and self.stack[-1][1]:
+            self.stack[-1][1][0].append(data)
+        else:
+            self._write(data)
+
+    def texts(self, kind: str) -> list[str]:
+        return [_clean("".join(b)) for b in self.found[kind]]
+
+
+def _types(o: dict) -> set[str]:
+    """The names of an object's types, without what stands before the last slash."""
+    t = o.get("@type", [])
+    return {x.rsplit("/", 1)[-1] for x in (t if isinstance(t, list) else [t]) if isinstance(x, str)}
 
 
 def objects(value: object) -> Iterator[dict]:
@@ -100,44 +120,61 @@ def _clean(text: str) -> str:
 
 
 def extract(html: str, url: str) -> dict:
-    """title (h1, headline, meta, title), text (articleBody, marked container, article, main, paragraphs) with its method, the
-    first date given, claim reviews, links without fragment in order, and broken JSON-LD blocks. Null or broken pages give blanks."""
+    """title (h1, headline, meta, title); text (articleBody, else the longest of the marked elements, else of the article elements, else of the main ones, else all paragraphs) with its
+    method; the places that give a date with what they say, in order; claim reviews; links without fragment in order; broken JSON-LD blocks. Null or broken pages give blanks."""
     p = _Page()
     p.feed(html or "")
     p.close()
     found: list[dict] = []
     bad = 0
-    for block in p.ld:
+    for block in p.found["ld"]:
         try:
-            found += objects(json.loads(block))
+            found += objects(json.loads("".join(block)))
         except ValueError:
             bad += 1
-    text_of = lambda k: next((str(o[k]) for o in found if isinstance(o.get(k), str) and o[k].strip()), "")
-    title = _clean(p.h1) or text_of("headline") or p.meta.get("og:title", "") or _clean(p.title)
-    choices = [("jsonld.articleBody", text_of("articleBody")), ("html.marked_container", "".join(p.texts["marked"])), ("html.article_container", "".join(p.texts["article"])), ("html.main", "".join(p.texts["main"])), ("html.paragraph_fallback", "".join(p.texts["p"]))]
-    method, text = next(((m, _clean(t)) for m, t in choices if _clean(t)), (None, ""))
-    date = text_of("datePublished") or p.meta.get("article:published_time", "") or p.time
-    is_review = lambda o: "ClaimReview" in (o.get("@type") if isinstance(o.get("@type"), list) else [o.get("@type")])
-    reviews = [{"claim": o.get("claimReviewed") if isinstance(o.get("claimReviewed"), str) else None, "rating": (o.get("reviewRating") or {}).get("alternateName") if isinstance(o.get("reviewRating"), dict) else None} for o in found if is_review(o)]
-    links = list(dict.fromkeys(u for u in (urldefrag(urljoin(url or "", x)).url for x in p.links) if u.startswith(("http://", "https://"))))
-    return {"title": title, "text": text, "method": method, "published": date or None, "reviews": reviews, "links": links, "bad_blocks": bad}
-
-
-FIELDS = "title string, text string, method string, published string, reviews array<struct<claim:string,rating:string>>, links array<string>, bad_blocks int"
+    articles, reviews = [o for o in found if _types(o) & set(ARTICLE_TYPES)], [o for o in found if REVIEW_TYPE in _types(o)]
+    text_of = lambda k: next((o[k] for o in articles if isinstance(o.get(k), str)), "")
+    first = lambda kind: next((t for t in p.texts(kind)), "")
+    title = first("h1") or text_of("headline") or p.meta.get("article:title") or p.meta.get("og:title") or first("title")
+    text, method = _clean(text_of("articleBody")), "jsonld.articleBody"
+    if not text:
+        elements = next((p.texts(k) for k in ("marked", "article", "main") if p.found[k]), None)
+        text, method = (max(elements, key=len), "html.article_container") if elements else (_clean("\n".join(p.texts("p"))), "html.paragraph_fallback")
+    dates = [(o.get("datePublished"), "jsonld.datePublished") for o in articles + reviews]
+    dates += [(p.meta.get(k), f"meta.{k}") for k in DATE_METAS]
+    dates += [(stamp or told, "html.time") for stamp, told in zip(p.stamps, p.texts("time"), strict=True)] + [(t, "html.publication_element") for t in p.texts("published")]
+    rated = lambda r: next((r[k] for k in ("alternateName", "name") if isinstance(r.get(k), str) and r[k]), None) if isinstance(r, dict) else None
+    plain = lambda v: _clean(v) if isinstance(v, str) else None
+    told = [{"claim": plain(o.get("claimReviewed")), "rating": rated(o.get("reviewRating")), "body": plain(o.get("reviewBody"))} for o in reviews]
+    links = list(dict.fromkeys(u for u in (_joined(url, x) for x in p.links) if u.startswith(("http://", "https://"))))
+    return {"title": _clean(title), "text": text, "method": method if text else None, "dates": [{"value": v, "method": m} for v, m in dates if isinstance(v, str) and v.strip()], "reviews": told, "links": links, "bad_blocks": bad}
+
+
+def _joined(url: str | None, link: str) -> str:
+    try:
+        return urldefrag(urljoin(url or "", link)).url
+    except ValueError:  # a host that is none
+        return ""
+
+
+RAW = "title string, text string, method string, dates array<struct<value:string,method:string>>, reviews array<struct<claim:string,rating:string,body:string>>, links array<string>, bad_blocks int"
 
 
 def extract_pages(pages: DataFrame, key: str, html: str = "html", url: str = "url") -> DataFrame:
-    """(key, FIELDS...) of every page."""
+    """(key, title, text, method, published, date_method, reviews, links, bad_blocks) of every page; published is the first date given that is one."""
     kind = pages.schema[key].dataType.simpleString()
-    review = pa.list_(pa.struct([("claim", pa.string()), ("rating", pa.string())]))
-    types = {"title": pa.string(), "text": pa.string(), "method": pa.string(), "published": pa.string(), "reviews": review, "links": pa.list_(pa.string()), "bad_blocks": pa.int32()}
+    told = lambda *names: pa.list_(pa.struct([(n, pa.string()) for n in names]))
+    types = {"title": pa.string(), "text": pa.string(), "method": pa.string(), "dates": told("value", "method"), "reviews": told("claim", "rating", "body"), "links": pa.list_(pa.string()), "bad_blocks": pa.int32()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [extract(h, u) for h, u in zip(b.column(html).to_pylist(), b.column(url).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(key), *(pa.array([g[n] for g in got], t) for n, t in types.items())], names=[key, *types])
 
-    return pages.select(key, html, url).mapInArrow(run, f"`{key}` {kind}, {FIELDS}")
+    got = pages.select(key, html, url).mapInArrow(run, f"`{key}` {kind}, {RAW}")
+    dated = F.filter(F.transform("dates", lambda d: F.struct(publication_date(d["value"]).alias("day"), d["method"].alias("method"))), lambda d: d["day"].isNotNull())
+    first = F.get(dated, 0)
+    return got.select(key, "title", "text", "method", first["day"].cast("string").alias("published"), first["method"].alias("date_method"), "reviews", "links", "bad_blocks")
 
 
 def read_folder(spark: SparkSession, folder: str) -> DataFrame:
