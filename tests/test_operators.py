@@ -162,6 +162,7 @@ def test_split_says_when_its_search_was_cut(spark, monkeypatch):
     df = spark.createDataFrame(data, "ord long, hop int, tokens array<string>")
     status = lambda quota: S.disjoint_split(df, "ord", "tokens", "hop", quota)[1]["status"]
     assert status({2: 1, 3: 1}) == "quota_shortfall"
+    monkeypatch.setattr(S, "ALL_STATES", 1)
     monkeypatch.setattr(S, "MOST_STATES", 1)
     assert status({2: 4, 3: 4}) == "quota_shortfall_search_cut"
 
@@ -205,6 +206,19 @@ def test_choose_equals_brute_force():
     assert sum(got) == best and sum(k * v[0] for v, k in took.items()) == got[0]
 
 
+def test_choice_in_an_array_is_the_best(monkeypatch):
+    rng = random.Random(13)
+    for _ in range(25):
+        kinds = [(tuple(rng.randrange(0, 4) for _ in range(2)), rng.randrange(1, 4)) for _ in range(4)]
+        kinds = list({v: (v, n) for v, n in kinds}.values())
+        quota = (rng.randrange(0, 8), rng.randrange(1, 8))
+        took, got, cut = S.search(kinds, quota)
+        sums = {tuple(sum(k * v[i] for (v, _), k in zip(kinds, ks)) for i in (0, 1)) for ks in itertools.product(*(range(n + 1) for _, n in kinds))}
+        score = lambda s: (sum(s), -sum((q - x) ** 2 for q, x in zip(quota, s)), s)
+        assert not cut and got == max((s for s in sums if all(x <= q for x, q in zip(s, quota))), key=score)
+        assert tuple(sum(k * v[i] for v, k in took.items()) for i in (0, 1)) == got and all(k <= dict(kinds)[v] for v, k in took.items())
+
+
 def test_facts_reject_in_order(spark):
     ent = [("a", "Ada", "person", "d", "1"), ("b", "Club", "organization", "d", "2")]
     full = lambda **k: tuple(({"head": "a", "relation": "r", "tail": "b", "start": "2020-01-01", "end": "2020-01-02", "time_precision": "day", "temporal_kind": "state", "polarity": "positive", "evidence_quote": "quote"} | k).values())

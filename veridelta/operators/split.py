@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veridelta.operators.graph import components
 from veridelta.session import cut
 
-#: Most sums that the search keeps.
-MOST_STATES = 20_000
+#: Sums up to which all are looked at, in one array; beyond it the search keeps the best so many.
+ALL_STATES, MOST_STATES = 20_000_000, 20_000
 
 
 def record_components(records: DataFrame, key: str, tokens: str) -> DataFrame:
@@ -40,13 +42,15 @@ def component_vectors(records: DataFrame, of: DataFrame, key: str, hop: str, hop
 
 def choose(kinds: list[tuple[tuple[int, ...], int]], quota: tuple[int, ...]) -> tuple[dict[tuple[int, ...], int], tuple[int, ...]]:
     """How many components of each vector kind the test set takes, so that no hop goes over its quota and first the sum is
-    largest, then the sum of squared gaps least. A bounded search over kinds, not over components: larger kinds first, the best
-    MOST_STATES sums kept. Returns the numbers and the sum."""
+    largest, then the sum of squared gaps least. A search over kinds, not over components. Returns the numbers and the sum."""
     return search(kinds, quota)[:2]
 
 
 def search(kinds: list[tuple[tuple[int, ...], int]], quota: tuple[int, ...]) -> tuple[dict[tuple[int, ...], int], tuple[int, ...], bool]:
-    """What ``choose`` returns, and whether sums were dropped on the way, so that a better choice may exist."""
+    """What ``choose`` returns, and whether sums were dropped on the way, so that a better choice may exist. Where the quotas allow at most ALL_STATES sums none is; else larger kinds
+    come first and the best MOST_STATES sums are kept."""
+    if math.prod(q + 1 for q in quota) <= ALL_STATES:
+        return *_search_all(kinds, quota), False
     pruned = False
     score = lambda v: (sum(v), -sum((q - x) ** 2 for x, q in zip(v, quota, strict=True)))
     states: dict[tuple[int, ...], dict] = {tuple(0 for _ in quota): {}}
@@ -67,6 +71,33 @@ def search(kinds: list[tuple[tuple[int, ...], int]], quota: tuple[int, ...]) ->
     return states[best], best, pruned
 
 
+def _search_all(kinds: list[tuple[tuple[int, ...], int]], quota: tuple[int, ...]) -> tuple[dict[tuple[int, ...], int], tuple[int, ...]]:
+    """The search over an array of all sums: which kind, and how many of it, reached each first."""
+    shape = tuple(q + 1 for q in quota)
+    by, count = np.full(shape, -1, np.int32), np.zeros(shape, np.int32)
+    reached = np.zeros(shape, bool)
+    reached[(0,) * len(quota)] = True
+    order = [(v, n) for v, n in sorted(kinds, key=lambda k: (-sum(k[0]), k[0])) if any(v) and all(x <= q for x, q in zip(v, quota, strict=True))]
+    for i, (vec, n) in enumerate(order):
+        if reached[quota]:
+            break
+        before = reached.copy()
+        for k in range(1, min(n, *(q // x for x, q in zip(vec, quota, strict=True) if x)) + 1):
+            to, of = tuple(slice(k * x, None) for x in vec), tuple(slice(0, m - k * x) for x, m in zip(vec, shape, strict=True))
+            new = before[of] & ~reached[to]
+            by[to][new], count[to][new] = i, k
+            reached[to] |= new
+    at = np.argwhere(reached)
+    best = tuple(int(x) for x in at[np.lexsort((*at.T[::-1], -((np.array(quota) - at) ** 2).sum(axis=1), at.sum(axis=1)))[-1]])
+    took: dict[tuple[int, ...], int] = {}
+    state = best
+    while any(state):
+        vec, k = order[by[state]][0], int(count[state])
+        took[vec] = took.get(vec, 0) + k
+        state = tuple(a - k * b for a, b in zip(state, vec, strict=True))
+    return took, best
+
+
 def disjoint_split(records: DataFrame, key: str, tokens: str, hop: str, quota: dict[int, int]) -> tuple[DataFrame, dict]:
     """(key, component, split) and a report. The distinct vectors of components that fit into the quota, and how many there are of each, reach the driver: all of them, and no
     more than the quota has vectors below it. A quota that is missed is a ``quota_shortfall`` only where no sum was left out of the search, else

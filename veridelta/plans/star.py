@@ -9,7 +9,7 @@ from veridelta.functions.nums import magnitude_step
 from veridelta.operators import graph as G
 from veridelta.operators import rank as R
 from veridelta.plans.registry import query
-from veridelta.session import read
+from veridelta.session import cut, read
 
 _EDGES = """
 kg as (select 'p:' || o_orderkey id, 'order:' || o_orderkey head, 'placed_by' relation, 'customer:' || o_custkey tail, cast(o_orderdate as date) s, cast(o_orderdate as date) t from orders
@@ -53,7 +53,7 @@ d0 as (select node from top), d1 as (select distinct nxt node from d0 join adj u
 select depth, count(*) n from (select 0 depth, node from d0 union all select 1, node from d1 union all select 2, node from d2) group by 1""")
 def depth_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes by distance from the largest hub, to depth 2."""
-    e = _kg(spark, sf_dir)
+    e = cut(_kg(spark, sf_dir).select("head", "tail"))
     return G.depth_layers(e, G.hubs(e, 1), 2).groupBy("depth").agg(F.count(F.lit(1)).alias("n"))
 
 
