@@ -63,7 +63,17 @@ class _Ids(dict):
         return out
 
 
-_ids = _Ids()
+class _Han(dict):
+    """Word -> whether it is a Han character, bounded."""
+
+    def __missing__(self, w: str) -> bool:
+        if len(self) > 500_000:
+            self.clear()
+        out = self[w] = len(w) == 1 and is_han(w)
+        return out
+
+
+_ids, _han = _Ids(), _Han()
 
 
 def tokens(text: str) -> list[str]:
@@ -82,9 +92,13 @@ def _covered(ids: np.ndarray, doc: np.ndarray, width: int) -> np.ndarray:
     inside = doc[:n] == doc[width - 1 :]
     at = np.flatnonzero(inside)
     key = (h[at] ^ (h[at] >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + doc[at].astype(np.uint64) * np.uint64(0x94D049BB133111EB)
-    order = np.argsort(key, kind="stable")
-    same = np.r_[False, key[order[1:]] == key[order[:-1]]] if len(order) else np.zeros(0, bool)
-    start = at[order[same]]
+    if not len(at):
+        return hit[:-1].astype(bool)
+    order = np.argsort(key)
+    one = key[order]
+    again = np.ones(len(at), bool)
+    again[np.minimum.reduceat(order, np.flatnonzero(np.r_[True, one[1:] != one[:-1]]))] = False  # the first of each is none
+    start = at[again]
     np.add.at(hit, start, 1)
     np.add.at(hit, start + width, -1)
     return np.cumsum(hit)[:-1] > 0
@@ -111,7 +125,7 @@ class _Block:
         self.letters = np.fromiter(map(len, flat), np.int64, len(flat))
         self.doc = np.repeat(np.arange(self.n), sizes)
         self.total = np.bincount(self.doc, self.letters, self.n)
-        han = np.fromiter((len(w) == 1 and is_han(w) for w in flat), bool, len(flat))
+        han = np.fromiter(map(_han.__getitem__, flat), bool, len(flat))
         self.chinese = np.bincount(self.doc, han, self.n) * 2 > self.total
 
     def share(self, mask: np.ndarray) -> np.ndarray:
