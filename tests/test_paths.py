@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veridelta.operators import paths as P
+from veridelta.operators import rank as R
 
 EDGES = "id string, head string, relation string, tail string, start date, end date, precision string, kind string"
 DAY = dt.date(2020, 5, 1)
@@ -106,6 +107,36 @@ def test_typed_bias(spark):
     assert share[0.0] < 0.65 < 0.8 < share[0.8] < share[1.0]
 
 
+@pytest.fixture
+def rows_cut(monkeypatch):
+    """Rows of each table that is written to the shared folder."""
+    counts, real = [], P.cut
+
+    def counted(df):
+        out = real(df)
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(P, "cut", counted)
+    monkeypatch.setattr(R, "cut", counted)
+    return counts
+
+
+def test_samples_write_the_edges_of_visited_nodes_only(spark, rows_cut):
+    data = [edge(f"e{k:04d}", f"n{k % 60}", f"n{(k * 7 + k // 60) % 60}") for k in range(3000)]
+    rows = P.sample_paths(spark.createDataFrame(data, EDGES), types(spark, data), 3, 3, tries=1).collect()
+    assert rows and 0 < max(rows_cut) < 600
+
+
+def test_samples_of_several_lengths_are_those_of_each(spark):
+    data = town(5)
+    df, kinds = spark.createDataFrame(data, EDGES), types(spark, data)
+    got = P.samples(df, kinds, (2, 4), 40)
+    assert {h: sorted(map(tuple, x.collect())) for h, x in got.items()} == {h: sorted(map(tuple, P.sample_paths(df, kinds, h, 40).collect())) for h in (2, 4)}
+    by_node = F.element_at(F.create_map(*(F.lit(x) for r in kinds.collect() for x in r)), F.col("node"))
+    assert sorted(map(tuple, P.samples(df, by_node, [2], 40)[2].collect())) == sorted(map(tuple, got[2].collect()))
+
+
 def brute_ranked(data, seed, hops, fan, most_gap, most_span, budget):
     freq = Counter(r for _, _, r, _, _ in data)
     adj = {}

@@ -1,7 +1,8 @@
 """Samples of paths: starts drawn by a power of the degree, self-avoiding walks, acceptance by strategy and by order in time, and best-first paths.
 
-A step of a walk never lists a node's edges. The edges of each node are numbered once, in two levels, and a walker looks up the number that a hash of seed, draw and step gives it; a
-hub of a third of all edges is as cheap as any node, and every edge of it can be walked. All draws are hashes, so a sample is the same on every cluster."""
+A step of a walk reads the edges once and keeps those at the nodes where walkers stand. They are numbered, in two levels, and a walker looks up the number that a hash of seed, draw and step
+gives it; a hub of a third of all edges is numbered by many tasks, and every edge of it can be walked. No table of all edges is ever written. All draws are hashes, so a sample is the same on
+every cluster, and a walk of few edges is the beginning of that of more from the same start: one walk serves samples of several lengths."""
 
 from __future__ import annotations
 
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 
 from veridelta.functions.dates import month_number
 from veridelta.operators import graph as G
-from veridelta.operators.rank import before, numbered
-from veridelta.session import cut, small
+from veridelta.operators.rank import sums_before
+from veridelta.session import cut, drop, small
 
 # Which paths each strategy may join, by node types or relations.
 BY_TYPE = {"person_identity_fusion": ("person", "human"), "geospatial_coincidence": ("location", "place", "city", "country")}
@@ -59,63 +60,91 @@ def draw(*parts: Column | str | int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long")
 
 
-def numbered_edges(edges: DataFrame) -> DataFrame:
-    """(node, no, next, degree, typed, next_degree, next_typed, EDGE): every edge from both its ends, numbered at each node from 0: typed edges (``kind`` 'typed', all where there is no such
-    column) before others, then by id. Loops are left out."""
+def _plain(edges: DataFrame) -> DataFrame:
+    """(id, head, tail, relation, start, end, precision, kind) without loops; all edges are 'typed' where there is no such column."""
     kind = F.col("kind") if "kind" in edges.columns else F.lit("typed")
     precision = F.col("precision") if "precision" in edges.columns else F.lit("day")
-    plain = edges.where(F.col("head") != F.col("tail")).select("id", "head", "tail", "relation", "start", "end", precision.alias("precision"), kind.alias("kind"))
-    both = G.adjacency(plain, keep=["id", "relation", "start", "end", "precision", "kind"])
-    both = both.withColumn("_key", F.concat_ws(":", F.when(F.col("kind") == "typed", "0").otherwise("1"), "id", "direction"))
-    deg = both.groupBy("node").agg(F.count(F.lit(1)).alias("degree"), F.count_if(F.col("kind") == "typed").alias("typed"))
-    out = numbered(both, ["node"], "_key", "no").join(deg, "node")
-    far = deg.select(F.col("node").alias("next"), F.col("degree").alias("next_degree"), F.col("typed").alias("next_typed"))
-    return cut(out.join(far, "next").select("node", "no", "next", "degree", "typed", "next_degree", "next_typed", *EDGE))
+    return edges.where(F.col("head") != F.col("tail")).select("id", "head", "tail", "relation", "start", "end", precision.alias("precision"), kind.alias("kind"))
+
+
+def _counts() -> list[Column]:
+    return [F.count(F.lit(1)).alias("degree"), F.count_if(F.col("kind") == "typed").alias("typed")]
+
+
+def places(edges: DataFrame) -> DataFrame:
+    """(node, degree, typed): all edges and the typed ones at each node, without loops."""
+    return G.adjacency(_plain(edges), keep=["kind"]).groupBy("node").agg(*_counts())
+
+
+def edges_at(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, next, EDGE, kind): the edges at each of ``nodes`` (node, distinct) from there. Each direction is a branch of its own, so that the nodes are joined where the edges are read and not
+    after they were made."""
+    plain = _plain(edges)
+    ways = [plain.select(F.col(a).alias("node"), F.col(b).alias("next"), "id", "relation", "start", "end", "precision", F.lit(d).alias("direction"), "kind") for a, b, d in (("head", "tail", "forward"), ("tail", "head", "reverse"))]
+    return ways[0].unionByName(ways[1]).join(small(nodes), "node", "left_semi")
 
 
 def weighted_starts(nodes: DataFrame, draws: int, power: float = 1.0, seed: int = 42) -> DataFrame:
-    """(draw, node, degree, typed): ``draws`` nodes drawn with replacement, each with a chance in proportion to its degree to the power. Nodes lie one after another on a line, as long as
+    """(draw, node): ``draws`` of ``nodes`` (node, degree) drawn with replacement, each with a chance in proportion to its degree to the power. Nodes lie one after another on a line, as long as
     their weights; a draw is a point of it, found by the part of the line that it falls in. Weights are whole numbers, in thousandths unless the power is 1."""
     weight = F.col("degree") if power == 1 else F.round(F.pow("degree", F.lit(float(power))) * 1000).cast("long")
-    line = cut(before(nodes.select("node", "degree", "typed").withColumn("weight", weight), [], ["node"], F.col("weight"), "lo"))
-    total, n = line.agg(F.sum("weight"), F.count(F.lit(1))).first()
+    line, ranges = sums_before(nodes.select("node", weight.alias("weight")), [], ["node"], {"lo": F.col("weight")})
+    total, n = ranges.agg(F.sum("weight"), F.count(F.lit(1))).first()
     spark = nodes.sparkSession
     if not total:
-        return spark.createDataFrame([], nodes.select(F.lit(0).cast("long").alias("draw"), "node", "degree", "typed").schema)
+        return spark.createDataFrame([], nodes.select(F.lit(0).cast("long").alias("draw"), "node").schema)
     part = max(1, int(total // max(1, n)))  # about one node a part
     at = F.col("lo")
     cells = line.withColumn("cell", F.explode(F.sequence(F.expr(f"lo div {part}"), F.expr(f"(lo + weight - 1) div {part}"))))
     points = spark.range(draws).select(F.col("id").alias("draw"), F.pmod(draw(seed, "start", F.col("id")), F.lit(total)).alias("u")).withColumn("cell", F.expr(f"u div {part}"))
-    return points.join(cells, "cell").where((at <= F.col("u")) & (F.col("u") < at + F.col("weight"))).select("draw", "node", "degree", "typed")
+    out = cut(cells.join(small(points), "cell").where((at <= F.col("u")) & (F.col("u") < at + F.col("weight"))).select("draw", "node"))
+    drop(ranges)
+    return out
 
 
-def walks(adjacency: DataFrame, starts: DataFrame, hops: int, seed: int = 42, typed_bias: float | None = None, lookups: int = LOOKUPS) -> DataFrame:
-    """(draw, nodes, edges): one self-avoiding walk of ``hops`` edges from each start. Each step looks up the edges at ``lookups`` random numbers and takes the first that leads to an unvisited
-    node; a walker without one ends. With ``typed_bias`` a step keeps to typed edges with that chance, where the node has any."""
+def walks(edges: DataFrame, starts: DataFrame, hops: Sequence[int], seed: int = 42, typed_bias: float | None = None, lookups: int = LOOKUPS) -> dict[int, DataFrame]:
+    """(draw, nodes, edges, kinds) by number of edges: one self-avoiding walk of so many edges from each start (draw, node). Each step looks up the edges at ``lookups`` random numbers and takes
+    the first that leads to an unvisited node; a walker without one ends. The edges of a node are numbered from 0: typed ones (``kind`` 'typed', all where there is no such column) before
+    others, then by id. With ``typed_bias`` a step keeps to typed edges with that chance, where the node has any. ``kinds``: those of the edges."""
     edge = F.struct(*EDGE)
-    empty = adjacency.select(F.array(edge).alias("x")).schema["x"].dataType
-    at = starts.select("draw", F.array("node").alias("nodes"), F.array().cast(empty).alias("edges"), "node", "degree", "typed")
-    for step in range(hops):
+    empty = _plain(edges).withColumn("direction", F.lit("")).select(F.array(edge).alias("x")).schema["x"].dataType
+    at, out = cut(starts.select("draw", F.array("node").alias("nodes"), F.array().cast(empty).alias("edges"), F.array().cast("array<string>").alias("kinds"), "node")), {}
+    for step in range(max(hops)):
+        near = cut(edges_at(edges, at.select("node").distinct()))
+        key = F.concat_ws(":", F.when(F.col("kind") == "typed", "0").otherwise("1"), "id", "direction")
+        by_no, ranges = sums_before(near.withColumn("_key", key), ["node"], ["_key"], {"no": F.lit(1).cast("long")})
         among = F.col("degree")
         if typed_bias is not None:
             keeps = draw(seed, "typed", step, F.col("draw")) < int(typed_bias * 2**48)
             among = F.when(keeps & (F.col("typed") > 0), F.col("typed")).otherwise(among)
-        asked = at.select("draw", "nodes", "edges", "node", among.alias("among"), F.explode(F.array(*map(F.lit, range(lookups)))).alias("try"))
+        asked = at.join(near.groupBy("node").agg(*_counts()), "node").select("draw", "nodes", "edges", "kinds", "node", among.alias("among"), F.explode(F.array(*map(F.lit, range(lookups)))).alias("try"))
         asked = asked.withColumn("no", F.pmod(draw(seed, "step", step, F.col("draw"), F.col("try")), "among")).drop("among")
-        found = asked.join(adjacency.drop("degree", "typed"), ["node", "no"]).where(~F.array_contains("nodes", F.col("next")))
-        took = found.groupBy("draw").agg(F.min_by(F.struct("nodes", "edges", "next", edge.alias("edge"), "next_degree", "next_typed"), "try").alias("x"))
-        at = took.select("draw", F.array_append("x.nodes", F.col("x.next")).alias("nodes"), F.array_append("x.edges", F.col("x.edge")).alias("edges"), F.col("x.next").alias("node"), F.col("x.next_degree").alias("degree"), F.col("x.next_typed").alias("typed"))
-    return at.select("draw", "nodes", "edges")
-
-
-def sample_paths(edges: DataFrame, types: DataFrame, hops: int, paths: int, power: float = 1.0, seed: int = 42, strategy: str | None = None, tries: int = TRIES, adjacency: DataFrame | None = None) -> DataFrame:
-    """(path_id, draw, nodes, edges, strategy, mode, reference_date): up to ``paths`` different accepted paths. ``types``: node, type. A start is drawn for each path; of its ``tries`` walks the
-    first that serves a strategy (the one asked for, or one drawn among those it serves) and whose days agree with its relations is taken, as the first acceptable path of a search in random
-    order would be. A path is known by its edges; of equal ones the first draw stays. ``adjacency`` saves numbering the edges for every sample of one graph."""
-    adj = numbered_edges(edges) if adjacency is None else adjacency
-    starts = weighted_starts(adj.groupBy("node").agg(F.first("degree").alias("degree"), F.first("typed").alias("typed")), paths, power, seed)
+        found = by_no.join(small(asked), ["node", "no"]).where(~F.array_contains("nodes", F.col("next")))
+        took = found.groupBy("draw").agg(F.min_by(F.struct("nodes", "edges", "kinds", "next", edge.alias("edge"), "kind"), "try").alias("x"))
+        at = cut(took.select("draw", *(F.array_append(f"x.{c}s", F.col(f"x.{x}")).alias(f"{c}s") for c, x in (("node", "next"), ("edge", "edge"), ("kind", "kind"))), F.col("x.next").alias("node")))
+        drop(near)
+        drop(ranges)
+        if step + 1 in hops:
+            out[step + 1] = at.drop("node")
+    return out
+
+
+def sample_paths(edges: DataFrame, types: DataFrame | Column, hops: int, paths: int, power: float = 1.0, seed: int = 42, strategy: str | None = None, tries: int = TRIES) -> DataFrame:
+    """``samples`` of one number of edges."""
+    return samples(edges, types, [hops], paths, power, seed, strategy, tries)[hops]
+
+
+def samples(edges: DataFrame, types: DataFrame | Column, hops: Sequence[int], paths: int, power: float = 1.0, seed: int = 42, strategy: str | None = None, tries: int = TRIES) -> dict[int, DataFrame]:
+    """(path_id, draw, nodes, edges, strategy, mode, reference_date) by number of edges: up to ``paths`` different accepted paths. ``types``: node, type, or the type as a column of node. A start
+    is drawn for each path; of its ``tries`` walks the first that serves a strategy (the one asked for, or one drawn among those it serves) and whose days agree with its relations is taken, as
+    the first acceptable path of a search in random order would be. A path is known by its edges; of equal ones the first draw stays."""
+    starts = weighted_starts(places(edges), paths, power, seed)
     each = starts.withColumn("draw", F.explode(F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), lambda t: F.col("draw") * tries + t)))
-    return accepted(walks(adj, each, hops, seed), types, strategy, seed).withColumn("start", F.expr(f"draw div {tries}")).transform(lambda df: _first(df, ["start"])).drop("start").transform(lambda df: _first(df, ["path_id"]))
+
+    def taken(found: DataFrame) -> DataFrame:
+        return accepted(found, types, strategy, seed).withColumn("start", F.expr(f"draw div {tries}")).transform(lambda df: _first(df, ["start"])).drop("start").transform(lambda df: _first(df, ["path_id"]))
+
+    return {h: taken(found) for h, found in walks(edges, each, hops, seed).items()}
 
 
 def _first(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -123,9 +152,11 @@ def _first(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.min_by(F.struct(*cols), "draw").alias("_x")).select(*keys, "_x.*").select(*df.columns)
 
 
-def accepted(found: DataFrame, types: DataFrame, strategy: str | None = None, seed: int = 42) -> DataFrame:
+def accepted(found: DataFrame, types: DataFrame | Column, strategy: str | None = None, seed: int = 42) -> DataFrame:
     """The walks of ``found`` that are accepted, with path_id, strategy, mode and reference_date."""
-    of = found.select("draw", "nodes", "edges", F.explode("nodes").alias("node")).join(types.select("node", "type"), "node", "left").groupBy("draw").agg(F.first("nodes").alias("nodes"), F.first("edges").alias("edges"), F.collect_set("type").alias("types"))
+    each = found.select("draw", "nodes", "edges", F.explode("nodes").alias("node"))
+    typed = each.withColumn("type", types) if isinstance(types, Column) else each.join(types.select("node", "type"), "node", "left")
+    of = typed.groupBy("draw").agg(F.first("nodes").alias("nodes"), F.first("edges").alias("edges"), F.collect_set("type").alias("types"))
     tags = strategies(F.col("types"), F.col("edges"))
     one = F.when(F.array_contains("tags", F.lit(strategy)), F.lit(strategy)) if strategy else F.when(F.size("tags") > 0, F.get("tags", F.pmod(draw(seed, "strategy", F.col("draw")), F.size("tags"))))
     out = of.withColumn("tags", tags).withColumn("strategy", one).withColumn("mode", path_mode(F.col("edges"))).where("strategy is not null and mode is not null")
@@ -133,23 +164,31 @@ def accepted(found: DataFrame, types: DataFrame, strategy: str | None = None, se
     return out.select(path_id.alias("path_id"), "draw", "nodes", "edges", "strategy", "mode", F.array_max(F.transform("edges", lambda e: e["end"])).alias("reference_date"))
 
 
-def typed_walks(edges: DataFrame, hops: int, paths: int, seed: int = 42, typed_bias: float = 0.8, restarts: int = TRIES, adjacency: DataFrame | None = None) -> DataFrame:
-    """(draw, nodes, edges, typed_edges): up to ``paths`` different walks over edges of ``kind`` 'typed' and others. Starts are nodes with a typed edge with the chance ``typed_bias``, else any; steps
-    keep to typed edges with the same chance. Of the ``restarts`` walks of a path the first that gets through is taken; walks over the same nodes and edges count once."""
-    adj = numbered_edges(edges) if adjacency is None else adjacency
-    nodes = adj.groupBy("node").agg(F.first("degree").alias("degree"), F.first("typed").alias("typed"))
-    spark = edges.sparkSession
-    places = cut(before(nodes, [], ["node"], F.lit(1).cast("long"), "all_no").transform(lambda df: before(df, [], ["node"], (F.col("typed") > 0).cast("long"), "typed_no")))
-    n, m = places.agg(F.count(F.lit(1)), F.count_if(F.col("typed") > 0)).first()
+def typed_walks(edges: DataFrame, hops: int, paths: int, seed: int = 42, typed_bias: float = 0.8, restarts: int = TRIES) -> DataFrame:
+    """``typed_samples`` of one number of edges."""
+    return typed_samples(edges, [hops], paths, seed, typed_bias, restarts)[hops]
+
+
+def typed_samples(edges: DataFrame, hops: Sequence[int], paths: int, seed: int = 42, typed_bias: float = 0.8, restarts: int = TRIES) -> dict[int, DataFrame]:
+    """(draw, nodes, edges, typed_edges) by number of edges: up to ``paths`` different walks over edges of ``kind`` 'typed' and others. Starts are nodes with a typed edge with the chance
+    ``typed_bias``, else any; steps keep to typed edges with the same chance. Of the ``restarts`` walks of a path the first that gets through is taken; walks over the same nodes and edges count
+    once."""
+    spark, has = edges.sparkSession, (F.col("typed") > 0).cast("long")
+    line, ranges = sums_before(places(edges).select("node", has.alias("has")), [], ["node"], {"all_no": F.lit(1).cast("long"), "typed_no": F.col("has")})
+    n, m = ranges.agg(F.count(F.lit(1)), F.count_if(F.col("has") > 0)).first()
     points = spark.range(paths * restarts).select(F.col("id").alias("draw"), ((draw(seed, "pool", F.col("id")) < int(typed_bias * 2**48)) & F.lit(m > 0)).alias("from_typed"))
     points = points.withColumn("u", F.pmod(draw(seed, "start", F.col("draw")), F.when(F.col("from_typed"), F.lit(max(1, m))).otherwise(F.lit(max(1, n)))))
-    pool = places.select("node", "degree", "typed", F.explode(F.array(F.struct(F.lit(False).alias("from_typed"), F.col("all_no").alias("u")), F.struct(F.lit(True).alias("from_typed"), F.when(F.col("typed") > 0, F.col("typed_no")).alias("u")))).alias("k"))
-    starts = points.join(pool.select("node", "degree", "typed", "k.from_typed", "k.u"), ["from_typed", "u"]).select("draw", "node", "degree", "typed")
-    through = _first(walks(adj, starts, hops, seed, typed_bias).withColumn("path", F.expr(f"draw div {restarts}")), ["path"])
-    kinds = edges.where("kind = 'typed'").select(F.col("id").alias("edge_id"), F.lit(1).alias("is_typed"))
-    count = through.select("draw", F.explode("edges.id").alias("edge_id")).join(kinds, "edge_id", "left").groupBy("draw").agg(F.count("is_typed").alias("typed_edges"))
-    same = F.sha2(F.concat_ws("|", F.array_sort("nodes"), F.array_sort(F.transform("edges", lambda e: e["id"]))), 256)
-    return _first(through.withColumn("same", same), ["same"]).join(count, "draw").select("draw", "nodes", "edges", "typed_edges")
+    pool = line.select("node", F.explode(F.array(F.struct(F.lit(False).alias("from_typed"), F.col("all_no").alias("u")), F.struct(F.lit(True).alias("from_typed"), F.when(F.col("has") > 0, F.col("typed_no")).alias("u")))).alias("k"))
+    starts = cut(pool.select("node", "k.from_typed", "k.u").join(small(points), ["from_typed", "u"]).select("draw", "node"))
+    drop(ranges)
+
+    def taken(found: DataFrame) -> DataFrame:
+        through = _first(found.withColumn("path", F.expr(f"draw div {restarts}")), ["path"])
+        same = F.sha2(F.concat_ws("|", F.array_sort("nodes"), F.array_sort(F.transform("edges", lambda e: e["id"]))), 256)
+        typed = F.size(F.filter("kinds", lambda k: k == "typed")).cast("long")
+        return _first(through.withColumn("same", same), ["same"]).select("draw", "nodes", "edges", typed.alias("typed_edges"))
+
+    return {h: taken(found) for h, found in walks(edges, starts, hops, seed, typed_bias).items()}
 
 
 def ranked_paths(edges: DataFrame, seeds: DataFrame, hops: int, budget: int = 8, fan: int = 6, most_gap: int = 24, most_span: int = 120, rare_nodes: DataFrame | None = None, least_rare: int = 0) -> DataFrame:

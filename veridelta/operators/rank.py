@@ -83,15 +83,23 @@ def before(df: DataFrame, group: Sequence[str], order: Sequence[str], value: Col
     """Column ``to``: the sum of ``value`` over the rows before each row of its group (the whole table for no group) in a unique order. In two levels: rows are cut by ranges of
     group and order, summed inside a range and moved by the sums of the group's ranges before it. So a group of any size is summed by many tasks; the ranges are fixed in the
     shared folder."""
-    ranges = cut(df.repartitionByRange(*group, *order).withColumn("_range", F.spark_partition_id()).withColumn("_v", value))
-    sums = ranges.groupBy(*group, "_range").agg(F.sum("_v").alias("_s"))
-    base = sums.withColumn("_base", F.sum("_s").over(Window.partitionBy(*group).orderBy("_range")) - F.col("_s"))
-    base = base.select(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(group)), F.col("_range").alias("_r"), "_base")
-    own = ranges.withColumn("_own", F.sum("_v").over(Window.partitionBy(*group, "_range").orderBy(*order)) - F.col("_v"))
+    return sums_before(df, group, order, {to: value})[0]
+
+
+def sums_before(df: DataFrame, group: Sequence[str], order: Sequence[str], values: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """``before`` for several values at once, by the columns that the sums go to; and the table of the ranges in the shared folder, with the values themselves in those columns, which may
+    be dropped when the sums have been read."""
+    ranges = cut(df.repartitionByRange(*group, *order).withColumn("_range", F.spark_partition_id()).withColumns(values))
+    names = {to: f"_s{i}" for i, to in enumerate(values)}
+    sums = ranges.groupBy(*group, "_range").agg(*(F.sum(to).alias(s) for to, s in names.items()))
+    w = Window.partitionBy(*group).orderBy("_range")
+    base = sums.select(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(group)), F.col("_range").alias("_r"), *((F.sum(s).over(w) - F.col(s)).alias(s) for s in names.values()))
+    w = Window.partitionBy(*group, "_range").orderBy(*order)
+    own = ranges.select(*df.columns, "_range", *((F.sum(to).over(w) - F.col(to)).alias(to) for to in names))
     on = F.col("_range") == F.col("_r")
     for i, g in enumerate(group):
         on = on & own[g].eqNullSafe(F.col(f"_g{i}"))
-    return own.join(base, on).select(*(own[c] for c in df.columns), (F.col("_own") + F.col("_base")).alias(to))
+    return own.join(base, on).select(*df.columns, *((F.col(to) + F.col(s)).alias(to) for to, s in names.items())), ranges
 
 
 def numbered(df: DataFrame, group: Sequence[str], order: str, to: str = "number") -> DataFrame:

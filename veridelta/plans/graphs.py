@@ -156,10 +156,8 @@ _HOPS = (2, 3, 4, 5)
 @query(_numbered_sql() + "".join(map(_sample_sql, _HOPS)) + " " + " union all ".join(f"select {h} hops, path_id, w draw, array_to_string(nodes, ' ') nodes, strategy, 'independent' \"mode\", reference_date from c{h}" for h in _HOPS))
 def path_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accepted paths of two to five edges through orders, customers, parts and suppliers, starts drawn by degree."""
-    edges = _kg(spark, sf_dir)
-    types = edges.select(F.explode(F.array("head", "tail")).alias("node")).distinct().withColumn("type", F.expr(_TYPES))
-    adj = P.numbered_edges(edges)
-    parts = [P.sample_paths(edges, types, h, _DRAWS, seed=_SEED, adjacency=adj).select(F.lit(h).alias("hops"), "path_id", "draw", F.array_join("nodes", " ").alias("nodes"), "strategy", "mode", "reference_date") for h in _HOPS]
+    got = P.samples(_kg(spark, sf_dir, by_order=True), F.expr(_TYPES), _HOPS, _DRAWS, seed=_SEED)
+    parts = [got[h].select(F.lit(h).alias("hops"), "path_id", "draw", F.array_join("nodes", " ").alias("nodes"), "strategy", "mode", "reference_date") for h in _HOPS]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
@@ -177,9 +175,8 @@ v{hops} as (select min(w) w from u{hops} group by array_to_string(list_sort(node
 )
 def typed_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Walks of two and four edges that prefer who placed an order to what it holds."""
-    edges = _kg(spark, sf_dir).withColumn("kind", F.when(F.col("relation") == "placed_by", "typed").otherwise("mention"))
-    adj = P.numbered_edges(edges)
-    parts = [P.typed_walks(edges, h, _DRAWS, seed=_SEED, adjacency=adj).select(F.lit(h).alias("hops"), "draw", F.array_join("nodes", " ").alias("nodes"), "typed_edges") for h in (2, 4)]
+    edges = _kg(spark, sf_dir, by_order=True).withColumn("kind", F.when(F.col("relation") == "placed_by", "typed").otherwise("mention"))
+    parts = [P.typed_walks(edges, h, _DRAWS, seed=_SEED).select(F.lit(h).alias("hops"), "draw", F.array_join("nodes", " ").alias("nodes"), "typed_edges") for h in (2, 4)]
     return parts[0].unionByName(parts[1])
 
 

@@ -18,9 +18,11 @@ kg as (select 'p:' || o_orderkey id, 'order:' || o_orderkey head, 'placed_by' re
 """
 
 
-def _kg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, head, relation, tail, start, end)."""
+def _kg(spark: SparkSession, sf_dir: str, by_order: bool = False) -> DataFrame:
+    """(id, head, relation, tail, start, end). ``by_order``: an order's edges lie in one task, so counts at its ends combine before they are shuffled."""
     o, line = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem")
+    if by_order:
+        line = line.repartition("l_orderkey")
     name = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
     placed = o.select(name("p", "o_orderkey").alias("id"), name("order", "o_orderkey").alias("head"), F.lit("placed_by").alias("relation"), name("customer", "o_custkey").alias("tail"), F.to_date("o_orderdate").alias("start"), F.to_date("o_orderdate").alias("end"))
 
