@@ -128,6 +128,15 @@ def test_samples_write_the_edges_of_visited_nodes_only(spark, rows_cut):
     assert rows and 0 < max(rows_cut) < 600
 
 
+def test_typed_samples_write_the_edges_of_visited_nodes_only(spark, rows_cut):
+    data = [edge(f"e{k:04d}", f"n{k % 60}", f"n{(k * 7 + k // 60) % 60}", kind="typed" if k % 3 else "mention") for k in range(3000)]
+    df = spark.createDataFrame(data, EDGES)
+    rows = P.typed_walks(df, 3, 3, restarts=1).collect()
+    assert rows and 0 < max(rows_cut) < 600
+    got = P.typed_samples(df, (2, 4), 20)
+    assert {h: sorted(map(tuple, x.collect())) for h, x in got.items()} == {h: sorted(map(tuple, P.typed_walks(df, h, 20).collect())) for h in (2, 4)}
+
+
 def test_samples_of_several_lengths_are_those_of_each(spark):
     data = town(5)
     df, kinds = spark.createDataFrame(data, EDGES), types(spark, data)

@@ -176,7 +176,8 @@ v{hops} as (select min(w) w from u{hops} group by array_to_string(list_sort(node
 def typed_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Walks of two and four edges that prefer who placed an order to what it holds."""
     edges = _kg(spark, sf_dir, by_order=True).withColumn("kind", F.when(F.col("relation") == "placed_by", "typed").otherwise("mention"))
-    parts = [P.typed_walks(edges, h, _DRAWS, seed=_SEED).select(F.lit(h).alias("hops"), "draw", F.array_join("nodes", " ").alias("nodes"), "typed_edges") for h in (2, 4)]
+    got = P.typed_samples(edges, (2, 4), _DRAWS, seed=_SEED)
+    parts = [got[h].select(F.lit(h).alias("hops"), "draw", F.array_join("nodes", " ").alias("nodes"), "typed_edges") for h in (2, 4)]
     return parts[0].unionByName(parts[1])
 
 
