@@ -6,7 +6,8 @@ every cluster, and a walk of few edges is the beginning of that of more from the
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,6 +26,8 @@ BY_RELATION = {
 EDGE = ("id", "relation", "start", "end", "precision", "direction")
 #: Lookups by which a walker finds an unvisited neighbour in one step before it is given up, and walkers for each draw.
 LOOKUPS, TRIES = 4, 16
+#: Lookups of a step up to which walkers are sent to all tasks; more are shuffled.
+WALKERS = 200_000
 
 
 def strategies(types: Column, edges: Column) -> Column:
@@ -71,17 +74,22 @@ def _counts() -> list[Column]:
     return [F.count(F.lit(1)).alias("degree"), F.count_if(F.col("kind") == "typed").alias("typed")]
 
 
+def _few(rows: int) -> Callable[[DataFrame], DataFrame]:
+    """A broadcast hint for tables of so many rows, unless they are more than WALKERS."""
+    return F.broadcast if rows <= WALKERS else lambda df: df
+
+
 def places(edges: DataFrame) -> DataFrame:
     """(node, degree, typed): all edges and the typed ones at each node, without loops."""
     return G.adjacency(_plain(edges), keep=["kind"]).groupBy("node").agg(*_counts())
 
 
 def edges_at(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, next, EDGE, kind): the edges at each of ``nodes`` (node, distinct) from there. Each direction is a branch of its own, so that the nodes are joined where the edges are read and not
-    after they were made."""
+    """(node, next, EDGE, kind): the edges at each of ``nodes`` (node, of which some may stand several times) from there. Each direction is a branch of its own, so that nodes with a broadcast hint are joined where the edges
+    are read and not after they were made."""
     plain = _plain(edges)
     ways = [plain.select(F.col(a).alias("node"), F.col(b).alias("next"), "id", "relation", "start", "end", "precision", F.lit(d).alias("direction"), "kind") for a, b, d in (("head", "tail", "forward"), ("tail", "head", "reverse"))]
-    return ways[0].unionByName(ways[1]).join(small(nodes), "node", "left_semi")
+    return ways[0].unionByName(ways[1]).join(nodes, "node", "left_semi")
 
 
 def weighted_starts(nodes: DataFrame, draws: int, power: float = 1.0, seed: int = 42) -> DataFrame:
@@ -97,54 +105,52 @@ def weighted_starts(nodes: DataFrame, draws: int, power: float = 1.0, seed: int
     at = F.col("lo")
     cells = line.withColumn("cell", F.explode(F.sequence(F.expr(f"lo div {part}"), F.expr(f"(lo + weight - 1) div {part}"))))
     points = spark.range(draws).select(F.col("id").alias("draw"), F.pmod(draw(seed, "start", F.col("id")), F.lit(total)).alias("u")).withColumn("cell", F.expr(f"u div {part}"))
-    out = cut(cells.join(small(points), "cell").where((at <= F.col("u")) & (F.col("u") < at + F.col("weight"))).select("draw", "node"))
+    out = cut(cells.join(_few(draws)(points), "cell").where((at <= F.col("u")) & (F.col("u") < at + F.col("weight"))).select("draw", "node"))
     drop(ranges)
     return out
 
 
-def walks(edges: DataFrame, starts: DataFrame, hops: Sequence[int], seed: int = 42, typed_bias: float | None = None, lookups: int = LOOKUPS) -> dict[int, DataFrame]:
-    """(draw, nodes, edges, kinds) by number of edges: one self-avoiding walk of so many edges from each start (draw, node). Each step looks up the edges at ``lookups`` random numbers and takes
-    the first that leads to an unvisited node; a walker without one ends. The edges of a node are numbered from 0: typed ones (``kind`` 'typed', all where there is no such column) before
-    others, then by id. With ``typed_bias`` a step keeps to typed edges with that chance, where the node has any. ``kinds``: those of the edges."""
+def walks(edges: DataFrame, starts: DataFrame, hops: Sequence[int], seed: int = 42, typed_bias: float | None = None, lookups: int = LOOKUPS) -> DataFrame:
+    """(hops, draw, nodes, edges, kinds): for each number of ``hops`` one self-avoiding walk of so many edges from each start (draw, node). Each step looks up the edges at ``lookups`` random
+    numbers and takes the first that leads to an unvisited node; a walker without one ends. The edges of a node are numbered from 0: typed ones (``kind`` 'typed', all where there is no such
+    column) before others, then by id. With ``typed_bias`` a step keeps to typed edges with that chance, where the node has any. ``kinds``: those of the edges."""
     edge = F.struct(*EDGE)
     empty = _plain(edges).withColumn("direction", F.lit("")).select(F.array(edge).alias("x")).schema["x"].dataType
-    at, out = cut(starts.select("draw", F.array("node").alias("nodes"), F.array().cast(empty).alias("edges"), F.array().cast("array<string>").alias("kinds"), "node")), {}
+    at, out = cut(starts.select("draw", F.array("node").alias("nodes"), F.array().cast(empty).alias("edges"), F.array().cast("array<string>").alias("kinds"), "node")), []
+    few = _few(at.count() * lookups)
     for step in range(max(hops)):
-        near = cut(edges_at(edges, at.select("node").distinct()))
+        near = edges_at(edges, few(at.select("node")))
         key = F.concat_ws(":", F.when(F.col("kind") == "typed", "0").otherwise("1"), "id", "direction")
-        by_no, ranges = sums_before(near.withColumn("_key", key), ["node"], ["_key"], {"no": F.lit(1).cast("long")})
+        by_no, near = sums_before(near.withColumn("_key", key), ["node"], ["_key"], {"no": F.lit(1).cast("long")})
         among = F.col("degree")
         if typed_bias is not None:
             keeps = draw(seed, "typed", step, F.col("draw")) < int(typed_bias * 2**48)
             among = F.when(keeps & (F.col("typed") > 0), F.col("typed")).otherwise(among)
-        asked = at.join(near.groupBy("node").agg(*_counts()), "node").select("draw", "nodes", "edges", "kinds", "node", among.alias("among"), F.explode(F.array(*map(F.lit, range(lookups)))).alias("try"))
+        degrees = near.groupBy("node").agg(*_counts())
+        asked = degrees.join(few(at), "node").select("draw", "nodes", "edges", "kinds", "node", among.alias("among"), F.explode(F.array(*map(F.lit, range(lookups)))).alias("try"))
         asked = asked.withColumn("no", F.pmod(draw(seed, "step", step, F.col("draw"), F.col("try")), "among")).drop("among")
-        found = by_no.join(small(asked), ["node", "no"]).where(~F.array_contains("nodes", F.col("next")))
+        found = by_no.join(few(asked), ["node", "no"]).where(~F.array_contains("nodes", F.col("next")))
         took = found.groupBy("draw").agg(F.min_by(F.struct("nodes", "edges", "kinds", "next", edge.alias("edge"), "kind"), "try").alias("x"))
         at = cut(took.select("draw", *(F.array_append(f"x.{c}s", F.col(f"x.{x}")).alias(f"{c}s") for c, x in (("node", "next"), ("edge", "edge"), ("kind", "kind"))), F.col("x.next").alias("node")))
         drop(near)
-        drop(ranges)
         if step + 1 in hops:
-            out[step + 1] = at.drop("node")
-    return out
+            out.append(at.select(F.lit(step + 1).alias("hops"), "draw", "nodes", "edges", "kinds"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def sample_paths(edges: DataFrame, types: DataFrame | Column, hops: int, paths: int, power: float = 1.0, seed: int = 42, strategy: str | None = None, tries: int = TRIES) -> DataFrame:
     """``samples`` of one number of edges."""
-    return samples(edges, types, [hops], paths, power, seed, strategy, tries)[hops]
+    return samples(edges, types, [hops], paths, power, seed, strategy, tries).drop("hops")
 
 
-def samples(edges: DataFrame, types: DataFrame | Column, hops: Sequence[int], paths: int, power: float = 1.0, seed: int = 42, strategy: str | None = None, tries: int = TRIES) -> dict[int, DataFrame]:
-    """(path_id, draw, nodes, edges, strategy, mode, reference_date) by number of edges: up to ``paths`` different accepted paths. ``types``: node, type, or the type as a column of node. A start
-    is drawn for each path; of its ``tries`` walks the first that serves a strategy (the one asked for, or one drawn among those it serves) and whose days agree with its relations is taken, as
-    the first acceptable path of a search in random order would be. A path is known by its edges; of equal ones the first draw stays."""
+def samples(edges: DataFrame, types: DataFrame | Column, hops: Sequence[int], paths: int, power: float = 1.0, seed: int = 42, strategy: str | None = None, tries: int = TRIES) -> DataFrame:
+    """(hops, path_id, draw, nodes, edges, strategy, mode, reference_date): for each number of ``hops`` up to ``paths`` different accepted paths. ``types``: node, type, or the type as a column of
+    node. A start is drawn for each path; of its ``tries`` walks the first that serves a strategy (the one asked for, or one drawn among those it serves) and whose days agree with its relations
+    is taken, as the first acceptable path of a search in random order would be. A path is known by its edges; of equal ones the first draw stays."""
     starts = weighted_starts(places(edges), paths, power, seed)
     each = starts.withColumn("draw", F.explode(F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), lambda t: F.col("draw") * tries + t)))
-
-    def taken(found: DataFrame) -> DataFrame:
-        return accepted(found, types, strategy, seed).withColumn("start", F.expr(f"draw div {tries}")).transform(lambda df: _first(df, ["start"])).drop("start").transform(lambda df: _first(df, ["path_id"]))
-
-    return {h: taken(found) for h, found in walks(edges, each, hops, seed).items()}
+    first = _first(accepted(walks(edges, each, hops, seed), types, strategy, seed).withColumn("start", F.expr(f"draw div {tries}")), ["hops", "start"])
+    return _first(first.drop("start"), ["hops", "path_id"])
 
 
 def _first(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -154,23 +160,23 @@ def _first(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def accepted(found: DataFrame, types: DataFrame | Column, strategy: str | None = None, seed: int = 42) -> DataFrame:
     """The walks of ``found`` that are accepted, with path_id, strategy, mode and reference_date."""
-    each = found.select("draw", "nodes", "edges", F.explode("nodes").alias("node"))
+    each = found.select("hops", "draw", "nodes", "edges", F.explode("nodes").alias("node"))
     typed = each.withColumn("type", types) if isinstance(types, Column) else each.join(types.select("node", "type"), "node", "left")
-    of = typed.groupBy("draw").agg(F.first("nodes").alias("nodes"), F.first("edges").alias("edges"), F.collect_set("type").alias("types"))
+    of = typed.groupBy("hops", "draw").agg(F.first("nodes").alias("nodes"), F.first("edges").alias("edges"), F.collect_set("type").alias("types"))
     tags = strategies(F.col("types"), F.col("edges"))
     one = F.when(F.array_contains("tags", F.lit(strategy)), F.lit(strategy)) if strategy else F.when(F.size("tags") > 0, F.get("tags", F.pmod(draw(seed, "strategy", F.col("draw")), F.size("tags"))))
     out = of.withColumn("tags", tags).withColumn("strategy", one).withColumn("mode", path_mode(F.col("edges"))).where("strategy is not null and mode is not null")
     path_id = F.concat(F.lit("path_"), F.substring(F.sha2(F.array_join(F.array_sort(F.transform("edges", lambda e: e["id"])), "|"), 256), 1, 20))
-    return out.select(path_id.alias("path_id"), "draw", "nodes", "edges", "strategy", "mode", F.array_max(F.transform("edges", lambda e: e["end"])).alias("reference_date"))
+    return out.select("hops", path_id.alias("path_id"), "draw", "nodes", "edges", "strategy", "mode", F.array_max(F.transform("edges", lambda e: e["end"])).alias("reference_date"))
 
 
 def typed_walks(edges: DataFrame, hops: int, paths: int, seed: int = 42, typed_bias: float = 0.8, restarts: int = TRIES) -> DataFrame:
     """``typed_samples`` of one number of edges."""
-    return typed_samples(edges, [hops], paths, seed, typed_bias, restarts)[hops]
+    return typed_samples(edges, [hops], paths, seed, typed_bias, restarts).drop("hops")
 
 
-def typed_samples(edges: DataFrame, hops: Sequence[int], paths: int, seed: int = 42, typed_bias: float = 0.8, restarts: int = TRIES) -> dict[int, DataFrame]:
-    """(draw, nodes, edges, typed_edges) by number of edges: up to ``paths`` different walks over edges of ``kind`` 'typed' and others. Starts are nodes with a typed edge with the chance
+def typed_samples(edges: DataFrame, hops: Sequence[int], paths: int, seed: int = 42, typed_bias: float = 0.8, restarts: int = TRIES) -> DataFrame:
+    """(hops, draw, nodes, edges, typed_edges): for each number of ``hops`` up to ``paths`` different walks over edges of ``kind`` 'typed' and others. Starts are nodes with a typed edge with the chance
     ``typed_bias``, else any; steps keep to typed edges with the same chance. Of the ``restarts`` walks of a path the first that gets through is taken; walks over the same nodes and edges count
     once."""
     spark, has = edges.sparkSession, (F.col("typed") > 0).cast("long")
@@ -179,16 +185,13 @@ def typed_samples(edges: DataFrame, hops: Sequence[int], paths: int, seed: int =
     points = spark.range(paths * restarts).select(F.col("id").alias("draw"), ((draw(seed, "pool", F.col("id")) < int(typed_bias * 2**48)) & F.lit(m > 0)).alias("from_typed"))
     points = points.withColumn("u", F.pmod(draw(seed, "start", F.col("draw")), F.when(F.col("from_typed"), F.lit(max(1, m))).otherwise(F.lit(max(1, n)))))
     pool = line.select("node", F.explode(F.array(F.struct(F.lit(False).alias("from_typed"), F.col("all_no").alias("u")), F.struct(F.lit(True).alias("from_typed"), F.when(F.col("has") > 0, F.col("typed_no")).alias("u")))).alias("k"))
-    starts = cut(pool.select("node", "k.from_typed", "k.u").join(small(points), ["from_typed", "u"]).select("draw", "node"))
+    starts = cut(pool.select("node", "k.from_typed", "k.u").join(_few(paths * restarts)(points), ["from_typed", "u"]).select("draw", "node"))
     drop(ranges)
 
-    def taken(found: DataFrame) -> DataFrame:
-        through = _first(found.withColumn("path", F.expr(f"draw div {restarts}")), ["path"])
-        same = F.sha2(F.concat_ws("|", F.array_sort("nodes"), F.array_sort(F.transform("edges", lambda e: e["id"]))), 256)
-        typed = F.size(F.filter("kinds", lambda k: k == "typed")).cast("long")
-        return _first(through.withColumn("same", same), ["same"]).select("draw", "nodes", "edges", typed.alias("typed_edges"))
-
-    return {h: taken(found) for h, found in walks(edges, starts, hops, seed, typed_bias).items()}
+    through = _first(walks(edges, starts, hops, seed, typed_bias).withColumn("path", F.expr(f"draw div {restarts}")), ["hops", "path"])
+    same = F.sha2(F.concat_ws("|", F.array_sort("nodes"), F.array_sort(F.transform("edges", lambda e: e["id"]))), 256)
+    typed = F.size(F.filter("kinds", lambda k: k == "typed")).cast("long")
+    return _first(through.withColumn("same", same), ["hops", "same"]).select("hops", "draw", "nodes", "edges", typed.alias("typed_edges"))
 
 
 def ranked_paths(edges: DataFrame, seeds: DataFrame, hops: int, budget: int = 8, fan: int = 6, most_gap: int = 24, most_span: int = 120, rare_nodes: DataFrame | None = None, least_rare: int = 0) -> DataFrame:

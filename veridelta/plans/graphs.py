@@ -157,8 +157,7 @@ _HOPS = (2, 3, 4, 5)
 def path_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accepted paths of two to five edges through orders, customers, parts and suppliers, starts drawn by degree."""
     got = P.samples(_kg(spark, sf_dir, by_order=True), F.expr(_TYPES), _HOPS, _DRAWS, seed=_SEED)
-    parts = [got[h].select(F.lit(h).alias("hops"), "path_id", "draw", F.array_join("nodes", " ").alias("nodes"), "strategy", "mode", "reference_date") for h in _HOPS]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return got.select("hops", "path_id", "draw", F.array_join("nodes", " ").alias("nodes"), "strategy", "mode", "reference_date")
 
 
 def _typed_sql(hops: int) -> str:
@@ -176,9 +175,7 @@ v{hops} as (select min(w) w from u{hops} group by array_to_string(list_sort(node
 def typed_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Walks of two and four edges that prefer who placed an order to what it holds."""
     edges = _kg(spark, sf_dir, by_order=True).withColumn("kind", F.when(F.col("relation") == "placed_by", "typed").otherwise("mention"))
-    got = P.typed_samples(edges, (2, 4), _DRAWS, seed=_SEED)
-    parts = [got[h].select(F.lit(h).alias("hops"), "draw", F.array_join("nodes", " ").alias("nodes"), "typed_edges") for h in (2, 4)]
-    return parts[0].unionByName(parts[1])
+    return P.typed_samples(edges, (2, 4), _DRAWS, seed=_SEED).select("hops", "draw", F.array_join("nodes", " ").alias("nodes"), "typed_edges")
 
 
 def _ranked_sql(hops: int, fan: int, gap: int, span: int, budget: int) -> str:
