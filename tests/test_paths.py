@@ -190,3 +190,21 @@ def test_ranked_paths_equal_a_search(spark):
         assert {s: set(v) for s, v in got.items()} == want
     rare = spark.createDataFrame([("n1",), ("n2",)], "node string")
     assert all({"n1", "n2"} & set(r.nodes) for r in P.ranked_paths(df, seeds, 2, rare_nodes=rare, least_rare=1).collect())
+
+
+@pytest.mark.parametrize("round_, hub", [(10**9, 10**9), (40, 10**9), (10**9, 1)])
+def test_ranked_paths_read_all_edges_and_write_none(spark, rows_cut, monkeypatch, round_, hub):
+    """In one round or several, with hubs or without: equal to a search also where many edges of a month lead back, and no table of edges is written."""
+    monkeypatch.setattr(P, "ROUND", round_)
+    monkeypatch.setattr(P, "HUB", hub)
+    monkeypatch.setattr(P, "SOME", 1)
+    back = [(f"a{k:02d}", "n1", "r", "n2", 24241) for k in range(12)] + [(f"b{k}", "n2", "r", f"n{k + 3}", 24241) for k in range(4)]
+    rng = random.Random(4)
+    data = back + [(f"c{k:02d}", f"n{rng.randrange(3, 9)}", rng.choice("rs"), f"n{rng.randrange(9, 14)}", 24240 + rng.randrange(9)) for k in range(40)]
+    df = spark.createDataFrame([(*e[:4], e[4]) for e in data], "id string, head string, relation string, tail string, month int")
+    got = {}
+    for r in P.ranked_paths(df, spark.createDataFrame([("n1",), ("n5",)], "node string"), 3, budget=8, fan=3, most_gap=6, most_span=20).collect():
+        got.setdefault(r.seed, set()).add(tuple(r.nodes))
+    want = {s: {tuple(n) for n in brute_ranked(data, s, 3, 3, 6, 20, 8)} for s in ("n1", "n5")}
+    assert want["n1"] and got == want
+    assert max(rows_cut) < len(data) / 4

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from veridelta.functions.dates import month_number
 from veridelta.operators import graph as G
 from veridelta.operators.rank import sums_before
-from veridelta.session import cut, drop, small
+from veridelta.session import cut, drop, setting, small, stored, unstore
 
 # Which paths each strategy may join, by node types or relations.
 BY_TYPE = {"person_identity_fusion": ("person", "human"), "geospatial_coincidence": ("location", "place", "city", "country")}
@@ -28,6 +28,10 @@ EDGE = ("id", "relation", "start", "end", "precision", "direction")
 LOOKUPS, TRIES = 4, 16
 #: Lookups of a step up to which walkers are sent to all tasks; more are shuffled.
 WALKERS = 200_000
+#: Of best-first paths: edges of a round, one edge in how many is looked at to guess their number, how many of these make a hub, and words of 64 bits that mark nodes.
+ROUND, SOME, HUB, MARKS = 30_000_000, 4096, 8, 1 << 18
+#: Shuffle files go as soon as the query that wrote them has ended, not when the driver happens to collect its garbage; lists are collected from rows in order.
+REMOVED, SORTED = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}, {"spark.sql.execution.useObjectHashAggregateExec": "false"}
 
 
 def strategies(types: Column, edges: Column) -> Column:
@@ -197,34 +201,112 @@ def typed_samples(edges: DataFrame, hops: Sequence[int], paths: int, seed: int =
 def ranked_paths(edges: DataFrame, seeds: DataFrame, hops: int, budget: int = 8, fan: int = 6, most_gap: int = 24, most_span: int = 120, rare_nodes: DataFrame | None = None, least_rare: int = 0) -> DataFrame:
     """(seed, nodes, edges, dated, least_gap, span): the best ``budget`` paths of ``hops`` edges from each seed (node). A path is prolonged by the ``fan`` best edges of its last node: dated ones first,
     those nearest in months to its last edge, those of rarer relations, then by id. Paths with fewer than two dates, with no two dates within ``most_gap`` months, with dates over more than
-    ``most_span`` months, or with fewer than ``least_rare`` of ``rare_nodes`` are left out; paths with the same nodes and relations count once. ``date`` is a partial date or null.
-
-    Of a node's edges of one month only the rarest fan + hops can be among the best ones of any path, since a path has visited ``hops`` nodes at most. The rest is dropped before the joins, so a
-    hub costs its months and not its edges."""
-    plain = edges.where(F.col("head") != F.col("tail")).select("id", "head", "tail", "relation", month_number(F.substring("date", 1, 7)).alias("month"))
-    freq = plain.groupBy("relation").agg(F.count(F.lit(1)).alias("freq"))
-    both = G.adjacency(plain, keep=["id", "relation", "month"]).join(small(freq, 10_000), "relation").select("node", "next", "id", "relation", "month", "freq", "direction")
-    rank = F.row_number().over(Window.partitionBy("node", "month").orderBy("freq", "id", "direction"))
-    adj = cut(both.withColumn("_rn", rank).where(F.col("_rn") <= fan + hops).drop("_rn"))
-    edge = F.struct("id", "relation", "month", "direction")
-    kind = adj.select(F.array(edge).alias("x")).schema["x"].dataType
-    paths = seeds.select(F.col("node").alias("seed"), F.array("node").alias("nodes"), F.array().cast(kind).alias("edges"), "node", F.lit(None).cast("int").alias("last"), F.lit("").alias("key"))
-    for _ in range(hops):
-        step = paths.join(adj, "node").where(~F.array_contains("nodes", F.col("next")))
-        tight = F.coalesce(F.abs(F.col("month") - F.col("last")), F.lit(10**6))
-        w = Window.partitionBy("seed", "key").orderBy(F.col("month").isNull(), tight, "freq", "id", "direction")
-        best = step.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= fan)
-        paths = best.select("seed", F.array_append("nodes", F.col("next")).alias("nodes"), F.array_append("edges", edge).alias("edges"), F.col("next").alias("node"), F.col("month").alias("last"), F.concat("key", F.lit("/"), "id", F.lit(":"), "direction").alias("key"))
-    months = F.array_sort(F.array_compact(F.transform("edges", lambda e: e["month"])))
-    out = paths.select("seed", "nodes", "edges", months.alias("months")).withColumn("dated", F.size("months")).where("dated >= 2")
+    ``most_span`` months, or with fewer than ``least_rare`` of ``rare_nodes`` are left out; paths with the same nodes and relations count once. ``date`` is a partial date or null; a column
+    ``month``, months since year 0, may stand for it.
+
+    A step reads the edges and keeps those at the nodes where paths end, each node's in one row by month, and a path picks among its node's row; so paths are never multiplied by edges. A step of
+    many edges goes over the nodes in rounds, and the last one holds only the best paths so far between them: all edges are read, and the disk holds those of one round."""
+    spark = edges.sparkSession
+    month = F.col("month") if "month" in edges.columns else month_number(F.substring("date", 1, 7))
+    plain = edges.select("id", "head", "tail", "relation", month.cast("int").alias("month"))
+    ways = reduce(DataFrame.unionByName, (plain.select(F.col(a).alias("node"), F.col(b).alias("next"), "id", "relation", "month", F.lit(d).alias("direction")) for a, b, d in (("head", "tail", "forward"), ("tail", "head", "reverse"))))
+    edge = "array<struct<id:string,relation:string,month:int,direction:string>>"
+    with setting(spark, **REMOVED):
+        some = F.collect_list(F.when(F.pmod(F.xxhash64("id"), F.lit(SOME)) == 0, F.array("head", "tail")))
+        counts = cut(plain.where(F.col("head") != F.col("tail")).groupBy("relation").agg(F.count(F.lit(1)).alias("freq"), some.alias("some")))
+        freq, some = small(counts.select("relation", "freq"), 10_000), counts.select(F.explode(F.flatten("some")).alias("node"))
+        paths = stored(seeds.select(F.array("node").alias("nodes"), F.array().cast(edge).alias("edges")))
+        best = None
+        for step in range(hops):
+            marked = _marked(paths.select(F.element_at("nodes", -1).alias("node")))
+            near = ways.where(marked).where(F.col("node") != F.col("next"))
+            rounds, hub = _rounds(some.where(marked))
+            out = []
+            for k in range(rounds):
+                turn = F.pmod(F.shiftrightunsigned(F.xxhash64("node"), 54), F.lit(rounds)) == k
+                at = _by_month((near.where(turn) if rounds > 1 else near).join(freq, "relation"), fan, hops, hub)
+                here = paths.withColumn("node", F.element_at("nodes", -1))
+                longer = _longer((here.where(turn) if rounds > 1 else here).withColumn("_h", F.xxhash64("node")).join(at, ["_h", "node"]), fan)
+                if step + 1 < hops:
+                    with setting(spark, **SORTED):
+                        out.append(stored(longer))
+                    continue
+                found = _fitting(longer, most_gap, most_span, rare_nodes, least_rare)
+                with setting(spark, **SORTED):
+                    last, best = best, stored(_best(found if best is None else found.unionByName(best), budget))
+                if last is not None:
+                    unstore(last)
+            unstore(paths)
+            if out:
+                paths = reduce(DataFrame.unionByName, out)
+    return best.select("seed", "nodes", "edges", "dated", "least_gap", "span")
+
+
+def _marked(nodes: DataFrame) -> Column:
+    """Whether ``node`` may be one of ``nodes``: its two bits are set in a table of bits, at most MARKS words. It is a condition on the node alone, so the plan applies it where edges are read, before
+    they are merged or shuffled; nodes whose bits are those of others are left to the join."""
+    words = min(MARKS, 1 << max(0, (nodes.count() // 4).bit_length()))
+    h = F.xxhash64("node")
+    places = [x.bitwiseAND(F.lit(words * 64 - 1)) for x in (h, F.shiftrightunsigned(h, 30))]
+    word, bit = lambda x: F.shiftright(x, 6), lambda x: x.bitwiseAND(F.lit(63)).cast("int")
+    set_ = nodes.select(F.explode(F.array(*places)).alias("x")).select(word(F.col("x")).alias("id"), F.expr("shiftleft(1L, cast(x & 63 as int))").alias("w")).groupBy("id").agg(F.bit_or("w").alias("w"))
+    all_ = nodes.sparkSession.range(words).join(set_, "id", "left").select(F.struct("id", F.coalesce("w", F.lit(0).cast("long")).alias("w")).alias("x"))
+    bits = cut(all_.agg(F.sort_array(F.collect_list("x"))["w"].alias("bits"))).scalar()
+    return reduce(lambda a, b: a & b, (F.getbit(F.get(bits, word(x).cast("int")), bit(x)) == 1 for x in places))
+
+
+def _rounds(some: DataFrame) -> tuple[int, bool]:
+    """How many rounds keep each under ROUND edges, and whether a node has so many that they are cut before they come together. Both are guessed from the ends of one edge in SOME; they say how the
+    work is dealt out and nothing about its result."""
+    n, most = some.groupBy("node").count().agg(F.sum("count"), F.max("count")).first()
+    return max(1, -(-SOME * (n or 0) // ROUND)), (most or 0) >= HUB
+
+
+def _by_month(near: DataFrame, fan: int, hops: int, hub: bool) -> DataFrame:
+    """(_h, node, dated, undated, months): the edges of each node by month, then freq, id and direction, and the months of the dated ones. Where there are hubs, of a month only those that some path can choose, ``fan`` to one node and of
+    these the first ``fan`` times ``hops``, as a path leaves out fewer nodes than ``hops``; so a hub costs its months and not its edges. The hash comes first in sorts, as names begin alike."""
+    for by, n in ((("node", "month", "next"), fan), (("node", "month"), fan * hops)) if hub else ():
+        near = near.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy("freq", "id", "direction"))).where(F.col("_rn") <= n).drop("_rn")
+    x = F.struct("month", "freq", "id", "direction", "relation", "next")
+    lists = (F.sort_array(F.collect_list(F.when(c, x))).alias(name) for c, name in ((F.col("month").isNotNull(), "dated"), (F.col("month").isNull(), "undated")))
+    return near.withColumn("_h", F.xxhash64("node")).repartition("_h", "node").groupBy("_h", "node").agg(*lists).withColumn("months", F.col("dated.month"))
+
+
+def _longer(at: DataFrame, fan: int) -> DataFrame:
+    """(nodes, edges) of paths ``at`` nodes with their edges, each prolonged by the ``fan`` best edges. Where the month of the last edge has enough of them these are the best, in order; else the
+    ``fan`` nearest months are found first and only their edges sorted."""
+    let = lambda value, body: F.get(F.transform(F.array(value), body), 0)
+    last = F.get(F.col("edges"), F.size("edges") - 1)["month"]
+    new = lambda x: ~F.array_contains("nodes", x["next"])
+    tight = lambda x: F.coalesce(F.abs(x["month"] - last), F.lit(10**6))
+    order = lambda x: F.struct(x["month"].isNull().alias("un"), tight(x).alias("tight"), x["freq"].alias("freq"), x["id"].alias("id"), x["direction"].alias("direction"), x["relation"].alias("relation"), x["next"].alias("next"), x["month"].alias("month"))
+    edge = lambda x: F.struct(x["id"].alias("id"), x["relation"].alias("relation"), x["month"].alias("month"), x["direction"].alias("direction"))
+    near = lambda u: let(F.get(F.sort_array(F.transform(u, tight)), F.lit(fan - 1)), lambda t: F.filter(u, lambda x: t.isNull() | (tight(x) <= t)))
+    whole = let(F.filter(F.concat("dated", "undated"), new), lambda u: F.slice(F.sort_array(F.transform(near(u), order)), 1, fan))
+    pick = lambda xs: F.transform(xs, lambda x: F.struct(edge(x).alias("edge"), x["next"].alias("next")))
+    first = F.array_position("months", last)
+    month = F.when(first > 0, F.filter(F.slice("dated", F.greatest(first, F.lit(1)).cast("int"), 2 * fan + 2), lambda x: (x["month"] == last) & new(x)))
+    best = F.when(F.coalesce(F.size(month), F.lit(-1)) >= fan, pick(F.slice(month, 1, fan))).otherwise(pick(whole))
+    return at.select("nodes", "edges", F.explode(best).alias("x")).select(F.array_append("nodes", F.col("x.next")).alias("nodes"), F.array_append("edges", F.col("x.edge")).alias("edges"))
+
+
+def _fitting(paths: DataFrame, most_gap: int, most_span: int, rare_nodes: DataFrame | None, least_rare: int) -> DataFrame:
+    """(seed, nodes, edges, dated, least_gap, span) of the paths whose dates and rare nodes are as asked for."""
+    months = F.sort_array(F.array_compact(F.col("edges.month")))
+    out = paths.select(F.get("nodes", 0).alias("seed"), "nodes", "edges", months.alias("months")).withColumn("dated", F.size("months")).where("dated >= 2")
     gaps = F.zip_with(F.slice("months", 1, F.col("dated") - 1), F.slice("months", 2, F.col("dated") - 1), lambda a, b: b - a)
     out = out.withColumn("least_gap", F.array_min(gaps)).withColumn("span", F.element_at("months", -1) - F.col("months")[0]).where((F.col("least_gap") <= most_gap) & (F.col("span") <= most_span))
-    if rare_nodes is not None:
+    if rare_nodes is not None and least_rare > 0:
         held = out.select("seed", "nodes", F.explode("nodes").alias("node")).join(rare_nodes.select("node").distinct(), "node", "left_semi").groupBy("seed", "nodes").agg(F.count_distinct("node").alias("rare")).where(F.col("rare") >= least_rare)
-        out = out.join(held.select("seed", "nodes"), ["seed", "nodes"], "left_semi") if least_rare > 0 else out
+        out = out.join(held.select("seed", "nodes"), ["seed", "nodes"], "left_semi")
+    return out.drop("months")
+
+
+def _best(found: DataFrame, budget: int) -> DataFrame:
+    """The best ``budget`` of the paths of each seed, of those with the same nodes and relations the first. The best of any parts' best are those of the whole."""
     name = F.transform("edges", lambda e: F.concat(e["id"], F.lit(":"), e["direction"]))
-    same = F.sha2(F.concat_ws("|", F.array_sort("nodes"), F.array_sort(F.transform("edges", lambda e: e["relation"]))), 256)
-    order = F.struct(F.col("least_gap"), F.col("span"), F.array_join("nodes", "|").alias("n"), F.array_join(name, "|").alias("e"))
-    cols = ["nodes", "edges", "dated", "least_gap", "span"]
-    once = out.withColumn("same", same).withColumn("order", order).groupBy("seed", "same").agg(F.min_by(F.struct(*cols, "order"), "order").alias("x")).select("seed", "x.*")
-    return once.withColumn("_rn", F.row_number().over(Window.partitionBy("seed").orderBy("order"))).where(F.col("_rn") <= budget).select("seed", *cols)
+    same = F.concat_ws("|", F.sort_array("nodes"), F.sort_array(F.col("edges.relation")))
+    of = found.withColumn("_h", F.xxhash64("seed")).repartition("_h", "seed").withColumns({"_same": same, "_n": F.array_join("nodes", "|"), "_e": F.array_join(name, "|")})
+    for by, n in ((("_h", "seed", "_same"), 1), (("_h", "seed"), budget)):
+        of = of.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy("least_gap", "span", "_n", "_e"))).where(F.col("_rn") <= n)
+    return of.select(*found.columns)

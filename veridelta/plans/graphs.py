@@ -194,7 +194,7 @@ select seed, replace(o.n, '|', ' ') nodes, cast(o.g as integer) least_gap, cast(
 @query(_ranked_sql(3, 3, 12, 60, 2))
 def ranked_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two tightest paths of three edges from each customer, prolonged by the three best edges at each step."""
-    edges = _kg(spark, sf_dir).select("id", "head", "relation", "tail", F.col("start").cast("string").alias("date"))
+    edges = _kg(spark, sf_dir, by_order=True).select("id", "head", "relation", "tail", (F.year("start") * 12 + F.month("start")).alias("month"))
     seeds = read(spark, sf_dir, "customer").select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("node"))
     got = P.ranked_paths(edges, seeds, 3, budget=2, fan=3, most_gap=12, most_span=60)
     return got.select("seed", F.array_join("nodes", " ").alias("nodes"), "least_gap", "span")

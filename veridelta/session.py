@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +59,34 @@ def drop(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as compressed files in the shared folder, for tables that would be large as a ``cut``."""
+    path = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def unstore(df: DataFrame) -> None:
+    """Delete the files of ``stored`` tables, or a union of them, that nothing reads any more."""
+    spark = df.sparkSession
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def setting(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Settings of the session for a while."""
+    was = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def small(df: DataFrame, rows: int = 1_000_000, size: int = 64 << 20) -> DataFrame:
     """``df`` with a broadcast hint if it is counted to have at most ``rows`` rows and ``size`` bytes, written as text; else as it is, for the planner to shuffle."""
     width = F.sum(F.octet_length(F.to_json(F.struct("*"))))
